@@ -35,7 +35,7 @@ add(
 )
 add(
     "factor_panel",
-    f"ticker month close next_ret_cc roe:7 pe_clean:5 momentum_12m trend_raw:9 sector index_close:6 regime_on eligible {ZCOLS} "
+    f"ticker month close next_ret_cc roe pe_clean momentum_12m trend_raw:9 sector index_close:6 regime_on eligible {ZCOLS} "
     "composite_score:6",
     lambda lb: panel_plan.factor_panel(lb.inputs, CFG, lb.ws, lb.trend_coefs, lb.expanding_coefs),
     "SELECT * FROM panel",

@@ -31,7 +31,7 @@ add(
 )
 add(
     "scan_daily_metrics",
-    "ticker date marketCap:1 peRatio:5 pbRatio:4 trailingPEG1Y",
+    "ticker date marketCap peRatio pbRatio trailingPEG1Y",
     lambda lb: scans.scan_daily_metrics(
         lb.spark, _written(lb, fixture.daily_metrics(lb.spark, lb.sf_dir), "metrics"), CFG.cutoff
     ),
@@ -39,7 +39,7 @@ add(
 )
 add(
     "scan_statements",
-    "ticker date_available fiscal_year:i fiscal_quarter:i statement_type data_code value:7",
+    "ticker date_available fiscal_year:i fiscal_quarter:i statement_type data_code value",
     lambda lb: scans.scan_statements(
         lb.spark, _written(lb, fixture.statements(lb.spark, lb.sf_dir), "statements"), CFG.cutoff
     ),
@@ -183,7 +183,7 @@ add(
 )
 add(
     "positive_pe_clean",
-    "ticker month pe_clean:5",
+    "ticker month pe_clean",
     lambda lb: panel_plan.positive_pe_clean(
         bars.monthly_metrics(lb.daily_metrics).withColumn(
             "pe_ratio", F.when(F.col("pe_ratio") > 60, -F.col("pe_ratio")).otherwise(F.col("pe_ratio"))
@@ -246,13 +246,13 @@ add(
 # ------------------------------------------------------------------- joins
 add(
     "asof_fundamental_join",
-    "ticker month roe:7",
+    "ticker month roe",
     lambda lb: joins.asof_fundamental(bars.monthly_bars(lb.prices), lb.statements),
     "SELECT * FROM roe_m",
 )
 add(
     "panel_assembly",
-    "ticker month close market_cap:1 pe_ratio:5 roe:7 ma_dev_20:9",
+    "ticker month close market_cap pe_ratio roe ma_dev_20:9",
     lambda lb: joins.panel_assembly(
         lb.monthly,
         bars.monthly_metrics(lb.daily_metrics),
@@ -335,7 +335,7 @@ add(
 )
 add(
     "monthly_metrics",
-    "ticker month market_cap:1 pe_ratio:5 pb_ratio:4 trailing_peg_1y",
+    "ticker month market_cap pe_ratio pb_ratio trailing_peg_1y",
     lambda lb: bars.monthly_metrics(lb.daily_metrics),
     "SELECT * FROM metrics_m",
 )

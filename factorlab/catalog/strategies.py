@@ -291,7 +291,7 @@ add(
 )
 add(
     "daily_positions",
-    "strategy date ticker entry_date shares:i price market_value:4",
+    "strategy date ticker entry_date shares:i price market_value",
     lambda lb: trades.daily_positions(lb.exits, lb.prices, lb.index_tables[0]),
     "SELECT * FROM positions",
 )
@@ -334,9 +334,9 @@ add(
     lambda lb: lb.prices.select(
         "ticker",
         "date",
-        *[c.alias(n) for c, n in zip(portfolio.bracket_prices(F.round("adjClose", 4), 0.05, 0.30), ("stop_price", "take_price"))],
+        *[c.alias(n) for c, n in zip(portfolio.bracket_prices(F.col("adjClose"), 0.05, 0.30), ("stop_price", "take_price"))],
     ).filter("month(date) = 3"),
-    "SELECT ticker, date, round(round(adjClose, 4) * (1 - 0.05), 2) AS stop_price, round(round(adjClose, 4) * (1 + 0.30), 2) "
+    "SELECT ticker, date, round(adjClose * (1 - 0.05), 2) AS stop_price, round(adjClose * (1 + 0.30), 2) "
     "AS take_price FROM prices WHERE month(date) = 3",
 )
 add(
