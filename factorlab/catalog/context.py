@@ -75,10 +75,6 @@ class Lab:
     def index_daily(self) -> DataFrame:
         return fixture.index_daily(self.spark, self.sf_dir, CFG.cutoff)
 
-    @property
-    def inputs(self) -> panel.Inputs:
-        return panel.Inputs(self.prices, self.daily_metrics, self.statements, self.constituents, self.index_daily)
-
     @property
     def monthly(self) -> DataFrame:
         return bars.stock_months(self.prices, CFG)
@@ -99,7 +95,7 @@ class Lab:
         return self.spark.createDataFrame([tuple(row)], schema)
 
     def _monthly_coefs(self, prefix: str, scale) -> DataFrame:
-        months = self.index_months.select("month")
+        months = self.index_tables[1].select("month")
         return months.select(
             "month",
             (F.lit(0.0001) * F.month("month")).alias("intercept"),
@@ -115,16 +111,31 @@ class Lab:
         return self._monthly_coefs("ma_ratio", F.lit(0.1) * (F.year("month") - 1990))
 
     # ------------------------------------------------------ processed tables
+    @cached_property
+    def tables(self) -> panel.Inputs:
+        """The adapters' output written once, standing in for the raw market files."""
+        p = self.ws.materialise(self.prices, "prices")
+        return panel.Inputs(
+            p,
+            self.ws.materialise(self.daily_metrics, "daily_metrics"),
+            self.ws.materialise(self.statements, "statements"),
+            self.ws.materialise(self.constituents, "constituents"),
+            self.ws.materialise(fixture.index_of(p), "index_daily"),
+        )
+
     @cached_property
     def index_tables(self) -> tuple[DataFrame, DataFrame]:
-        daily = self.ws.materialise(self.index_daily, "index_daily")
+        daily = self.tables.index_daily
         return daily, self.ws.materialise(bars.index_months(daily, CFG), "index_monthly")
 
+    @cached_property
+    def signals(self) -> DataFrame:
+        return self.ws.materialise(bars.ma_deviation(self.tables.prices, CFG.ma_windows, "adjClose"), "ma_signals")
+
     @cached_property
     def panel(self) -> DataFrame:
-        scored = panel.factor_panel(self.inputs, CFG, self.ws, self.trend_coefs, self.expanding_coefs)
-        scored = self.ws.materialise(scored, "scored_panel")
-        with_hzz = panel.inject_hzz(scored, self.ma_signals, CFG, self.smoothed_betas)
+        scored = panel.factor_panel(self.tables, CFG, self.ws, self.trend_coefs, self.expanding_coefs)
+        with_hzz = panel.inject_hzz(scored, self.signals, CFG, self.ws, self.smoothed_betas)
         return self.ws.materialise(with_hzz, "panel")
 
     @property

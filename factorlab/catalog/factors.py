@@ -37,24 +37,24 @@ add(
     "factor_panel",
     f"ticker month close next_ret_cc roe pe_clean momentum_12m trend_raw:9 sector index_close:6 regime_on eligible {ZCOLS} "
     "composite_score:6",
-    lambda lb: panel_plan.factor_panel(lb.inputs, CFG, lb.ws, lb.trend_coefs, lb.expanding_coefs),
+    lambda lb: panel_plan.factor_panel(lb.tables, CFG, lb.ws, lb.trend_coefs, lb.expanding_coefs),
     "SELECT * FROM panel",
 )
 add(
     "factor_panel_fitted",
     f"ticker month trend_raw trend_expanding_raw eligible {ZCOLS} composite_score",
-    lambda lb: panel_plan.factor_panel(lb.inputs, CFG, lb.ws),
+    lambda lb: panel_plan.factor_panel(lb.tables, CFG, lb.ws),
 )
 add(
     "inject_hzz",
     "ticker month trend_hzz_raw:9 trend_hzz_z:6",
-    lambda lb: panel_plan.inject_hzz(lb.panel, lb.ma_signals, CFG, lb.smoothed_betas),
+    lambda lb: panel_plan.inject_hzz(lb.panel, lb.signals, CFG, lb.ws, lb.smoothed_betas),
     "SELECT * FROM panel",
 )
 add(
     "inject_hzz_fitted",
     "ticker month trend_hzz_raw trend_hzz_z",
-    lambda lb: panel_plan.inject_hzz(lb.panel, lb.ma_signals, CFG),
+    lambda lb: panel_plan.inject_hzz(lb.panel, lb.signals, CFG, lb.ws),
 )
 add(
     "live_trend",

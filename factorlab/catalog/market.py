@@ -551,7 +551,7 @@ def _expanding_counts(lb: Lab):
 add(
     "xs_multivariate_betas",
     "month n_obs:i r_squared intercept " + " ".join(CFG.ratio_cols),
-    lambda lb: panel_plan.hzz_betas(lb.panel, bars.ma_ratio(lb.ma_signals, W), CFG),
+    lambda lb: panel_plan.hzz_betas(lb.panel, bars.ma_ratio(lb.signals, W), CFG, lb.ws),
 )
 add(
     "xs_moments",

@@ -51,9 +51,10 @@ add(
 )
 add(
     "spec_ladder",
-    "strategy variant top_n:i trend_col weight_method regime_filter stop_loss take_profit sizing_method assignment_scope",
-    lambda lb: specs_frame(lb.spark, [*all_specs(), *grid_specs()]),
-    "SELECT * FROM (VALUES "
+    "strategy variant top_n:i trend_col weight_method regime_filter stop_loss take_profit sizing_method assignment_scope "
+    "n_scored:i first_month",
+    lambda lb: _spec_coverage(lb),
+    "SELECT v.*, c.n_scored, c.first_month FROM (VALUES "
     + ", ".join(
         f"('{s.name}', '{s.score_variant}', {s.top_n}, '{s.trend_col}', '{s.weight_method}', {s.regime_filter}, "
         f"{s.stop_loss if s.stop_loss is not None else 'NULL'}::DOUBLE, "
@@ -61,8 +62,22 @@ add(
         for s in [*all_specs(), *grid_specs()]
     )
     + ") v(strategy, variant, top_n, trend_col, weight_method, regime_filter, stop_loss, take_profit, sizing_method, "
-    "assignment_scope)",
+    "assignment_scope) LEFT JOIN (SELECT variant, count(*) AS n_scored, min(month) AS first_month FROM scores "
+    "WHERE score IS NOT NULL GROUP BY variant) c USING (variant)",
 )
+
+
+def _spec_coverage(lb: Lab):
+    """Every specification beside how much of the panel its score covers."""
+    specs = [*all_specs(), *grid_specs()]
+    rolling = next(s for s in specs if s.weight_method == "rolling_rank_ic")
+    weights = {rolling.score_variant: scoring.rolling_ic_weights(lb.months.select("month"), lb.ic_expanding, rolling)}
+    cover = scoring.scores_by_variant(lb.panel, specs, weights).groupBy("variant").agg(
+        F.count("*").alias("n_scored"), F.min("month").alias("first_month")
+    )
+    return specs_frame(lb.spark, specs).join(cover, "variant", "left")
+
+
 add(
     "spec_panel_cross",
     "strategy scenario month n:i gross:6",
@@ -335,9 +350,9 @@ add(
         "ticker",
         "date",
         *[c.alias(n) for c, n in zip(portfolio.bracket_prices(F.col("adjClose"), 0.05, 0.30), ("stop_price", "take_price"))],
-    ).filter("month(date) = 3"),
+    ),
     "SELECT ticker, date, round(adjClose * (1 - 0.05), 2) AS stop_price, round(adjClose * (1 + 0.30), 2) "
-    "AS take_price FROM prices WHERE month(date) = 3",
+    "AS take_price FROM prices",
 )
 add(
     "long_only_check",

@@ -46,22 +46,40 @@ def masked_first(value: str, order: str) -> Column:
     return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
 
 
+def _bar_aggregates() -> list[Column]:
+    return [
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        masked_first("adjOpen", "date").alias("open"),
+        F.max("adjHigh").alias("high"),
+        F.min("adjLow").alias("low"),
+        masked_last("adjClose", "date").alias("close"),
+        masked_last("close", "date").alias("raw_close"),
+        F.sum("adjVolume").alias("volume"),
+    ]
+
+
 def monthly_bars(prices: DataFrame) -> DataFrame:
     """Adjusted monthly OHLCV per ticker; first and last skip nulls."""
-    return (
-        prices.withColumn("month", month_of())
-        .groupBy("ticker", "month")
-        .agg(
-            F.min("date").alias("first_date"),
-            F.max("date").alias("last_date"),
-            masked_first("adjOpen", "date").alias("open"),
-            F.max("adjHigh").alias("high"),
-            F.min("adjLow").alias("low"),
-            masked_last("adjClose", "date").alias("close"),
-            masked_last("close", "date").alias("raw_close"),
-            F.sum("adjVolume").alias("volume"),
-        )
-    )
+    return prices.withColumn("month", month_of()).groupBy("ticker", "month").agg(*_bar_aggregates())
+
+
+def month_keys(prices: DataFrame) -> DataFrame:
+    """Distinct (ticker, month); reads two columns and combines on the map side."""
+    return prices.select("ticker", month_of().alias("month")).distinct()
+
+
+def monthly_bars_with_signals(prices: DataFrame, windows) -> DataFrame:
+    """Monthly bars and month-end moving-average deviations in one pass.
+
+    The daily bars are scanned and shuffled by ticker once: that layout serves
+    the signal windows, the monthly aggregate and the monthly lags that follow.
+    """
+    need = ["ticker", "date", "adjOpen", "adjHigh", "adjLow", "adjClose", "close", "adjVolume"]
+    daily = with_deviations(prices.select(*need), windows, "adjClose")
+    # Only the month-end row contributes a signal, so max picks that row's value.
+    devs = [F.max(F.when(F.col("month_end"), F.col(f"ma_dev_{n}"))).alias(f"ma_dev_{n}") for n in windows]
+    return daily.groupBy("ticker", "month").agg(*_bar_aggregates(), *devs)
 
 
 def _by_month(key: str = "ticker"):
@@ -100,7 +118,11 @@ def price_floor_eligibility(monthly: DataFrame, floor: float) -> DataFrame:
 
 def stock_months(prices: DataFrame, cfg) -> DataFrame:
     """The full monthly stock table: bars, neighbours, returns, momentum, price floor."""
-    out = forward_returns(prev_next_bars(monthly_bars(prices)))
+    return stock_features(monthly_bars(prices), cfg)
+
+
+def stock_features(monthly: DataFrame, cfg) -> DataFrame:
+    out = forward_returns(prev_next_bars(monthly))
     return price_floor_eligibility(momentum_k(out, cfg.momentum_lag), cfg.price_floor)
 
 
@@ -175,39 +197,43 @@ def month_end_row(bars: DataFrame, key: str = "ticker") -> DataFrame:
     return out.filter(F.coalesce(F.col("_next_month") != F.col("month"), F.lit(True))).drop("_next_month")
 
 
-def ma_deviation(bars: DataFrame, windows, price: str, key: str | None = "ticker") -> DataFrame:
-    """Month-end moving-average deviations MA_w / price - 1 for every window.
+def with_deviations(bars: DataFrame, windows, price: str, key: str | None = "ticker") -> DataFrame:
+    """Bars with month, a month-end flag and moving-average deviations MA_w / price - 1.
 
     A moving sum is the difference of two running sums, so each window costs one
     lag per row instead of re-reading w rows; all windows share one exchange and
     one sort. A window is NULL until w non-null prices are inside it.
     """
-    part = [F.col(key)] if key else [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("date")
+    w = Window.partitionBy(F.col(key) if key else F.lit(0)).orderBy("date")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    keep = [key] if key else []
-    base = bars.select(*keep, "date", _c(price).alias("_p"), month_of().alias("month"))
-    base = base.withColumns(
+    month = month_of()
+    base = bars.withColumns(
         {
-            "_sum": F.sum("_p").over(running),
-            "_cnt": F.count("_p").over(running),
-            "_next_month": F.lead("month").over(w),
+            "month": month,
+            "_sum": F.sum(price).over(running),
+            "_cnt": F.count(price).over(running),
+            "_next_month": F.lead(month).over(w),
         }
     ).withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
     sums = {f"_s{n}": F.col("_sum") - F.lag("_sum", n, 0.0).over(w) for n in windows}
     counts = {f"_c{n}": F.col("_cnt") - F.lag("_cnt", n, 0).over(w) for n in windows}
-    wide = base.withColumns({**sums, **counts})
-    month_end = F.coalesce(F.col("_next_month") != F.col("month"), F.lit(True))
-    return wide.filter(month_end).select(
-        *keep,
-        "month",
-        *[
-            F.when(F.col(f"_c{n}") == n, finite(ratio(F.col(f"_s{n}") / n, F.col("_p")) - 1)).alias(f"ma_dev_{n}")
-            for n in windows
-        ],
+    devs = {
+        f"ma_dev_{n}": F.when(F.col(f"_c{n}") == n, finite(ratio(F.col(f"_s{n}") / n, _c(price)) - 1)) for n in windows
+    }
+    return (
+        base.withColumns({**sums, **counts})
+        .withColumn("month_end", F.coalesce(F.col("_next_month") != F.col("month"), F.lit(True)))
+        .select(*bars.columns, "month", "month_end", *[d.alias(n) for n, d in devs.items()])
     )
 
 
+def ma_deviation(bars: DataFrame, windows, price: str, key: str | None = "ticker") -> DataFrame:
+    """Month-end moving-average deviations for every window."""
+    keep = [key] if key else []
+    out = with_deviations(bars.select(*keep, "date", price), windows, price, key)
+    return out.filter("month_end").select(*keep, "month", *[f"ma_dev_{n}" for n in windows])
+
+
 def ma_deviation_latest(bars: DataFrame, windows, price: str) -> DataFrame:
     """The same signals for the last month of every ticker only."""
     signals = ma_deviation(bars, windows, price)

@@ -208,18 +208,28 @@ def coefficients_wide(terms: DataFrame, xs: list[str]) -> DataFrame:
     return terms.agg(pick("const").alias("intercept"), *[pick(c).alias(c) for c in xs])
 
 
+def with_trends(signals: DataFrame, coefs: dict[str, DataFrame], xs: list[str]) -> DataFrame:
+    """Add intercept + sum b * deviation for several coefficient tables in one pass.
+
+    ``coefs`` maps an output column to a table of one row, or one row per month;
+    either way it is small by construction and broadcast.
+    """
+    out = signals
+    values = {}
+    for i, (name, table) in enumerate(coefs.items()):
+        on = "month" if "month" in table.columns else "_one"
+        key = F.col("month") if on == "month" else F.lit(1).alias("_one")
+        packed = table.select(key, F.struct("intercept", *xs).alias(f"_b{i}"))
+        if on == "_one" and "_one" not in out.columns:
+            out = out.withColumn("_one", F.lit(1))
+        out = out.join(F.broadcast(packed), on, "left")
+        terms = [(F.col(f"_b{i}.{c}"), F.col(c)) for c in xs]
+        values[name] = finite(linear_prediction(F.col(f"_b{i}.intercept"), terms))
+    return out.select(*signals.columns, *[v.alias(n) for n, v in values.items()])
+
+
 def apply_trend(signals: DataFrame, coefs: DataFrame, xs: list[str], out: str) -> DataFrame:
-    """intercept + sum b * deviation; coefficients are one row, or one row per month."""
-    by_month = "month" in coefs.columns
-    packed = coefs.select(
-        *(["month"] if by_month else []), F.col("intercept").alias("_b0"), *[F.col(c).alias(f"_b_{c}") for c in xs]
-    )
-    if by_month:
-        joined = signals.join(F.broadcast(packed), "month", "left")
-    else:
-        joined = signals.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one", "left")
-    value = linear_prediction(F.col("_b0"), [(F.col(f"_b_{c}"), F.col(c)) for c in xs])
-    return joined.select("ticker", "month", finite(value).alias(out))
+    return with_trends(signals, {out: coefs}, xs).select("ticker", "month", out)
 
 
 def selected_variables(terms: DataFrame) -> DataFrame:

@@ -57,21 +57,20 @@ def raw_panel(
     inputs: Inputs, cfg: EngineConfig, trend_coefs: DataFrame | None = None, expanding_coefs: DataFrame | None = None
 ) -> DataFrame:
     """Monthly panel before z-scores. Coefficient tables override the fitted trend."""
-    monthly = bars.stock_months(inputs.prices, cfg)
+    monthly = bars.stock_features(bars.monthly_bars_with_signals(inputs.prices, cfg.ma_windows), cfg)
     idx = bars.index_months(inputs.index_daily, cfg)
-    signals = bars.ma_deviation(inputs.prices, cfg.ma_windows, "adjClose")
     if trend_coefs is None or expanding_coefs is None:
         history = index_history(idx, inputs.index_daily, cfg)
         if trend_coefs is None:
             trend_coefs = regress.coefficients_wide(regress.index_trend_full(history, cfg.dev_cols, cfg), cfg.dev_cols)
         if expanding_coefs is None:
             expanding_coefs = regress.expanding_trend_betas(history, cfg.dev_cols, cfg).drop("series_id")
-    # Both trend columns in one pass over the signals.
-    trend = regress.apply_trend(signals, trend_coefs, cfg.dev_cols, "trend_raw")
-    expanding = regress.apply_trend(signals, expanding_coefs, cfg.dev_cols, "trend_expanding_raw")
+    monthly = regress.with_trends(
+        monthly, {"trend_raw": trend_coefs, "trend_expanding_raw": expanding_coefs}, cfg.dev_cols
+    )
     metrics = bars.monthly_metrics(inputs.daily_metrics)
-    roe = joins.asof_fundamental(monthly, inputs.statements)
-    panel = joins.panel_assembly(monthly, metrics, roe, trend, expanding)
+    roe = joins.asof_fundamental(bars.month_keys(inputs.prices), inputs.statements)
+    panel = joins.panel_assembly(monthly, metrics, roe)
     panel = joins.index_enrich(joins.sector_enrich(panel, inputs.constituents), idx)
     panel = tradeable_eligibility(positive_pe_clean(panel))
     return panel.withColumns(
@@ -97,21 +96,26 @@ def factor_panel(inputs: Inputs, cfg: EngineConfig, ws: Workspace, trend_coefs=N
     return score_panel(raw, cfg)
 
 
-def inject_hzz(panel: DataFrame, signals: DataFrame, cfg: EngineConfig, smoothed: DataFrame | None = None) -> DataFrame:
-    """Cross-sectional trend: ratios, monthly betas, smoothing, prediction, z-score."""
-    ratios = bars.ma_ratio(signals, cfg.ma_windows)
+def inject_hzz(
+    panel: DataFrame, signals: DataFrame, cfg: EngineConfig, ws: Workspace, smoothed: DataFrame | None = None
+) -> DataFrame:
+    """Cross-sectional trend: ratios, monthly betas, smoothing, prediction, z-score.
+
+    The ratios feed the fit and the prediction, and the joined panel feeds several
+    z-score passes, so both are written once.
+    """
+    ratios = ws.materialise(bars.ma_ratio(signals, cfg.ma_windows), "ma_ratios")
     if smoothed is None:
-        smoothed = regress.smooth_betas(
-            hzz_betas(panel, ratios, cfg), cfg.ratio_cols, cfg.beta_smoothing
-        )
+        smoothed = regress.smooth_betas(hzz_betas(panel, ratios, cfg, ws), cfg.ratio_cols, cfg.beta_smoothing)
     predicted = regress.hzz_predict(ratios, smoothed, cfg.ratio_cols)
     keep = [c for c in panel.columns if c not in ("trend_hzz_raw", "trend_hzz_factor", "trend_hzz_z")]
     out = panel.select(*keep).join(predicted, ["ticker", "month"], "left")
-    out = out.withColumn("trend_hzz_factor", F.col("trend_hzz_raw"))
+    out = ws.materialise(out.withColumn("trend_hzz_factor", F.col("trend_hzz_raw")), "panel_hzz")
     return xsection.winsor_zscore(out, {"trend_hzz_factor": "trend_hzz_z"}, cfg.min_names_zscore, cfg.max_group_rows)
 
 
-def hzz_betas(monthly: DataFrame, ratios: DataFrame, cfg: EngineConfig) -> DataFrame:
+def hzz_betas(monthly: DataFrame, ratios: DataFrame, cfg: EngineConfig, ws: Workspace) -> DataFrame:
     base = monthly.filter(F.coalesce("eligible_price", F.lit(False))).select("ticker", "month", "next_ret_cc")
-    rows = base.join(ratios, ["ticker", "month"])
+    # Two passes (means, then centred products) read these rows.
+    rows = ws.materialise(base.join(ratios, ["ticker", "month"]), "regression_rows")
     return regress.xs_multivariate_betas(rows, "next_ret_cc", cfg.ratio_cols, cfg.min_names_multivariate)

@@ -131,6 +131,10 @@ def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_daily(spark: SparkSession, sf_dir: str, cutoff: date | None = None) -> DataFrame:
+    return index_of(prices(spark, sf_dir, cutoff))
+
+
+def index_of(bars: DataFrame) -> DataFrame:
     """Equal-weight index of all bars. Prices are summed as exact integers (1e-8
     units), so the level is independent of how rows were partitioned."""
 
@@ -138,7 +142,6 @@ def index_daily(spark: SparkSession, sf_dir: str, cutoff: date | None = None) ->
         units = F.round(F.col(c) * 1e8).cast("long")
         return F.sum(units) / F.count(units) / 1e8
 
-    bars = prices(spark, sf_dir, cutoff)
     return bars.groupBy("date").agg(
         level("open").alias("open"),
         level("high").alias("high"),
