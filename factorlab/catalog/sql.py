@@ -46,7 +46,7 @@ SELECT ticker, date, arg_min(px, ord) AS open, max(px) AS high, min(px) AS low,
 FROM ticks WHERE date <= {CUT} GROUP BY ticker, date"""
 CTE["daily_metrics"] = f"""
 SELECT ticker, date, round(sum(ext), 2) AS marketCap, round(sum(ext) / nullif(sum(ext_tax), 0), 6) AS peRatio,
-       round(sum(ext) / nullif(sum(qty), 0), 6) AS pbRatio, CAST(NULL AS DOUBLE) AS trailingPEG1Y
+       round(sum(ext) / nullif(sum(qty), 0), 10) AS pbRatio, CAST(NULL AS DOUBLE) AS trailingPEG1Y
 FROM ticks WHERE date <= {CUT} GROUP BY ticker, date"""
 CTE["statements"] = f"""
 SELECT * FROM (

@@ -84,7 +84,7 @@ def daily_metrics(spark: SparkSession, sf_dir: str, cutoff: date | None = None)
         "date",
         F.round("e", 2).alias("marketCap"),
         F.round(ratio("e", "x"), 6).alias("peRatio"),
-        F.round(ratio("e", "q"), 6).alias("pbRatio"),
+        F.round(ratio("e", "q"), 10).alias("pbRatio"),
         F.lit(None).cast("double").alias("trailingPEG1Y"),
     )
 
