@@ -42,8 +42,9 @@ add(
 )
 add(
     "factor_panel_fitted",
-    f"ticker month trend_raw trend_expanding_raw eligible {ZCOLS} composite_score",
+    f"ticker month trend_raw:8 trend_expanding_raw:7 eligible {ZCOLS} composite_score:6",
     lambda lb: panel_plan.factor_panel(lb.tables, CFG, lb.ws),
+    "SELECT * FROM panel_fit",
 )
 add(
     "inject_hzz",
@@ -53,12 +54,13 @@ add(
 )
 add(
     "inject_hzz_fitted",
-    "ticker month trend_hzz_raw trend_hzz_z",
+    "ticker month trend_hzz_raw:6 trend_hzz_z:5",
     lambda lb: panel_plan.inject_hzz(lb.panel, lb.signals, CFG, lb.ws),
+    "SELECT * FROM panel_hzz",
 )
 add(
     "live_trend",
-    "ticker month trend_expanding_raw",
+    "ticker month trend_expanding_raw:7",
     lambda lb: regress.apply_trend(
         lb.ma_signals.filter(F.col("month") == F.lit(LIVE_MONTH)),
         regress.expanding_trend_betas(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG)
@@ -67,6 +69,7 @@ add(
         CFG.dev_cols,
         "trend_expanding_raw",
     ),
+    f"SELECT ticker, month, trend_expanding_raw FROM trend_fit WHERE month = DATE '{LIVE_MONTH}'",
 )
 add(
     "composite_min3",

@@ -518,15 +518,32 @@ add(
     lambda lb: regress.hzz_predict(bars.ma_ratio(lb.ma_signals, W), lb.smoothed_betas, CFG.ratio_cols),
     "SELECT * FROM hzz_m",
 )
+_VARS = "concat_ws('|', " + ", ".join(f"CASE WHEN a.p_{c} <= {CFG.trend_alpha} THEN '{c}' END" for c in CFG.dev_cols) + ")"
+
+
+def _full_fit(lb: Lab):
+    return regress.index_trend_full(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG)
+
+
 add(
     "index_trend_full",
-    "series_id term coefficient full_model_p_value refit_p_value selected n_obs:i r_squared_refit selected_variables",
-    lambda lb: regress.index_trend_full(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG),
+    "series_id term coefficient:6 full_model_p_value:6 refit_p_value:6 selected n_obs:i r_squared_refit:6 selected_variables",
+    lambda lb: _full_fit(lb).withColumn("selected_variables", F.array_join("selected_variables", "|")),
+    " UNION ALL ".join(
+        f"SELECT 'index' AS series_id, '{t}' AS term, b.b{v} AS coefficient, a.p{v} AS full_model_p_value, "
+        f"CASE WHEN {sel} THEN b.p{v} END AS refit_p_value, {sel} AS selected, b.n AS n_obs, b.r2 AS r_squared_refit, "
+        f"{_VARS} AS selected_variables FROM fta_p a JOIN ftb_p b USING (g)"
+        for t, v, sel in [("const", "0", "TRUE"), *[(c, f"_{c}", f"a.p_{c} <= {CFG.trend_alpha}") for c in CFG.dev_cols]]
+    ),
 )
 add(
     "expanding_trend_betas",
-    "series_id month n_obs:i r_squared_refit selected_variables intercept " + " ".join(CFG.dev_cols),
-    lambda lb: regress.expanding_trend_betas(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG),
+    "series_id month n_obs:i r_squared_refit:6 selected_variables intercept:7 " + " ".join(f"{c}:6" for c in CFG.dev_cols),
+    lambda lb: regress.expanding_trend_betas(
+        panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG
+    ).withColumn("selected_variables", F.array_join("selected_variables", "|")),
+    f"SELECT 'index' AS series_id, a.g AS month, b.n AS n_obs, b.r2 AS r_squared_refit, {_VARS} AS selected_variables, "
+    "b.b0 AS intercept, " + ", ".join(f"b.b_{c} AS {c}" for c in CFG.dev_cols) + " FROM eta_p a JOIN etb_b b USING (g)",
 )
 add(
     "expanding_history",
@@ -550,8 +567,11 @@ def _expanding_counts(lb: Lab):
 
 add(
     "xs_multivariate_betas",
-    "month n_obs:i r_squared intercept " + " ".join(CFG.ratio_cols),
+    "month n_obs:i r_squared:6 intercept:5 " + " ".join(f"{c}:5" for c in CFG.ratio_cols),
     lambda lb: panel_plan.hzz_betas(lb.panel, bars.ma_ratio(lb.signals, W), CFG, lb.ws),
+    "SELECT g AS month, n AS n_obs, r2 AS r_squared, b0 AS intercept, "
+    + ", ".join(f"b_{c} AS {c}" for c in CFG.ratio_cols)
+    + " FROM hz_b",
 )
 add(
     "xs_moments",
@@ -590,8 +610,11 @@ add(
 )
 add(
     "selected_variables",
-    "lag:i coefficient selected",
-    lambda lb: regress.selected_variables(
-        regress.index_trend_full(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG)
+    "lag:i coefficient:6 selected",
+    lambda lb: regress.selected_variables(_full_fit(lb)),
+    " UNION ALL ".join(
+        f"SELECT {w} AS lag, b.b_ma_dev_{w} AS coefficient, a.p_ma_dev_{w} <= {CFG.trend_alpha} AS selected "
+        "FROM fta_p a JOIN ftb_b b USING (g)"
+        for w in W
     ),
 )

@@ -135,30 +135,7 @@ CTE["hzz_m"] = (
     + " + ".join(f"{TREND_COEFS[n]} * (0.1 * (year(month) - 1990)) * ma_ratio_{n}" for n in W)
     + " AS trend_hzz_raw FROM ma_ratios"
 )
-CTE["panel_raw"] = """
-SELECT m.*, k.market_cap, k.pe_ratio, k.pb_ratio, k.trailing_peg_1y, r.roe, t.trend_raw, t.trend_expanding_raw,
-       h.trend_hzz_raw, c.Security, c.sector, c.sub_industry, i.close AS index_close, i.sma_10m, i.regime_on,
-       CASE WHEN k.pe_ratio > 0 THEN k.pe_ratio END AS pe_clean, r.roe AS roe_factor,
-       -(CASE WHEN k.pe_ratio > 0 THEN k.pe_ratio END) AS pe_factor, m.momentum_12m AS momentum_factor,
-       t.trend_raw AS trend_factor, t.trend_expanding_raw AS trend_expanding_factor, h.trend_hzz_raw AS trend_hzz_factor,
-       coalesce(m.eligible_price AND m.next_ret_cc IS NOT NULL AND m.next_ret_oc IS NOT NULL AND m.next_open > 0, FALSE) AS eligible
-FROM stock_months m LEFT JOIN metrics_m k USING (ticker, month) LEFT JOIN roe_m r USING (ticker, month)
-LEFT JOIN trend_m t USING (ticker, month) LEFT JOIN hzz_m h USING (ticker, month)
-LEFT JOIN constituents c ON c.Symbol = m.ticker LEFT JOIN index_months i USING (month)"""
 _ALLZ = {**Z, "trend_hzz_factor": "trend_hzz_z"}
-CTE["zq"] = "SELECT month, " + ", ".join(
-    f"count({s}) AS n_{t}, quantile_cont({s}, 0.01) AS lo_{t}, quantile_cont({s}, 0.99) AS hi_{t}" for s, t in _ALLZ.items()
-) + " FROM panel_raw GROUP BY month"
-CTE["zc"] = "SELECT p.*, " + ", ".join(
-    f"CASE WHEN n_{t} >= {CFG.min_names_zscore} AND {s} IS NOT NULL THEN least(greatest({s}, lo_{t}), hi_{t}) END AS x_{t}"
-    for s, t in _ALLZ.items()
-) + " FROM panel_raw p JOIN zq USING (month)"
-CTE["zm"] = "SELECT month, " + ", ".join(
-    f"avg(x_{t}) AS m_{t}, stddev_pop(x_{t}) AS d_{t}" for t in _ALLZ.values()
-) + " FROM zc GROUP BY month"
-CTE["zs"] = "SELECT zc.*, " + ", ".join(
-    f"(x_{t} - m_{t}) / nullif(d_{t}, 0) AS {t}" for t in _ALLZ.values()
-) + " FROM zc JOIN zm USING (month)"
 
 
 def composite(cols: list[str]) -> str:
@@ -167,7 +144,35 @@ def composite(cols: list[str]) -> str:
     return f"CASE WHEN {n} >= 3 THEN ({s}) / ({n}) END"
 
 
-CTE["panel"] = f"SELECT *, {composite(['roe_z', 'pe_z', 'momentum_z', 'trend_z'])} AS composite_score FROM zs"
+def panel_chain(tag: str, trend: str, hzz: str) -> None:
+    """Panel and z-scores from the given trend tables, as expressions named with ``tag``."""
+    CTE[f"panel_raw{tag}"] = f"""
+SELECT m.*, k.market_cap, k.pe_ratio, k.pb_ratio, k.trailing_peg_1y, r.roe, t.trend_raw, t.trend_expanding_raw,
+       h.trend_hzz_raw, c.Security, c.sector, c.sub_industry, i.close AS index_close, i.sma_10m, i.regime_on,
+       CASE WHEN k.pe_ratio > 0 THEN k.pe_ratio END AS pe_clean, r.roe AS roe_factor,
+       -(CASE WHEN k.pe_ratio > 0 THEN k.pe_ratio END) AS pe_factor, m.momentum_12m AS momentum_factor,
+       t.trend_raw AS trend_factor, t.trend_expanding_raw AS trend_expanding_factor, h.trend_hzz_raw AS trend_hzz_factor,
+       coalesce(m.eligible_price AND m.next_ret_cc IS NOT NULL AND m.next_ret_oc IS NOT NULL AND m.next_open > 0, FALSE) AS eligible
+FROM stock_months m LEFT JOIN metrics_m k USING (ticker, month) LEFT JOIN roe_m r USING (ticker, month)
+LEFT JOIN {trend} t USING (ticker, month) LEFT JOIN {hzz} h USING (ticker, month)
+LEFT JOIN constituents c ON c.Symbol = m.ticker LEFT JOIN index_months i USING (month)"""
+    CTE[f"zq{tag}"] = "SELECT month, " + ", ".join(
+        f"count({s}) AS n_{t}, quantile_cont({s}, 0.01) AS lo_{t}, quantile_cont({s}, 0.99) AS hi_{t}" for s, t in _ALLZ.items()
+    ) + f" FROM panel_raw{tag} GROUP BY month"
+    CTE[f"zc{tag}"] = "SELECT p.*, " + ", ".join(
+        f"CASE WHEN n_{t} >= {CFG.min_names_zscore} AND {s} IS NOT NULL THEN least(greatest({s}, lo_{t}), hi_{t}) END AS x_{t}"
+        for s, t in _ALLZ.items()
+    ) + f" FROM panel_raw{tag} p JOIN zq{tag} USING (month)"
+    CTE[f"zm{tag}"] = "SELECT month, " + ", ".join(
+        f"avg(x_{t}) AS m_{t}, stddev_pop(x_{t}) AS d_{t}" for t in _ALLZ.values()
+    ) + f" FROM zc{tag} GROUP BY month"
+    CTE[f"zs{tag}"] = f"SELECT zc{tag}.*, " + ", ".join(
+        f"(x_{t} - m_{t}) / nullif(d_{t}, 0) AS {t}" for t in _ALLZ.values()
+    ) + f" FROM zc{tag} JOIN zm{tag} USING (month)"
+    CTE[f"panel{tag}"] = f"SELECT *, {composite(['roe_z', 'pe_z', 'momentum_z', 'trend_z'])} AS composite_score FROM zs{tag}"
+
+
+panel_chain("", "trend_m", "hzz_m")
 CTE["months"] = "SELECT month, coalesce(bool_or(regime_on), TRUE) AS regime_on FROM panel GROUP BY month"
 CTE["bench"] = "SELECT month, ret_1m AS benchmark_return FROM index_months"
 
@@ -409,7 +414,7 @@ def student_p(t: str, dof: str) -> str:
 
 
 def normal_p(z: str) -> str:
-    x = f"(abs({z}) / sqrt(2.0))"
+    x = f"least(abs({z}) / sqrt(2.0), 6.0)"
     series = (
         f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln({x}) - ln(2.0) + ln(pi()) / 2 "
         f"- lgamma(k + 1.5))))"
@@ -664,6 +669,115 @@ CTE["ic_sum"] = f"""
 SELECT factor, avg(ic) AS avg_ic, avg(rank_ic) AS avg_rank_ic, {_t('ic')} AS ic_t, {_t('rank_ic')} AS rank_ic_t
 FROM ic GROUP BY factor"""
 
+# ------------------------------------------------------- fitted regressions
+
+
+def regression_chain(tag: str, src: str, xs: list[str]) -> None:
+    """Least squares of y on 1 + xs per key ``g`` by successive orthogonalisation.
+
+    ``src`` has columns g, o (row order), y and xs. Yields ``{tag}_b`` (one row
+    per g with b0, b_<x>, n, r2) and ``{tag}_w`` (rows with the residual u and
+    the weights w0, w_<x> that turn y into each coefficient).
+    """
+    k = len(xs)
+    centred = ", ".join(f"{x} - avg({x}) OVER (PARTITION BY g) AS {x}" for x in ["y", *xs])
+    CTE[f"{tag}_s0"] = f"SELECT g, o, {centred} FROM {src}"
+    for j in range(k):
+        a = xs[j]
+        later = xs[j + 1 :]
+        slopes = ", ".join(f"sum({a} * {m}) / nullif(sum({a} * {a}), 0) AS r_{m}" for m in [*later, "y"])
+        CTE[f"{tag}_r{j}"] = f"SELECT g, sum({a} * {a}) AS d, {slopes} FROM {tag}_s{j} GROUP BY g"
+        moved = ", ".join(f"{m} - coalesce(r_{m}, 0) * {a} AS {m}" for m in [*later, "y"])
+        kept = ", ".join(xs[: j + 1])
+        CTE[f"{tag}_s{j + 1}"] = f"SELECT g, o, {kept}, {moved} FROM {tag}_s{j} JOIN {tag}_r{j} USING (g)"
+    # Back substitution from the last regressor, for coefficients and for row weights.
+    b = f"SELECT g, count(*) AS n, avg(y) AS my, {', '.join(f'avg({x}) AS m_{x}' for x in xs)}, var_pop(y) * count(*) AS syy FROM {src} GROUP BY g"
+    w = f"SELECT g, o, y AS u, {', '.join(xs)} FROM {tag}_s{k}"
+    for j in reversed(range(k)):
+        a, later = xs[j], xs[j + 1 :]
+        minus_b = "".join(f" - coalesce(r.r_{m}, 0) * b_{m}" for m in later)
+        minus_w = "".join(f" - coalesce(r.r_{m}, 0) * w_{m}" for m in later)
+        b = f"SELECT t.*, coalesce(r.r_y, 0){minus_b} AS b_{a} FROM ({b}) t JOIN {tag}_r{j} r USING (g)"
+        w = f"SELECT t.*, coalesce(t.{a} / nullif(r.d, 0), 0){minus_w} AS w_{a} FROM ({w}) t JOIN {tag}_r{j} r USING (g)"
+    b0 = " ".join(f"- m_{x} * b_{x}" for x in xs)
+    CTE[f"{tag}_b"] = (
+        f"SELECT t.*, my {b0} AS b0, 1 - e.ee / nullif(syy, 0) AS r2 FROM ({b}) t "
+        f"JOIN (SELECT g, sum(y * y) AS ee FROM {tag}_s{k} GROUP BY g) e USING (g)"
+    )
+    w0 = " ".join(f"- m_{x} * w_{x}" for x in xs)
+    CTE[f"{tag}_w"] = f"SELECT t.*, 1.0 / n {w0} AS w0 FROM ({w}) t JOIN {tag}_b USING (g)"
+
+
+def hac_chain(tag: str, xs: list[str]) -> None:
+    """``{tag}_p``: coefficients with their normal p-values under a Bartlett window of three lags."""
+    names = ["0", *[f"_{x}" for x in xs]]
+    terms = []
+    for v in names:
+        e = f"w{v} * u"
+        lags = "".join(
+            f" + {2 * (1 - lag / 4)} * ({e}) * coalesce(lag({e}, {lag}) OVER ww, 0)" for lag in (1, 2, 3)
+        )
+        terms.append(f"({e}) * ({e}){lags} AS v{v}")
+    CTE[f"{tag}_v"] = f"SELECT g, {', '.join(terms)} FROM {tag}_w WINDOW ww AS (PARTITION BY g ORDER BY o)"
+    sums = ", ".join(f"sum(v{v}) AS v{v}" for v in names)
+    ps = ", ".join(
+        f"CASE WHEN z{v} IS NULL OR z{v} = 0 THEN NULL ELSE {normal_p(f'z{v}')} END AS p{v}" for v in names
+    )
+    zs = ", ".join(f"b{v} / nullif(sqrt(greatest(v{v}, 0)), 0) AS z{v}" for v in names)
+    CTE[f"{tag}_p"] = (
+        f"SELECT *, {ps} FROM (SELECT b.*, {zs} FROM {tag}_b b JOIN (SELECT g, {sums} FROM {tag}_v GROUP BY g) s USING (g))"
+    )
+
+
+def selection_chain(tag: str, src: str, xs: list[str]) -> None:
+    """Fit, keep regressors with p <= 0.05, refit. Dropped columns become zero."""
+    regression_chain(f"{tag}a", src, xs)
+    hac_chain(f"{tag}a", xs)
+    kept = ", ".join(f"CASE WHEN p_{x} <= {CFG.trend_alpha} THEN s.{x} ELSE 0 END AS {x}" for x in xs)
+    CTE[f"{tag}_kept"] = f"SELECT s.g, s.o, s.y, {kept} FROM {src} s JOIN {tag}a_p USING (g)"
+    regression_chain(f"{tag}b", f"{tag}_kept", xs)
+    hac_chain(f"{tag}b", xs)
+
+
+_DEV = [f"ma_dev_{n}" for n in W]
+_RAT = [f"ma_ratio_{n}" for n in W]
+_FULL_DEV = " AND ".join(f"{c} IS NOT NULL" for c in _DEV)
+CTE["hist_rows"] = f"""
+SELECT m.month AS o, m.next_ret AS y, {', '.join(_DEV)} FROM index_months m JOIN idx_ma USING (month)
+WHERE m.next_ret IS NOT NULL AND {_FULL_DEV}"""
+CTE["full_rows"] = f"""
+SELECT 'index' AS g, * FROM hist_rows WHERE (SELECT count(*) FROM hist_rows) >= {CFG.trend_min_obs}"""
+CTE["exp_rows"] = f"""
+SELECT * FROM (SELECT s.month AS g, h.*, count(*) OVER (PARTITION BY s.month) AS k FROM index_months s
+               JOIN hist_rows h ON h.o < s.month) WHERE k >= {CFG.trend_min_obs}"""
+selection_chain("ft", "full_rows", _DEV)
+selection_chain("et", "exp_rows", _DEV)
+CTE["trend_fit"] = (
+    "SELECT ticker, s.month, f.b0"
+    + "".join(f" + f.b_{c} * s.{c}" for c in _DEV)
+    + " AS trend_raw, e.b0"
+    + "".join(f" + e.b_{c} * s.{c}" for c in _DEV)
+    + " AS trend_expanding_raw FROM ma_sig s LEFT JOIN ftb_b f ON f.g = 'index' LEFT JOIN etb_b e ON e.g = s.month"
+)
+panel_chain("_fit", "trend_fit", "hzz_m")
+CTE["hzz_rows"] = f"""
+SELECT * FROM (SELECT month AS g, ticker AS o, next_ret_cc AS y, {', '.join(_RAT)}, count(*) OVER (PARTITION BY month) AS k
+               FROM stock_months JOIN ma_ratios USING (ticker, month) WHERE eligible_price AND next_ret_cc IS NOT NULL AND
+               {' AND '.join(f'{c} IS NOT NULL' for c in _RAT)}) WHERE k >= {CFG.min_names_multivariate}"""
+regression_chain("hz", "hzz_rows", _RAT)
+CTE["hzz_smooth"] = (
+    "SELECT month, CASE WHEN c = 12 THEN a0 END AS b0, "
+    + ", ".join(f"CASE WHEN c = 12 THEN a_{x} END AS b_{x}" for x in _RAT)
+    + " FROM (SELECT g AS month, count(*) OVER w AS c, avg(b0) OVER w AS a0, "
+    + ", ".join(f"avg(b_{x}) OVER w AS a_{x}" for x in _RAT)
+    + " FROM hz_b WINDOW w AS (ORDER BY g ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"
+)
+CTE["hzz_fit"] = (
+    "SELECT r.ticker, r.month, b0" + "".join(f" + b_{x} * r.{x}" for x in _RAT)
+    + " AS trend_hzz_raw FROM ma_ratios r LEFT JOIN hzz_smooth USING (month)"
+)
+panel_chain("_hzz", "trend_m", "hzz_fit")
+
 _ORDER = list(CTE)
 
 
@@ -673,6 +787,11 @@ def _needs(body: str) -> set[str]:
     return {r for r in [*refs, *commas] if r in CTE}
 
 
+def _hint(name: str) -> str:
+    """Recursive expressions cannot be materialised explicitly; chains of the fits should be."""
+    return "MATERIALIZED " if re.match(r"(ft|et|hz)[ab]?_", name) else ""
+
+
 def oracle(query: str) -> str:
     """The query with every expression it depends on, in dependency order."""
     todo, seen = list(_needs(query)), set()
@@ -682,5 +801,5 @@ def oracle(query: str) -> str:
             continue
         seen.add(name)
         todo.extend(_needs(CTE[name]) - seen)
-    parts = [f"{n} AS ({CTE[n].strip()})" for n in _ORDER if n in seen]
+    parts = [f"{n} AS {_hint(n)}({CTE[n].strip()})" for n in _ORDER if n in seen]
     return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + query.strip()
