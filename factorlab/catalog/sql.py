@@ -638,20 +638,27 @@ SELECT rep, t, ((s + t - t0) % n)::INT AS idx FROM (
 CTE["sb_means"] = """
 SELECT d.rep, e.strategy, avg(e.excess) AS boot_mean FROM sb_draws d JOIN (
   SELECT *, dense_rank() OVER (ORDER BY month) - 1 AS idx FROM excess) e USING (idx) GROUP BY d.rep, e.strategy"""
+CTE["sb_demeaned"] = """
+SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY month) AS t, count(*) OVER (PARTITION BY strategy) AS n,
+       excess - avg(excess) OVER (PARTITION BY strategy) AS d FROM excess"""
+_Q = f"(1.0::DOUBLE - 1.0::DOUBLE / {CFG.block_size})"
+CTE["sb_var"] = f"""
+SELECT a.strategy, sum(a.d * b.d * CASE WHEN a.t = b.t THEN 1 ELSE 2 * ((1 - (b.t - a.t) / a.n) * pow({_Q}, b.t - a.t)
+       + (b.t - a.t) / a.n * pow({_Q}, a.n - (b.t - a.t))) END) / max(a.n) AS v
+FROM sb_demeaned a JOIN sb_demeaned b ON a.strategy = b.strategy AND b.t >= a.t GROUP BY a.strategy"""
 CTE["sb_stats"] = """
-SELECT strategy, mean, n, se, mean / nullif(se, 0) AS t_stat FROM
-  (SELECT strategy, avg(excess) AS mean, count(*) AS n FROM excess GROUP BY strategy)
-  JOIN (SELECT strategy, stddev_pop(boot_mean) AS se FROM sb_means GROUP BY strategy) USING (strategy)"""
+SELECT strategy, mean, n, sqrt(v / n) AS se, mean / nullif(sqrt(v / n), 0) AS t_stat FROM
+  (SELECT strategy, avg(excess) AS mean, count(*) AS n FROM excess GROUP BY strategy) JOIN sb_var USING (strategy)"""
+CTE["sb_z"] = """
+SELECT rep, strategy, t_stat, mean, n, (boot_mean - greatest(mean, 0)) / se AS zl,
+       (boot_mean - CASE WHEN t_stat >= -sqrt(2 * ln(ln(n))) THEN mean ELSE 0 END) / se AS zc, (boot_mean - mean) / se AS zu
+FROM sb_means JOIN sb_stats USING (strategy)"""
 CTE["spa_reps"] = """
-SELECT rep, greatest(max(t_stat), 0) AS stat, max(n) AS n, count(*) AS k,
-       greatest(max((boot_mean - greatest(mean, 0)) / se), 0) AS zl,
-       greatest(max((boot_mean - CASE WHEN t_stat >= -sqrt(2 * ln(ln(n))) THEN mean ELSE 0 END) / se), 0) AS zc,
-       greatest(max((boot_mean - mean) / se), 0) AS zu
-FROM sb_means JOIN sb_stats USING (strategy) GROUP BY rep"""
+SELECT rep, max(t_stat) AS stat, max(n) AS n, count(*) AS k, max(zl) AS zl, max(zc) AS zc, max(zu) AS zu FROM sb_z GROUP BY rep"""
 CTE["stepm_crit"] = """
 SELECT strategy, max(t_stat) AS t_stat, max(mean) AS mean_excess, quantile_cont(mx, 0.95) AS critical_value FROM (
-  SELECT rep, strategy, t_stat, mean, max((boot_mean - mean) / se) OVER (PARTITION BY rep ORDER BY t_stat, strategy DESC
-         ROWS UNBOUNDED PRECEDING) AS mx FROM sb_means JOIN sb_stats USING (strategy)) GROUP BY strategy"""
+  SELECT rep, strategy, t_stat, mean, max(zc) OVER (PARTITION BY rep ORDER BY t_stat, strategy DESC
+         ROWS UNBOUNDED PRECEDING) AS mx FROM sb_z) GROUP BY strategy"""
 CTE["stepm"] = """
 SELECT *, bool_and(t_stat > critical_value) OVER (ORDER BY t_stat DESC, strategy ROWS UNBOUNDED PRECEDING) AS superior
 FROM stepm_crit"""

@@ -787,6 +787,12 @@ def _excess(lb: Lab):
 
 
 add("excess_matrix", "strategy month excess:7", _excess, "SELECT * FROM excess")
+add(
+    "stationary_variance",
+    "strategy mean:8 n:i se:8",
+    lambda lb: resample.stationary_variance(_excess(lb), CFG.block_size),
+    "SELECT * FROM sb_stats",
+)
 add(
     "excess_bootstrap_ci",
     "strategy ann_excess:6 ci_lo:6 ci_hi:6",
@@ -809,8 +815,8 @@ add(
     "hansen_spa",
     "n_models:i n_periods:i bootstrap_reps:i p_value_lower:6 p_value_consistent:6 p_value_upper:6",
     lambda lb: resample.hansen_spa(_excess(lb), CFG.bootstrap_reps, CFG.block_size, CFG.seed + 3),
-    "SELECT max(k) AS n_models, max(n) AS n_periods, count(*) AS bootstrap_reps, avg((zl >= stat)::INT) AS p_value_lower, "
-    "avg((zc >= stat)::INT) AS p_value_consistent, avg((zu >= stat)::INT) AS p_value_upper FROM spa_reps",
+    "SELECT max(k) AS n_models, max(n) AS n_periods, count(*) AS bootstrap_reps, avg((zl > stat)::INT) AS p_value_lower, "
+    "avg((zc > stat)::INT) AS p_value_consistent, avg((zu > stat)::INT) AS p_value_upper FROM spa_reps",
 )
 
 

@@ -203,8 +203,38 @@ def stationary_bootstrap_indices(spark: SparkSession, length: DataFrame, reps: i
     )
 
 
-def bootstrap_means(excess: DataFrame, reps: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Sample means per strategy and resampled means per (rep, strategy).
+def stationary_variance(excess: DataFrame, block: int) -> DataFrame:
+    """Mean and standard error of the mean per strategy under the stationary bootstrap.
+
+    The resampling variance has a closed form (Politis and Romano 1994): all
+    autocovariances weighted by how often a block keeps both months. A strategy
+    is one array of at most one value per calendar month.
+    """
+    keep = 1.0 - 1.0 / block
+    rows = excess.groupBy("strategy").agg(
+        F.avg("excess").alias("mean"),
+        F.count("*").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("month", "excess"))), lambda s: s["excess"]).alias("_x"),
+    )
+    d = F.transform("_x", lambda v: v - F.col("mean"))
+    n = F.col("n").cast("double")
+
+    def autocov(lag: Column) -> Column:
+        size = F.size("_d") - lag
+        products = F.zip_with(F.slice("_d", 1, size), F.slice("_d", lag + 1, size), lambda a, b: a * b)
+        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+
+    def weighted(acc: Column, lag: Column) -> Column:
+        kappa = (1 - lag / n) * F.pow(F.lit(keep), lag) + lag / n * F.pow(F.lit(keep), n - lag)
+        return acc + 2 * kappa * autocov(lag)
+
+    lags = F.sequence(F.lit(1), F.col("n").cast("int") - 1)
+    variance = F.aggregate(lags, autocov(F.lit(0)), weighted) / n
+    return rows.withColumn("_d", d).select("strategy", "mean", "n", F.sqrt(variance / n).alias("se"))
+
+
+def bootstrap_means(excess: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """Resampled mean per (rep, strategy).
 
     The matrix is carried as one array per month, so each drawn index fetches a
     whole row and the resample stays at reps x months rows.
@@ -218,50 +248,55 @@ def bootstrap_means(excess: DataFrame, reps: int, block: int, seed: int) -> tupl
     draws = stationary_bootstrap_indices(spark, length, reps, block, seed)
     # One row per calendar month on the broadcast side.
     cells = draws.join(F.broadcast(numbered.select("idx", "_row")), "idx").select("rep", F.inline("_row"))
-    boot = cells.groupBy("rep", "strategy").agg(F.avg("excess").alias("boot_mean"))
-    stats = excess.groupBy("strategy").agg(F.avg("excess").alias("mean"), F.count("*").alias("n"))
-    return stats, boot
+    return cells.groupBy("rep", "strategy").agg(F.avg("excess").alias("boot_mean"))
 
 
-def studentised(stats: DataFrame, boot: DataFrame) -> DataFrame:
-    """Per (rep, strategy): resampled mean beside the sample mean and its bootstrap error."""
-    omega = boot.groupBy("strategy").agg(F.stddev_pop("boot_mean").alias("se"))
-    # One row per strategy.
-    summary = stats.join(omega, "strategy").withColumn("t_stat", ratio("mean", "se"))
-    return boot.join(F.broadcast(summary), "strategy")
+# Centre of the null distribution, by how strictly poor models are excluded.
+RECENTRE = ("lower", "consistent", "upper")
 
 
-def hansen_spa(excess: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
-    """Superior predictive ability: p-values under three recentrings of the null."""
-    stats, boot = bootstrap_means(excess, reps, block, seed)
-    rows = studentised(stats, boot)
+def studentised(excess: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """Per (rep, strategy): the sample statistic and the recentred resampled statistics."""
+    stats = stationary_variance(excess, block).withColumn("t_stat", ratio("mean", "se"))
+    boot = bootstrap_means(excess, reps, block, seed)
+    # One row per strategy.
+    rows = boot.join(F.broadcast(stats), "strategy")
     bound = -F.sqrt(2 * F.log(F.log(F.col("n"))))
     centre = {
         "lower": F.greatest(F.col("mean"), F.lit(0.0)),
         "consistent": F.when(F.col("t_stat") >= bound, F.col("mean")).otherwise(F.lit(0.0)),
         "upper": F.col("mean"),
     }
-    per_rep = rows.groupBy("rep").agg(
-        F.greatest(F.max("t_stat"), F.lit(0.0)).alias("stat"),
-        F.max("n").alias("n_periods"),
-        F.count("*").alias("n_models"),
-        *[
-            F.greatest(F.max(ratio(F.col("boot_mean") - c, F.col("se"))), F.lit(0.0)).alias(f"_z_{k}")
-            for k, c in centre.items()
-        ],
+    return rows.withColumns({f"z_{k}": ratio(F.col("boot_mean") - c, F.col("se")) for k, c in centre.items()})
+
+
+def hansen_spa(excess: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """Superior predictive ability: p-values under three recentrings of the null.
+
+    The p-value is the share of resamples whose best model exceeds the best
+    observed statistic.
+    """
+    per_rep = (
+        studentised(excess, reps, block, seed)
+        .groupBy("rep")
+        .agg(
+            F.max("t_stat").alias("stat"),
+            F.max("n").alias("n_periods"),
+            F.count("*").alias("n_models"),
+            *[F.max(f"z_{k}").alias(f"z_{k}") for k in RECENTRE],
+        )
     )
     return per_rep.agg(
         F.max("n_models").alias("n_models"),
         F.max("n_periods").alias("n_periods"),
         F.count("*").alias("bootstrap_reps"),
-        *[
-            F.avg(F.when(F.col(f"_z_{k}") >= F.col("stat"), 1.0).otherwise(0.0)).alias(f"p_value_{k}")
-            for k in centre
-        ],
+        *[F.avg(F.when(F.col(f"z_{k}") > F.col("stat"), 1.0).otherwise(0.0)).alias(f"p_value_{k}") for k in RECENTRE],
     )
 
 
-def romano_wolf_stepm(excess: DataFrame, reps: int, block: int, seed: int, size: float = 0.05) -> DataFrame:
+def romano_wolf_stepm(
+    excess: DataFrame, reps: int, block: int, seed: int, size: float = 0.05, recentre: str = "consistent"
+) -> DataFrame:
     """Step-down set of superior strategies.
 
     With models sorted by statistic, the set still in play at any step is a
@@ -269,10 +304,9 @@ def romano_wolf_stepm(excess: DataFrame, reps: int, block: int, seed: int, size:
     maximum from the weakest model up, and a model is superior when it and every
     stronger one exceed theirs: one window pass replaces the iteration.
     """
-    stats, boot = bootstrap_means(excess, reps, block, seed)
-    rows = studentised(stats, boot).withColumn("_z", ratio(F.col("boot_mean") - F.col("mean"), F.col("se")))
+    rows = studentised(excess, reps, block, seed)
     weakest_up = Window.partitionBy("rep").orderBy("t_stat", F.desc("strategy"))
-    running = F.max("_z").over(weakest_up.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.max(f"z_{recentre}").over(weakest_up.rowsBetween(Window.unboundedPreceding, 0))
     crit = (
         rows.withColumn("_max", running)
         .groupBy("strategy")
@@ -282,7 +316,7 @@ def romano_wolf_stepm(excess: DataFrame, reps: int, block: int, seed: int, size:
             F.percentile("_max", F.lit(1 - size)).alias("critical_value"),
         )
     )
+    # One row per strategy.
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("t_stat"), "strategy").rowsBetween(Window.unboundedPreceding, 0)
     beats = F.coalesce(F.col("t_stat") > F.col("critical_value"), F.lit(False))
     return crit.withColumn("superior", F.min(beats).over(down))
-

@@ -169,14 +169,26 @@ def test_spa_and_stepm_size_and_power(spark):
     assert sup.pop("good") and not any(sup.values())
 
 
+def test_stationary_variance_predicts_the_bootstrap(spark):
+    rng = np.random.default_rng(13)
+    x = np.convolve(rng.normal(0, 0.03, 123), np.ones(4) / 2, mode="valid")  # autocorrelated
+    ex = returns_frame(spark, {"a": x.tolist()}).withColumnRenamed("portfolio_return", "excess")
+    boot = resample.bootstrap_means(ex, 3000, 6, 5).toPandas()["boot_mean"]
+    r = resample.stationary_variance(ex, 6).collect()[0]
+    assert abs(r["se"] / boot.std() - 1) < 0.06
+    d, n, q = x - x.mean(), len(x), 5 / 6
+    v = (d @ d) / n
+    for i in range(1, n):
+        v += 2 * ((1 - i / n) * q**i + i / n * q ** (n - i)) * (d[:-i] @ d[i:]) / n
+    assert math.isclose(r["se"], math.sqrt(v / n), rel_tol=1e-9)
+
+
 def test_stepm_equals_iterated_step_down(spark):
     rng = np.random.default_rng(12)
     data = {f"s{i}": rng.normal(0.004 * i, 0.03, 120) for i in range(6)}
     bench = spark.createDataFrame([(m, 0.0) for m in month_ends(120)], "month date, benchmark_return double")
     ex = resample.excess_matrix(returns_frame(spark, data), bench)
-    stats, boot = resample.bootstrap_means(ex, 200, 6, 3)
-    rows = resample.studentised(stats, boot).toPandas()
-    rows["z"] = (rows["boot_mean"] - rows["mean"]) / rows["se"]
+    rows = resample.studentised(ex, 200, 6, 3).toPandas().rename(columns={"z_consistent": "z"})
     z, t = rows.pivot(index="rep", columns="strategy", values="z"), rows.groupby("strategy")["t_stat"].first()
     left, rejected = set(t.index), set()
     while left:
