@@ -320,7 +320,7 @@ add(
 
 def _mtm(lb: Lab):
     cal = lb.index_tables[0].select("date")
-    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.prices, cal), cal, CFG)
+    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.prices, cal), cal, ["improved_4", "improved_6"], CFG)
 
 
 add(
@@ -742,7 +742,7 @@ def _mc(lb: Lab):
     universe = lb.ws.materialise(resample.indexed_universe(lb.panel, lb.ws, CFG.max_group_rows), "universe")
     curves = resample.monte_carlo(universe, lb.months, _MC_SPEC, CFG, CFG.mc_sims)
     return resample.monte_carlo_test(
-        resample.monte_carlo_metrics(curves, CFG),
+        resample.monte_carlo_metrics(curves, _MC_SPEC, CFG),
         perf.strategy_metrics_table(lb.curves.filter("strategy = 'improved_4'"), CFG, p_value=False),
     )
 
@@ -805,7 +805,6 @@ add(
     "stationary_bootstrap_indices",
     "rep:i t:i idx:i",
     lambda lb: resample.stationary_bootstrap_indices(
-        lb.spark,
         _excess(lb).agg(F.countDistinct("month").alias("n")),
         CFG.bootstrap_reps, CFG.block_size, CFG.seed + 3,
     ),

@@ -141,12 +141,32 @@ def fold_equity(monthly: DataFrame, keys: list[str], cfg: EngineConfig) -> DataF
     return steps.select(*keys, F.inline(F.aggregate("_steps", start, step, lambda acc: acc["path"])))
 
 
-def vector_backtest(picks: DataFrame, runs: DataFrame, months: DataFrame, costs: DataFrame, cfg: EngineConfig):
-    """Curves and holdings of every run in one job.
+def run_array(specs: list[StrategySpec], scenarios: list[str]) -> Column:
+    """The runs as an array literal, to be exploded per month."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(s.name).alias("strategy"),
+                F.lit(sc).alias("scenario"),
+                F.lit(s.top_n).alias("top_n"),
+                F.lit(s.sizing_method).alias("sizing_method"),
+                F.lit(s.sizing_target_pct).alias("sizing_target_pct"),
+            )
+            for s in specs
+            for sc in scenarios
+        ]
+    )
+
+
+def vector_backtest(
+    picks: DataFrame, specs: list[StrategySpec], scenarios: list[str], months: DataFrame, costs: DataFrame, cfg: EngineConfig
+):
+    """Curves and picks of every run (spec x cost scenario) in one job.
 
     ``months`` is the panel's (month, regime_on) spine: months without picks stay
     in the curve with a zero return.
     """
+    runs = spec_runs(picks.sparkSession, specs, scenarios)
     real = realised_picks(picks, runs, costs).withColumnRenamed("regime_filter", "_gate")
     real = real.join(F.broadcast(months), "month").filter(~F.col("_gate") | F.col("regime_on"))
     arrays = real.groupBy("strategy", "scenario", "month").agg(
@@ -154,12 +174,7 @@ def vector_backtest(picks: DataFrame, runs: DataFrame, months: DataFrame, costs:
             F.array_sort(F.collect_list(F.struct("rank", "realized_stock_return"))), lambda s: s["realized_stock_return"]
         ).alias("returns")
     )
-    # Spine: every run over every month, built by exploding the literal run list per month.
-    run_cols = ["strategy", "scenario", "top_n", "sizing_method", "sizing_target_pct"]
-    run_array = runs.agg(F.collect_list(F.struct(*run_cols)).alias("_runs")).withColumn("_k", F.lit(1))
-    spine = (
-        months.withColumn("_k", F.lit(1)).join(F.broadcast(run_array), "_k").select("month", "regime_on", F.inline("_runs"))
-    )
+    spine = months.select("month", F.inline(run_array(specs, scenarios)))
     monthly = spine.join(arrays, ["strategy", "scenario", "month"], "left").withColumn(
         "returns", F.coalesce("returns", F.array().cast("array<double>"))
     )

@@ -211,20 +211,20 @@ def coefficients_wide(terms: DataFrame, xs: list[str]) -> DataFrame:
 def with_trends(signals: DataFrame, coefs: dict[str, DataFrame], xs: list[str]) -> DataFrame:
     """Add intercept + sum b * deviation for several coefficient tables in one pass.
 
-    ``coefs`` maps an output column to a table of one row, or one row per month;
-    either way it is small by construction and broadcast.
+    ``coefs`` maps an output column to a table of one row, which becomes literals,
+    or of one row per month, which is broadcast.
     """
     out = signals
     values = {}
     for i, (name, table) in enumerate(coefs.items()):
-        on = "month" if "month" in table.columns else "_one"
-        key = F.col("month") if on == "month" else F.lit(1).alias("_one")
-        packed = table.select(key, F.struct("intercept", *xs).alias(f"_b{i}"))
-        if on == "_one" and "_one" not in out.columns:
-            out = out.withColumn("_one", F.lit(1))
-        out = out.join(F.broadcast(packed), on, "left")
-        terms = [(F.col(f"_b{i}.{c}"), F.col(c)) for c in xs]
-        values[name] = finite(linear_prediction(F.col(f"_b{i}.intercept"), terms))
+        if "month" in table.columns:
+            packed = table.select("month", F.struct("intercept", *xs).alias(f"_b{i}"))
+            out = out.join(F.broadcast(packed), "month", "left")
+            intercept, betas = F.col(f"_b{i}.intercept"), {c: F.col(f"_b{i}.{c}") for c in xs}
+        else:
+            row = table.select("intercept", *xs).first()
+            intercept, betas = F.lit(row["intercept"]), {c: F.lit(row[c]) for c in xs}
+        values[name] = finite(linear_prediction(intercept, [(betas[c], F.col(c)) for c in xs]))
     return out.select(*signals.columns, *[v.alias(n) for n, v in values.items()])
 
 

@@ -4,7 +4,7 @@ period, position), so a simulation is a set of rows that any task can produce.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.config import EngineConfig, StrategySpec
@@ -15,10 +15,6 @@ from factorlab.operators.portfolio import fold_equity, stop_take_return
 from factorlab.sources.workspace import Workspace
 
 
-def simulations(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("sim"))
-
-
 def random_subset(n_draws: Column, universe: Column, *identity: Column | int) -> Column:
     """Ordered draws without replacement from 1..universe as an array.
 
@@ -53,16 +49,14 @@ def monte_carlo(
     fetch only those rows, so work is sims x months x top_n rather than
     sims x universe.
     """
-    spark = months.sparkSession
     sizes = universe.groupBy("month").agg(F.count("*").alias("_n"))
     gate = F.coalesce(F.col("regime_on"), F.lit(True)) if spec.regime_filter else F.lit(True)
     spine = months.join(F.broadcast(sizes), "month", "left").withColumn(
         "_n", F.when(gate, F.coalesce("_n", F.lit(0))).otherwise(0)
     )
-    # Simulations spread over the cluster; each carries its months (a calendar-sized array).
-    packed = spine.groupBy().agg(F.collect_list(F.struct("month", "_n")).alias("_m")).withColumn("_k", F.lit(1))
-    sims = simulations(spark, n_sims).withColumn("_k", F.lit(1))
-    grid = sims.join(F.broadcast(packed), "_k").select("sim", F.inline("_m"))
+    # Spread simulations over the cluster before any draw is made.
+    every = F.sequence(F.lit(0), F.lit(n_sims - 1))
+    grid = spine.select("month", "_n", F.explode(every).alias("sim")).repartition("sim")
     want = F.least(F.lit(spec.top_n), F.col("_n"))
     draws = grid.select(
         "sim",
@@ -88,15 +82,15 @@ def monte_carlo(
     return fold_equity(monthly, ["sim"], cfg)
 
 
-def monte_carlo_metrics(sim_curves: DataFrame, cfg: EngineConfig) -> DataFrame:
+def monte_carlo_metrics(sim_curves: DataFrame, spec: StrategySpec, cfg: EngineConfig) -> DataFrame:
     m = perf.eval_metrics(sim_curves, ["sim"], cfg.evaluation_start, cfg.initial_cash, p_value=False)
-    return m.select("sim", "annualized_sharpe", "final_equity")
+    return m.select(F.lit(spec.name).alias("strategy"), "sim", "annualized_sharpe", "final_equity")
 
 
 def monte_carlo_test(sim_metrics: DataFrame, strategy_metrics: DataFrame) -> DataFrame:
     """Attach the strategy's Sharpe and the share of simulations that reach it."""
     s = strategy_metrics.select("strategy", F.col("annualized_sharpe").alias("strategy_sharpe"))
-    joined = sim_metrics.withColumn("_k", F.lit(1)).join(F.broadcast(s.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    joined = sim_metrics.join(F.broadcast(s), "strategy")  # one row per strategy
     hit = F.coalesce(F.col("annualized_sharpe") >= F.col("strategy_sharpe"), F.lit(False))
     p = joined.groupBy("strategy").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("p_value"))
     return joined.join(F.broadcast(p), "strategy")
@@ -184,16 +178,14 @@ def excess_matrix(curves: DataFrame, bench: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keep.select("month")), "month", "left_semi")
 
 
-def stationary_bootstrap_indices(spark: SparkSession, length: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+def stationary_bootstrap_indices(length: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
     """(rep, t, idx): circular blocks of geometric length with mean ``block``.
 
     ``length`` is a one-row table (n). A new block starts where the hashed
     uniform falls below 1/block; its start is carried forward by a window.
     """
-    reps_df = spark.range(reps).select(F.col("id").cast("int").alias("rep"), F.lit(1).alias("_k"))
-    grid = reps_df.join(F.broadcast(length.withColumn("_k", F.lit(1))), "_k").select(
-        "rep", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t")
-    )
+    every = length.select("n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("rep")
+    grid = every.select("rep", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
     restart = (F.col("t") == 0) | (hash_int(seed, "restart", F.col("rep"), F.col("t")) / float(2**48) < 1.0 / block)
     start = hash_int(seed, "start", F.col("rep"), F.col("t")) % F.col("n")
     w = Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
@@ -239,13 +231,12 @@ def bootstrap_means(excess: DataFrame, reps: int, block: int, seed: int) -> Data
     The matrix is carried as one array per month, so each drawn index fetches a
     whole row and the resample stays at reps x months rows.
     """
-    spark = excess.sparkSession
     ordered = excess.groupBy("month").agg(
         F.array_sort(F.collect_list(F.struct("strategy", "excess"))).alias("_row")
     )
     numbered = ordered.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month")) - 1)
     length = ordered.agg(F.count("*").alias("n"))
-    draws = stationary_bootstrap_indices(spark, length, reps, block, seed)
+    draws = stationary_bootstrap_indices(length, reps, block, seed)
     # One row per calendar month on the broadcast side.
     cells = draws.join(F.broadcast(numbered.select("idx", "_row")), "idx").select("rep", F.inline("_row"))
     return cells.groupBy("rep", "strategy").agg(F.avg("excess").alias("boot_mean"))

@@ -180,12 +180,14 @@ def median_diagnostics(betas: DataFrame, smoothed: DataFrame) -> DataFrame:
         F.count("*").alias("n_beta_months"),
         F.percentile("n_obs", F.lit(0.5)).alias("median_cross_section_size"),
         F.percentile("r_squared", F.lit(0.5)).alias("median_r_squared"),
-    ).withColumn("_k", F.lit(1))
+    )
     usable = F.col("intercept").isNotNull()
     s = smoothed.agg(
         F.count_if(usable).alias("n_smoothed_months_usable"), F.min(F.when(usable, F.col("month"))).alias("first_usable_month")
-    ).withColumn("_k", F.lit(1))
-    return b.join(s, "_k").drop("_k")
+    )
+    # Two one-row tables side by side: stack them and keep each column's only value.
+    both = b.unionByName(s, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def coverage_by_month(panel: DataFrame, signal: str) -> DataFrame:

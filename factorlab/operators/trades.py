@@ -172,8 +172,10 @@ def daily_positions(exits: DataFrame, prices: DataFrame, calendar: DataFrame) ->
     )
 
 
-def mark_to_market(exits: DataFrame, positions: DataFrame, calendar: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Daily cash and account value per strategy."""
+def mark_to_market(
+    exits: DataFrame, positions: DataFrame, calendar: DataFrame, strategies: list[str], cfg: EngineConfig
+) -> DataFrame:
+    """Daily cash and account value of the named strategies."""
     flows = exits.select(
         "strategy",
         F.inline(
@@ -185,11 +187,8 @@ def mark_to_market(exits: DataFrame, positions: DataFrame, calendar: DataFrame,
     )
     flow = flows.groupBy("strategy", "date").agg(F.sum("flow").alias("flow"))
     value = positions.groupBy("strategy", "date").agg(F.sum("market_value").alias("market_value"))
-    # Strategy by calendar: both sides are literal- and calendar-sized.
-    names = exits.select("strategy").distinct().groupBy().agg(F.collect_list("strategy").alias("_s")).withColumn("_k", F.lit(1))
-    spine = (
-        calendar.select("date", F.lit(1).alias("_k")).join(F.broadcast(names), "_k").select("date", F.explode("_s").alias("strategy"))
-    )
+    names = F.array(*[F.lit(s) for s in strategies])
+    spine = calendar.select("date", F.explode(names).alias("strategy"))
     w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     out = spine.join(flow, ["strategy", "date"], "left").join(value, ["strategy", "date"], "left")
     cash = F.lit(cfg.initial_cash) + F.sum(F.coalesce("flow", F.lit(0.0))).over(w)

@@ -6,7 +6,7 @@ aggregates whose results are month-keyed, hence small enough to broadcast back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.functions.nulls import finite, ratio
@@ -167,15 +167,15 @@ def selected_date_snapshot(df: DataFrame, target, column: str = "month") -> Data
 
 def common_start_filter(df: DataFrame, key: str = "factor") -> DataFrame:
     """Rows from the first month at which every key has started."""
-    start = df.groupBy(key).agg(F.min("month").alias("_s")).agg(F.max("_s").alias("common_start"))
-    # A single-row table.
-    return df.join(F.broadcast(start), F.col("month") >= F.col("common_start"))
+    starts = df.groupBy(key).agg(F.min("month").alias("_s"))
+    # One row per factor.
+    latest = F.max("_s").over(Window.partitionBy(F.lit(0)))
+    starts = starts.select(key, latest.alias("common_start"))
+    return df.join(F.broadcast(starts), key).filter(F.col("month") >= F.col("common_start"))
 
 
 def top_weights(weights: DataFrame, k: int = 20) -> DataFrame:
     """Largest k weights per factor at the latest month."""
-    from pyspark.sql import Window
-
     newest = weights.agg(F.max("month").alias("month"))
     w = Window.partitionBy("factor").orderBy(F.desc("weight"), "ticker")
     return (

@@ -46,9 +46,9 @@ def run_specs(
     scored = scoring.scores_by_variant(panel, specs, weights)
     picks = portfolio.topn_by_score(scored, ["variant", "month"], max(s.top_n for s in specs))
     picks = ws.materialise(picks, "picks")
-    runs = portfolio.spec_runs(spark, specs, scenarios)
-    costs = portfolio.monthly_costs(months, portfolio.cost_schedule(spark), scenarios or ["zero"])
-    return portfolio.vector_backtest(picks, runs, months, costs, cfg)
+    scenarios = scenarios or ["zero"]
+    costs = portfolio.monthly_costs(months, portfolio.cost_schedule(spark), scenarios)
+    return portfolio.vector_backtest(picks, specs, scenarios, months, costs, cfg)
 
 
 def run_ladder(panel: DataFrame, specs: list[StrategySpec], cfg: EngineConfig, ws: Workspace, ic_tables=None):
