@@ -18,6 +18,7 @@ from factorlab.sources.workspace import Workspace
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 _BUCKETS_PER_E = 128
+_SALTS = 1024
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -75,16 +76,28 @@ def rank_average(
         ties = F.count("*").over(Window.partitionBy(*keys, value))
         return df.withColumn(out, first + (ties - 1) / 2)
     ranked = rank_first(df, keys, [value, tie], "_r", ws, max_group, split=True)
-    # Partial aggregation collapses a hot value to one row before the shuffle;
-    # only values that really repeat take part in the join back.
+    # Partial aggregation collapses a repeated value to one row before the shuffle.
     tied = (
         ranked.groupBy(*keys, value)
         .agg(F.count("*").alias("_n"), ((F.min("_r") + F.max("_r")) / 2).alias("_mid"))
         .filter("_n > 1")
-        .drop("_n")
     )
-    out_col = F.coalesce(F.col("_mid"), F.col("_r").cast("double"))
-    return ranked.join(tied, [*keys, value], "left").withColumn(out, out_col).drop("_r", "_mid")
+    # Values with more than max_group copies number at most rows / max_group, so
+    # they are broadcast; their rows then spread over salts in the second join,
+    # which resolves the remaining ties by value.
+    hot = tied.filter(F.col("_n") > max_group).select(*keys, value, F.col("_mid").alias("_hot"))
+    cold = tied.filter(F.col("_n") <= max_group).select(*keys, F.col(value).alias("_key"), F.lit(0).alias("_salt"), "_mid")
+    resolved = F.col("_hot").isNotNull()
+    rows = ranked.join(F.broadcast(hot), [*keys, value], "left").withColumns(
+        {
+            "_key": F.when(~resolved, F.col(value)),
+            "_salt": F.when(resolved, F.pmod(F.col("_r"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"),
+        }
+    )
+    rank = F.coalesce(F.col("_hot"), F.col("_mid"), F.col("_r").cast("double"))
+    return (
+        rows.join(cold, [*keys, "_key", "_salt"], "left").withColumn(out, rank).drop("_r", "_mid", "_hot", "_key", "_salt")
+    )
 
 
 def quintile_bucket(rank: Column, n: Column, buckets: int = 5) -> Column:

@@ -21,6 +21,7 @@ def skewed(spark, n=4000):
     rng = np.random.default_rng(3)
     v = rng.normal(size=n)
     v[: n // 3] = 0.25
+    v[-900:-600] = np.repeat(v[-900:-750], 2)  # pairs: ties below the hot threshold
     rows = [(M1 if i < n * 9 // 10 else M2, f"T{i:05d}", float(x)) for i, x in enumerate(v)]
     return spark.createDataFrame(rows, "month date, ticker string, v double"), pd.DataFrame(rows, columns=["month", "ticker", "v"])
 
