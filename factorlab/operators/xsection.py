@@ -22,6 +22,21 @@ def unpivot(df: DataFrame, ids: list[str], columns: dict[str, str], name: str, v
     return df.select(*ids, F.inline(pairs))
 
 
+def _winsor_bounds(clean: DataFrame, targets: list[str], key: str, min_names: int, max_group: int, split: bool) -> DataFrame:
+    """Clip bounds per month, one array column per target; NULL below ``min_names`` values."""
+    if not split:
+        levels = F.array(*[F.lit(p) for p in WINSOR])
+        return clean.groupBy(key).agg(
+            *[
+                F.when(F.count(f"_x_{t}") >= min_names, F.percentile(f"_x_{t}", levels)).alias(f"_q_{t}")
+                for t in targets
+            ]
+        )
+    long = unpivot(clean, [key], {t: f"_x_{t}" for t in targets}, "_f", "_v")
+    q = ranks.quantiles(long, [key, "_f"], "_v", list(WINSOR), max_group, split).filter(F.col("n") >= min_names)
+    return q.groupBy(key).agg(*[F.max(F.when(F.col("_f") == t, F.col("q"))).alias(f"_q_{t}") for t in targets])
+
+
 def winsor_zscore(
     panel: DataFrame,
     columns: dict[str, str],
@@ -36,13 +51,9 @@ def winsor_zscore(
     """
     clean = panel.withColumns({f"_x_{t}": finite(s) for s, t in columns.items()})
     targets = list(columns.values())
-    long = unpivot(clean, [key], {t: f"_x_{t}" for t in targets}, "_f", "_v")
     if split is None:
         split = ranks.largest_group(panel, [key]) > max_group
-    q = ranks.quantiles(long, [key, "_f"], "_v", list(WINSOR), max_group, split).filter(F.col("n") >= min_names)
-    bounds = q.groupBy(key).agg(
-        *[F.max(F.when(F.col("_f") == t, F.col("q"))).alias(f"_q_{t}") for t in targets]
-    )
+    bounds = _winsor_bounds(clean, targets, key, min_names, max_group, split)
     clipped = clean.join(F.broadcast(bounds), key, "left").withColumns(
         {
             f"_x_{t}": F.when(

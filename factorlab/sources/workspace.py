@@ -36,6 +36,11 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
+    def clear(self) -> None:
+        """Remove this run's tables, and only those, once its results are written elsewhere."""
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
     def materialise(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = self.path(name)
         writer = df.write

@@ -36,6 +36,18 @@ def spark_rows(df):
     return names, sorted(tuple(_cell(v) or "" for v in r) for r in zip(*cols))
 
 
+SAME_TYPE = {
+    "BIGINT": "bigint", "DOUBLE": "double", "DATE": "date", "VARCHAR": "string", "BOOLEAN": "boolean", "INTEGER": "int",
+}
+
+
+def type_mismatches(df, con, sql):
+    """Columns whose Spark type is not the counterpart of the DuckDB type."""
+    spark_types = dict(df.dtypes)
+    rows = con.execute(f"DESCRIBE {sql}").fetchall()
+    return [(r[0], spark_types.get(r[0]), r[1]) for r in rows if SAME_TYPE.get(r[1]) != spark_types.get(r[0])]
+
+
 def duck_rows(con, sql):
     cur = con.execute(sql)
     raw = [d[0] for d in cur.description]
@@ -47,11 +59,15 @@ def duck_rows(con, sql):
 def compare(entry, spark, con, sf_dir: str):
     """(status, detail, seconds) of one query."""
     t0 = time.time()
-    names, got = spark_rows(entry.run(spark, sf_dir))
+    df = entry.run(spark, sf_dir)
+    names, got = spark_rows(df)
     took = time.time() - t0
     sql = entry.oracle()
     if sql is None:
         return ("rows" if got else "EMPTY"), f"{len(got)} rows", took
+    wrong = type_mismatches(df, con, sql)
+    if wrong:
+        return "TYPES", str(wrong), took
     want_names, want = duck_rows(con, sql)
     if names != want_names:
         return "SCHEMA", f"{names} vs {want_names}", took

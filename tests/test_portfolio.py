@@ -242,6 +242,17 @@ def test_missing_tables_are_named(spark, ws):
         scans.scan_panel_checkpoint(spark, {"panel": ws.path("nothing")})
 
 
+def test_workspace_clears_only_its_own_run(spark, ws):
+    from factorlab.sources.scans import _exists
+    from factorlab.sources.workspace import Workspace
+
+    mine, keep = Workspace(spark), ws.materialise(spark.range(3), "keep")
+    mine.materialise(spark.range(2), "gone")
+    assert _exists(spark, mine.root)
+    mine.clear()
+    assert not _exists(spark, mine.root) and keep.count() == 3
+
+
 def test_spec_variants_share_scores():
     a = StrategySpec("a", stop_loss=0.1)
     assert a.score_variant == StrategySpec("b", take_profit=0.2).score_variant
