@@ -247,7 +247,9 @@ add(
 add(
     "asof_fundamental_join",
     "ticker month roe",
-    lambda lb: joins.asof_fundamental(bars.monthly_bars(lb.prices), lb.statements),
+    lambda lb: joins.asof_fundamental(
+        joins.distinct_pairs(lb.prices.withColumn("month", F.last_day("date"))), lb.statements
+    ),
     "SELECT * FROM roe_m",
 )
 add(
@@ -256,7 +258,7 @@ add(
     lambda lb: joins.panel_assembly(
         lb.monthly,
         bars.monthly_metrics(lb.daily_metrics),
-        joins.asof_fundamental(bars.monthly_bars(lb.prices), lb.statements),
+        joins.asof_fundamental(joins.distinct_pairs(bars.monthly_bars(lb.prices)), lb.statements),
         bars.ma_deviation(lb.prices, (20,), "adjClose"),
     ),
     "SELECT m.ticker, m.month, m.close, k.market_cap, k.pe_ratio, r.roe, s.ma_dev_20 FROM stock_months m "

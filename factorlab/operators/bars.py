@@ -64,11 +64,6 @@ def monthly_bars(prices: DataFrame) -> DataFrame:
     return prices.withColumn("month", month_of()).groupBy("ticker", "month").agg(*_bar_aggregates())
 
 
-def month_keys(prices: DataFrame) -> DataFrame:
-    """Distinct (ticker, month); reads two columns and combines on the map side."""
-    return prices.select("ticker", month_of().alias("month")).distinct()
-
-
 def monthly_bars_with_signals(prices: DataFrame, windows) -> DataFrame:
     """Monthly bars and month-end moving-average deviations in one pass.
 

@@ -34,31 +34,27 @@ def statement_values(statements: DataFrame, code: str, name: str) -> DataFrame:
     )
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, value: str) -> DataFrame:
+def asof_attach(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, value: str) -> DataFrame:
     """Backward as-of join with exact matches: union both sides, carry the last right row.
 
-    One shuffle on the key and one running window; no range join. A matched row
-    whose value is NULL yields NULL, so the value travels inside a struct. Both
-    sides are unique per (key, date), hence bounded by the calendar per key.
+    One shuffle on the key and one running window; no range join, and every left
+    column rides along. A matched row whose value is NULL yields NULL, so the
+    value travels inside a struct. Both sides are unique per (key, date), hence
+    bounded by the calendar per key.
     """
-    lhs = left.select(
-        key,
-        F.col(left_on).alias("_at"),
-        F.lit(1).alias("_side"),
-        F.lit(None).cast(f"struct<v:{right.schema[value].dataType.simpleString()}>").alias("_hit"),
-    )
+    lhs = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1)})
     rhs = right.select(
         key, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_hit")
     )
     w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lhs.unionByName(rhs).withColumn("_hit", F.last("_hit", ignorenulls=True).over(w))
-    return carried.filter("_side = 1").select(key, F.col("_at").alias(left_on), F.col("_hit.v").alias(value))
+    both = lhs.unionByName(rhs, allowMissingColumns=True)
+    carried = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w))
+    return carried.filter("_side = 1").select(*left.columns, F.col("_hit.v").alias(value))
 
 
 def asof_fundamental(monthly: DataFrame, statements: DataFrame, code: str = "roe") -> DataFrame:
-    return asof_join(
-        distinct_pairs(monthly), statement_values(statements, code, code), "ticker", "month", "date", code
-    )
+    """Latest statement value known at each month; ``monthly`` has one row per (ticker, month)."""
+    return asof_attach(monthly, statement_values(statements, code, code), "ticker", "month", "date", code)
 
 
 def panel_assembly(monthly: DataFrame, *tables: DataFrame) -> DataFrame:

@@ -68,10 +68,10 @@ def raw_panel(
     monthly = regress.with_trends(
         monthly, {"trend_raw": trend_coefs, "trend_expanding_raw": expanding_coefs}, cfg.dev_cols
     )
-    metrics = bars.monthly_metrics(inputs.daily_metrics)
-    roe = joins.asof_fundamental(bars.month_keys(inputs.prices), inputs.statements)
-    panel = joins.panel_assembly(monthly, metrics, roe)
-    panel = joins.index_enrich(joins.sector_enrich(panel, inputs.constituents), idx)
+    # As-of and sector steps keep the ticker layout; the metrics join then moves to (ticker, month).
+    panel = joins.sector_enrich(joins.asof_fundamental(monthly, inputs.statements), inputs.constituents)
+    panel = joins.panel_assembly(panel, bars.monthly_metrics(inputs.daily_metrics))
+    panel = joins.index_enrich(panel, idx)
     panel = tradeable_eligibility(positive_pe_clean(panel))
     return panel.withColumns(
         {
