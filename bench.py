@@ -15,11 +15,9 @@ HEADLINE = [
     "asof_fundamental_join",
     "factor_panel",
     "winsor_zscore",
-    "winsor_zscore_split",
     "fmp_portfolio_sort",
     "xs_univariate_fmp",
     "spearman_ic",
-    "spearman_ic_split",
     "xs_multivariate_betas",
     "expanding_trend_betas",
     "inject_hzz_fitted",

@@ -217,7 +217,7 @@ class Lab:
         sig = self.holdings.filter(F.col("strategy").isin("improved_4", "improved_6")).select(
             "strategy", F.col("signal_month").alias("month"), "ticker"
         )
-        walk = trades.rebalance_bars(sig, self.prices)
+        walk = trades.rebalance_bars(sig, self.tables.prices)
         return self.ws.materialise(trades.first_touch_exits(walk, TRADE_STOP, TRADE_TAKE, CFG), "exits")
 
     def live_state(self) -> DataFrame:

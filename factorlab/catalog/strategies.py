@@ -278,7 +278,7 @@ def _signals(lb: Lab):
 add(
     "first_touch_exits",
     EXITS,
-    lambda lb: trades.first_touch_exits(trades.rebalance_bars(_signals(lb), lb.prices), TRADE_STOP, TRADE_TAKE, CFG),
+    lambda lb: trades.first_touch_exits(trades.rebalance_bars(_signals(lb), lb.tables.prices), TRADE_STOP, TRADE_TAKE, CFG),
     "SELECT * FROM exits",
 )
 add(
@@ -307,7 +307,7 @@ add(
 add(
     "daily_positions",
     "strategy date ticker entry_date shares:i price market_value",
-    lambda lb: trades.daily_positions(lb.exits, lb.prices, lb.index_tables[0]),
+    lambda lb: trades.daily_positions(lb.exits, lb.tables.prices, lb.index_tables[0]),
     "SELECT * FROM positions",
 )
 add(
@@ -320,7 +320,7 @@ add(
 
 def _mtm(lb: Lab):
     cal = lb.index_tables[0].select("date")
-    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.prices, cal), cal, ["improved_4", "improved_6"], CFG)
+    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.tables.prices, cal), cal, ["improved_4", "improved_6"], CFG)
 
 
 add(
@@ -842,7 +842,7 @@ add(
 add(
     "run_validation",
     "check status detail",
-    lambda lb: audit.run_validation(lb.panel, lb.prices, lb.curves, lb.exits, CFG),
+    lambda lb: audit.run_validation(lb.panel, lb.tables.prices, lb.curves, lb.exits, CFG),
     " UNION ALL ".join(
         f"SELECT '{n}' AS \"check\", CASE WHEN {ok} THEN 'OK' ELSE 'FAIL' END AS status, CAST({d} AS VARCHAR) AS detail FROM {t}"
         for n, ok, d, t in (

@@ -19,21 +19,41 @@ from factorlab.sources.workspace import Workspace
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 _BUCKETS_PER_E = 128
 _SALTS = 1024
+_ROWS_PER_PART = 1_000_000
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups: one partial/final count, two numbers returned."""
+    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest group: one partial/final count, one number returned."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return group_sizes(df, keys)[0]
+
 
+def split_parts(df: DataFrame, keys: list[str], max_group: int, split: bool | int | None = None) -> int:
+    """Range partitions to rank with, or 0 when every group fits the window plan.
+
+    ``split`` overrides the measurement: False never splits, True always does, a
+    number is used as given. Partitions follow the row count, so they stay near
+    ``_ROWS_PER_PART`` rows each, and never fall below the session's setting.
+    """
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if split is None:
+        largest, total = group_sizes(df, keys)
+        return max(configured, -(-total // _ROWS_PER_PART)) if largest > max_group else 0
+    if isinstance(split, bool):
+        return configured if split else 0
+    return split
 
-def range_positions(df: DataFrame, order: list[str], ws: Workspace) -> DataFrame:
+
+def range_positions(df: DataFrame, order: list[str], ws: Workspace, parts: int) -> DataFrame:
     """Global 0-based position of every row under ``order``, from one range shuffle.
 
     The sorted rows are written once to the shared folder, because the offsets
     and the rows must see the same partitions even after a lost executor.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -42,7 +62,7 @@ def range_positions(df: DataFrame, order: list[str], ws: Workspace) -> DataFrame
     placed = ws.materialise(placed, "range_positions").withColumn("_part", F.shiftright("_id", _ROW_BITS))
     sizes = placed.groupBy("_part").count()
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shuffle partition: a size fixed by configuration.
+    # One row per range partition, a few thousand at most per billion rows.
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     local = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
@@ -51,14 +71,13 @@ def range_positions(df: DataFrame, order: list[str], ws: Workspace) -> DataFrame
 
 
 def rank_first(
-    df: DataFrame, keys: list[str], order: list[str], out: str, ws: Workspace, max_group: int, split: bool | None = None
+    df: DataFrame, keys: list[str], order: list[str], out: str, ws: Workspace, max_group: int, split: bool | int | None = None
 ) -> DataFrame:
     """1..n rank inside each group under a total order (``order`` ends in a tie-break)."""
-    if split is None:
-        split = largest_group(df, keys) > max_group
-    if not split:
+    parts = split_parts(df, keys, max_group, split)
+    if not parts:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    placed = range_positions(df, [*keys, *order], ws)
+    placed = range_positions(df, [*keys, *order], ws, parts)
     # Keys are (month, factor)-like, so the start table is bounded by the calendar.
     starts = placed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
     ranked = placed.join(F.broadcast(starts), keys)
@@ -66,16 +85,15 @@ def rank_first(
 
 
 def rank_average(
-    df: DataFrame, keys: list[str], value: str, tie: str, out: str, ws: Workspace, max_group: int, split: bool | None = None
+    df: DataFrame, keys: list[str], value: str, tie: str, out: str, ws: Workspace, max_group: int, split: bool | int | None = None
 ) -> DataFrame:
     """Average rank of ``value`` inside each group (ties share the mean of their ranks)."""
-    if split is None:
-        split = largest_group(df, keys) > max_group
-    if not split:
+    parts = split_parts(df, keys, max_group, split)
+    if not parts:
         first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
         ties = F.count("*").over(Window.partitionBy(*keys, value))
         return df.withColumn(out, first + (ties - 1) / 2)
-    ranked = rank_first(df, keys, [value, tie], "_r", ws, max_group, split=True)
+    ranked = rank_first(df, keys, [value, tie], "_r", ws, max_group, parts)
     # Partial aggregation collapses a repeated value to one row before the shuffle.
     tied = (
         ranked.groupBy(*keys, value)

@@ -138,8 +138,8 @@ def xs_univariate_fmp(long: DataFrame) -> DataFrame:
 def information_coefficients(long: DataFrame, ws: Workspace, max_group: int, split: bool | None = None) -> DataFrame:
     """Pearson and Spearman correlation of z and next return per (month, factor)."""
     keys = ["month", "factor"]
-    if split is None:
-        split = ranks.largest_group(long, keys) > max_group
+    # Measured once: both rankings run over the same rows.
+    split = ranks.split_parts(long, keys, max_group, split)
     both = ranks.rank_average(long, keys, "z", "ticker", "_rz", ws, max_group, split)
     both = ranks.rank_average(both, keys, "ret", "ticker", "_rr", ws, max_group, split)
     return both.groupBy(*keys).agg(

@@ -60,6 +60,9 @@ def test_split_choice_follows_group_size(spark, ws):
     small = ranks.rank_first(df, ["month"], ["v", "ticker"], "r", ws, 10_000)
     large = ranks.rank_first(df, ["month"], ["v", "ticker"], "r", ws, 100)
     assert small.exceptAll(large.select(small.columns)).count() == 0
+    assert ranks.split_parts(df, ["month"], 10_000) == 0
+    assert ranks.split_parts(df, ["month"], 100) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranks.split_parts(df, ["month"], 100, split=7) == 7
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
