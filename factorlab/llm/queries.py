@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import language, packing, search
+from factorlab.llm import language, packing, repeats, search
 from factorlab.llm.common import table
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.suffix_automata(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.suffix_ranges(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(search.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, 20)
 
@@ -29,12 +39,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1,
+    "op4_suffix_array_dedup": op4,
     "op6_topk_search": op6,
     "op7_language_id": op7,
     "op9_best_fit_packing": op9,
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS key FROM spot),
+first AS (SELECT key, min(doc_id) AS low FROM win GROUP BY key),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (key) WHERE low < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op4_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+spot AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS key FROM spot),
+first AS (SELECT key, min(doc_id) AS low FROM win GROUP BY key),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (key) WHERE low < doc_id),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, sum(CAST(fresh AS BIGINT)) AS n_spans FROM (
+    SELECT doc_id, p - lag(p, 1, -2) OVER (PARTITION BY doc_id ORDER BY p) > 1 AS fresh FROM gone) g GROUP BY doc_id),
+byte AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS k FROM byte ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op6_topk_search": """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
