@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import language, packing, repeats, search
+from factorlab.llm import language, licenses, packing, pii, repeats, search
 from factorlab.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.suffix_ranges(table(spark, sf_dir, "documents"))
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -38,15 +42,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1,
+    "op2_pii": op2,
     "op4_suffix_array_dedup": op4,
     "op6_topk_search": op6,
     "op7_language_id": op7,
     "op9_best_fit_packing": op9,
+    "op10_license_scan": op10,
 }
 
+def _license_sql() -> str:
+    """Every unit against every template, without pruning."""
+    rows = ", ".join(f"('{n}', [{', '.join(repr(g) for g in licenses.template_bigrams(t))}])" for n, t in licenses.TEMPLATES)
+    return rf"""
+WITH tpl(license, tg) AS (VALUES {rows}),
+unit AS (
+  SELECT doc_id, row_number() OVER () AS u, trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS n FROM (
+    SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+      list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10))))) AS x FROM documents) q),
+word AS (SELECT doc_id, u, string_split(n, ' ') AS w FROM unit WHERE n <> ''),
+gram AS (
+  SELECT doc_id, u, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM word),
+hit AS (SELECT doc_id, u, license, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM gram, tpl),
+best AS (
+  SELECT doc_id, license, dice FROM (
+    SELECT *, row_number() OVER (PARTITION BY u ORDER BY dice DESC, license) AS r FROM hit WHERE dice >= 0.8 - 1e-12) q WHERE r = 1),
+doc AS (
+  SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS l, round(max(dice), 6) AS b FROM best GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(l, '') AS licenses, coalesce(b, 0.0::DOUBLE) AS best_dice
+FROM documents LEFT JOIN doc USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op10_license_scan": _license_sql(),
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
