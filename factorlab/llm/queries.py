@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import language, licenses, packing, pii, repeats, search
+from factorlab.llm import decontaminate, language, licenses, lm, packing, pii, repeats, search
 from factorlab.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), language.crc_class(7) == 2)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(search.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, 20)
 
@@ -38,6 +42,10 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
 
@@ -50,8 +58,10 @@ QUERIES = {
     "op1_substring_dedup": op1,
     "op2_pii": op2,
     "op4_suffix_array_dedup": op4,
+    "op5_lm_scoring": op5,
     "op6_topk_search": op6,
     "op7_language_id": op7,
+    "op8_decontamination": op8,
     "op9_best_fit_packing": op9,
     "op10_license_scan": op10,
 }
