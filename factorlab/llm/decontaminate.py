@@ -142,7 +142,6 @@ def _matches(texts: list[bytes], index: tuple, units: np.ndarray, share: float)
     """Per text the items whose consistent matches cover enough, with the share covered."""
     sizes, keys, places, item_token, item_value, item_row, item_first, ids = index
     token, value, row = template(texts, units)
-    first = np.searchsorted(row, np.arange(len(texts) + 1))
     lines: dict[tuple[int, int, int], set] = defaultdict(set)
     for size in sizes:
         at, h = windows(token, row, size)
@@ -164,41 +163,37 @@ def _matches(texts: list[bytes], index: tuple, units: np.ndarray, share: float)
         slots = sorted(t for t in tokens if is_slot(item_token[t : t + 1])[0])
         if _consistent((int(item_value[t]), int(value[t + gap])) for t in slots):
             found[text][ids[item]] = max(got, found[text].get(ids[item], 0.0))
-    del first
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, contaminated, n_items, items, coverage) of every document."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, contaminated, n_items, items, coverage) of every document."""
     spark = docs.sparkSession
-    rows = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()
-    shards = benchmark_index([(r.item_id, r.text.encode()) for r in rows], size)
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64())), ("coverage", pa.float64())])
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    shards = benchmark_index([(r.item_id, r.text.encode()) for r in items.orderBy("item_id", "text").toLocalIterator()], size)
+    found = docs.select("doc_id", *carry, "text", F.array().cast("array<long>").alias("_items"), F.lit(0.0).alias("_cover"))
 
-    def search(held):
+    def search(held, last: bool):
         def judge(batches):
             units = unit_hashes()
             for batch in batches:
-                texts = as_bytes(batch.column(1))
-                items, cover = [[] for _ in texts], [0.0] * len(texts)
+                texts, (*kept, text, before, cover) = as_bytes(batch.column("text")), batch.columns
+                items, cover = before.to_pylist(), cover.to_pylist()
                 for lo, hi in text_groups(texts):
-                    for text, got in _matches(texts[lo:hi], held.value, units, share).items():
-                        items[lo + text], cover[lo + text] = sorted(got), max(got.values())
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(items, schema.field(1).type), pa.array(cover, pa.float64())], schema=schema)
+                    for at, got in _matches(texts[lo:hi], held.value, units, share).items():
+                        items[lo + at] = sorted({*items[lo + at], *got})
+                        cover[lo + at] = max(cover[lo + at], *got.values())
+                new = [pa.array(items, pa.list_(pa.int64())), pa.array(cover, pa.float64())]
+                names = batch.schema.names
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=[n for n in names if n != "text"]) if last else pa.RecordBatch.from_arrays([*kept, text, *new], names=names)
 
         return judge
 
-    ddl = "doc_id long, items array<long>, coverage double"
-    if not shards:
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"))
-    else:
-        text = docs.select("doc_id", "text")
-        found = text.mapInArrow(search(spark.sparkContext.broadcast(shards[0])), ddl)
-        for shard in shards[1:]:
-            found = found.unionByName(text.mapInArrow(search(spark.sparkContext.broadcast(shard)), ddl))
-        if len(shards) > 1:
-            found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"))
+    # One pass a shard; the text is handed on to all but the last.
+    for i, shard in enumerate(shards):
+        last = i == len(shards) - 1
+        found = found.mapInArrow(search(spark.sparkContext.broadcast(shard), last), (found.drop("text") if last else found).schema)
     return found.select(
-        "doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
-        F.concat_ws(",", F.transform("items", lambda i: i.cast("string"))).alias("items"), F.round("coverage", 6).alias("coverage"),
+        "doc_id", *carry, (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"),
+        F.concat_ws(",", F.transform("_items", lambda i: i.cast("string"))).alias("items"), F.round("_cover", 6).alias("coverage"),
     )

@@ -158,14 +158,15 @@ def labelled_sample(docs: DataFrame, train: Column, slices: int = SLICES, sample
     return out
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row; `samples` are labelled texts by language."""
+def identify(docs: DataFrame, samples: dict[str, list[str]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, lang_pred, score) for every row; `samples` are labelled texts by language."""
     spark = docs.sparkSession
     classes = alphabet_of(samples)
     names = sorted(samples)
     models = [suffix_automaton([_classes(t, classes) for t in samples[n]]) for n in names]
     shared = spark.sparkContext.broadcast((classes, names, models))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    body = docs.select("doc_id", "text", *carry)
+    schema = body.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def judge(texts: list[str]) -> tuple[list[str], list[float]]:
         table, langs, automata = shared.value
@@ -184,17 +185,17 @@ def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            kept, texts = [c for i, c in enumerate(batch.columns) if i != 1], [t or "" for t in batch.column(1).to_pylist()]
             lo = size = 0
             for i, text in enumerate([*texts, None]):
                 if text is None or size and size + len(text) > LANES:
                     if i > lo:
                         langs, scores = judge(texts[lo:i])
-                        yield pa.RecordBatch.from_arrays([ids.slice(lo, i - lo).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+                        yield pa.RecordBatch.from_arrays([*(c.slice(lo, i - lo) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
                     lo, size = i, 0
                 size += len(text or "")
 
-    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, lang_pred string, score double")
+    return body.mapInArrow(parse, schema)
 
 
 def crc_class(modulus: int) -> Column:

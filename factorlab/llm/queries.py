@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, language, licenses, lm, packing, pii, repeats, search
+from factorlab.llm import decontaminate, jaccard, language, licenses, lm, packing, pii, repeats, search
 from factorlab.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.suffix_ranges(table(spark, sf_dir, "documents"))
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +61,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1,
     "op2_pii": op2,
+    "op3_ngram_jaccard_join": op3,
     "op4_suffix_array_dedup": op4,
     "op5_lm_scoring": op5,
     "op6_topk_search": op6,
@@ -89,6 +94,22 @@ FROM documents LEFT JOIN doc USING (doc_id)"""
 
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM d),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+edge AS (
+  SELECT a, b FROM inter JOIN sh p ON p.doc_id = a JOIN sh q ON q.doc_id = b
+  WHERE 100 * i >= 85 * (len(p.s) + len(q.s) - i)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+SELECT sh.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(low AS BIGINT) AS component_id
+FROM sh JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = sh.doc_id""",
     "op10_license_scan": _license_sql(),
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
