@@ -11,8 +11,8 @@ else separates. A name is a capitalised token that does not begin a sentence.
 The benchmark side is broadcast in shards of at most `shard_windows` windows, one pass over the
 documents each; a benchmark within one shard takes one pass. Documents are read whole.
 
-A document is contaminated by an item if consistent matches on one alignment cover at least `share`
-of the item's tokens. Items of fewer tokens than a window are matched as one window of their own
+A document is contaminated by an item if the matches whose slots are consistent along their alignment
+cover at least `share` of the item's tokens. Items of fewer tokens than a window are matched as one window of their own
 length, at least `least` tokens; windows with fewer than `informative` plain tokens are not looked up.
 Null or empty texts on either side match nothing. Every row gives one row; repeated rows are judged alike.
 """
@@ -154,14 +154,15 @@ def _matches(texts: list[bytes], index: tuple, units: np.ndarray, share: float)
                 # Windows of one occurrence share the distance between both places.
                 line = lines[int(row[at[i]]), int(item_row[there]), int(at[i]) - there]
                 line.update(range(there, there + size))
-    found: dict[int, dict[int, float]] = defaultdict(dict)
+    covered: dict[tuple[int, int], set] = defaultdict(set)
     for (text, item, gap), tokens in lines.items():
-        length = int(item_first[item + 1] - item_first[item])
-        got = len(tokens) / length
-        if got < share:
-            continue
         slots = sorted(t for t in tokens if is_slot(item_token[t : t + 1])[0])
         if _consistent((int(item_value[t]), int(value[t + gap])) for t in slots):
+            covered[text, item] |= tokens
+    found: dict[int, dict[int, float]] = defaultdict(dict)
+    for (text, item), tokens in covered.items():
+        got = len(tokens) / int(item_first[item + 1] - item_first[item])
+        if got >= share:
             found[text][ids[item]] = max(got, found[text].get(ids[item], 0.0))
     return found
 

@@ -136,11 +136,10 @@ def phrase_counts(texts: list[np.ndarray], automaton: np.ndarray) -> np.ndarray:
         c = grid[t, :n]
         s = state[:n]
         to = flat[s * ALPHABET + c]
-        # A phrase ends where it can't go on; the next begins with this character.
+        # A phrase begins at the root, and where the one before can't go on.
         failed = to < 0
-        count[:n] += failed
+        count[:n] += failed | (s == 0)
         state[:n] = np.where(failed, np.maximum(root[c], 0), to)
-    count += 1  # the phrase that the end cuts off
     np.add.at(total, np.asarray(owner)[order], count)
     return total
 

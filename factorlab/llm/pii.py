@@ -167,7 +167,5 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for kind in kinds:
         df = df.withColumn("_t", redacted(F.col("_t"), kind))
     changed = F.col("_t") != clean_text()
-    df = df.withColumn("text", F.when(changed, F.col("_t")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    new = {"text": F.col("_t"), "n_chars": F.length("_t").cast("long")}
+    return df.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
