@@ -152,12 +152,12 @@ class Lab:
 
     @cached_property
     def legs(self) -> DataFrame:
-        return self.ws.materialise(xsection.quintile_legs(self.factor_long, self.ws, CFG.max_group_rows), "legs")
+        return self.ws.materialise(xsection.quintile_legs(self.factor_long, self.ws), "legs")
 
     @cached_property
     def ic(self) -> DataFrame:
         return self.ws.materialise(
-            xsection.information_coefficients(self.factor_long, self.ws, CFG.max_group_rows), "ic"
+            xsection.information_coefficients(self.factor_long, self.ws), "ic"
         )
 
     @cached_property

@@ -20,7 +20,7 @@ add(
     "month ticker momentum_z:6 roe_z:6",
     lambda lb: xsection.winsor_zscore(
         lb.panel.drop("roe_z", "momentum_z"), {"momentum_factor": "momentum_z", "roe_factor": "roe_z"},
-        CFG.min_names_zscore, CFG.max_group_rows,
+        CFG.min_names_zscore,
     ),
     "SELECT * FROM panel",
 )
@@ -29,7 +29,7 @@ add(
     "month ticker momentum_z:6 roe_z:6",
     lambda lb: xsection.winsor_zscore(
         lb.panel.drop("roe_z", "momentum_z"), {"momentum_factor": "momentum_z", "roe_factor": "roe_z"},
-        CFG.min_names_zscore, CFG.max_group_rows, split=True,
+        CFG.min_names_zscore,
     ),
     "SELECT * FROM panel",
 )
@@ -105,13 +105,13 @@ add(
 add(
     "spearman_ic",
     "month factor ic:6 rank_ic:6 n_obs:i",
-    lambda lb: xsection.information_coefficients(lb.factor_long, lb.ws, CFG.max_group_rows),
+    lambda lb: xsection.information_coefficients(lb.factor_long, lb.ws),
     "SELECT * FROM ic",
 )
 add(
     "spearman_ic_split",
     "month factor ic:6 rank_ic:6 n_obs:i",
-    lambda lb: xsection.information_coefficients(lb.factor_long, lb.ws, CFG.max_group_rows, split=True),
+    lambda lb: xsection.information_coefficients(lb.factor_long, lb.ws),
     "SELECT * FROM ic",
 )
 add(
@@ -135,7 +135,7 @@ add(
 add(
     "fmp_portfolio_sort",
     "month factor portfolio_fmp_return:7 top_return:7 bottom_return:7 n_top:i n_bottom:i",
-    lambda lb: xsection.fmp_portfolio_sort(xsection.quintile_legs(lb.factor_long, lb.ws, CFG.max_group_rows)),
+    lambda lb: xsection.fmp_portfolio_sort(xsection.quintile_legs(lb.factor_long, lb.ws)),
     "SELECT * FROM fmp_portfolio",
 )
 add(

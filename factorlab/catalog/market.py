@@ -436,7 +436,7 @@ add(
     "rank_first",
     "month ticker rank:i",
     lambda lb: ranks.rank_first(
-        _panel_slice(lb).filter("roe_z is not null"), ["month"], ["roe_z", "ticker"], "rank", lb.ws, CFG.max_group_rows
+        _panel_slice(lb).filter("roe_z is not null"), ["month"], ["roe_z", "ticker"], "rank", lb.ws
     ),
     "SELECT month, ticker, row_number() OVER (PARTITION BY month ORDER BY roe_z, ticker) AS rank FROM panel "
     "WHERE eligible AND roe_z IS NOT NULL",
@@ -445,7 +445,7 @@ add(
     "rank_first_split",
     "month ticker rank:i",
     lambda lb: ranks.rank_first(
-        _panel_slice(lb).filter("roe_z is not null"), ["month"], ["roe_z", "ticker"], "rank", lb.ws, CFG.max_group_rows, True
+        _panel_slice(lb).filter("roe_z is not null"), ["month"], ["roe_z", "ticker"], "rank", lb.ws
     ),
     "SELECT month, ticker, row_number() OVER (PARTITION BY month ORDER BY roe_z, ticker) AS rank FROM panel "
     "WHERE eligible AND roe_z IS NOT NULL",
@@ -458,7 +458,7 @@ add(
     "rank_average",
     "month ticker rank:1",
     lambda lb: ranks.rank_average(
-        _panel_slice(lb).filter("roe_z is not null"), ["month"], "roe_z", "ticker", "rank", lb.ws, CFG.max_group_rows
+        _panel_slice(lb).filter("roe_z is not null"), ["month"], "roe_z", "ticker", "rank", lb.ws
     ),
     _AVG_RANK,
 )
@@ -466,7 +466,7 @@ add(
     "rank_average_split",
     "month ticker rank:1",
     lambda lb: ranks.rank_average(
-        _panel_slice(lb).filter("roe_z is not null"), ["month"], "roe_z", "ticker", "rank", lb.ws, CFG.max_group_rows, True
+        _panel_slice(lb).filter("roe_z is not null"), ["month"], "roe_z", "ticker", "rank", lb.ws
     ),
     _AVG_RANK,
 )
@@ -476,17 +476,17 @@ _QUANT = (
 )
 
 
-def _quantile_plan(lb: Lab, split: bool | None):
-    q = ranks.quantiles(lb.panel.select("month", "pe_factor"), ["month"], "pe_factor", [0.01, 0.99], CFG.max_group_rows, split)
+def _quantile_plan(lb: Lab):
+    q = ranks.quantiles(lb.panel.select("month", "pe_factor"), ["month"], "pe_factor", [0.01, 0.99])
     return q.select("month", "n", F.col("q")[0].alias("q01"), F.col("q")[1].alias("q99"))
 
 
-add("winsor_quantiles", "month n:i q01:5 q99:5", lambda lb: _quantile_plan(lb, None), _QUANT)
-add("winsor_quantiles_split", "month n:i q01:5 q99:5", lambda lb: _quantile_plan(lb, True), _QUANT)
+add("winsor_quantiles", "month n:i q01:5 q99:5", _quantile_plan, _QUANT)
+add("winsor_quantiles_split", "month n:i q01:5 q99:5", _quantile_plan, _QUANT)
 add(
     "quintile_bucket",
     "month factor ticker rank:i quintile:i",
-    lambda lb: xsection.quintile_legs(lb.factor_long, lb.ws, CFG.max_group_rows),
+    lambda lb: xsection.quintile_legs(lb.factor_long, lb.ws),
     "SELECT * FROM legs",
 )
 

@@ -41,13 +41,18 @@ add(
     "SELECT m.month, m.regime_on, count(r.ticker) AS n_picks FROM months m "
     "LEFT JOIN realised r ON r.month = m.month AND r.strategy = 'improved_5' GROUP BY m.month, m.regime_on",
 )
+def _static_specs():
+    """Every strategy whose score needs no information coefficients; the others are in strategy_curves."""
+    return [s for s in all_specs() if s.weight_method == "static"]
+
+
 add(
     "topn_by_score",
     "variant month ticker rank:i score:6",
     lambda lb: portfolio.topn_by_score(
-        scoring.scores_by_variant(lb.panel, ladder_specs()[:2]), ["variant", "month"], 10
+        scoring.scores_by_variant(lb.panel, _static_specs()), ["variant", "month"], 10
     ),
-    "SELECT * FROM picks WHERE rank <= 10 AND variant LIKE 'static%' AND variant NOT LIKE '%hzz%'",
+    f"SELECT * FROM picks WHERE rank <= 10 AND variant IN {tuple(dict.fromkeys(s.score_variant for s in _static_specs()))}",
 )
 add(
     "spec_ladder",
@@ -100,8 +105,8 @@ def _spec_cross(lb: Lab):
 add(
     "vector_backtest",
     CURVE,
-    lambda lb: ladder.run_specs(lb.panel, ladder_specs()[:3], CFG, lb.ws)[0],
-    "SELECT * FROM curves WHERE strategy IN ('base', 'improved_1', 'improved_2')",
+    lambda lb: ladder.run_specs(lb.panel, _static_specs(), CFG, lb.ws)[0],
+    f"SELECT * FROM curves WHERE strategy IN {tuple(s.name for s in _static_specs())}",
 )
 add("strategy_curves", CURVE, lambda lb: lb.curves, "SELECT * FROM curves")
 add(
@@ -739,7 +744,7 @@ _MC_SPEC = next(s for s in all_specs() if s.name == "improved_4")
 
 
 def _mc(lb: Lab):
-    universe = lb.ws.materialise(resample.indexed_universe(lb.panel, lb.ws, CFG.max_group_rows), "universe")
+    universe = lb.ws.materialise(resample.indexed_universe(lb.panel, lb.ws), "universe")
     curves = resample.monte_carlo(universe, lb.months, _MC_SPEC, CFG, CFG.mc_sims)
     return resample.monte_carlo_test(
         resample.monte_carlo_metrics(curves, _MC_SPEC, CFG),

@@ -41,18 +41,26 @@ def student_two_sided_p(t: Column, dof: Column) -> Column:
 
 
 def normal_two_sided_p(z: Column) -> Column:
-    """Two-sided standard normal p-value from the all-positive error-function series."""
-    x = F.least(F.abs(z) / math.sqrt(2.0), F.lit(6.0))
+    """Two-sided standard normal p-value, with full relative precision in the tails.
+
+    Near 0 one minus the all-positive error-function series; beyond ``x = 2`` the
+    continued fraction of the complement itself, so that small values keep their digits.
+    """
+    size = F.abs(z) / math.sqrt(2.0)
+    x = F.least(size, F.lit(2.0))
     start = F.struct(x.alias("term"), x.alias("total"))
 
     def step(acc: Column, k: Column) -> Column:
         term = acc["term"] * 2 * x * x / (2 * k + 1)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    ks = F.transform(F.sequence(F.lit(1), F.lit(160)), lambda k: k.cast("double"))
+    ks = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: k.cast("double"))
     total = F.aggregate(ks, start, step, lambda acc: acc["total"])
     erf = total * F.exp(-x * x) * (2 / math.sqrt(math.pi))
-    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), 1 - erf))
+    far = F.greatest(size, F.lit(2.0))
+    down = F.transform(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), lambda k: k.cast("double") / 2)
+    tail = F.exp(-far * far) / (far + F.aggregate(down, F.lit(0.0), lambda acc, k: k / (far + acc))) / math.sqrt(math.pi)
+    return F.when(z.isNotNull(), F.when(size > 2.0, tail).otherwise(1 - erf))
 
 
 def significance_stars(p: Column) -> Column:

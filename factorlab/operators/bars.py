@@ -202,11 +202,13 @@ def with_deviations(bars: DataFrame, windows, price: str, key: str | None = "tic
     w = Window.partitionBy(F.col(key) if key else F.lit(0)).orderBy("date")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     month = month_of()
+    # A running sum never recovers from a NaN, so missing prices are nulls before they are summed.
+    clean = finite(price)
     base = bars.withColumns(
         {
             "month": month,
-            "_sum": F.sum(price).over(running),
-            "_cnt": F.count(price).over(running),
+            "_sum": F.sum(clean).over(running),
+            "_cnt": F.count(clean).over(running),
             "_next_month": F.lead(month).over(w),
         }
     ).withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))

@@ -237,12 +237,13 @@ def bracket_prices(entry: Column, stop: float, take: float) -> tuple[Column, Col
 
 
 def rebalance_diff(current: DataFrame, target: DataFrame) -> DataFrame:
-    """Exit, enter or hold per ticker."""
-    both = current.select("ticker").distinct().withColumn("_cur", F.lit(True)).join(
-        target.select("ticker").distinct().withColumn("_tgt", F.lit(True)), "ticker", "full_outer"
+    """Exit, enter or hold per ticker, within each strategy where the tables have one."""
+    keys = [c for c in ("strategy", "ticker") if c in current.columns and c in target.columns]
+    both = current.select(*keys).distinct().withColumn("_cur", F.lit(True)).join(
+        target.select(*keys).distinct().withColumn("_tgt", F.lit(True)), keys, "full_outer"
     )
     action = F.when(F.col("_tgt").isNull(), "exit").when(F.col("_cur").isNull(), "enter").otherwise("hold")
-    return both.select("ticker", action.alias("action"))
+    return both.select(*keys, action.alias("action"))
 
 
 def long_only_check(positions: DataFrame, column: str = "shares") -> DataFrame:

@@ -1,12 +1,10 @@
-"""Exact ranks and quantiles inside cross-sections of any size.
-
-Small cross-sections use a plain window or ``percentile``. When the largest
-group exceeds the configured row count, the work is split instead:
+"""Exact ranks and quantiles inside cross-sections of any size, with one plan for all sizes.
 
 * ranks: one range partitioning over (group, order) splits hot groups and hot
   values alike; positions come from partition offsets, so no task sees a group.
 * quantiles: a histogram of value buckets locates the few buckets that hold the
-  requested order statistics; only those buckets are counted value by value.
+  requested order statistics, a second one inside those narrows them again, and
+  only what is left is counted value by value.
 """
 
 from __future__ import annotations
@@ -14,46 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorlab.functions.nulls import ratio
 from factorlab.sources.workspace import Workspace
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 _BUCKETS_PER_E = 128
-_SALTS = 1024
-_ROWS_PER_PART = 1_000_000
-
-
-def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows of the largest group and of all groups: one partial/final count, two numbers returned."""
-    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return row[0] or 0, row[1] or 0
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return group_sizes(df, keys)[0]
-
-
-def split_parts(df: DataFrame, keys: list[str], max_group: int, split: bool | int | None = None) -> int:
-    """Range partitions to rank with, or 0 when every group fits the window plan.
-
-    ``split`` overrides the measurement: False never splits, True always does, a
-    number is used as given. Partitions follow the row count, so they stay near
-    ``_ROWS_PER_PART`` rows each, and never fall below the session's setting.
-    """
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if split is None:
-        largest, total = group_sizes(df, keys)
-        return max(configured, -(-total // _ROWS_PER_PART)) if largest > max_group else 0
-    if isinstance(split, bool):
-        return configured if split else 0
-    return split
+_SUB_BUCKETS = 1024
+_SALTS = 16
 
 
-def range_positions(df: DataFrame, order: list[str], ws: Workspace, parts: int) -> DataFrame:
+def range_positions(df: DataFrame, order: list[str], ws: Workspace) -> DataFrame:
     """Global 0-based position of every row under ``order``, from one range shuffle.
 
     The sorted rows are written once to the shared folder, because the offsets
     and the rows must see the same partitions even after a lost executor.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -62,7 +36,7 @@ def range_positions(df: DataFrame, order: list[str], ws: Workspace, parts: int)
     placed = ws.materialise(placed, "range_positions").withColumn("_part", F.shiftright("_id", _ROW_BITS))
     sizes = placed.groupBy("_part").count()
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition, a few thousand at most per billion rows.
+    # One row per range partition.
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     local = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
@@ -70,57 +44,34 @@ def range_positions(df: DataFrame, order: list[str], ws: Workspace, parts: int)
     )
 
 
-def rank_first(
-    df: DataFrame, keys: list[str], order: list[str], out: str, ws: Workspace, max_group: int, split: bool | int | None = None
-) -> DataFrame:
+def rank_first(df: DataFrame, keys: list[str], order: list[str], out: str, ws: Workspace) -> DataFrame:
     """1..n rank inside each group under a total order (``order`` ends in a tie-break)."""
-    parts = split_parts(df, keys, max_group, split)
-    if not parts:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    placed = range_positions(df, [*keys, *order], ws, parts)
+    placed = range_positions(df, [*keys, *order], ws)
     # Keys are (month, factor)-like, so the start table is bounded by the calendar.
     starts = placed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
     ranked = placed.join(F.broadcast(starts), keys)
     return ranked.withColumn(out, (F.col("_pos") - F.col("_start") + 1).cast("int")).drop("_pos", "_start")
 
 
-def rank_average(
-    df: DataFrame, keys: list[str], value: str, tie: str, out: str, ws: Workspace, max_group: int, split: bool | int | None = None
-) -> DataFrame:
+def rank_average(df: DataFrame, keys: list[str], value: str, tie: str, out: str, ws: Workspace) -> DataFrame:
     """Average rank of ``value`` inside each group (ties share the mean of their ranks)."""
-    parts = split_parts(df, keys, max_group, split)
-    if not parts:
-        first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-        ties = F.count("*").over(Window.partitionBy(*keys, value))
-        return df.withColumn(out, first + (ties - 1) / 2)
-    ranked = rank_first(df, keys, [value, tie], "_r", ws, max_group, parts)
+    ranked = rank_first(df, keys, [value, tie], "_r", ws)
     # Partial aggregation collapses a repeated value to one row before the shuffle.
     tied = (
         ranked.groupBy(*keys, value)
         .agg(F.count("*").alias("_n"), ((F.min("_r") + F.max("_r")) / 2).alias("_mid"))
         .filter("_n > 1")
     )
-    # Values with more than max_group copies number at most rows / max_group, so
-    # they are broadcast; their rows then spread over salts in the second join,
-    # which resolves the remaining ties by value.
-    hot = tied.filter(F.col("_n") > max_group).select(*keys, value, F.col("_mid").alias("_hot"))
-    cold = tied.filter(F.col("_n") <= max_group).select(*keys, F.col(value).alias("_key"), F.lit(0).alias("_salt"), "_mid")
-    resolved = F.col("_hot").isNotNull()
-    rows = ranked.join(F.broadcast(hot), [*keys, value], "left").withColumns(
-        {
-            "_key": F.when(~resolved, F.col(value)),
-            "_salt": F.when(resolved, F.pmod(F.col("_r"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"),
-        }
-    )
-    rank = F.coalesce(F.col("_hot"), F.col("_mid"), F.col("_r").cast("double"))
-    return (
-        rows.join(cold, [*keys, "_key", "_salt"], "left").withColumn(out, rank).drop("_r", "_mid", "_hot", "_key", "_salt")
-    )
+    # Each tied value stands once per salt, so the rows of a hot value spread over the salts.
+    salted = tied.select(*keys, value, "_mid", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    rows = ranked.withColumn("_salt", F.pmod(F.col("_r"), F.lit(_SALTS)))
+    rank = F.coalesce(F.col("_mid"), F.col("_r").cast("double"))
+    return rows.join(salted, [*keys, value, "_salt"], "left").withColumn(out, rank).drop("_r", "_mid", "_salt")
 
 
 def quintile_bucket(rank: Column, n: Column, buckets: int = 5) -> Column:
     """Bucket of rank r among n by linear quantile edges (sizes differ from ntile)."""
-    return F.greatest(F.lit(1), F.ceil(buckets * (rank - 1) / (n - 1))).cast("int")
+    return F.greatest(F.lit(1), F.coalesce(F.ceil(ratio(buckets * (rank - 1), n - 1)), F.lit(1))).cast("int")
 
 
 def _bucket(value: str) -> Column:
@@ -129,21 +80,13 @@ def _bucket(value: str) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * _BUCKETS_PER_E)).cast("int")
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], max_group: int, split: bool | None = None
-) -> DataFrame:
-    """Exact linear-interpolation quantiles per group: (keys, n, q array). Nulls are ignored."""
-    rows = df.filter(F.col(value).isNotNull())
-    if split is None:
-        split = largest_group(rows, keys) > max_group
-    if not split:
-        levels = F.array(*[F.lit(p) for p in probs])
-        return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, levels).alias("q"))
-    rows = rows.withColumn("_b", _bucket(value))
-    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    hist = hist.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: (keys, n, q array). Nulls are ignored.
+
+    Values that are packed into one bucket of the first histogram are told apart by
+    the second, which is linear between the smallest and largest of the bucket.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn("_b", _bucket(value))
 
     def target(p: float, step: int) -> Column:
         return F.least(F.floor(F.lit(p) * (F.col("n") - 1)) + step, F.col("n") - 1)
@@ -155,12 +98,23 @@ def quantiles(
                 hit = hit | ((target(p, step) >= low) & (target(p, step) < high))
         return hit
 
-    needed = hist.filter(inside(F.col("_lo"), F.col("_hi"))).select(*keys, "_b", "_lo", "n")
-    # At most 2 buckets per probability and calendar-bounded group key.
-    near = rows.join(F.broadcast(needed), [*keys, "_b"])
-    values = near.groupBy(*keys, "_b", "_lo", "n", value).agg(F.count("*").alias("_c"))
-    inner = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_end", F.col("_lo") + F.sum("_c").over(inner))
+    def upto(by: list[str], order: str):
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    hist = hist.withColumn("_hi", F.sum("_c").over(upto(keys, "_b"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    hist = hist.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    # At most 2 buckets per probability and calendar-bounded group key, here and below.
+    needed = hist.filter(inside(F.col("_lo"), F.col("_hi"))).select(*keys, "_b", "_lo", "_min", "_max", "n")
+    share = ratio((F.col(value) - F.col("_min")) * _SUB_BUCKETS, F.col("_max") - F.col("_min"))
+    sub = F.least(F.coalesce(F.floor(share), F.lit(0)), F.lit(_SUB_BUCKETS - 1))
+    near = rows.join(F.broadcast(needed), [*keys, "_b"]).withColumn("_s", sub)
+    fine = near.groupBy(*keys, "_b", "_lo", "n", "_s").agg(F.count("*").alias("_c"))
+    fine = fine.withColumn("_hi", F.col("_lo") + F.sum("_c").over(upto([*keys, "_b"], "_s")))
+    fine = fine.withColumn("_lo", F.col("_hi") - F.col("_c")).filter(inside(F.col("_lo"), F.col("_hi")))
+    near = near.select(*keys, "_b", "_s", value).join(F.broadcast(fine.select(*keys, "_b", "_s", "_lo", "n")), [*keys, "_b", "_s"])
+    values = near.groupBy(*keys, "_b", "_s", "_lo", "n", value).agg(F.count("*").alias("_c"))
+    values = values.withColumn("_end", F.col("_lo") + F.sum("_c").over(upto([*keys, "_b", "_s"], value)))
     values = values.withColumn("_begin", F.col("_end") - F.col("_c"))
     picks = []
     for i, p in enumerate(probs):

@@ -7,15 +7,20 @@ month. Time-series fits see one row per calendar month of a series.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.functions.nulls import finite, gated_avg, ratio
 from factorlab.functions.stats import normal_two_sided_p, student_two_sided_p
 
+# Workers get these solves by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---------------------------------------------------------------- cross-section
 
 
@@ -172,47 +177,57 @@ def index_trend_full(history: DataFrame, xs: list[str], cfg, series: str = "seri
 def expanding_trend_betas(history: DataFrame, xs: list[str], cfg, series: str = "series_id") -> DataFrame:
     """The same regression for every signal month on the rows strictly before it.
 
-    A series has one row per calendar month, so a group stays small however many
-    series there are; no (signal, training) month pairs are materialised.
+    Each month's row carries its own training rows, which the calendar bounds, and
+    months are dealt over the cluster: no series is fitted in one task.
     """
     alpha, lags, need = cfg.trend_alpha, cfg.hac_lags, cfg.trend_min_obs
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month").reset_index(drop=True)
-        values = pdf[["next_ret", *xs]].to_numpy(float)
-        usable = np.isfinite(values).all(axis=1)
-        rows = []
-        for i, month in enumerate(pdf["month"]):
-            train = values[:i][usable[:i]]
-            if len(train) < need:
-                continue
-            b0, coef, _, _, _, chosen, r2 = _select_and_refit(train[:, 0], train[:, 1:], alpha, lags)
-            rows.append([pdf[series].iloc[0], month, len(train), r2, [xs[j] for j in chosen], b0, *coef])
-        return pd.DataFrame(
-            rows, columns=[series, "month", "n_obs", "r_squared_refit", "selected_variables", "intercept", *xs]
-        )
+    columns = ["next_ret", *xs]
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & finite(c).isNotNull()
+    before = Window.partitionBy(series).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    train = F.collect_list(F.when(whole, F.array(*[F.col(c).cast("double") for c in columns]))).over(before)
+    jobs = history.select(series, "month", train.alias("train")).filter(F.size("train") >= need)
+
+    def fit(batches):
+        for pdf in batches:
+            rows = []
+            for sid, month, past in pdf[[series, "month", "train"]].itertuples(index=False):
+                data = np.array([np.asarray(r, dtype=float) for r in past])
+                b0, coef, _, _, _, chosen, r2 = _select_and_refit(data[:, 0], data[:, 1:], alpha, lags)
+                rows.append([sid, month, len(data), r2, [xs[j] for j in chosen], b0, *coef])
+            yield pd.DataFrame(
+                rows, columns=[series, "month", "n_obs", "r_squared_refit", "selected_variables", "intercept", *xs]
+            )
 
     schema = (
         f"{series} string, month date, n_obs long, r_squared_refit double, selected_variables array<string>, "
         "intercept double, " + ", ".join(f"{c} double" for c in xs)
     )
-    return history.groupBy(series).applyInPandas(fit, schema)
+    return jobs.repartition(series, "month").mapInPandas(fit, schema)
 
 
 def coefficients_wide(terms: DataFrame, xs: list[str]) -> DataFrame:
-    """Long coefficient table to a single row (intercept, xs...)."""
+    """Long coefficient table to a single row (intercept, xs...).
+
+    A term that the fit left out counts 0; without a fitted constant there is no
+    trend, and all coefficients are NULL.
+    """
 
     def pick(t: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("term") == t, F.col("coefficient"))), F.lit(0.0))
+        return F.max(F.when(F.col("term") == t, F.col("coefficient")))
 
-    return terms.agg(pick("const").alias("intercept"), *[pick(c).alias(c) for c in xs])
+    fitted = pick("const").isNotNull()
+    return terms.agg(
+        pick("const").alias("intercept"), *[F.when(fitted, F.coalesce(pick(c), F.lit(0.0))).alias(c) for c in xs]
+    )
 
 
 def with_trends(signals: DataFrame, coefs: dict[str, DataFrame], xs: list[str]) -> DataFrame:
     """Add intercept + sum b * deviation for several coefficient tables in one pass.
 
-    ``coefs`` maps an output column to a table of one row, which becomes literals,
-    or of one row per month, which is broadcast.
+    ``coefs`` maps an output column to a table of one row, which becomes a scalar
+    subquery, or of one row per month, which is broadcast.
     """
     out = signals
     values = {}
@@ -222,8 +237,8 @@ def with_trends(signals: DataFrame, coefs: dict[str, DataFrame], xs: list[str])
             out = out.join(F.broadcast(packed), "month", "left")
             intercept, betas = F.col(f"_b{i}.intercept"), {c: F.col(f"_b{i}.{c}") for c in xs}
         else:
-            row = table.select("intercept", *xs).first()
-            intercept, betas = F.lit(row["intercept"]), {c: F.lit(row[c]) for c in xs}
+            out = out.withColumn(f"_b{i}", table.select(F.struct("intercept", *xs)).scalar())
+            intercept, betas = F.col(f"_b{i}.intercept"), {c: F.col(f"_b{i}.{c}") for c in xs}
         values[name] = finite(linear_prediction(intercept, [(betas[c], F.col(c)) for c in xs]))
     return out.select(*signals.columns, *[v.alias(n) for n, v in values.items()])
 

@@ -32,12 +32,12 @@ def random_subset(n_draws: Column, universe: Column, *identity: Column | int) ->
     return F.aggregate(ks, F.array().cast("array<bigint>"), draw)
 
 
-def indexed_universe(panel: DataFrame, ws: Workspace, max_group: int, split: bool | None = None) -> DataFrame:
+def indexed_universe(panel: DataFrame, ws: Workspace) -> DataFrame:
     """Eligible names of each month numbered 1..N in ticker order."""
     rows = panel.filter(F.col("eligible") & F.col("next_ret_oc").isNotNull()).select(
         "month", "ticker", "next_open", "next_high", "next_low", "next_ret_oc"
     )
-    return ranks.rank_first(rows, ["month"], ["ticker"], "idx", ws, max_group, split)
+    return ranks.rank_first(rows, ["month"], ["ticker"], "idx", ws)
 
 
 def monte_carlo(

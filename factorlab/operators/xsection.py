@@ -22,38 +22,21 @@ def unpivot(df: DataFrame, ids: list[str], columns: dict[str, str], name: str, v
     return df.select(*ids, F.inline(pairs))
 
 
-def _winsor_bounds(clean: DataFrame, targets: list[str], key: str, min_names: int, max_group: int, split: bool) -> DataFrame:
+def _winsor_bounds(clean: DataFrame, targets: list[str], key: str, min_names: int) -> DataFrame:
     """Clip bounds per month, one array column per target; NULL below ``min_names`` values."""
-    if not split:
-        levels = F.array(*[F.lit(p) for p in WINSOR])
-        return clean.groupBy(key).agg(
-            *[
-                F.when(F.count(f"_x_{t}") >= min_names, F.percentile(f"_x_{t}", levels)).alias(f"_q_{t}")
-                for t in targets
-            ]
-        )
     long = unpivot(clean, [key], {t: f"_x_{t}" for t in targets}, "_f", "_v")
-    q = ranks.quantiles(long, [key, "_f"], "_v", list(WINSOR), max_group, split).filter(F.col("n") >= min_names)
+    q = ranks.quantiles(long, [key, "_f"], "_v", list(WINSOR)).filter(F.col("n") >= min_names)
     return q.groupBy(key).agg(*[F.max(F.when(F.col("_f") == t, F.col("q"))).alias(f"_q_{t}") for t in targets])
 
 
-def winsor_zscore(
-    panel: DataFrame,
-    columns: dict[str, str],
-    min_names: int,
-    max_group: int,
-    key: str = "month",
-    split: bool | None = None,
-) -> DataFrame:
+def winsor_zscore(panel: DataFrame, columns: dict[str, str], min_names: int, key: str = "month") -> DataFrame:
     """Add z-scores ``{source: target}`` per month, clipped at the 1 % and 99 % quantiles.
 
     NULL when a month has fewer than ``min_names`` values or no dispersion.
     """
     clean = panel.withColumns({f"_x_{t}": finite(s) for s, t in columns.items()})
     targets = list(columns.values())
-    if split is None:
-        split = ranks.largest_group(panel, [key]) > max_group
-    bounds = _winsor_bounds(clean, targets, key, min_names, max_group, split)
+    bounds = _winsor_bounds(clean, targets, key, min_names)
     clipped = clean.join(F.broadcast(bounds), key, "left").withColumns(
         {
             f"_x_{t}": F.when(
@@ -86,8 +69,8 @@ def factor_long(panel: DataFrame, factors: dict[str, str], min_names: int) -> Da
     return rows.join(F.broadcast(sizes), ["month", "factor"])
 
 
-def quintile_legs(long: DataFrame, ws: Workspace, max_group: int, split: bool | None = None) -> DataFrame:
-    ranked = ranks.rank_first(long, ["month", "factor"], ["z", "ticker"], "rank", ws, max_group, split)
+def quintile_legs(long: DataFrame, ws: Workspace) -> DataFrame:
+    ranked = ranks.rank_first(long, ["month", "factor"], ["z", "ticker"], "rank", ws)
     return ranked.withColumn("quintile", ranks.quintile_bucket(F.col("rank"), F.col("n")))
 
 
@@ -130,18 +113,16 @@ def xs_univariate_fmp(long: DataFrame) -> DataFrame:
         F.count("*").alias("n_obs"),
     )
     slope = F.col("regression_fmp_return")
-    s2 = (F.col("_syy") - slope * F.col("_sxy")) / (F.col("n_obs") - 2)
+    s2 = ratio(F.col("_syy") - slope * F.col("_sxy"), F.col("n_obs") - 2)
     t = ratio(slope, F.sqrt(ratio(s2, F.col("_sxx"))))
     return m.withColumn("regression_t_stat", t).drop("_sxx", "_syy", "_sxy")
 
 
-def information_coefficients(long: DataFrame, ws: Workspace, max_group: int, split: bool | None = None) -> DataFrame:
+def information_coefficients(long: DataFrame, ws: Workspace) -> DataFrame:
     """Pearson and Spearman correlation of z and next return per (month, factor)."""
     keys = ["month", "factor"]
-    # Measured once: both rankings run over the same rows.
-    split = ranks.split_parts(long, keys, max_group, split)
-    both = ranks.rank_average(long, keys, "z", "ticker", "_rz", ws, max_group, split)
-    both = ranks.rank_average(both, keys, "ret", "ticker", "_rr", ws, max_group, split)
+    both = ranks.rank_average(long, keys, "z", "ticker", "_rz", ws)
+    both = ranks.rank_average(both, keys, "ret", "ticker", "_rr", ws)
     return both.groupBy(*keys).agg(
         F.corr("z", "ret").alias("ic"), F.corr("_rz", "_rr").alias("rank_ic"), F.count("*").alias("n_obs")
     )

@@ -14,7 +14,7 @@ def ic_for_trend(panel: DataFrame, trend_col: str, cfg: EngineConfig, ws: Worksp
     """Rank IC per (month, factor) with the given trend column in the trend role."""
     factors = {f: (trend_col if f == "trend" else f"{f}_z") for f in FACTORS}
     long = xsection.factor_long(panel, factors, cfg.min_names_fmp)
-    return xsection.information_coefficients(long, ws, cfg.max_group_rows)
+    return xsection.information_coefficients(long, ws)
 
 
 def months_of(panel: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def raw_panel(
     )
 
 
-def score_panel(raw: DataFrame, cfg: EngineConfig, columns: dict[str, str] = Z_COLUMNS, split: bool | None = None) -> DataFrame:
-    scored = xsection.winsor_zscore(raw, columns, cfg.min_names_zscore, cfg.max_group_rows, split=split)
+def score_panel(raw: DataFrame, cfg: EngineConfig, columns: dict[str, str] = Z_COLUMNS) -> DataFrame:
+    scored = xsection.winsor_zscore(raw, columns, cfg.min_names_zscore)
     return scoring.composite_min3(scored, REQUIRED_Z)
 
 
@@ -111,7 +111,7 @@ def inject_hzz(
     keep = [c for c in panel.columns if c not in ("trend_hzz_raw", "trend_hzz_factor", "trend_hzz_z")]
     out = panel.select(*keep).join(predicted, ["ticker", "month"], "left")
     out = ws.materialise(out.withColumn("trend_hzz_factor", F.col("trend_hzz_raw")), "panel_hzz")
-    return xsection.winsor_zscore(out, {"trend_hzz_factor": "trend_hzz_z"}, cfg.min_names_zscore, cfg.max_group_rows)
+    return xsection.winsor_zscore(out, {"trend_hzz_factor": "trend_hzz_z"}, cfg.min_names_zscore)
 
 
 def hzz_betas(monthly: DataFrame, ratios: DataFrame, cfg: EngineConfig, ws: Workspace) -> DataFrame:

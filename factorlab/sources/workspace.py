@@ -2,7 +2,8 @@
 
 A written table cuts lineage, survives executor loss and keeps column pruning,
 which an in-memory copy does not. The folder is the one the session names in
-``spark.checkpoint.dir``; only when none is set (tests) a fresh local one is used.
+``spark.checkpoint.dir``. A session on one machine that names none gets a fresh
+local folder; on a cluster that is an error, for executors would not see it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="spark-factorlab-")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from factorlab.config import EngineConfig
-from factorlab.operators import bars, joins, regress
+from factorlab.operators import bars, joins, portfolio, regress
 
 CFG = EngineConfig(ma_windows=(3, 5), trend_min_obs=20, min_names_multivariate=10)
 
@@ -196,3 +196,23 @@ def test_scan_pushes_projection_and_cutoff(spark, ws):
     assert "PushedFilters: [IsNotNull(date), LessThanOrEqual(date,2001-01-20)]" in plan
     assert "adjOpen" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert got.count() == 20
+
+
+def test_moving_averages_recover_from_a_nan(spark):
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(200)]
+    rows = [("A", d, float("nan") if i == 6 else 50.0 + i) for i, d in enumerate(days)]
+    got = bars.ma_deviation(spark.createDataFrame(rows, "ticker string, date date, p double"), (3,), "p").toPandas()
+    assert got["ma_dev_3"].notna().all()
+
+
+def test_trend_without_a_fit_is_null(spark):
+    terms = spark.createDataFrame([], "term string, coefficient double")
+    row = regress.coefficients_wide(terms, ["ma_dev_3"]).first()
+    assert row["intercept"] is None and row["ma_dev_3"] is None
+
+
+def test_rebalance_keeps_strategies_apart(spark):
+    held = spark.createDataFrame([("a", "X"), ("a", "Y"), ("b", "Y")], "strategy string, ticker string")
+    wanted = spark.createDataFrame([("a", "Y"), ("b", "X")], "strategy string, ticker string")
+    got = {(r.strategy, r.ticker): r.action for r in portfolio.rebalance_diff(held, wanted).collect()}
+    assert got == {("a", "X"): "exit", ("a", "Y"): "hold", ("b", "Y"): "exit", ("b", "X"): "enter"}
