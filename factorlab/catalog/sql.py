@@ -525,14 +525,18 @@ FROM (SELECT *, held_now AND NOT stopped AND NOT taken AS still
       FROM walk w JOIN walk_bars b ON b.strategy = w.strategy AND b.ticker = w.ticker AND b.i = w.i + 1))))"""
 CTE["exits"] = """
 SELECT strategy, ticker, entry_date, entry AS entry_price, shares, exit_date, exit_price, reason, bar_len
-FROM walk WHERE exit_date IS NOT NULL"""
+FROM walk WHERE exit_date IS NOT NULL
+UNION ALL
+SELECT strategy, ticker, entry_date, entry, shares, NULL, NULL, NULL, NULL
+FROM (SELECT *, row_number() OVER (PARTITION BY strategy, ticker ORDER BY i DESC) AS back FROM walk) WHERE back = 1 AND held"""
 CTE["trade_log"] = """
-SELECT strategy, ticker, exit_date AS date, shares * (exit_price - entry_price) AS pnl, bar_len, reason FROM exits"""
+SELECT strategy, ticker, exit_date AS date, shares * (exit_price - entry_price) AS pnl, bar_len, reason FROM exits
+WHERE exit_date IS NOT NULL"""
 CTE["positions"] = """
 SELECT strategy, date, ticker, entry_date, shares, price, shares * price AS market_value FROM (
   SELECT e.strategy, d.date, e.ticker, e.entry_date, e.shares, last_value(p.adjClose IGNORE NULLS) OVER (
          PARTITION BY e.strategy, e.ticker, e.entry_date ORDER BY d.date) AS price
-  FROM exits e JOIN index_daily d ON d.date >= e.entry_date AND d.date < e.exit_date
+  FROM exits e JOIN index_daily d ON d.date >= e.entry_date AND coalesce(d.date < e.exit_date, TRUE)
   LEFT JOIN prices p ON p.ticker = e.ticker AND p.date = d.date)"""
 CTE["mtm"] = f"""
 SELECT strategy, date, cash, market_value, cash + market_value AS value FROM (
@@ -541,7 +545,7 @@ SELECT strategy, date, cash, market_value, cash + market_value AS value FROM (
   FROM (SELECT DISTINCT strategy FROM exits) s CROSS JOIN (SELECT date FROM index_daily) d
   LEFT JOIN (SELECT strategy, date, sum(flow) AS flow FROM (
        SELECT strategy, entry_date AS date, -shares * entry_price AS flow FROM exits
-       UNION ALL SELECT strategy, exit_date, shares * exit_price FROM exits) GROUP BY ALL) f
+       UNION ALL SELECT strategy, exit_date, shares * exit_price FROM exits WHERE exit_date IS NOT NULL) GROUP BY ALL) f
     ON f.strategy = s.strategy AND f.date = d.date
   LEFT JOIN (SELECT strategy, date, sum(market_value) AS mv FROM positions GROUP BY ALL) v
     ON v.strategy = s.strategy AND v.date = d.date)"""

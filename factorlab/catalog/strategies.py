@@ -306,8 +306,8 @@ add(
     "pnl_histogram",
     "strategy bin:i n_trades:i",
     lambda lb: trades.pnl_histogram(trades.trade_log(lb.exits)),
-    "SELECT strategy, least(floor((pnl + 15000) / (30000.0 / 49)) + 1, 49) AS bin, count(*) AS n_trades FROM trade_log "
-    "WHERE pnl BETWEEN -15000 AND 15000 GROUP BY ALL",
+    "SELECT strategy, CASE WHEN pnl < -15000 THEN 0 WHEN pnl > 15000 THEN 50 "
+    "ELSE least(floor((pnl + 15000) / (30000.0 / 49)) + 1, 49) END AS bin, count(*) AS n_trades FROM trade_log GROUP BY ALL",
 )
 add(
     "daily_positions",

@@ -1,12 +1,15 @@
 """Daily outcomes of monthly signals: exits, trades, positions and account value.
 
-An entry is ordered at the close of a ticker's first bar of the holding month
-and fills at its next open. Protective levels come from the fill price and are
-live from the following bar; a gap through a level fills at the open. A name
-that leaves the target is sold one bar later, or two when protective orders
-must be cancelled first. After a protective exit the name may re-enter at the
-next monthly rebalance. Each (strategy, ticker) is one ordered fold over its
-daily bars, which the trading calendar bounds.
+An entry is decided at the close of a ticker's first bar of the holding month and
+made at its next open. Protective levels come from the entry price and are live
+from the following bar; a gap through a level is met at the open. A name that
+leaves the target is sold one bar later, or two if it is protected. After a
+protective exit the name may be bought again in the next month it is wanted.
+
+Every month of a wanted name is a possible entry whose exit follows from joins:
+months in between by their extremes, then the days of at most three months. A
+short fold over a name's possible entries, one per month, keeps those that begin
+when nothing is held. What is still held at the last bar has no exit.
 """
 
 from __future__ import annotations
@@ -17,11 +20,6 @@ from pyspark.sql import functions as F
 from factorlab.config import EngineConfig
 from factorlab.operators.portfolio import fixed_cash_shares
 
-_TRADE = (
-    "array<struct<entry_date: date, entry_price: double, shares: bigint, exit_date: date, exit_price: double, "
-    "reason: string, bar_len: int>>"
-)
-
 
 def holding_spells(signals: DataFrame) -> DataFrame:
     """Consecutive panel months a name stays in the target (gaps and islands)."""
@@ -63,105 +61,130 @@ def rebalance_bars(signals: DataFrame, prices: DataFrame) -> DataFrame:
         "high",
         "low",
         "close",
+        "month",
         F.coalesce(prev != F.col("month"), F.lit(True)).alias("first_bar"),
         F.coalesce("_in", F.lit(False)).alias("in_target"),
         F.row_number().over(w).alias("i"),
     )
 
 
-def first_touch_exits(bars: DataFrame, stop: float | None, take: float | None, cfg: EngineConfig) -> DataFrame:
-    """Closed trades with exit reason, price and bars held."""
-    protected = stop is not None or take is not None
-    delay = 2 if protected else 1
-    walk = bars.groupBy("strategy", "ticker").agg(
-        F.array_sort(
-            F.collect_list(F.struct("i", "date", "open", "high", "low", "close", "first_bar", "in_target"))
-        ).alias("_bars")
-    )
-    blank = F.struct(
-        F.lit(False).alias("held"),
-        F.lit(None).cast("date").alias("entry_date"),
-        F.lit(None).cast("double").alias("entry"),
-        F.lit(0).alias("entry_i"),
-        F.lit(0).cast("long").alias("shares"),
-        F.lit(0).cast("long").alias("buying"),
-        F.lit(0).alias("selling"),
-        F.array().cast(_TRADE).alias("trades"),
-    )
+def entry_candidates(bars: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """One row per month in which a name is wanted: its entry, levels, and the exit if no level is met.
 
-    def step(s: Column, b: Column) -> Column:
-        # 1. Orders from earlier bars fill at this open.
-        fill_out = s["held"] & (s["selling"] == 1)
-        fill_in = ~s["held"] & (s["buying"] > 0)
-        entry = F.when(fill_in, b["open"]).otherwise(s["entry"])
-        entry_i = F.when(fill_in, b["i"]).otherwise(s["entry_i"])
-        entry_date = F.when(fill_in, b["date"]).otherwise(s["entry_date"])
-        shares = F.when(fill_in, s["buying"]).otherwise(s["shares"])
-        held = (s["held"] & ~fill_out) | fill_in
-        selling = F.when(fill_out, 0).otherwise(F.greatest(s["selling"] - 1, F.lit(0)))
-        # 2. Protective levels, live from the bar after the fill and not while leaving.
-        live = s["held"] & ~fill_out & (s["selling"] == 0)
-        low_level = entry * (1 - stop) if stop is not None else F.lit(None).cast("double")
-        high_level = entry * (1 + take) if take is not None else F.lit(None).cast("double")
-        stopped = live & F.coalesce(b["low"] <= low_level, F.lit(False))
-        taken = live & ~stopped & F.coalesce(b["high"] >= high_level, F.lit(False))
-        closed = fill_out | stopped | taken
-        price = (
-            F.when(fill_out, b["open"])
-            .when(stopped, F.least(b["open"], low_level))
-            .otherwise(F.greatest(b["open"], high_level))
-        )
-        reason = F.when(fill_out, "rebalance_exit").when(stopped, "stop_loss").otherwise("take_profit")
-        trade = F.struct(
-            entry_date.alias("entry_date"),
-            entry.alias("entry_price"),
-            shares.alias("shares"),
-            b["date"].alias("exit_date"),
-            price.alias("exit_price"),
-            reason.alias("reason"),
-            (b["i"] - entry_i).alias("bar_len"),
+    ``end_i`` is the bar at which the name is first seen to have left the target.
+    """
+    w = Window.partitionBy("strategy", "ticker").orderBy("i")
+    guarded = F.col("stop").isNotNull() | F.col("take").isNotNull()
+
+    def ahead(column: str) -> Column:
+        return F.when(guarded, F.lead(column, 2).over(w)).otherwise(F.lead(column, 1).over(w))
+
+    heads = bars.withColumns(
+        {
+            "entry_date": F.lead("date", 1).over(w),
+            "entry_price": F.lead("open", 1).over(w),
+            "_out": F.struct("i", "month", ahead("i").alias("at"), ahead("date").alias("date"), ahead("open").alias("price")),
+        }
+    ).filter("first_bar")
+    left = F.min(F.when(~F.col("in_target"), F.col("_out"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    out = heads.withColumn("_end", left).filter("in_target and entry_date is not null")
+    return (
+        out.withColumn("shares", fixed_cash_shares(F.col("close"), cfg.cash_per_trade))
+        .filter("shares > 0")
+        .select(
+            "strategy", "ticker", F.col("i").alias("c"), "month", "entry_date", "entry_price", "shares",
+            (F.col("entry_price") * (1 - F.col("stop"))).alias("low_level"),
+            (F.col("entry_price") * (1 + F.col("take"))).alias("high_level"),
+            F.col("_end.i").alias("end_i"), F.col("_end.month").alias("end_month"),
+            F.col("_end.at").alias("out_i"), F.col("_end.date").alias("out_date"), F.col("_end.price").alias("out_price"),
         )
-        still = held & ~stopped & ~taken
-        # 3. Monthly decision at the close of the first bar of a month.
-        leave = b["first_bar"] & still & ~b["in_target"] & (selling == 0)
-        enter = b["first_bar"] & ~still & b["in_target"]
+    )
+
+
+def first_touches(candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """(strategy, ticker, c, hit): the first bar after entry at which a level is met, while the name is wanted."""
+    key = ["strategy", "ticker"]
+    # Months between the first and the last hold no bar outside the position: their extremes tell which is met first.
+    extremes = bars.groupBy(*key, F.col("month").alias("_m")).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
+    met = F.coalesce(F.col("_lo") <= F.col("low_level"), F.lit(False)) | F.coalesce(F.col("_hi") >= F.col("high_level"), F.lit(False))
+    inner = (F.col("_m") > F.col("month")) & (F.col("end_month").isNull() | (F.col("_m") < F.col("end_month")))
+    between = candidates.join(extremes, key).filter(inner & met).groupBy(*key, "c").agg(F.min("_m").alias("between"))
+    days = bars.select(*key, F.col("month").alias("_m"), F.col("i").alias("_i"), F.col("date").alias("_d"), "open", "high", "low")
+    look = candidates.join(between, [*key, "c"], "left").withColumn(
+        "_m", F.explode(F.array_distinct(F.filter(F.array("month", "between", "end_month"), lambda m: m.isNotNull())))
+    )
+    live = (F.col("_i") > F.col("c") + 1) & (F.col("end_i").isNull() | (F.col("_i") <= F.col("end_i")))
+    stopped = F.coalesce(F.col("low") <= F.col("low_level"), F.lit(False))
+    taken = F.coalesce(F.col("high") >= F.col("high_level"), F.lit(False))
+    price = F.when(stopped, F.least("open", "low_level")).otherwise(F.greatest("open", "high_level"))
+    reason = F.when(stopped, "stop_loss").otherwise("take_profit")
+    hits = look.join(days, [*key, "_m"]).filter(live & (stopped | taken))
+    hit = F.min(F.struct(F.col("_i").alias("at"), F.col("_d").alias("date"), price.alias("price"), reason.alias("reason")))
+    return hits.groupBy(*key, "c").agg(hit.alias("hit"))
+
+
+def first_touch_exits(bars: DataFrame, stop: float | None, take: float | None, cfg: EngineConfig, levels: DataFrame | None = None) -> DataFrame:
+    """Trades with exit reason, price and bars held; a position open at the last bar has NULL in all of these.
+
+    ``levels`` (strategy, stop, take) gives each strategy its own; else ``stop`` and ``take`` hold for all.
+    """
+    if levels is None:
+        bars = bars.withColumn("stop", F.lit(stop).cast("double")).withColumn("take", F.lit(take).cast("double"))
+    else:
+        bars = bars.join(F.broadcast(levels), "strategy")  # one row per strategy
+    candidates = entry_candidates(bars, cfg)
+    key = ["strategy", "ticker", "c"]
+    rows = candidates.join(first_touches(candidates, bars), key, "left")
+    touched = F.col("hit").isNotNull()
+    exit_i = F.when(touched, F.col("hit.at")).otherwise(F.col("out_i"))
+    trade = F.struct(
+        "c", "entry_date", "entry_price", "shares",
+        F.when(touched, F.col("hit.date")).otherwise(F.col("out_date")).alias("exit_date"),
+        F.when(touched, F.col("hit.price")).otherwise(F.col("out_price")).alias("exit_price"),
+        F.when(touched, F.col("hit.reason")).when(F.col("out_i").isNotNull(), F.lit("rebalance_exit")).alias("reason"),
+        (exit_i - F.col("c") - 1).alias("bar_len"),
+        exit_i.alias("exit_i"),
+    )
+    walk = rows.groupBy("strategy", "ticker").agg(F.array_sort(F.collect_list(trade)).alias("_all"))
+    none = F.filter("_all", lambda t: F.lit(False))
+    start = F.struct(F.lit(0).alias("free"), none.alias("kept"))
+
+    def step(s: Column, t: Column) -> Column:
+        take_it = t["c"] >= s["free"]
+        after = F.coalesce(t["exit_i"], F.lit(2**31 - 1))
         return F.struct(
-            still.alias("held"),
-            entry_date.alias("entry_date"),
-            entry.alias("entry"),
-            entry_i.alias("entry_i"),
-            shares.alias("shares"),
-            F.when(enter, fixed_cash_shares(b["close"], cfg.cash_per_trade)).otherwise(F.lit(0).cast("long")).alias("buying"),
-            F.when(leave, F.lit(delay)).otherwise(selling).alias("selling"),
-            F.concat(s["trades"], F.when(closed, F.array(trade).cast(_TRADE)).otherwise(F.array().cast(_TRADE))).alias(
-                "trades"
-            ),
+            F.when(take_it, after).otherwise(s["free"]).alias("free"),
+            F.when(take_it, F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"),
         )
 
-    return walk.select("strategy", "ticker", F.inline(F.aggregate("_bars", blank, step, lambda s: s["trades"])))
+    return walk.select("strategy", "ticker", F.inline(F.aggregate("_all", start, step, lambda s: s["kept"]))).drop("c", "exit_i")
 
 
 def trade_log(exits: DataFrame) -> DataFrame:
+    """Closed trades only."""
     pnl = F.col("shares") * (F.col("exit_price") - F.col("entry_price"))
-    return exits.select("strategy", "ticker", F.col("exit_date").alias("date"), pnl.alias("pnl"), "bar_len", "reason")
+    return exits.filter(F.col("exit_date").isNotNull()).select("strategy", "ticker", F.col("exit_date").alias("date"), pnl.alias("pnl"), "bar_len", "reason")
 
 
 def daily_positions(exits: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Positions valued on every trading day from entry to the day before exit.
+    """Positions valued on every trading day from entry to the day before exit, open ones to the last day.
 
     Trades and calendar meet on the month (an equi-join); a day on which the
     name has no bar carries its last close forward.
     """
     cal = calendar.select("date", F.last_day("date").alias("month"))
     first = F.trunc("entry_date", "month")
-    months = F.sequence(first, F.trunc("exit_date", "month"), F.expr("interval 1 month"))
+    last = calendar.select(F.max("date")).scalar()
+    exits = exits.withColumn("_until", F.coalesce(F.col("exit_date"), last))
+    until = F.trunc("_until", "month")
+    months = F.when(until >= first, F.sequence(first, F.greatest(first, until), F.expr("interval 1 month")))
     days = (
         exits.select(
             "strategy", "ticker", "entry_date", "entry_price", "shares", "exit_date",
             F.explode(F.transform(months, lambda m: F.last_day(m))).alias("month"),
         )
         .join(F.broadcast(cal), "month")
-        .filter((F.col("date") >= F.col("entry_date")) & (F.col("date") < F.col("exit_date")))
+        .filter((F.col("date") >= F.col("entry_date")) & F.coalesce(F.col("date") < F.col("exit_date"), F.lit(True)))
     )
     close = prices.select("ticker", "date", F.col("adjClose").alias("_close"))
     w = Window.partitionBy("strategy", "ticker", "entry_date").orderBy("date")
@@ -185,7 +208,7 @@ def mark_to_market(
             )
         ),
     )
-    flow = flows.groupBy("strategy", "date").agg(F.sum("flow").alias("flow"))
+    flow = flows.filter(F.col("date").isNotNull()).groupBy("strategy", "date").agg(F.sum("flow").alias("flow"))
     value = positions.groupBy("strategy", "date").agg(F.sum("market_value").alias("market_value"))
     names = F.array(*[F.lit(s) for s in strategies])
     spine = calendar.select("date", F.explode(names).alias("strategy"))
@@ -203,8 +226,8 @@ def trade_stats(log: DataFrame) -> DataFrame:
 
 
 def pnl_histogram(log: DataFrame, low: float = -15000.0, high: float = 15000.0, bins: int = 49) -> DataFrame:
-    """Trade counts in equal bins; out-of-range trades fall outside, as in a fixed axis."""
+    """Trade counts in equal bins of a fixed axis; bin 0 and bin ``bins`` + 1 count the trades below and above it."""
     width = (high - low) / bins
-    inside = (F.col("pnl") >= low) & (F.col("pnl") <= high)
-    bucket = F.least(F.floor((F.col("pnl") - low) / width) + 1, F.lit(bins)).cast("int")
-    return log.filter(inside).groupBy("strategy", bucket.alias("bin")).agg(F.count("*").alias("n_trades"))
+    inside = F.least(F.floor((F.col("pnl") - low) / width) + 1, F.lit(bins))
+    bucket = F.when(F.col("pnl") < low, 0).when(F.col("pnl") > high, bins + 1).otherwise(inside).cast("int")
+    return log.groupBy("strategy", bucket.alias("bin")).agg(F.count("*").alias("n_trades"))

@@ -83,7 +83,7 @@ def walk_by_hand(bars, stop, take):
             selling = 1 if stop is None and take is None else 2
         if b["first"] and not held and b["target"]:
             buying = int(100_000 // b["close"])
-    return out
+    return [*out, (entry, shares, None, None, None)] if held else out
 
 
 @pytest.mark.parametrize("stop,take", [(0.05, 0.10), (None, None), (0.03, None)])
@@ -107,11 +107,25 @@ def test_first_touch_matches_loop(spark, stop, take):
             want = (want or []) + [(t, *x) for x in walk_by_hand(bars, stop, take)]
     pdf = spark.createDataFrame(prices, "ticker string, date date, adjOpen double, adjHigh double, adjLow double, adjClose double")
     sig = spark.createDataFrame(signals, "strategy string, month date, ticker string")
-    got = trades.first_touch_exits(trades.rebalance_bars(sig, pdf), stop, take, CFG).orderBy("ticker", "exit_date").collect()
+    got = trades.first_touch_exits(trades.rebalance_bars(sig, pdf), stop, take, CFG).orderBy("ticker", "entry_date").collect()
     assert len(got) == len(want) > 3
     for g, (t, entry, shares, price, reason, n) in zip(got, want):
         assert (g["ticker"], g["shares"], g["reason"], g["bar_len"]) == (t, shares, reason, n)
-        assert math.isclose(g["entry_price"], entry) and math.isclose(g["exit_price"], price)
+        assert math.isclose(g["entry_price"], entry) and (g["exit_price"] is price if price is None else math.isclose(g["exit_price"], price))
+
+
+def test_position_held_to_the_end_is_valued(spark):
+    """Two wanted months and a price that rises to the last bar: no exit, and the account rises with it."""
+    days = [d.date() for d in pd.bdate_range("2000-02-01", "2000-03-31")]
+    prices = spark.createDataFrame([("A", d, *[50.0 + i] * 4) for i, d in enumerate(days)], "ticker string, date date, adjOpen double, adjHigh double, adjLow double, adjClose double")
+    sig = spark.createDataFrame([("s", m, "A") for m in month_ends(2)], "strategy string, month date, ticker string")
+    exits = trades.first_touch_exits(trades.rebalance_bars(sig, prices), 0.5, 9.0, CFG)
+    assert [(r["exit_date"], r["reason"], r["shares"]) for r in exits.collect()] == [(None, None, 2000)]
+    cal = prices.select("date")
+    account = trades.mark_to_market(exits, trades.daily_positions(exits, prices, cal), cal, ["s"], CFG).orderBy("date").collect()
+    assert account[-1]["market_value"] == 2000 * (50.0 + len(days) - 1)
+    assert account[-1]["value"] == CFG.initial_cash + 2000 * (len(days) - 2)
+    assert trades.trade_log(exits).count() == 0
 
 
 def test_random_subset_draws_without_replacement(spark):
