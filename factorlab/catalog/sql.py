@@ -283,8 +283,8 @@ def _lit(v) -> str:
 
 def _spec_values(specs, scenarios) -> str:
     rows = ", ".join(
-        f"('{s.name}', '{sc}', '{s.score_variant}', {s.top_n}, {s.regime_filter}, {_lit(s.stop_loss)}::DOUBLE, "
-        f"{_lit(s.take_profit)}::DOUBLE, '{s.sizing_method}', {s.sizing_target_pct}::DOUBLE)"
+        f"('{s.name}', '{sc}', '{s.score_variant}', {s.top_n}, {s.gated}, {_lit(s.exits.stop)}::DOUBLE, "
+        f"{_lit(s.exits.take)}::DOUBLE, '{s.sizing.method}', {s.sizing.share}::DOUBLE)"
         for s in specs
         for sc in scenarios
     )
@@ -301,15 +301,15 @@ CTE["scores"] = " UNION ALL ".join(
         f"SELECT '{v}' AS variant, month, ticker, sector, next_open, next_high, next_low, next_ret_oc, "
         + "("
         + " + ".join(
-            f"{s.factor_column(f)} * {('weight_' + f) if s.weight_method == 'rolling_rank_ic' else float(s.weights[f])}"
+            f"{s.factor_column(f)} * {('weight_' + f) if s.weighting.method == 'rolling_rank_ic' else float(s.weights[f])}"
             for f in FACTORS
         )
         + ") / ("
         + " + ".join(
-            f"{('weight_' + f) if s.weight_method == 'rolling_rank_ic' else float(s.weights[f])}" for f in FACTORS
+            f"{('weight_' + f) if s.weighting.method == 'rolling_rank_ic' else float(s.weights[f])}" for f in FACTORS
         )
         + ") AS score FROM panel"
-        + (" JOIN ic_weights USING (month)" if s.weight_method == "rolling_rank_ic" else "")
+        + (" JOIN ic_weights USING (month)" if s.weighting.method == "rolling_rank_ic" else "")
         + " WHERE eligible"
     )
     for v, s in _variants.items()

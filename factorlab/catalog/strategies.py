@@ -43,7 +43,7 @@ add(
 )
 def _static_specs():
     """Every strategy whose score needs no information coefficients; the others are in strategy_curves."""
-    return [s for s in all_specs() if s.weight_method == "static"]
+    return [s for s in all_specs() if s.weighting.method == "static"]
 
 
 add(
@@ -61,9 +61,9 @@ add(
     lambda lb: _spec_coverage(lb),
     "SELECT v.*, c.n_scored, c.first_month FROM (VALUES "
     + ", ".join(
-        f"('{s.name}', '{s.score_variant}', {s.top_n}, '{s.trend_col}', '{s.weight_method}', {s.regime_filter}, "
-        f"{s.stop_loss if s.stop_loss is not None else 'NULL'}::DOUBLE, "
-        f"{s.take_profit if s.take_profit is not None else 'NULL'}::DOUBLE, '{s.sizing_method}', {s.assignment_scope})"
+        f"('{s.name}', '{s.score_variant}', {s.top_n}, '{s.trend}', '{s.weighting.method}', {s.gated}, "
+        f"{s.exits.stop if s.exits.stop is not None else 'NULL'}::DOUBLE, "
+        f"{s.exits.take if s.exits.take is not None else 'NULL'}::DOUBLE, '{s.sizing.method}', {s.scores_like(all_specs()[0])})"
         for s in [*all_specs(), *grid_specs()]
     )
     + ") v(strategy, variant, top_n, trend_col, weight_method, regime_filter, stop_loss, take_profit, sizing_method, "
@@ -75,7 +75,7 @@ add(
 def _spec_coverage(lb: Lab):
     """Every specification beside how much of the panel its score covers."""
     specs = [*all_specs(), *grid_specs()]
-    rolling = next(s for s in specs if s.weight_method == "rolling_rank_ic")
+    rolling = next(s for s in specs if s.weighting.method == "rolling_rank_ic")
     weights = {rolling.score_variant: scoring.rolling_ic_weights(lb.months.select("month"), lb.ic_expanding, rolling)}
     cover = scoring.scores_by_variant(lb.panel, specs, weights).groupBy("variant").agg(
         F.count("*").alias("n_scored"), F.min("month").alias("first_month")

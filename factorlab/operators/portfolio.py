@@ -149,8 +149,8 @@ def run_array(specs: list[StrategySpec], scenarios: list[str]) -> Column:
                 F.lit(s.name).alias("strategy"),
                 F.lit(sc).alias("scenario"),
                 F.lit(s.top_n).alias("top_n"),
-                F.lit(s.sizing_method).alias("sizing_method"),
-                F.lit(s.sizing_target_pct).alias("sizing_target_pct"),
+                F.lit(s.sizing.method).alias("sizing_method"),
+                F.lit(s.sizing.share).alias("sizing_target_pct"),
             )
             for s in specs
             for sc in scenarios

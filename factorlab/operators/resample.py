@@ -50,7 +50,7 @@ def monte_carlo(
     sims x universe.
     """
     sizes = universe.groupBy("month").agg(F.count("*").alias("_n"))
-    gate = F.coalesce(F.col("regime_on"), F.lit(True)) if spec.regime_filter else F.lit(True)
+    gate = F.coalesce(F.col("regime_on"), F.lit(True)) if spec.gated else F.lit(True)
     spine = months.join(F.broadcast(sizes), "month", "left").withColumn(
         "_n", F.when(gate, F.coalesce("_n", F.lit(0))).otherwise(0)
     )
@@ -63,8 +63,8 @@ def monte_carlo(
         "month",
         F.posexplode_outer(random_subset(want, F.col("_n"), cfg.seed, F.col("sim"), F.col("month"))).alias("rank", "idx"),
     )
-    stop = F.lit(spec.stop_loss).cast("double")
-    take = F.lit(spec.take_profit).cast("double")
+    stop = F.lit(spec.exits.stop).cast("double")
+    take = F.lit(spec.exits.take).cast("double")
     hit = universe.select("month", "idx", stop_take_return(stop, take).alias("_r"))
     drawn = draws.join(hit, ["month", "idx"], "left").withColumn("_hit", F.col("idx").isNotNull())
     monthly = drawn.groupBy("sim", "month").agg(
@@ -76,8 +76,8 @@ def monte_carlo(
         "month",
         "returns",
         F.lit(spec.top_n).alias("top_n"),
-        F.lit(spec.sizing_method).alias("sizing_method"),
-        F.lit(spec.sizing_target_pct).alias("sizing_target_pct"),
+        F.lit(spec.sizing.method).alias("sizing_method"),
+        F.lit(spec.sizing.share).alias("sizing_target_pct"),
     )
     return fold_equity(monthly, ["sim"], cfg)
 

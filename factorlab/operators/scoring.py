@@ -52,7 +52,7 @@ def bounded_simplex(raw: Column, size: int, lower: float, upper: float) -> Colum
     passes suffice. Native higher-order functions, no UDF.
     """
     if lower * size > 1.0 or upper * size < 1.0:
-        raise ValueError("Infeasible factor weight bounds.")
+        raise ValueError(f"{size} weights between {lower} and {upper} cannot sum to one")
     clean = F.transform(raw, lambda v: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
     total = F.aggregate(clean, F.lit(0.0), lambda a, v: a + v)
     base = F.transform(clean, lambda v: F.when(total > 0, v / total).otherwise(F.lit(1.0 / size)))
@@ -117,7 +117,7 @@ def trailing_ic_stats(months: DataFrame, ic: DataFrame, lookback: int) -> DataFr
 
 def rolling_ic_weights(months: DataFrame, ic: DataFrame, spec: StrategySpec) -> DataFrame:
     """Past-only factor weights from the information ratio of rank IC."""
-    stats = trailing_ic_stats(months, ic, spec.weight_lookback_months)
+    stats = trailing_ic_stats(months, ic, spec.weighting.lookback)
     strength = F.coalesce(F.greatest(ratio(F.col("mean"), F.nullif(F.col("std"), F.lit(0.0))), F.lit(0.0)), F.lit(0.0))
     per = stats.withColumn("_s", strength).groupBy("month").agg(
         F.max("n_months").alias("_n"),
@@ -125,28 +125,28 @@ def rolling_ic_weights(months: DataFrame, ic: DataFrame, spec: StrategySpec) ->
     )
     total = sum((F.col(f"_s_{f}") for f in FACTORS[1:]), F.col(f"_s_{FACTORS[0]}"))
     equal = 1.0 / len(FACTORS)
-    young = F.col("_n") < spec.weight_min_periods
+    young = F.col("_n") < spec.weighting.min_periods
     method = (
         F.when(young, "equal_until_min_history").when(total <= 0, "equal_no_positive_ic_ir").otherwise("rolling_rank_ic_ir")
     )
-    shrink = spec.weight_shrink_to_equal
+    shrink = spec.weighting.shrink
     shrunk = F.array(
         *[
             F.lit(shrink * equal) + (1.0 - shrink) * F.when(total > 0, F.col(f"_s_{f}") / total).otherwise(equal)
             for f in FACTORS
         ]
     )
-    bounded = bounded_simplex(shrunk, len(FACTORS), spec.min_factor_weight, spec.max_factor_weight)
+    bounded = bounded_simplex(shrunk, len(FACTORS), spec.weighting.lower, spec.weighting.upper)
     weights = F.when(young, F.array(*[F.lit(equal) for _ in FACTORS])).otherwise(bounded)
     return per.withColumn("_w", weights).select(
         "month",
         F.lit(spec.name).alias("strategy"),
         method.alias("method"),
-        F.lit(spec.weight_lookback_months).alias("lookback_months"),
-        F.lit(spec.weight_min_periods).alias("min_periods"),
+        F.lit(spec.weighting.lookback).alias("lookback_months"),
+        F.lit(spec.weighting.min_periods).alias("min_periods"),
         F.lit(shrink).alias("shrink_to_equal"),
-        F.lit(spec.min_factor_weight).alias("min_factor_weight"),
-        F.lit(spec.max_factor_weight).alias("max_factor_weight"),
+        F.lit(spec.weighting.lower).alias("min_factor_weight"),
+        F.lit(spec.weighting.upper).alias("max_factor_weight"),
         *[F.col("_w")[i].alias(f"weight_{f}") for i, f in enumerate(FACTORS)],
     )
 
@@ -156,8 +156,8 @@ def weight_history(months: DataFrame, specs: list[StrategySpec], ic_by_trend: di
     out = None
     for spec in specs:
         part = (
-            rolling_ic_weights(months, ic_by_trend[spec.trend_col], spec)
-            if spec.weight_method == "rolling_rank_ic"
+            rolling_ic_weights(months, ic_by_trend[spec.trend], spec)
+            if spec.weighting.method == "rolling_rank_ic"
             else static_weights(months, spec)
         )
         out = part if out is None else out.unionByName(part)
@@ -177,7 +177,7 @@ def scores_by_variant(panel: DataFrame, specs: list[StrategySpec], weights: dict
     for i, (variant, spec) in enumerate(variants.items()):
         factors = list(spec.weights)
         values = [F.col(spec.factor_column(f)) for f in factors]
-        if spec.weight_method == "rolling_rank_ic":
+        if spec.weighting.method == "rolling_rank_ic":
             w = weights[variant].select("month", *[F.col(f"weight_{f}").alias(f"_w{i}_{f}") for f in factors])
             df = df.join(F.broadcast(w), "month", "left")
             ws = [F.col(f"_w{i}_{f}") for f in factors]

@@ -38,10 +38,10 @@ def run_specs(
     months = months_of(panel)
     weights = {}
     for spec in specs:
-        if spec.weight_method == "rolling_rank_ic" and spec.score_variant not in weights:
-            ic = (ic_tables or {}).get(spec.trend_col)
+        if spec.weighting.method == "rolling_rank_ic" and spec.score_variant not in weights:
+            ic = (ic_tables or {}).get(spec.trend)
             if ic is None:
-                ic = ws.materialise(ic_for_trend(panel, spec.trend_col, cfg, ws), "rank_ic")
+                ic = ws.materialise(ic_for_trend(panel, spec.trend, cfg, ws), "rank_ic")
             weights[spec.score_variant] = scoring.rolling_ic_weights(months.select("month"), ic, spec)
     scored = scoring.scores_by_variant(panel, specs, weights)
     picks = portfolio.topn_by_score(scored, ["variant", "month"], max(s.top_n for s in specs))
@@ -82,11 +82,11 @@ def stop_take_grid(curves: DataFrame, specs: list[StrategySpec], cfg: EngineConf
         pick("test", "avg_positions").alias("test_avg_positions"),
     )
     levels = spark.createDataFrame(
-        [(s.name, s.stop_loss, s.take_profit) for s in specs], "strategy string, stop_loss double, take_profit double"
+        [(s.name, s.exits.stop, s.exits.take) for s in specs], "strategy string, stop_loss double, take_profit double"
     )
     grid = wide.join(F.broadcast(levels), "strategy")  # literal table of the grid
-    grid = tables.ordinal_index(grid, "stop_loss", sorted({s.stop_loss for s in specs}), "stop_idx")
-    return tables.ordinal_index(grid, "take_profit", sorted({s.take_profit for s in specs}), "take_idx")
+    grid = tables.ordinal_index(grid, "stop_loss", sorted({s.exits.stop for s in specs}), "stop_idx")
+    return tables.ordinal_index(grid, "take_profit", sorted({s.exits.take for s in specs}), "take_idx")
 
 
 def cost_scenario_grid(curves: DataFrame, cfg: EngineConfig) -> DataFrame:

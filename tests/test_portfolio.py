@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factorlab.config import EngineConfig, StrategySpec, stop_take_specs
+from factorlab.config import EngineConfig, Exits, StrategySpec, stop_take_specs
 from factorlab.operators import perf, portfolio, resample, tables, trades
 
 CFG = EngineConfig(initial_cash=1_000_000.0)
@@ -268,10 +268,10 @@ def test_workspace_clears_only_its_own_run(spark, ws):
 
 
 def test_spec_variants_share_scores():
-    a = StrategySpec("a", stop_loss=0.1)
-    assert a.score_variant == StrategySpec("b", take_profit=0.2).score_variant
-    assert a.score_variant != StrategySpec("c", trend_col="trend_expanding_z").score_variant
-    assert StrategySpec("base").assignment_scope and not a.assignment_scope
+    a = StrategySpec("a", exits=Exits(stop=0.1))
+    assert a.score_variant == StrategySpec("b", exits=Exits(take=0.2)).score_variant
+    assert a.score_variant != StrategySpec("c", trend="trend_expanding_z").score_variant
+    assert StrategySpec("x").scores_like(StrategySpec("base")) and not a.scores_like(StrategySpec("base"))
 
 
 def test_cutoff_guard(spark):
