@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.config import StrategySpec, focused_specs, staged_ladder, stop_take_specs
+from factorlab.config import Exits, Sizing, StrategySpec, focused_specs, staged_ladder, stop_take_specs
 from factorlab.operators import bars, joins, trades, xsection
 from factorlab.plans import ladder, live, panel
 from factorlab.plans.ladder import SCENARIOS
@@ -31,6 +31,10 @@ LIVE_MONTH = date(2001, 9, 30)
 PREVIOUS_MONTH = date(2001, 8, 31)
 FACTOR_MAP = {"roe": "roe_z", "pe": "pe_z", "momentum": "momentum_z", "trend": "trend_z"}
 TRADE_STOP, TRADE_TAKE = 0.05, 0.30
+LIVE_PORTFOLIOS = [
+    live.LivePortfolio("live", 10, Sizing(), Exits(TRADE_STOP, TRADE_TAKE)),
+    live.LivePortfolio("live_wide", 20, Sizing("percent_of_equity", 0.05), Exits(0.10, 0.20)),
+]
 
 
 def ladder_specs() -> list[StrategySpec]:
@@ -224,9 +228,7 @@ class Lab:
         """State document written from the previous month's targets and read back."""
         from factorlab.sources import sinks
 
-        held = live.live_targets(self.panel, PREVIOUS_MONTH, 10, CFG.price_floor).select(
-            F.lit("live").alias("strategy"), "ticker"
-        )
+        held = live.portfolio_targets(self.panel, PREVIOUS_MONTH, LIVE_PORTFOLIOS, CFG.price_floor)
         path = self.ws.path("state")
         sinks.write_state(held, path, PREVIOUS_MONTH.isoformat())
         return sinks.read_state(self.spark, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorlab.catalog.context import CFG, LIVE_MONTH, Lab, ladder_specs
+from factorlab.catalog.context import CFG, LIVE_MONTH, LIVE_PORTFOLIOS, Lab, ladder_specs
 from factorlab.catalog.registry import add
 from factorlab.catalog.sql import Z, perf_sql
 from factorlab.config import FACTORS
@@ -12,6 +12,7 @@ from factorlab.functions.stats import significance_stars, student_two_sided_p
 from factorlab.operators import perf, regress, scoring, tables, xsection
 from factorlab.plans import ladder, live
 from factorlab.plans import panel as panel_plan
+from factorlab.sources import sinks
 
 ZCOLS = " ".join(f"{z}:6" for z in Z.values())
 
@@ -340,29 +341,40 @@ add(
     "live_targets",
     "month rank:i ticker score:6",
     lambda lb: live.live_targets(lb.panel, LIVE_MONTH, 10, CFG.price_floor),
-    "SELECT * FROM live",
+    "SELECT * FROM live WHERE strategy = 'live'",
 )
 add(
     "rebalance_diff",
-    "ticker action",
+    "strategy ticker action",
     lambda lb: _orders(lb),
     "SELECT * FROM diff",
 )
 add(
     "monthly_rebalance",
-    "ticker action rank:i score:6 quantity:i stop_price:2 take_price:2",
+    "strategy ticker action rank:i score:6 quantity:i stop_price:2 take_price:2",
     lambda lb: _orders(lb),
-    "SELECT d.ticker, d.action, l.rank, l.score, "
-    "CASE WHEN d.action = 'enter' THEN greatest(floor(0.05 * 1000000.0 / l.close), 1) END AS quantity, "
-    "CASE WHEN d.action = 'enter' THEN round(l.close * (1 - 0.05), 2) END AS stop_price, "
-    "CASE WHEN d.action = 'enter' THEN round(l.close * (1 + 0.30), 2) END AS take_price "
-    "FROM diff d LEFT JOIN live l USING (ticker)",
+    "SELECT d.strategy, d.ticker, d.action, l.rank, l.score, CASE WHEN d.action = 'enter' THEN CASE d.strategy "
+    f"WHEN 'live' THEN floor({CFG.cash_per_trade} / l.close) ELSE greatest(floor(0.05 * 1000000.0 / l.close), 1) END END AS quantity, "
+    "CASE WHEN d.action = 'enter' THEN round(l.close * (1 - CASE d.strategy WHEN 'live' THEN 0.05 ELSE 0.10 END), 2) END AS stop_price, "
+    "CASE WHEN d.action = 'enter' THEN round(l.close * (1 + CASE d.strategy WHEN 'live' THEN 0.30 ELSE 0.20 END), 2) END AS take_price "
+    "FROM diff d LEFT JOIN live l USING (strategy, ticker)",
+)
+add(
+    "next_state",
+    "last_rebalance strategy ticker",
+    lambda lb: _stored(lb),
+    f"SELECT '{LIVE_MONTH}' AS last_rebalance, strategy, ticker FROM live",
 )
 
 
 def _orders(lb: Lab):
     return live.monthly_rebalance(
-        lb.panel, lb.live_state(), LIVE_MONTH, 10, CFG.price_floor, 1_000_000.0, 0.05, 0.05, 0.30
+        lb.panel, lb.live_state(), LIVE_MONTH, LIVE_PORTFOLIOS, CFG.price_floor, 1_000_000.0, CFG.cash_per_trade
     )
 
 
+def _stored(lb: Lab):
+    """The state after the rebalance, written and read back."""
+    path = lb.ws.path("state")
+    live.rebalance_and_store(_orders(lb), path, LIVE_MONTH)
+    return sinks.read_state(lb.spark, path)

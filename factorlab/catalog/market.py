@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorlab.catalog.context import CFG, Lab
+from factorlab.catalog.context import CFG, TREND_COEFS, Lab, all_specs
 from factorlab.catalog.registry import add
 from factorlab.catalog.sql import CUT, EVAL, W
 from factorlab.functions.nulls import finite
@@ -89,13 +89,13 @@ add(
     "scan_curves",
     "strategy month portfolio_return:6 equity:2 n_positions:i",
     lambda lb: _curve_files(lb),
-    "SELECT * FROM curves WHERE strategy IN ('base', 'improved_5')",
+    "SELECT * FROM curves",
 )
 
 
 def _curve_files(lb: Lab):
     root = sinks.sink_by_strategy(lb.curves.drop("scenario"), lb.ws.path("by_strategy"))
-    names = {s: f"{root}/strategy={s}" for s in ("base", "improved_5", "absent_variant")}
+    names = {s: f"{root}/strategy={s}" for s in (*[x.name for x in all_specs()], "absent_variant")}
     return scans.scan_curves(lb.spark, names)
 
 
@@ -119,7 +119,7 @@ add(
     "read_state",
     "last_rebalance strategy ticker",
     lambda lb: lb.live_state(),
-    "SELECT '2001-08-31' AS last_rebalance, 'live' AS strategy, ticker FROM live_prev",
+    "SELECT '2001-08-31' AS last_rebalance, strategy, ticker FROM live_prev",
 )
 add(
     "write_state",
@@ -127,7 +127,7 @@ add(
     lambda lb: lb.live_state()
     .groupBy("strategy")
     .agg(F.count("*").alias("n_holdings"), F.min("ticker").alias("first_ticker")),
-    "SELECT 'live' AS strategy, count(*) AS n_holdings, min(ticker) AS first_ticker FROM live_prev",
+    "SELECT strategy, count(*) AS n_holdings, min(ticker) AS first_ticker FROM live_prev GROUP BY strategy",
 )
 
 # ----------------------------------------------------------------- filters
@@ -254,14 +254,14 @@ add(
 )
 add(
     "panel_assembly",
-    "ticker month close market_cap pe_ratio roe ma_dev_20:9",
+    "ticker month close market_cap pe_ratio roe " + " ".join(f"ma_dev_{w}:9" for w in W),
     lambda lb: joins.panel_assembly(
         lb.monthly,
         bars.monthly_metrics(lb.daily_metrics),
         joins.asof_fundamental(joins.distinct_pairs(bars.monthly_bars(lb.prices)), lb.statements),
-        bars.ma_deviation(lb.prices, (20,), "adjClose"),
+        bars.ma_deviation(lb.prices, W, "adjClose"),
     ),
-    "SELECT m.ticker, m.month, m.close, k.market_cap, k.pe_ratio, r.roe, s.ma_dev_20 FROM stock_months m "
+    f"SELECT m.ticker, m.month, m.close, k.market_cap, k.pe_ratio, r.roe, {', '.join(f's.ma_dev_{w}' for w in W)} FROM stock_months m "
     "LEFT JOIN metrics_m k USING (ticker, month) LEFT JOIN roe_m r USING (ticker, month) "
     "LEFT JOIN ma_sig s USING (ticker, month)",
 )
@@ -287,12 +287,13 @@ add(
 )
 add(
     "betas_to_stocks",
-    "ticker month intercept:9 ma_ratio_3:9 beta_3:9",
+    "ticker month intercept:9 " + " ".join(f"ma_ratio_{w}:9 beta_{w}:9" for w in W),
     lambda lb: bars.ma_ratio(lb.ma_signals, W).join(
-        F.broadcast(lb.smoothed_betas.select("month", "intercept", F.col("ma_ratio_3").alias("beta_3"))), "month", "left"
+        F.broadcast(lb.smoothed_betas.select("month", "intercept", *[F.col(f"ma_ratio_{w}").alias(f"beta_{w}") for w in W])), "month", "left"
     ),
-    "SELECT r.ticker, r.month, 0.0001 * month(month) AS intercept, ma_ratio_3, 0.05 * (0.1 * (year(month) - 1990)) AS beta_3 "
-    "FROM ma_ratios r",
+    "SELECT r.ticker, r.month, 0.0001 * month(month) AS intercept, "
+    + ", ".join(f"ma_ratio_{w}, {TREND_COEFS[w]} * (0.1 * (year(month) - 1990)) AS beta_{w}" for w in W)
+    + " FROM ma_ratios r",
 )
 add(
     "distinct_pairs",

@@ -10,6 +10,7 @@ import re
 from factorlab.catalog.context import (
     LIVE_MONTH,
     PREVIOUS_MONTH,
+    LIVE_PORTFOLIOS,
     TRADE_STOP,
     TRADE_TAKE,
     TREND_COEFS,
@@ -552,21 +553,27 @@ SELECT strategy, date, cash, market_value, cash + market_value AS value FROM (
 
 
 # --------------------------------------------------------------------- live
-def live_sql(month) -> str:
+def live_sql(month, top_n: int) -> str:
     zs = ["roe_z", "pe_z", "momentum_z", "trend_expanding_z"]
     return f"""
 SELECT month, rank, ticker, score, close FROM (
   SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, ticker) AS rank FROM (
     SELECT *, {composite(zs)} AS score FROM panel WHERE month = DATE '{month}' AND close > {CFG.price_floor}
-      AND coalesce({', '.join(zs)}) IS NOT NULL) WHERE score IS NOT NULL) WHERE rank <= 10"""
+      AND coalesce({', '.join(zs)}) IS NOT NULL) WHERE score IS NOT NULL) WHERE rank <= {top_n}"""
 
 
-CTE["live"] = live_sql(LIVE_MONTH)
-CTE["live_prev"] = live_sql(PREVIOUS_MONTH)
+def portfolios_sql(month) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{p.name}' AS strategy, * FROM ({live_sql(month, p.top_n)}) q" for p in LIVE_PORTFOLIOS
+    )
+
+
+CTE["live"] = portfolios_sql(LIVE_MONTH)
+CTE["live_prev"] = portfolios_sql(PREVIOUS_MONTH)
 CTE["diff"] = """
-SELECT coalesce(c.ticker, t.ticker) AS ticker,
+SELECT coalesce(c.strategy, t.strategy) AS strategy, coalesce(c.ticker, t.ticker) AS ticker,
        CASE WHEN t.ticker IS NULL THEN 'exit' WHEN c.ticker IS NULL THEN 'enter' ELSE 'hold' END AS action
-FROM live_prev c FULL OUTER JOIN live t ON c.ticker = t.ticker"""
+FROM live_prev c FULL OUTER JOIN live t ON c.strategy = t.strategy AND c.ticker = t.ticker"""
 
 
 # --------------------------------------------------------------- resampling
