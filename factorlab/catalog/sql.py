@@ -588,29 +588,36 @@ FROM panel WHERE eligible AND next_ret_oc IS NOT NULL"""
 CTE["mc_grid"] = f"""
 SELECT sim::INT AS sim, month, coalesce(n, 0) AS n FROM range({CFG.mc_sims}) r(sim) CROSS JOIN months
 LEFT JOIN (SELECT month, count(*) AS n FROM universe GROUP BY month) USING (month)"""
+_MOST = max(s.top_n for s in _SPECS)
 CTE["mc_draws"] = f"""
 SELECT sim, month, n, 0 AS k, []::BIGINT[] AS taken FROM mc_grid
 UNION ALL
 SELECT sim, month, n, k + 1, list_append(taken, list_reduce(list_prepend(free, list_sort(taken)),
        lambda a, t: a + CASE WHEN t <= a THEN 1 ELSE 0 END)) FROM (
-  SELECT sim, month, n, k, taken, {_draw} % (n - k) + 1 AS free FROM mc_draws WHERE k < least(10, n))"""
+  SELECT sim, month, n, k, taken, {_draw} % (n - k) + 1 AS free FROM mc_draws WHERE k < least({_MOST}, n))"""
+CTE["mc_runs"] = _spec_values(_SPECS, ["none"])
 CTE["mc_returns"] = f"""
-SELECT sim, month, rank, CASE
-    WHEN next_high / next_open - 1 >= {TRADE_TAKE} AND NOT (next_low / next_open - 1 <= -{TRADE_STOP}) THEN {TRADE_TAKE}
-    WHEN NOT (next_low / next_open - 1 > -{TRADE_STOP}) THEN -{TRADE_STOP} ELSE next_ret_oc END AS r
-FROM (SELECT sim, month, unnest(taken) AS idx, generate_subscripts(taken, 1) AS rank FROM mc_draws WHERE k = least(10, n))
-JOIN universe USING (month, idx)"""
-CTE["mc_steps"] = f"""
-SELECT g.sim, g.month, row_number() OVER (PARTITION BY g.sim ORDER BY g.month) AS i, coalesce(x.rets, []) AS rets,
-       10 AS top_n, 'fixed_cash' AS sizing_method, 0.1 AS pct
-FROM mc_grid g LEFT JOIN (SELECT sim, month, list(r ORDER BY rank) AS rets FROM mc_returns GROUP BY ALL) x USING (sim, month)"""
-CTE["mc_fold"] = fold_sql("mc_steps", "mc_fold", ["sim"])
-CTE["mc_perf"] = perf_sql("mc_fold", "sim", where=f"i > 0 AND month >= {EVAL}")
+SELECT r.strategy, sim, month, d.rank, CASE
+    WHEN coalesce(next_high / next_open - 1 >= r.take_profit, FALSE) AND NOT coalesce(next_low / next_open - 1 <= -r.stop_loss, FALSE)
+      THEN r.take_profit
+    WHEN r.stop_loss IS NOT NULL AND NOT coalesce(next_low / next_open - 1 > -r.stop_loss, FALSE) THEN -r.stop_loss
+    ELSE next_ret_oc END AS r
+FROM (SELECT sim, month, unnest(taken) AS idx, generate_subscripts(taken, 1) AS rank FROM mc_draws WHERE k = least({_MOST}, n)) d
+JOIN universe USING (month, idx) JOIN months USING (month)
+JOIN mc_runs r ON d.rank <= r.top_n AND (NOT r.regime_filter OR coalesce(months.regime_on, TRUE))"""
+CTE["mc_steps"] = """
+SELECT r.strategy, g.sim, g.month, row_number() OVER (PARTITION BY r.strategy, g.sim ORDER BY g.month) AS i,
+       coalesce(x.rets, []) AS rets, r.top_n, r.sizing_method, r.pct
+FROM mc_grid g CROSS JOIN mc_runs r
+LEFT JOIN (SELECT strategy, sim, month, list(r ORDER BY rank) AS rets FROM mc_returns GROUP BY ALL) x
+  ON x.strategy = r.strategy AND x.sim = g.sim AND x.month = g.month"""
+CTE["mc_fold"] = fold_sql("mc_steps", "mc_fold", ["strategy", "sim"])
+CTE["mc_perf"] = perf_sql("mc_fold", "strategy, sim", where=f"i > 0 AND month >= {EVAL}")
 CTE["mc_test"] = """
 SELECT sim, annualized_sharpe, final_equity, strategy, strategy_sharpe,
-       avg(CASE WHEN annualized_sharpe >= strategy_sharpe THEN 1.0 ELSE 0.0 END) OVER () AS p_value
-FROM (SELECT sim, annualized_sharpe, final_equity FROM mc_perf)
-CROSS JOIN (SELECT strategy, annualized_sharpe AS strategy_sharpe FROM metrics WHERE strategy = 'improved_4')"""
+       avg(CASE WHEN annualized_sharpe >= strategy_sharpe THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY strategy) AS p_value
+FROM (SELECT strategy, sim, annualized_sharpe, final_equity FROM mc_perf)
+JOIN (SELECT strategy, annualized_sharpe AS strategy_sharpe FROM metrics) USING (strategy)"""
 
 
 def block_sql(src: str, value: str, seed: int, sims: int = CFG.mc_sims, block: int = CFG.block_size) -> str:

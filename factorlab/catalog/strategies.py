@@ -740,15 +740,11 @@ def _vs_baseline(lb: Lab):
 
 
 # ---------------------------------------------------------------- robustness
-_MC_SPEC = next(s for s in all_specs() if s.name == "improved_4")
-
-
 def _mc(lb: Lab):
     universe = lb.ws.materialise(resample.indexed_universe(lb.panel, lb.ws), "universe")
-    curves = resample.monte_carlo(universe, lb.months, _MC_SPEC, CFG, CFG.mc_sims)
+    curves = resample.monte_carlo(universe, lb.months, all_specs(), CFG, CFG.mc_sims)
     return resample.monte_carlo_test(
-        resample.monte_carlo_metrics(curves, _MC_SPEC, CFG),
-        perf.strategy_metrics_table(lb.curves.filter("strategy = 'improved_4'"), CFG, p_value=False),
+        resample.monte_carlo_metrics(curves, CFG), perf.strategy_metrics_table(lb.curves, CFG, p_value=False)
     )
 
 

@@ -41,50 +41,48 @@ def indexed_universe(panel: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def monte_carlo(
-    universe: DataFrame, months: DataFrame, spec: StrategySpec, cfg: EngineConfig, n_sims: int
+    universe: DataFrame, months: DataFrame, specs: list[StrategySpec], cfg: EngineConfig, n_sims: int
 ) -> DataFrame:
-    """Random-portfolio curves: (sim, month, portfolio_return, ...).
+    """Random-portfolio curves of every strategy: (strategy, sim, month, portfolio_return, ...).
 
     The universe is counted once per month; simulations draw index numbers and
     fetch only those rows, so work is sims x months x top_n rather than
-    sims x universe.
+    sims x universe. Strategies share the draws: one that holds fewer names takes
+    the first of them, and each applies its own gate, exits and sizing.
     """
     sizes = universe.groupBy("month").agg(F.count("*").alias("_n"))
-    gate = F.coalesce(F.col("regime_on"), F.lit(True)) if spec.gated else F.lit(True)
-    spine = months.join(F.broadcast(sizes), "month", "left").withColumn(
-        "_n", F.when(gate, F.coalesce("_n", F.lit(0))).otherwise(0)
-    )
+    spine = months.select("month", F.coalesce("regime_on", F.lit(True)).alias("_on")).join(F.broadcast(sizes), "month", "left")
     # Spread simulations over the cluster before any draw is made.
     every = F.sequence(F.lit(0), F.lit(n_sims - 1))
-    grid = spine.select("month", "_n", F.explode(every).alias("sim")).repartition("sim")
-    want = F.least(F.lit(spec.top_n), F.col("_n"))
+    grid = spine.select("month", "_on", F.coalesce("_n", F.lit(0)).alias("_n"), F.explode(every).alias("sim")).repartition("sim")
+    want = F.least(F.lit(max(s.top_n for s in specs)), F.col("_n"))
     draws = grid.select(
         "sim",
         "month",
+        "_on",
         F.posexplode_outer(random_subset(want, F.col("_n"), cfg.seed, F.col("sim"), F.col("month"))).alias("rank", "idx"),
     )
-    stop = F.lit(spec.exits.stop).cast("double")
-    take = F.lit(spec.exits.take).cast("double")
-    hit = universe.select("month", "idx", stop_take_return(stop, take).alias("_r"))
-    drawn = draws.join(hit, ["month", "idx"], "left").withColumn("_hit", F.col("idx").isNotNull())
-    monthly = drawn.groupBy("sim", "month").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_hit"), F.struct("rank", F.col("_r").alias("r"))))), lambda s: s["r"]
-        ).alias("returns")
-    ).select(
-        "sim",
-        "month",
-        "returns",
-        F.lit(spec.top_n).alias("top_n"),
-        F.lit(spec.sizing.method).alias("sizing_method"),
-        F.lit(spec.sizing.share).alias("sizing_target_pct"),
+    drawn = draws.join(universe.select("month", "idx", "next_open", "next_high", "next_low", "next_ret_oc"), ["month", "idx"], "left")
+    # One literal per strategy, so bounded by configuration.
+    each = F.array(*[
+        F.struct(
+            F.lit(s.name).alias("strategy"), F.lit(s.top_n).alias("top_n"), F.lit(s.gated).alias("_gated"),
+            F.lit(s.exits.stop).cast("double").alias("_stop"), F.lit(s.exits.take).cast("double").alias("_take"),
+            F.lit(s.sizing.method).alias("sizing_method"), F.lit(s.sizing.share).alias("sizing_target_pct"),
+        )
+        for s in specs
+    ])
+    rows = drawn.select("*", F.inline(each)).withColumn("_r", stop_take_return(F.col("_stop"), F.col("_take")))
+    held = F.col("idx").isNotNull() & (F.col("rank") < F.col("top_n")) & (F.col("_on") | ~F.col("_gated"))
+    monthly = rows.groupBy("strategy", "sim", "month", "top_n", "sizing_method", "sizing_target_pct").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("rank", F.col("_r").alias("r"))))), lambda s: s["r"]).alias("returns")
     )
-    return fold_equity(monthly, ["sim"], cfg)
+    return fold_equity(monthly, ["strategy", "sim"], cfg)
 
 
-def monte_carlo_metrics(sim_curves: DataFrame, spec: StrategySpec, cfg: EngineConfig) -> DataFrame:
-    m = perf.eval_metrics(sim_curves, ["sim"], cfg.evaluation_start, cfg.initial_cash, p_value=False)
-    return m.select(F.lit(spec.name).alias("strategy"), "sim", "annualized_sharpe", "final_equity")
+def monte_carlo_metrics(sim_curves: DataFrame, cfg: EngineConfig) -> DataFrame:
+    m = perf.eval_metrics(sim_curves, ["strategy", "sim"], cfg.evaluation_start, cfg.initial_cash, p_value=False)
+    return m.select("strategy", "sim", "annualized_sharpe", "final_equity")
 
 
 def monte_carlo_test(sim_metrics: DataFrame, strategy_metrics: DataFrame) -> DataFrame:
