@@ -1,8 +1,11 @@
-import random
+import os
+import sys
 
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
@@ -20,21 +23,3 @@ def documents(spark):
         return spark.createDataFrame(full, SCHEMA).repartition(3)
 
     return make
-
-
-def prose(n: int, seed: int, words: int = 400) -> str:
-    rng = random.Random(seed)
-    stock = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 7))) for _ in range(words)]
-    return " ".join(rng.choice(stock) for _ in range(n))
-
-
-def edited(text: str, every: int, seed: int) -> str:
-    rng, out = random.Random(seed), text.split(" ")
-    for i in range(every // 2, len(out), every):
-        out[i] = f"w{rng.randint(0, 10**6)}"
-    return " ".join(out)
-
-
-def collected(df, *columns):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)

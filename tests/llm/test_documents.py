@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import collected, edited, prose
+from samples import collected, edited, prose
 
 from factorlab.llm import decontaminate, language, licenses, lm, packing, pii, search
 

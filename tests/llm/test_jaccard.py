@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import collected, edited, prose
+from samples import collected, edited, prose
 
 from factorlab.llm import jaccard
 

@@ -1,7 +1,7 @@
 """The pipeline's stages: what goes, what stays, and which columns come out."""
 
 import pytest
-from conftest import edited, prose
+from samples import edited, prose
 
 import __spark_entry__ as entry
 import corpus_pipeline
