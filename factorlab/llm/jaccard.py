@@ -9,10 +9,16 @@ sets are in the same band or neighbours; each set sends its pieces for its own b
 A piece that no shingle touches says nothing, so `spare` further pieces are cut; should a set have more empty
 pieces than that, its empty pieces become keys among such sets. No link is lost.
 
-Documents with equal sets are one node, the set's hash. Sets that share keys form families. Every node is
-verified against its most frequent partner first, which settles most of a family; those still apart from their
-family's largest component are then compared with all of the family, in blocks, by exact intersection counts.
-Links are exact: sets hold 64-bit hashes of whole shingles.
+Documents with equal sets are one node, the set's hash. Candidates are then filtered by whole sketches (their distance
+never exceeds the symmetric difference, so no linked pair is lost) and what is left is verified on the sets:
+
+1. every node of a key group with the group's smallest node;
+2. nodes that those pairs leave in other components than the smallest's, with all of their group, in blocks of
+   bounded size, by short sketches first;
+3. the same again on verified components, should a pair of the first step have failed.
+
+Links are exact: sets hold 64-bit hashes of whole shingles. Pairs inside a component are never compared, so a group
+of thousands of near copies costs as many pairs as it has members, and those of its outliers.
 
 Documents without a shingle link with nothing. Null text has none. A null doc_id links with nothing and has a null component. Rows with equal doc_id are one document if
 their texts have equal sets; all are returned. Further columns are ignored.
@@ -30,7 +36,8 @@ from factorlab.llm.common import U64, as_bytes, by_value, gram_hashes, hash_word
 by_value(__name__)
 
 PIECE_BITS = 256
-BLOCK_NODES = 384
+SHORT_BITS = 512
+BLOCK_NODES = 1024
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +144,35 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 # ---- the join ----
 
 
+def sketches(keys: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """Parity sketch of every set: twice as many bits as shingles or more, a power of two, so that it folds to any smaller one."""
+    size = np.diff(edge)
+    bits = np.maximum(SHORT_BITS, 2 ** np.ceil(np.log2(2 * np.maximum(size, 1))).astype(np.int64))
+    place = mix(keys ^ U64(0x0DD5E75EED))
+    out = []
+    for a, b, n in zip(edge[:-1].tolist(), edge[1:].tolist(), bits.tolist(), strict=True):
+        odd = np.bincount((place[a:b] & U64(n - 1)).astype(np.int64), minlength=n) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def fold(sketch: bytes, bits: int) -> int:
+    """The sketch of the same set with fewer bits."""
+    value, size = int.from_bytes(sketch, "little"), 8 * len(sketch)
+    while size > bits:
+        size //= 2
+        value = (value >> size) ^ (value & ((1 << size) - 1))
+    return value
+
+
+def may_link(na: int, nb: int, sa: bytes, sb: bytes, num: int, den: int) -> bool:
+    """False only if sizes or sketches rule out den * intersection >= num * union."""
+    if den * min(na, nb) < num * max(na, nb):
+        return False
+    bits = 8 * min(len(sa), len(sb))
+    return (fold(sa, bits) ^ fold(sb, bits)).bit_count() * (den + num) <= (den - num) * (na + nb)
+
+
 def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint64)
 
@@ -146,42 +182,29 @@ def linked(a: int, b: int, inter: int, num: int, den: int) -> bool:
     return den * inter >= num * (a + b - inter)
 
 
-def _block_links(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between nodes of two blocks (or inside one) by exact counts, one token-indexed product."""
-    nodes, sides, comps = table["node"].to_numpy(), table["side"].to_pylist(), table["comp"].to_numpy()
-    sets = [_unpack(b) for b in table["members"].to_pylist()]
-    left = [i for i, s in enumerate(sides) if s != 2]
-    right = [i for i, s in enumerate(sides) if s != 1]
-    if not left or not right:
-        return []
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    inter = np.zeros((len(left), len(right)), dtype=np.int64)
-    spot_l, spot_r = np.full(len(sets), -1), np.full(len(sets), -1)
-    spot_l[left], spot_r[right] = np.arange(len(left)), np.arange(len(right))
-    order = np.argsort(inverse, kind="stable")
-    inverse, owner = inverse[order], owner[order]
-    for lo in range(0, len(tokens), 4096):
-        span = slice(*np.searchsorted(inverse, [lo, lo + 4096]))
-        col, who = inverse[span] - lo, owner[span]
-        x, y = np.zeros((len(left), 4096), dtype=np.float32), np.zeros((len(right), 4096), dtype=np.float32)
-        ok = spot_l[who] >= 0
-        x[spot_l[who[ok]], col[ok]] = 1
-        ok = spot_r[who] >= 0
-        y[spot_r[who[ok]], col[ok]] = 1
-        inter += (x @ y.T).astype(np.int64)
-    sl, sr = sizes[left][:, None], sizes[right][None, :]
-    hit = (den * inter >= num * (sl + sr - inter)) & (comps[left][:, None] != comps[right][None, :])
-    # Of the links between two components one is enough for the components.
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        pair = (int(comps[left[i]]), int(comps[right[j]]))
-        if pair not in seen and pair[::-1] not in seen:
-            seen.add(pair)
-            out.append((int(nodes[left[i]]), int(nodes[right[j]])))
-    return out
+def group_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of different components in the cells of key groups that short sketches don't rule out."""
+    cell, side = table["cell"].to_numpy(), table["side"].to_numpy()
+    order = np.lexsort((side, cell))
+    cell, side = cell[order], side[order]
+    node, comp, n = (table[c].to_numpy()[order] for c in ("node", "comp", "n"))
+    short = np.frombuffer(b"".join(table["short"].to_pylist()), dtype=np.uint64).reshape(-1, SHORT_BITS // 64)[order]
+    edge = np.concatenate((np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]))
+    found: set[tuple[int, int]] = set()
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        # Side 0 is apart from the smallest node's component and in both blocks, 1 in the first only, 2 in the second.
+        left, right = np.arange(lo, lo + int((side[lo:hi] < 2).sum())), lo + np.flatnonzero(side[lo:hi] != 1)
+        step = max(1, (1 << 18) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            a, b = n[part][:, None], n[right][None, :]
+            far = np.bitwise_count(short[part][:, None, :] ^ short[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (far * (den + num) <= (den - num) * (a + b)) & (comp[part][:, None] != comp[right][None, :])
+            ok &= (den * a >= num * b) & (den * b >= num * a)
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = int(node[part[i]]), int(node[right[j]])
+                found.add((min(x, y), max(x, y)))
+    return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
 def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -190,107 +213,140 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     buckets = parts(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def describe(batches):
+    def shingled(batches):
+        """(sets, edges, doc_ids) of a few megabytes of texts at a time."""
         for batch in batches:
-            keys, edge = shingle_sets(as_bytes(batch.column(1)), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node_ids(keys, edge)), pa.array(np.diff(edge))], names=["doc_id", "node", "n_shingles"])
+            texts = as_bytes(batch.column(1))
+            for lo, hi in text_groups(texts, 4 << 20):
+                yield *shingle_sets(texts[lo:hi], size), batch.column(0).slice(lo, hi - lo)
 
-    def sketch(batches):
-        for texts in (t[lo:hi] for b in batches for t in [as_bytes(b.column(1))] for lo, hi in text_groups(t, 4 << 20)):
-            keys, edge = shingle_sets(texts, size)
-            node = node_ids(keys, edge)
+    def describe(batches):
+        for keys, edge, doc in shingled(batches):
+            cols = [doc, pa.array(node_ids(keys, edge)), pa.array(np.diff(edge)), pa.array(sketches(keys, edge), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "n_shingles", "sketch"])
+
+    def pieces(batches):
+        for keys, edge, _ in shingled(batches):
+            node, first = np.unique(node_ids(keys, edge), return_index=True)
+            spot = np.full(len(edge) - 1, -1)
+            spot[first] = np.arange(len(first))
             both = [piece_keys(keys, edge, shift, num, den) for shift in (0, 1)]
             key, who = (np.concatenate(x) for x in zip(*both, strict=True))
-            # The same set twice in a batch goes out once.
-            _, first = np.unique(node, return_index=True)
-            mine = np.isin(who, first)
-            key, who = key[mine], who[mine]
+            # The same set twice goes out once.
+            key, who = key[spot[who] >= 0], spot[who[spot[who] >= 0]]
             order = np.argsort(key, kind="stable")
             key, who = key[order], who[order]
             at = (((key >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int32)
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])) if len(at) else [0]
-            rows = ([], [], [])
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])).tolist() if len(at) else [0]
+            rows = ([], [], [], [])
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                rows[0].append(int(at[lo]))
-                rows[1].append(key[lo:hi].tobytes())
-                rows[2].append(node[who[lo:hi]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["at", "keys", "nodes"])
+                there, local = np.unique(who[lo:hi], return_inverse=True)
+                for column, value in zip(rows, (int(at[lo]), key[lo:hi].tobytes(), local.astype(np.uint32).tobytes(), node[there].tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["at", "keys", "local", "nodes"])
 
-    def partners(table: pa.Table) -> pa.Table:
-        """Every node's partner in each key group, the smallest node of the group, with the number of groups."""
+    def groups(table: pa.Table) -> pa.Table:
+        """Members of every key that two nodes hold, with the group's smallest node and its size."""
         key = np.concatenate([_unpack(b) for b in table["keys"].to_pylist()])
-        node = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in table["nodes"].to_pylist()])
+        node = np.concatenate([np.frombuffer(n, dtype=np.int64)[np.frombuffer(w, dtype=np.uint32)] for n, w in zip(table["nodes"].to_pylist(), table["local"].to_pylist(), strict=True)])
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[fresh], node[fresh]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        lead = np.repeat(node[start], np.diff(np.append(start, len(key))))
-        pair = np.stack((node, lead), axis=1)[node != lead]
-        if not len(pair):
-            return pa.table([pa.array([], pa.int64())] * 3, names=["node", "lead", "n"])
-        pair, n = np.unique(pair, axis=0, return_counts=True)
-        return pa.table([pair[:, 0], pair[:, 1], n], names=["node", "lead", "n"])
-
-    ids = written(text.mapInArrow(describe, "doc_id long, node long, n_shingles long"), "nodes")
-    text = text.filter("doc_id IS NOT NULL")
-    stars = text.mapInArrow(sketch, "at int, keys binary, nodes binary").groupBy("at").applyInArrow(partners, "node long, lead long, n long")
-    stars = written(stars.groupBy("node", "lead").agg(F.sum("n").alias("n")), "stars")
-    family = written(components(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")), "family").withColumnRenamed("comp", "family"), "family")
-
-    # Sets of the nodes in question, from one document each.
-    rep = ids.join(family.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        count = np.diff(np.append(start, len(key)))
+        lead, m = np.repeat(node[start], count), np.repeat(count, count)
+        some = m > 1
+        return pa.table([key[some].view(np.int64), node[some], lead[some], m[some]], names=["g", "node", "lead", "m"])
 
-    def members(batches):
-        for batch in batches:
-            keys, edge = shingle_sets(as_bytes(batch.column(1)), size)
-            node = node_ids(keys, edge)
-            data = [keys[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(data, pa.binary())], names=["node", "members"])
-
-    wanted = text.join(rep.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    # Rows that share a doc_id may have other sets: only the nodes in question, each once.
-    raw_sets = wanted.mapInArrow(members, "node long, members binary").join(family, "node").dropDuplicates(["node"])
-    sets = written(raw_sets, "sets")
-
-    # First, each node against its most frequent partner.
-    best = stars.groupBy("node").agg(F.max(F.struct("n", -F.col("lead"))).alias("_b")).select("node", (-F.col("_b.col2")).alias("lead"))
-    mine = sets.select("node", "members").join(best, "node")
-    theirs = sets.select(F.col("node").alias("lead"), F.col("members").alias("other"))
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = _unpack(a), _unpack(b)
-                if linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), num, den):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    links = written(mine.join(theirs, "lead").select("node", "lead", "members", "other").mapInArrow(verify, "a long, b long"), "links")
-    comp = components(links, "first")
-
-    # Then those apart from the largest component of their family against the family, in blocks.
-    state = sets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = state.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("_m"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-    split = split.select("family", F.col("_m.comp").alias("main"), F.col("n").alias("total"))
-    state = written(state.join(split, "family").withColumn("apart", F.col("comp") != F.col("main")), "state")
-    blocks = F.ceil(F.col("total") / BLOCK_NODES).cast("int")
-    place = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    # A cell (i, j) holds the nodes apart in block i and all of block j: side 1, 2, or both (0) where i = j.
-    rows = state.filter("apart").withColumn("i", place).withColumn("j", F.explode(every)).withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(1))
-    cols = state.withColumn("j", place).withColumn("i", F.explode(every)).withColumn("side", F.lit(2)).filter(~(F.col("apart") & (F.col("i") == F.col("j"))))
-    cells = rows.unionByName(cols).select("family", "i", "j", "side", "node", "comp", "members")
-
-    def compare(table: pa.Table) -> pa.Table:
-        found = _block_links(table, num, den)
-        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-    more = written(cells.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"), "more")
-    final = components(links.union(more), "last")
+    ids = written(text.mapInArrow(describe, "doc_id long, node long, n_shingles long, sketch binary"), "nodes")
+    text = text.filter("doc_id IS NOT NULL")
+    member = text.mapInArrow(pieces, "at int, keys binary, local binary, nodes binary").groupBy("at").applyInArrow(groups, "g long, node long, lead long, m long")
+    member = written(member, "members")
+    known = written(ids.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "known")
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes and whole sketches allow a link."""
+        one = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        two = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+        def check(batches):
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
+                keep = pa.array([may_link(*r, num, den) for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+        near = pairs.join(one, "a").join(two, "b").filter((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na")))
+        return near.mapInArrow(check, "a long, b long")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Links among pairs, on the sets of one document of each node."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = known.join(nodes, "node", "left_semi").select("doc_id", F.col("node").alias("rep"))
+
+        def members(batches):
+            for keys, edge, doc in shingled(batches):
+                data = [keys[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([doc, pa.array(node_ids(keys, edge)), pa.array(data, pa.binary())], names=["doc_id", "node", "set"])
+
+        bodies = text.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+        # Rows that share a doc_id may have other sets, or the same twice.
+        sets = bodies.mapInArrow(members, "doc_id long, node long, set binary").join(wanted.withColumnRenamed("rep", "node"), ["doc_id", "node"], "left_semi")
+        sets = written(sets.dropDuplicates(["node"]).select("node", "set"), f"{name}-sets")
+        one, two = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+
+        def test(batches):
+            for batch in batches:
+                keep = []
+                for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    a, b = _unpack(a), _unpack(b)
+                    keep.append(linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), num, den))
+                ok = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+        return written(pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long"), name)
+
+    def others(labels: DataFrame) -> DataFrame:
+        """Pairs in key groups of three or more whose nodes `labels` has in different components."""
+        lone = F.coalesce("comp", "node")
+        comp = labels.select(F.col("node").alias("lead"), F.col("comp").alias("_lead"))
+        rows = member.filter("m > 2").join(labels, "node", "left").join(comp, "lead", "left")
+        rows = rows.select("g", "node", "m", lone.alias("comp"), (lone != F.coalesce("_lead", "lead")).alias("apart"))
+        split = rows.groupBy("g").agg(F.max("apart").alias("_s")).filter("_s").select("g")
+        short = known.select("node", "n", "sketch")
+        rows = rows.join(split, "g", "left_semi").join(short, "node")
+        blocks = F.ceil(F.col("m") / BLOCK_NODES).cast("int")
+        place = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        every = F.sequence(F.lit(0), blocks - 1)
+        # A cell (i, j) holds the nodes apart in block i and all nodes in block j.
+        rows = rows.withColumn("_p", place)
+        left = rows.filter("apart").withColumn("i", F.col("_p")).withColumn("j", F.explode(every)).withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(1))
+        right = rows.withColumn("j", F.col("_p")).withColumn("i", F.explode(every)).withColumn("side", F.lit(2)).filter(~(F.col("apart") & (F.col("i") == F.col("j"))))
+        cells = left.unionByName(right).withColumn("cell", F.xxhash64("g", "i", "j"))
+
+        def shorten(batches):
+            for batch in batches:
+                folded = [fold(s, SHORT_BITS).to_bytes(SHORT_BITS // 8, "little") for s in batch.column("sketch").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "side", "node", "comp", "n")), pa.array(folded, pa.binary())], names=["cell", "side", "node", "comp", "n", "short"])
+
+        cells = cells.select("cell", "side", "node", "comp", "n", "sketch").mapInArrow(shorten, "cell long, side int, node long, comp long, n long, short binary")
+        dealt = cells.withColumn("at", F.pmod("cell", F.lit(8 * buckets)).cast("int")).groupBy("at")
+        return sifted(dealt.applyInArrow(lambda t: group_pairs(t, num, den), "a long, b long").distinct())
+
+    stars = written(sifted(member.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    more = written(others(components(stars, "near")), "more")
+    tested = stars.union(more)
+    links = verified(tested, "links")
+    # Where a pair taken for a link was none, its components may have hidden others.
+    if stars.join(links, ["a", "b"], "left_anti").limit(1).count():
+        rest = written(others(components(links, "first")).join(tested, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            links = links.union(verified(rest, "late"))
+    final = components(links, "last")
 
     # Copies are one node; the smallest doc_id of a component over all documents of its nodes.
-    labelled = ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = ids.drop("sketch").join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = labelled.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("_low"))
     out = labelled.join(low, "comp", "left")
     return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
