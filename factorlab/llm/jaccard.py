@@ -35,7 +35,9 @@ from factorlab.llm.common import U64, as_bytes, by_value, gram_hashes, hash_word
 
 by_value(__name__)
 
-PIECE_BITS = 256
+#: Bits of a piece. Sketches are kept as the places of their set bits, so wide pieces cost nothing, and
+#: a piece that one shingle touches is then as telling as the shingle.
+PIECE_BITS = 1 << 22
 SHORT_BITS = 512
 BLOCK_NODES = 1024
 
