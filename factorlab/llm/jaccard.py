@@ -39,6 +39,8 @@ by_value(__name__)
 #: a piece that one shingle touches is then as telling as the shingle.
 PIECE_BITS = 1 << 22
 SHORT_BITS = 512
+#: Sets above this size, which short sketches can't tell apart, carry as many bits as shingles.
+LONG = SHORT_BITS
 BLOCK_NODES = 1024
 
 
@@ -191,8 +193,10 @@ def group_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
     cell, side = cell[order], side[order]
     node, comp, n = (table[c].to_numpy()[order] for c in ("node", "comp", "n"))
     short = np.frombuffer(b"".join(table["short"].to_pylist()), dtype=np.uint64).reshape(-1, SHORT_BITS // 64)[order]
+    wide = table["wide"].take(pa.array(order)).to_pylist()
     edge = np.concatenate((np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]))
     found: set[tuple[int, int]] = set()
+    refused: set[tuple[int, int]] = set()
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         # Side 0 is apart from the smallest node's component and in both blocks, 1 in the first only, 2 in the second.
         left, right = np.arange(lo, lo + int((side[lo:hi] < 2).sum())), lo + np.flatnonzero(side[lo:hi] != 1)
@@ -204,8 +208,13 @@ def group_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
             ok = (far * (den + num) <= (den - num) * (a + b)) & (comp[part][:, None] != comp[right][None, :])
             ok &= (den * a >= num * b) & (den * b >= num * a)
             for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = int(node[part[i]]), int(node[right[j]])
-                found.add((min(x, y), max(x, y)))
+                p, q = int(part[i]), int(right[j])
+                x, y = int(node[p]), int(node[q])
+                pair = (min(x, y), max(x, y))
+                if pair in found or pair in refused:
+                    continue
+                plain = not wide[p] or not wide[q] or may_link(int(n[p]), int(n[q]), wide[p], wide[q], num, den)
+                (found if plain else refused).add(pair)
     return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
@@ -329,10 +338,13 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         def shorten(batches):
             for batch in batches:
-                folded = [fold(s, SHORT_BITS).to_bytes(SHORT_BITS // 8, "little") for s in batch.column("sketch").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "side", "node", "comp", "n")), pa.array(folded, pa.binary())], names=["cell", "side", "node", "comp", "n", "short"])
+                whole = batch.column("sketch").to_pylist()
+                short = [fold(s, SHORT_BITS).to_bytes(SHORT_BITS // 8, "little") for s in whole]
+                wide = [fold(s, 4 * len(s)).to_bytes(len(s) // 2, "little") if n > LONG else b"" for s, n in zip(whole, batch.column("n").to_pylist(), strict=True)]
+                cols = [*(batch.column(c) for c in ("cell", "side", "node", "comp", "n")), pa.array(short, pa.binary()), pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "side", "node", "comp", "n", "short", "wide"])
 
-        cells = cells.select("cell", "side", "node", "comp", "n", "sketch").mapInArrow(shorten, "cell long, side int, node long, comp long, n long, short binary")
+        cells = cells.select("cell", "side", "node", "comp", "n", "sketch").mapInArrow(shorten, "cell long, side int, node long, comp long, n long, short binary, wide binary")
         dealt = cells.withColumn("at", F.pmod("cell", F.lit(8 * buckets)).cast("int")).groupBy("at")
         return sifted(dealt.applyInArrow(lambda t: group_pairs(t, num, den), "a long, b long").distinct())
 
