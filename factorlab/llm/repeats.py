@@ -45,6 +45,8 @@ LAST = (1 << 63) - 1
 SLICE = 1 << 19
 INDEX = U64((1 << 20) - 1)
 BINARY = pa.binary()
+#: Suffix ranges per shuffle partition.
+RANGES = 8
 
 
 class Chunk:
@@ -202,38 +204,47 @@ def candidate_segments(left: pa.Table, right: pa.Table, words: bool, length: int
 SPANS = pa.schema([("chunk", pa.int32()), ("rows", BINARY), ("starts", BINARY), ("ends", BINARY)])
 
 
-def repeated_spans(table: pa.Table, length: int, matcher: Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]) -> pa.Table:
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and how many each row holds."""
+    data = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(data), dtype=kind), np.fromiter((len(b) // width for b in data), dtype=np.int64, count=len(data))
+
+
+def repeated_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> pa.Table:
     """Per chunk the spans (row, start, end) whose windows an earlier document holds.
 
-    `matcher(contents, first_docs, length)` gives for every content the smallest doc_id of each of its windows.
+    `matcher(contents, first_docs, length)` gives for all windows of all contents in turn the smallest doc_id.
     """
-    first: dict[bytes, int] = {}
-    contents = table["content"].to_pylist()
-    docs = [np.frombuffer(b, dtype=np.int64) for b in table["docs"].to_pylist()]
-    for content, doc in zip(contents, docs, strict=True):
-        low = int(doc.min())
-        if first.get(content, LAST + 1) > low:
-            first[content] = low
-    order = sorted(first, key=lambda c: (first[c], c))
-    owner = dict(zip(order, matcher(order, np.array([first[c] for c in order], dtype=np.int64), length), strict=True))
-    out: dict[int, tuple[list, list, list]] = {}
-    for chunk, content, doc, rows, places in zip(table["chunk"].to_pylist(), contents, docs, table["rows"].to_pylist(), table["places"].to_pylist(), strict=True):
-        low = owner[content]
-        least, most = int(low.min()), int(low.max())
-        row, place = np.frombuffer(rows, dtype=np.int32), np.frombuffer(places, dtype=np.int64)
-        got = out.setdefault(chunk, ([], [], []))
-        later = doc > most
-        if later.any():
-            got[0].append(row[later])
-            got[1].append(place[later])
-            got[2].append(place[later] + len(low) + length - 1)
-        for i in np.flatnonzero((doc > least) & ~later):
-            s, e = runs(low < doc[i])
-            got[0].append(np.full(len(s), row[i], dtype=np.int32))
-            got[1].append(place[i] + s)
-            got[2].append(place[i] + e + length - 1)
-    rows = [(c, *(np.concatenate(x).tobytes() for x in got)) for c, got in out.items() if got[0]]
-    cols = zip(*rows, strict=True) if rows else ([], [], [], [])
+    seen: dict[bytes, int] = {}
+    number = np.fromiter((seen.setdefault(c, len(seen)) for c in table["content"].to_pylist()), dtype=np.int64, count=table.num_rows)
+    docs, size = _flat(table["docs"], np.int64)
+    rows, places = _flat(table["rows"], np.int32)[0], _flat(table["places"], np.int64)[0]
+    which, chunk = np.repeat(number, size), np.repeat(table["chunk"].to_numpy(), size)
+    first = np.full(len(seen), LAST, dtype=np.int64)
+    np.minimum.at(first, which, docs)
+    contents = list(seen)
+    order = sorted(range(len(contents)), key=lambda i: (first[i], contents[i]))
+    low = matcher([contents[i] for i in order], first[order], length)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    units = np.fromiter((c.count(b" ") + 1 if words else len(c) for c in map(contents.__getitem__, order)), dtype=np.int64, count=len(order))
+    windows = units - length + 1
+    begin = np.cumsum(windows) - windows
+    least, most = np.minimum.reduceat(low, begin), np.maximum.reduceat(low, begin)
+    which = rank[which]
+    # All windows repeated: the whole segment goes. Some: its runs.
+    whole = np.flatnonzero(docs > most[which])
+    got = [(chunk[whole], rows[whole], places[whole], places[whole] + windows[which[whole]] + length - 1)]
+    for i in np.flatnonzero((docs > least[which]) & (docs <= most[which])).tolist():
+        s, e = runs(low[begin[which[i]] : begin[which[i]] + windows[which[i]]] < docs[i])
+        got.append((np.full(len(s), chunk[i]), np.full(len(s), rows[i]), places[i] + s, places[i] + e + length - 1))
+    to, row, start, end = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(to, kind="stable")
+    to, row, start, end = to[order], row[order].astype(np.int32), start[order].astype(np.int64), end[order].astype(np.int64)
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])).tolist() if len(to) else [0]
+    out = [(int(to[a]), row[a:b].tobytes(), start[a:b].tobytes(), end[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    cols = zip(*out, strict=True) if out else ([], [], [], [])
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, SPANS, strict=True)], schema=SPANS)
 
 
@@ -250,13 +261,14 @@ def remainder(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
         step = np.zeros(len(chunk.units) + 1, dtype=np.int32)
         np.add.at(step, chunk.first[rows] + starts, 1)
         np.add.at(step, chunk.first[rows] + ends, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        del step
     n = np.diff(chunk.first)
-    before = np.concatenate(([0], np.cumsum(gone)))
+    before = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(gone, dtype=np.int32)))
     removed = before[chunk.first[1:]] - before[chunk.first[:-1]]
     begins = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
     begins[chunk.first[:-1][n > 0]] = gone[chunk.first[:-1][n > 0]]
-    opened = np.concatenate(([0], np.cumsum(begins)))
+    opened = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(begins, dtype=np.int32)))
     spans = opened[chunk.first[1:]] - opened[chunk.first[:-1]]
     kept = []
     for i, text in enumerate(chunk.texts):
@@ -270,9 +282,9 @@ def remainder(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, KEPT, strict=True)], schema=KEPT)
 
 
-def _frame(docs: DataFrame, words: bool, length: int, k: int, buckets: int, route, matcher) -> DataFrame:
-    spark = docs.sparkSession
-    chunks = parts(spark)
+def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) -> DataFrame:
+    # A word is about six bytes: chunks of bytes are smaller, so that both hold about as many units.
+    buckets, chunks = parts(docs.sparkSession), parts(docs.sparkSession, 2 if words else 4)
 
     def texts() -> DataFrame:
         return docs.select(
@@ -286,7 +298,7 @@ def _frame(docs: DataFrame, words: bool, length: int, k: int, buckets: int, rout
     found = texts().groupBy("chunk").cogroup(shared.groupBy("to")).applyInArrow(
         lambda a, b: candidate_segments(a, b, words, length, k, route), "bucket int, chunk int, content binary, rows binary, docs binary, places binary"
     )
-    spans = found.groupBy("bucket").applyInArrow(lambda t: repeated_spans(t, length, matcher), "chunk int, rows binary, starts binary, ends binary").withColumnRenamed("chunk", "to")
+    spans = found.groupBy("bucket").applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, rows binary, starts binary, ends binary").withColumnRenamed("chunk", "to")
     left = texts().groupBy("chunk").cogroup(spans.groupBy("to")).applyInArrow(lambda a, b: remainder(a, b, words), "doc long, n_units long, n_removed long, n_spans long, kept binary")
     return left.select(F.nullif(F.col("doc"), F.lit(LAST)).alias("doc_id"), "n_units", "n_removed", "n_spans", "kept")
 
@@ -294,7 +306,7 @@ def _frame(docs: DataFrame, words: bool, length: int, k: int, buckets: int, rout
 # ---- suffix automata of reference shards ----
 
 
-def window_owners(contents: list[bytes], first_docs: np.ndarray, length: int) -> list[np.ndarray]:
+def window_owners(contents: list[bytes], first_docs: np.ndarray, length: int) -> np.ndarray:
     """Smallest doc_id of every window by matching statistics against the suffix automaton of a shard.
 
     The shard holds each distinct content once; contents come in the order of their first document.
@@ -355,7 +367,7 @@ def window_owners(contents: list[bytes], first_docs: np.ndarray, length: int) ->
             low[up] = low[state]
     out = []
     for sequence in sequences:
-        state, match, got = 0, 0, []
+        state = match = 0
         for c in sequence:
             while c not in nxt[state] and state:
                 state = link[state]
@@ -367,15 +379,14 @@ def window_owners(contents: list[bytes], first_docs: np.ndarray, length: int) ->
                 while size[link[state]] >= length:
                     state = link[state]
                 match = length
-                got.append(low[state])
-        out.append(np.array(got, dtype=np.int64))
-    return out
+                out.append(low[state])
+    return np.array(out, dtype=np.int64)
 
 
 def suffix_automata(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): words of windows that an earlier document holds are removed."""
     buckets = parts(docs.sparkSession)
-    return _frame(docs, True, length, min(k, length), buckets, lambda keys, heads: bucket_of(keys, buckets), window_owners)
+    return _frame(docs, True, length, min(k, length), lambda keys, heads: bucket_of(keys, buckets), window_owners)
 
 
 # ---- range-partitioned suffixes ----
@@ -385,25 +396,32 @@ def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by their characters (one column each), and which rows of it begin a new string.
 
     Multikey: rows are sorted by one character, and only runs that are still equal go on to the next.
+    A run of copies, whose neighbours agree in all characters to come, is done.
     """
     order = np.argsort(columns[0], kind="stable")
     head = columns[0][order]
     fresh = np.concatenate(([True], head[1:] != head[:-1]))
-    for column in columns[1:]:
-        tied = ~fresh | np.concatenate((~fresh[1:], [False]))
-        at = np.flatnonzero(tied)
+    for depth in range(1, len(columns)):
+        run = np.cumsum(fresh) - 1
+        inner = np.flatnonzero(~fresh)
+        here, before = order[inner], order[inner - 1]
+        differ = np.zeros(len(inner), dtype=bool)
+        for column in columns[depth:]:
+            differ |= column[here] != column[before]
+        mixed = np.zeros(run[-1] + 1, dtype=bool)
+        mixed[run[inner[differ]]] = True
+        at = np.flatnonzero(mixed[run])
         if not len(at):
             break
-        group = np.cumsum(fresh)[at]
-        value = column[order[at]]
-        inner = np.lexsort((value, group))
-        order[at] = order[at][inner]
-        value = value[inner]
+        group, value = run[at], columns[depth][order[at]]
+        sub = np.lexsort((value, group))
+        order[at] = order[at][sub]
+        value = value[sub]
         fresh[at[1:]] |= (value[1:] != value[:-1]) & (group[1:] == group[:-1])
     return order, fresh
 
 
-def sorted_owners(contents: list[bytes], first_docs: np.ndarray, length: int) -> list[np.ndarray]:
+def sorted_owners(contents: list[bytes], first_docs: np.ndarray, length: int) -> np.ndarray:
     """Smallest doc_id of every window: the suffixes of a range are sorted and equal neighbours share their documents."""
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     sizes = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
@@ -426,7 +444,7 @@ def sorted_owners(contents: list[bytes], first_docs: np.ndarray, length: int) ->
     edge = np.flatnonzero(fresh)
     low = np.empty(len(starts), dtype=np.int64)
     low[order] = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
-    return np.split(low, np.cumsum(windows)[:-1])
+    return low
 
 
 def splitters(docs: DataFrame, head: int, buckets: int, sample: int = 20_000) -> list[bytes]:
@@ -439,12 +457,12 @@ def splitters(docs: DataFrame, head: int, buckets: int, sample: int = 20_000) ->
     return sorted({heads[i * len(heads) // buckets] for i in range(1, buckets)}) if heads else []
 
 
-def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
+def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 20) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): bytes of windows that an earlier document holds are removed."""
     k = min(k, length)
-    bounds = np.array(splitters(docs, k, parts(docs.sparkSession)) or [b""], dtype=f"S{k}")
+    bounds = np.array(splitters(docs, k, parts(docs.sparkSession, RANGES)) or [b""], dtype=f"S{k}")
 
     def route(keys: np.ndarray, heads: list[bytes]) -> np.ndarray:
         return np.searchsorted(bounds, np.array(heads, dtype=f"S{k}"), side="right").astype(np.int32)
 
-    return _frame(docs, False, length, k, parts(docs.sparkSession), route, sorted_owners)
+    return _frame(docs, False, length, k, route, sorted_owners)
