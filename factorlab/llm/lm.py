@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.llm.common import U64, by_value, hash_words, joined, lower_ascii, mix, parts, shared_folder, text_groups, written
+from factorlab.llm.common import U64, by_value, hash_words, joined, lower_ascii, mix, pack_keys, parts, shared_folder, text_groups, unpack_keys, written
 
 by_value(__name__)
 
@@ -77,18 +77,6 @@ class Tokens:
 # ---- blocks of sorted keys and values between chunks and buckets ----
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """The upper 56 bits, byte by byte: the leading bytes of sorted keys compress away."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(7, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :7] = planes.T
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Values of one type, byte by byte."""
     v = np.ascontiguousarray(values.astype(kind))

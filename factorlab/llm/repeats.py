@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.llm.common import BYTE_BASE, U64, WORD_BASE, as_bytes, by_value, gram_hashes, hash_words, joined, mix, parts, runs, text_groups
+from factorlab.llm.common import BYTE_BASE, U64, WORD_BASE, as_bytes, by_value, gram_hashes, hash_words, joined, mix, pack_keys, parts, runs, text_groups, unpack_keys
 
 by_value(__name__)
 
 LAST = (1 << 63) - 1
 SLICE = 1 << 19
 INDEX = U64((1 << 20) - 1)
+#: Anchors are known by 55 bits of hash; the bit below marks those that two documents of a chunk hold.
+HASH, MARK = U64(0xFFFFFFFFFFFFFE00), U64(0x100)
 BINARY = pa.binary()
 #: Suffix ranges per shuffle partition.
 RANGES = 8
@@ -135,27 +137,27 @@ def anchors(table: pa.Table, words: bool, length: int, k: int, buckets: int) ->
         return KEYS.empty_table()
     key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(key, kind="stable")  # documents stay in order within a key
-    key, doc = key[order] & ~U64(1), doc[order]
+    key, doc = key[order] & HASH, doc[order]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     many = doc[edge] != doc[np.append(edge[1:], len(key)) - 1]
-    key = key[edge] | many.astype(np.uint64)
+    key = np.where(many, key[edge] | MARK, key[edge])
     name = table["chunk"][0].as_py()
-    rows = [(b, name, key[part].tobytes()) for b, part in _blocks(key, buckets)]
+    rows = [(b, name, pack_keys(key[part])) for b, part in _blocks(key, buckets)]
     return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), KEYS, strict=True)], schema=KEYS)
 
 
 def shared_keys(table: pa.Table) -> pa.Table:
     """Reply to every chunk the keys that two documents hold."""
-    held = [np.frombuffer(b, dtype=np.uint64) for b in table["keys"].to_pylist()]
+    held = [unpack_keys(b) for b in table["keys"].to_pylist()]
     every = np.concatenate(held)
-    plain = np.sort(every & ~U64(1))
-    shared = np.unique(np.concatenate((plain[1:][plain[1:] == plain[:-1]], every[(every & U64(1)) == U64(1)] & ~U64(1))))
+    plain = np.sort(every & HASH)
+    shared = np.unique(np.concatenate((plain[1:][plain[1:] == plain[:-1]], every[(every & MARK) > 0] & HASH)))
     rows = []
     for chunk, keys in zip(table["chunk"].to_pylist(), held, strict=True):
-        keys = keys & ~U64(1)
+        keys = keys & HASH
         hit = _member(keys, shared)
         if hit.any():
-            rows.append((0, chunk, keys[hit].tobytes()))
+            rows.append((0, chunk, pack_keys(keys[hit])))
     cols = zip(*rows, strict=True) if rows else ([], [], [])
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, KEYS, strict=True)], schema=KEYS)
 
@@ -174,10 +176,10 @@ def candidate_segments(left: pa.Table, right: pa.Table, words: bool, length: int
     if not left.num_rows or not right.num_rows:
         return SEGMENTS.empty_table()
     chunk = Chunk(left, words)
-    shared = np.sort(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in right["keys"].to_pylist()]))
+    shared = np.sort(np.concatenate([unpack_keys(b) for b in right["keys"].to_pylist()]))
     seen: dict[bytes, list] = {}
     for first, count, key, place in segments(chunk, length, k):
-        hit = _member(key & ~U64(1), shared)
+        hit = _member(key & HASH, shared)
         for a, n, h, p in zip(first[hit].tolist(), count[hit].tolist(), key[hit].tolist(), place[hit].tolist(), strict=True):
             content = chunk.content(a, a + n + length - 1)
             entry = seen.get(content)
@@ -284,7 +286,7 @@ def remainder(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
 
 def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) -> DataFrame:
     # A word is about six bytes: chunks of bytes are smaller, so that both hold about as many units.
-    buckets, chunks = parts(docs.sparkSession), parts(docs.sparkSession, 2 if words else 4)
+    buckets, chunks = parts(docs.sparkSession, 1), parts(docs.sparkSession, 2 if words else 4)
 
     def texts() -> DataFrame:
         return docs.select(
@@ -457,7 +459,7 @@ def splitters(docs: DataFrame, head: int, buckets: int, sample: int = 20_000) ->
     return sorted({heads[i * len(heads) // buckets] for i in range(1, buckets)}) if heads else []
 
 
-def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 20) -> DataFrame:
+def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): bytes of windows that an earlier document holds are removed."""
     k = min(k, length)
     bounds = np.array(splitters(docs, k, parts(docs.sparkSession, RANGES)) or [b""], dtype=f"S{k}")
