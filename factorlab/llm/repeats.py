@@ -34,6 +34,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ INDEX = U64((1 << 20) - 1)
 #: Anchors are known by 55 bits of hash; the bit below marks those that two documents of a chunk hold.
 HASH, MARK = U64(0xFFFFFFFFFFFFFE00), U64(0x100)
 BINARY = pa.binary()
-#: Suffix ranges per shuffle partition.
+#: Suffix ranges per shuffle partition; half as many stand in one group, whose rows a chunk gets together.
 RANGES = 8
 
 
@@ -213,11 +214,8 @@ def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), dtype=kind), np.fromiter((len(b) // width for b in data), dtype=np.int64, count=len(data))
 
 
-def repeated_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> pa.Table:
-    """Per chunk the spans (row, start, end) whose windows an earlier document holds.
-
-    `matcher(contents, first_docs, length)` gives for all windows of all contents in turn the smallest doc_id.
-    """
+def _range_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> list[tuple]:
+    """(chunk, row, start, end) arrays of the repeated spans of one range."""
     seen: dict[bytes, int] = {}
     number = np.fromiter((seen.setdefault(c, len(seen)) for c in table["content"].to_pylist()), dtype=np.int64, count=table.num_rows)
     docs, size = _flat(table["docs"], np.int64)
@@ -241,6 +239,18 @@ def repeated_spans(table: pa.Table, words: bool, length: int, matcher: Callable[
     for i in np.flatnonzero((docs > least[which]) & (docs <= most[which])).tolist():
         s, e = runs(low[begin[which[i]] : begin[which[i]] + windows[which[i]]] < docs[i])
         got.append((np.full(len(s), chunk[i]), np.full(len(s), rows[i]), places[i] + s, places[i] + e + length - 1))
+    return got
+
+
+def repeated_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> pa.Table:
+    """Per chunk the spans (row, start, end) whose windows an earlier document holds.
+
+    `matcher(contents, first_docs, length)` gives for all windows of all contents in turn the smallest doc_id.
+    """
+    # Ranges of a group one after another: equal windows are in one range, and only one is expanded at a time.
+    got = []
+    for part in np.unique(table["bucket"].to_numpy()).tolist():
+        got += _range_spans(table.filter(pc.equal(table["bucket"], part)), words, length, matcher)
     to, row, start, end = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.argsort(to, kind="stable")
     to, row, start, end = to[order], row[order].astype(np.int32), start[order].astype(np.int64), end[order].astype(np.int64)
@@ -300,7 +310,8 @@ def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) ->
     found = texts().groupBy("chunk").cogroup(shared.groupBy("to")).applyInArrow(
         lambda a, b: candidate_segments(a, b, words, length, k, route), "bucket int, chunk int, content binary, rows binary, docs binary, places binary"
     )
-    spans = found.groupBy("bucket").applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, rows binary, starts binary, ends binary").withColumnRenamed("chunk", "to")
+    held_together = 1 if words else RANGES // 2
+    spans = found.groupBy((F.col("bucket") / held_together).cast("int")).applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, rows binary, starts binary, ends binary").withColumnRenamed("chunk", "to")
     left = texts().groupBy("chunk").cogroup(spans.groupBy("to")).applyInArrow(lambda a, b: remainder(a, b, words), "doc long, n_units long, n_removed long, n_spans long, kept binary")
     return left.select(F.nullif(F.col("doc"), F.lit(LAST)).alias("doc_id"), "n_units", "n_removed", "n_spans", "kept")
 
