@@ -4,16 +4,19 @@ Tokens are lower-cased (A-Z) words and one end per document. Each context, the p
 restaurant in which the tokens that follow it are seated; all contexts share one parent restaurant,
 whose customers are the tables of its children, over a uniform base of V + 1 words.
 
-Seating is sampled by blocked Gibbs steps: given its parent's probabilities and the other tables of its
-context, all customers of one (context, word) leave and are seated again one after another by the
-Chinese-restaurant rule. Several such seatings are drawn per step and averaged, and with them the
-predictive probabilities, which are linear in the number of tables. Random numbers come from the key of
-the (context, word), the customer and the draw, so every task that meets a pair draws the same tables
+Seating is sampled by blocked Gibbs sweeps: all customers of one (context, word) leave and are seated again one
+after another by the Chinese-restaurant rule, given the other tables of their context and the parent's probabilities
+as the sweep before left them; then the words of the parent are seated again in the same way. The first state is every
+customer at a table of its own and one table a word in the parent. Sweeps go on until the number of all tables settles;
+the predictive probabilities of the next `KEEP` states are averaged. In each of them discount and back-off come from the same
+seating, so that they sum to one over the words and the unknown one. Random numbers come from the key of
+the (context, word), the customer and the sweep, so every task that meets a pair draws the same tables
 and a repeated task repeats its draws.
 
-What Spark moves: chunks of documents meet hash buckets of words, and of pairs, four times.
+What Spark moves: chunks of documents meet hash buckets of words, and of pairs, once for counts, and of words once a sweep.
 Each chunk sends a key once with its count and gets the corpus's count back in the same order. A word that
-holds a third of all tokens is one entry a chunk. The texts are written once as a table bucketed by chunk.
+holds a third of all tokens is one entry a chunk. The texts are written once as a table bucketed by chunk, read
+four times; sweeps read only the distinct pairs, each in the one chunk that owns it.
 
 Null text counts as empty (one end). A null doc_id trains (its crc32 is null). Rows with equal doc_id are scored alike
 and all train. With nothing to train on, every token has probability 1. Further columns are ignored.
@@ -35,11 +38,19 @@ by_value(__name__)
 #: Discount and strength of the contexts and of their parent.
 CONTEXT = (0.8, 1.0)
 PARENT = (0.7, 10.0)
-DRAWS = 4
-SWEEPS = 1
+#: Most sweeps before states are kept, should the tables not settle; states kept; change of all tables that counts as settled.
+SWEEPS = 40
+KEEP = 3
+SETTLED = 0.005
 END, START = U64(0x0E0D), U64(0x57A7)
 NULL_DOC = (1 << 63) - 1
 ONE_BY_ONE = 32
+#: Further customers are seated in blocks of this share of those seated.
+STEP = 8
+
+
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * U64(0xA24BAED4963EE407) + word)
 
 
 class Tokens:
@@ -68,7 +79,7 @@ class Tokens:
         if pairs:
             start = np.concatenate(([True], self.row[1:] != self.row[:-1]))
             context = np.where(start, inverse[-1], np.concatenate(([0], self.word[:-1])))
-            key = mix(self.words[context] * U64(0xA24BAED4963EE407) + self.words[self.word])
+            key = pair_keys(self.words[context], self.words[self.word])
             self.pairs, first, self.pair = np.unique(key, return_index=True, return_inverse=True)
             self.pair_context, self.pair_word = context[first], self.word[first]
             self.pair_count = np.bincount(self.pair[self.train], minlength=len(self.pairs))
@@ -80,7 +91,7 @@ class Tokens:
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Values of one type, byte by byte."""
     v = np.ascontiguousarray(values.astype(kind))
-    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes()
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes()
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
@@ -112,8 +123,8 @@ def _send(chunk: int, keys: np.ndarray, buckets: int, a: np.ndarray, a_kind: str
 
 
 def _received(right: pa.Table, column: str, kind: str, tag: str | None = None) -> np.ndarray:
-    """A chunk's replies in the order of its keys: buckets are ranges, so their number orders them."""
-    rows = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if tag is None or right["tag"][i].as_py() == tag)
+    """A chunk's replies in the order of its keys: buckets are ranges, so their number orders them. Rows below 0 are its own."""
+    rows = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if at >= 0 and (tag is None or right["tag"][i].as_py() == tag))
     return np.concatenate([unpack(right[column][i].as_py(), kind) for _, i in rows])
 
 
@@ -154,82 +165,110 @@ def add_pairs(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def seat_parent(table: pa.Table, words: int) -> pa.Table:
-    """Customers and tables of words in the parent restaurant, and each word's tables as a context, back to the chunks.
+def seat_parent(table: pa.Table, words: int, all_tables: float, sweep: int) -> pa.Table:
+    """Customers less discounts of words in the parent restaurant, and each word's tables as a context, back to the chunks.
 
-    Under chunk -1: the bucket's customers and tables.
+    `all_tables` are the parent's tables in the state before. Under chunk -1: the bucket's customers and tables, and its state,
+    the tables of each word. A chunk's own tables (bucket below 0) go back as they are.
     """
-    order, held, keys, inverse = _merge(table)
-    sums = [np.bincount(inverse, weights=np.concatenate([unpack(table[c][i].as_py(), "<f4") for i in order]), minlength=len(keys)) for c in ("a", "b")]
-    customers = np.rint(sums[0]).astype(np.int64)
+    if table["at"][0].as_py() < 0:
+        return table
+    own = table["chunk"].to_numpy() == -1
+    state, sent = np.flatnonzero(own), table.take(pa.array(np.flatnonzero(~own)))
+    order, held, keys, inverse = _merge(sent)
+    customers, context = (
+        np.bincount(inverse, weights=np.concatenate([unpack(sent[c][i].as_py(), "<i8") for i in order]), minlength=len(keys)).astype(np.int64) for c in ("a", "b")
+    )
+    before = unpack(table["b"][int(state[0])].as_py(), "<i8") if len(state) else np.minimum(customers, 1)
     discount, strength = PARENT
-    tables = seat(keys, customers, np.full(len(keys), (strength + discount * words) / (words + 1)), discount)
+    tables = seat(keys, customers, (strength + discount * (all_tables - before)) / (words + 1), discount, discount / (words + 1), sweep)
     at, rows, lo = table["at"][0].as_py(), [], 0
-    net, context = (customers - discount * tables)[inverse], sums[1][inverse]
+    net, context = (customers - discount * tables)[inverse], context[inverse]
     for i, k in zip(order, held, strict=True):
-        rows.append((at, table["chunk"][i].as_py(), b"", pack(net[lo : lo + len(k)], "<f4"), pack(context[lo : lo + len(k)], "<f4")))
+        rows.append((at, sent["chunk"][i].as_py(), b"", pack(net[lo : lo + len(k)], "<f4"), pack(context[lo : lo + len(k)], "<i8")))
         lo += len(k)
-    rows.append((at, -1, b"", pack(np.array([customers.sum(), tables.sum()]), "<f8"), b""))
+    rows.append((at, -1, b"", pack(np.array([customers.sum(), tables.sum()]), "<f8"), pack(tables, "<i8")))
     return _table(rows)
 
 
 # ---- seating ----
 
 
-def seat(keys: np.ndarray, customers: np.ndarray, mass: np.ndarray, discount: float, draws: int = DRAWS) -> np.ndarray:
-    """Average number of tables over several seatings of the given customers of each key.
+def seat(keys: np.ndarray, customers: np.ndarray, mass: np.ndarray, discount: float, gain: np.ndarray | float = 0.0, sweep: int = 0) -> np.ndarray:
+    """Number of tables at which the given customers of each key are seated.
 
-    `mass` is the weight of a new table, (strength + discount * tables of the context) * parent's probability.
-    The first customers are seated one by one; those after go in blocks that double, by the expected
+    `mass` is the weight of a new table before any of the key's own, (strength + discount * other tables of the
+    context) * parent's probability, and `gain` what each own table adds to it, discount * parent's probability.
+    The first customers are seated one by one; those after go in blocks, by the expected
     number of new tables of the block, rounded at random.
     """
-    total = np.minimum(customers, 1).astype(np.float64) * draws
+    total = np.minimum(customers, 1).astype(np.int64)
     more = np.flatnonzero(customers > 1)
     if not len(more):
-        return total / draws
+        return total
     more = more[np.argsort(-customers[more], kind="stable")]
-    c, m, k = customers[more], mass[more], keys[more]
-    for draw in range(draws):
-        tables = np.ones(len(more))
-        n = 1  # customers seated
-        while True:
-            live = int(np.searchsorted(-c, -n, side="left"))  # keys with more than n customers
-            if not live:
-                break
-            u = (mix(k[:live] ^ mix(np.array([n * 64 + draw + 1], dtype=np.uint64))) >> U64(11)).astype(np.float64) * 2.0**-53
-            t = tables[:live]
-            if n < ONE_BY_ONE:
-                tables[:live] = t + (u * (m[:live] + n - discount * t) < m[:live])
-                n += 1
-            else:
-                until = np.minimum(2 * n, c[:live])
-                base = m[:live] - discount * t
-                fresh = m[:live] * np.log((base + until) / (base + n))
-                tables[:live] = np.minimum(t + np.floor(fresh + u), t + (until - n))
-                n *= 2
-        total[more] += tables - 1
-    return total / draws
-
-
-def _pair_tables(tok: Tokens, totals: np.ndarray, word_count: np.ndarray, n: int, v: int, parent: np.ndarray | None, context_tables: np.ndarray | None) -> np.ndarray:
-    """Average tables of every pair of the chunk, given the parent's probabilities and the tables of the contexts.
-
-    Before the first step both are taken from the counts.
-    """
-    discount, strength = CONTEXT
-    if parent is None:
-        parent = (word_count + 1) / (n + v + 1)
-    if context_tables is None:
-        context_tables = np.sqrt(np.maximum(context_count(tok, word_count), 0)) * 2
-    mass = (strength + discount * context_tables[tok.pair_context]) * parent[tok.pair_word]
-    return seat(tok.pairs, totals, mass, discount)
+    c, m, k = customers[more], mass[more], mix(keys[more] ^ mix(np.array([sweep + 1], dtype=np.uint64)))
+    g = np.broadcast_to(gain, customers.shape)[more]
+    tables = np.ones(len(more))
+    n = 1  # customers seated
+    while True:
+        live = int(np.searchsorted(-c, -n, side="left"))  # keys with more than n customers
+        if not live:
+            break
+        u = (mix(k[:live] ^ mix(np.array([n], dtype=np.uint64))) >> U64(11)).astype(np.float64) * 2.0**-53
+        t = tables[:live]
+        new = m[:live] + g[:live] * t
+        if n < ONE_BY_ONE:
+            tables[:live] = t + (u * (new + n - discount * t) < new)
+            n += 1
+        else:
+            until = np.minimum(n + n // STEP, c[:live])
+            base = new - discount * t
+            fresh = new * np.log((base + until) / (base + n))
+            tables[:live] = np.minimum(t + np.floor(fresh + u), t + (until - n))
+            n += n // STEP
+    total[more] = tables.astype(np.int64)
+    return total
+
+
+class State:
+    """What a sweep starts from: the parent's probabilities of words and the words' tables as contexts."""
+
+    def __init__(self, parent: np.ndarray, context: np.ndarray):
+        self.parent, self.context = parent, context
+
+    @classmethod
+    def first(cls, words: np.ndarray, word_count: np.ndarray, n: int, v: int) -> State:
+        """Every customer at a table of its own, one table a word in the parent."""
+        return cls(parent_probability(word_count - PARENT[0] * (word_count > 0), n, v, v), context_count(words, word_count))
+
+    def reseat(self, keys: np.ndarray, totals: np.ndarray, tables: np.ndarray, context: np.ndarray, word: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables of pairs with the given customers and tables, seated again."""
+        discount, strength = CONTEXT
+        parent = self.parent[word]
+        return seat(keys, totals, (strength + discount * np.maximum(self.context[context] - tables, 0)) * parent, discount, discount * parent, sweep)
+
+    def predictive(self, totals: np.ndarray, tables: np.ndarray, size: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        discount, strength = CONTEXT
+        return (totals - discount * tables + (strength + discount * self.context[context]) * self.parent[word]) / (strength + size)
 
 
-def context_count(tok: Tokens, word_count: np.ndarray) -> np.ndarray:
+def predictions(tok: Tokens, totals: np.ndarray, word_count: np.ndarray, states: list[State], keep: int) -> np.ndarray:
+    """Probability of every pair of the chunk, averaged over the last `keep` states; each follows from the one before."""
+    size = context_count(tok.words, word_count)[tok.pair_context]
+    tables, out = totals, np.zeros(len(totals))
+    for i, (before, after) in enumerate(zip(states[:-1], states[1:], strict=True)):
+        tables = before.reseat(tok.pairs, totals, tables, tok.pair_context, tok.pair_word, i)
+        if i >= len(states) - 1 - keep:
+            out += after.predictive(totals, tables, size, tok.pair_context, tok.pair_word) / keep
+    return out
+
+
+def context_count(words: np.ndarray, word_count: np.ndarray) -> np.ndarray:
     """Customers of each word as a context: what follows it. Nothing follows an end; the start is followed once a document."""
     out = word_count.astype(np.int64).copy()
-    out[np.searchsorted(tok.words, START)] = word_count[np.searchsorted(tok.words, END)]
-    out[np.searchsorted(tok.words, END)] = 0
+    start, end = (np.searchsorted(words, w) for w in (START, END))
+    out[start], out[end] = word_count[end], 0
     return out
 
 
@@ -301,41 +340,66 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
 
     pair_replies = written(texts().applyInArrow(count_pairs, BLOCK).groupBy("at").applyInArrow(add_pairs, BLOCK), "pairs")
 
-    def seating(customers: float, tables: float):
-        def seat_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-            tok = Tokens(left)
-            words, totals = _received(right, "a", "<i8", "words"), _received(right, "a", "<i8", "pairs")
-            parent = context = None
-            if "parents" in right["tag"].to_pylist():
-                parent = parent_probability(_received(right, "a", "<f4", "parents"), customers, tables, v)
-                context = _received(right, "b", "<f4", "parents")
-            t = _pair_tables(tok, totals, words, n, v, parent, context) * _received(right, "b", "u1", "pairs")
-            sums = [np.bincount(place, weights=t, minlength=len(tok.words)) for place in (tok.pair_word, tok.pair_context)]
-            return _send(left["chunk"][0].as_py(), tok.words, buckets, sums[0], "<f4", sums[1], "<f4")
-
-        return seat_pairs
+    def own_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        tok = Tokens(left)
+        words, totals = _received(right, "a", "<i8", "words"), _received(right, "a", "<i8", "pairs")
+        mine = np.flatnonzero(_received(right, "b", "u1", "pairs"))
+        mine = mine[np.argsort(tok.pair_context[mine], kind="stable")]
+        cells = (tok.words, "<u8"), (words, "<i8"), (tok.pair_context[mine], "<i4"), (tok.pair_word[mine], "<i4"), (totals[mine], "<i8")
+        return pa.table([pa.array([left["chunk"][0].as_py()], pa.int32()), *(pa.array([pack(x, k)], pa.binary()) for x, k in cells)], names=["chunk", "words", "counts", "context", "word", "totals"])
 
     known = {"words": word_replies, "pairs": pair_replies}
+    owned = written(texts().cogroup(tagged(**known)).applyInArrow(own_pairs, "chunk int, words binary, counts binary, context binary, word binary, totals binary"), "owned")
+
+    def sweep_pairs(left: pa.Table, right: pa.Table | None, sweep: int, customers: float, tables: float) -> pa.Table:
+        cell = {c: left[c][0].as_py() for c in left.column_names}
+        words, counts, totals = unpack(cell["words"], "<u8"), unpack(cell["counts"], "<i8"), unpack(cell["totals"], "<i8")
+        context, word = (unpack(cell[c], "<i4").astype(np.int64) for c in ("context", "word"))
+        state, t = State.first(words, counts, n, v), totals
+        if right is not None:
+            state = State(parent_probability(_received(right, "a", "<f4"), customers, tables, v), _received(right, "b", "<i8"))
+            t = unpack(right["a"][right["at"].to_pylist().index(-1 - cell["chunk"])].as_py(), "<i8")
+        t = state.reseat(pair_keys(words[context], words[word]), totals, t, context, word, sweep)
+        sums = [np.bincount(place, weights=t, minlength=len(words)) for place in (word, context)]
+        sent = _send(cell["chunk"], words, buckets, sums[0], "<i8", sums[1], "<i8")
+        return pa.concat_tables([sent, _table([(-1 - cell["chunk"], cell["chunk"], b"", pack(t, "<i8"), b"")])])
+
+    def one_sweep(sweep: int, replies: DataFrame | None, customers: float, tables: float) -> DataFrame:
+        by_chunk = owned.groupBy("chunk")
+        if replies is None:
+            sent = by_chunk.applyInArrow(lambda left: sweep_pairs(left, None, sweep, 0, 0), BLOCK)
+        else:
+            back = replies.filter("chunk >= 0").withColumnRenamed("chunk", "to").groupBy("to")
+            sent = by_chunk.cogroup(back).applyInArrow(lambda left, right: sweep_pairs(left, right, sweep, customers, tables), BLOCK)
+            sent = sent.unionByName(replies.filter("chunk = -1"))
+        held = tables if replies is not None else v
+        return written(sent.groupBy("at").applyInArrow(lambda t: seat_parent(t, v, held, sweep), BLOCK), "parents")
+
+    replies: list[DataFrame] = []
+    sizes: list[tuple[float, float]] = []
     customers = tables = 0.0
-    for _ in range(max(1, sweeps)):
-        sent = texts().cogroup(tagged(**known)).applyInArrow(seating(customers, tables), BLOCK)
-        known["parents"] = written(sent.groupBy("at").applyInArrow(lambda t: seat_parent(t, v), BLOCK), "parents")
-        customers, tables = _scalars(known["parents"], "<f8")
+    until = None
+    while until is None or len(replies) < until:
+        before = customers if replies else float(n)
+        replies.append(one_sweep(len(replies), replies[-1] if replies else None, customers, tables))
+        customers, tables = _scalars(replies[-1], "<f8")
+        sizes.append((customers, tables))
+        # Small corpora differ by chance from state to state.
+        settled = abs(customers - before) <= max(SETTLED * before, 2 * before**0.5)
+        if until is None and (settled or len(replies) >= sweeps):
+            until = len(replies) + KEEP
+    for i, r in enumerate(replies):
+        known[f"state{i}"] = r.filter("at >= 0")
 
     out = pa.schema([("doc", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         tok = Tokens(left)
         words, totals = _received(right, "a", "<i8", "words"), _received(right, "a", "<i8", "pairs")
-        parent = parent_probability(_received(right, "a", "<f4", "parents"), customers, tables, v)
-        context = _received(right, "b", "<f4", "parents")
-        discount, strength = CONTEXT
-        t = _pair_tables(tok, totals, words, n, v, parent, context)
-        size = context_count(tok, words)[tok.pair_context]
-        # Draws of one step and the tables counted in another may differ: keep every term a probability.
-        own = np.maximum(totals - discount * t, 0)
-        back = np.minimum(strength + discount * context[tok.pair_context], strength + size)
-        p = (own + back * parent[tok.pair_word]) / (strength + size)
+        states = [State.first(tok.words, words, n, v)]
+        for i, (customers, tables) in enumerate(sizes):
+            states.append(State(parent_probability(_received(right, "a", "<f4", f"state{i}"), customers, tables, v), _received(right, "b", "<i8", f"state{i}")))
+        p = predictions(tok, totals, words, states, KEEP)
         docs_here = len(tok.docs)
         base = np.log10((words + 1) / (n + v + 1))
         cols = (

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import collected, edited, prose
 
@@ -231,3 +232,40 @@ def test_search(spark):
         want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert got == sorted(want, key=repr)
     assert search.top_k(search.quantised(df.filter("vec_id < 0")), F.col("vec_id") % 20 == 0, 7).count() == 0
+
+
+def swept(tok, sweeps):
+    """States of a corpus of one chunk and one bucket, and all tables after each sweep."""
+    n, v = int(tok.count.sum()), int((tok.count > 0).sum())
+    states, t, back, tables, totals = [lm.State.first(tok.words, tok.count, n, v)], tok.pair_count, None, v, []
+    for i in range(sweeps):
+        t = states[-1].reseat(tok.pairs, tok.pair_count, t, tok.pair_context, tok.pair_word, i)
+        a, b = (np.bincount(place, weights=t, minlength=len(tok.words)) for place in (tok.pair_word, tok.pair_context))
+        sent = lm._send(0, tok.words, 1, a, "<i8", b, "<i8")
+        own = [] if back is None else [back.filter([c == -1 for c in back["chunk"].to_pylist()])]
+        back = lm.seat_parent(pa.concat_tables([sent, *own]), v, tables, i)
+        customers, tables = lm.unpack(back["a"][1].as_py(), "<f8")
+        states.append(lm.State(lm.parent_probability(lm.unpack(back["a"][0].as_py(), "<f4"), customers, tables, v), lm.unpack(back["b"][0].as_py(), "<i8")))
+        totals.append(customers)
+    return states, totals
+
+
+def test_language_model_sums_to_one_in_small_and_hot_contexts():
+    rng = np.random.default_rng(5)
+    stock = [f"w{i}" for i in range(300)]
+    words = [stock[i] for i in np.minimum(rng.zipf(1.3, 60000) - 1, 299)]
+    # The held-out text has every word, and an unknown one, after a hot, a rare and an unknown context.
+    used = sorted(set(words))
+    rare = min(used, key=words.count)
+    held = " ".join(f"{c} {w}" for c in ("w0", rare, "?") for w in [*used, "?"])
+    # The end of a text follows each of them too.
+    texts = [" ".join(words), held, "w0", rare, "?"]
+    tok = lm.Tokens(pa.table({"doc": list(range(5)), "held": [False, True, True, True, True], "text": texts}))
+    states, totals = swept(tok, 25)
+    assert abs(totals[-1] / totals[-4] - 1) < 0.02, totals
+    p = lm.predictions(tok, tok.pair_count, tok.count, states, 3)
+    for c in ("w0", rare, "?"):
+        at = tok.words[tok.pair_context] == lm.hash_words(np.frombuffer(c.encode(), dtype=np.uint8))[2][0]
+        assert at.sum() == len(used) + 2
+        assert abs(p[at].sum() - 1) < 1e-5, (c, p[at].sum())
+    assert (p > 0).all() and (p <= 1).all()
