@@ -100,12 +100,13 @@ def piece_keys(keys: np.ndarray, edge: np.ndarray, shift: int, num: int, den: in
     pieces, spare = band_pieces(band, num, den)
     bits = (pieces * PIECE_BITS).astype(np.uint64)
     place = mix(keys ^ mix(band.astype(np.uint64))[owner]) % bits[owner]
-    flat = np.sort((owner.astype(np.uint64) << U64(40)) | place)
+    # Places of large sets take more than 40 bits, so owners are kept beside them.
+    order = np.lexsort((place, owner))
+    who, place = owner[order], place[order]
     # Bits flipped an odd number of times are set.
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
-    odd = np.diff(np.append(first, len(flat))) % 2 == 1
-    flat = flat[first[odd]]
-    who, place = (flat >> U64(40)).astype(np.int64), flat & U64((1 << 40) - 1)
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (who[1:] != who[:-1])))) if len(place) else np.empty(0, dtype=np.int64)
+    odd = np.diff(np.append(first, len(place))) % 2 == 1
+    who, place = who[first[odd]], place[first[odd]]
     cell = (who.astype(np.uint64) << U64(32)) | (place // U64(PIECE_BITS))
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, dtype=np.int64)
     sums = np.add.reduceat(mix(place), starts) if len(starts) else np.empty(0, dtype=np.uint64)

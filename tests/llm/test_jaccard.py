@@ -78,3 +78,18 @@ def test_linked_sets_share_a_piece(n):
         both = [jaccard.piece_keys(keys, edge, s, 85, 100) for s in (0, 1)]
         mine = [set(np.concatenate([k[w == i] for k, w in both]).tolist()) for i in (0, 1)]
         assert mine[0] & mine[1]
+
+
+def test_sets_of_over_a_million_shingles_keep_their_own_pieces():
+    rng = np.random.default_rng(8)
+    large = rng.integers(0, 1 << 63, 1_300_000).astype(np.uint64)
+    copy, small = np.append(large[:-2000], rng.integers(0, 1 << 63, 1000).astype(np.uint64)), rng.integers(0, 1 << 63, 50).astype(np.uint64)
+
+    def pieces(*sets, shift):
+        key, who = jaccard.piece_keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), shift, 85, 100)
+        return [set(key[who == i].tolist()) for i in range(len(sets))]
+
+    for shift in (0, 1):
+        alone = [pieces(s, shift=shift)[0] for s in (large, copy, small)]
+        assert pieces(small, large, small, copy, small, shift=shift) == [alone[i] for i in (2, 0, 2, 1, 2)]
+        assert alone[0] & alone[1] and not alone[0] & alone[2]
