@@ -125,6 +125,15 @@ def hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of given spans of a byte array: the same bytes hash alike wherever they stand."""
+    prefix = np.empty(len(raw) + 1, dtype=np.uint64)
+    prefix[0] = 0
+    np.cumsum((raw.astype(np.uint64) + U64(1)) * powers(BYTE_BASE, len(raw)), out=prefix[1:])
+    inverse = powers(pow(BYTE_BASE, -1, 1 << 64), len(raw) + 1)
+    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     """A-Z to a-z; all other bytes stay."""
     return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, jaccard, language, licenses, lm, packing, pii, repeats, search
+from factorlab.llm import decontaminate, jaccard, language, licenses, lm, packing, pii, ranked, repeats, search
 from factorlab.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1,
     "op2_pii": op2,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_best_fit_packing": op9,
     "op10_license_scan": op10,
+    "op13_ranked_search": op13,
 }
 
 def _license_sql() -> str:
@@ -153,4 +158,21 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) r
 WHERE rank <= 20""",
+    "op13_ranked_search": r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM low WHERE t IS NOT NULL),
+held AS (SELECT u, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+tf AS (SELECT u, x, count(*) AS tf FROM (SELECT u, unnest(w) AS x FROM held) o GROUP BY u, x),
+df AS (SELECT x, count(*) AS df FROM tf GROUP BY x),
+wt AS (SELECT x, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS wt FROM df, total),
+scored AS (
+  SELECT item_id, doc_id, u, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (x) JOIN wt USING (x) JOIN held USING (u), total GROUP BY item_id, doc_id, u)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) r
+WHERE rank <= 10""",
 }
