@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import decontaminate, jaccard, language, licenses, lm, packing, pii, ranked, repeats, search
+from factorlab.llm import chat, decontaminate, jaccard, language, licenses, lm, packing, pii, ranked, repeats, search
 from factorlab.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+#: The conversation that the contract adds: control strings, escaped and not, inside texts.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digest(chat.assemble(turns, *tokenizer_paths()), *tokenizer_paths())
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +85,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_best_fit_packing": op9,
     "op10_license_scan": op10,
+    "op12_chat_format": op12,
     "op13_ranked_search": op13,
 }
 
@@ -158,6 +171,21 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) r
 WHERE rank <= 20""",
+    "op12_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) g(i)),
+esc AS (
+  SELECT *, r = 'assistant' AS own,
+    regexp_replace(regexp_replace(x, '(\\*)(### (System|User|Assistant|Role):|</role>|</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1') AS e,
+    regexp_replace(regexp_replace(r, '(\\*)(### (System|User|Assistant|Role):|</role>|</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1') AS q
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(sum(CASE WHEN own THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE own), '')) AS loss_sha256,
+  CAST(sum(length(e) + 8 + CASE r WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 18 + length(q) END) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id""",
     "op13_ranked_search": r"""
 WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM low WHERE t IS NOT NULL),
