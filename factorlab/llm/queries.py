@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm import chat, decontaminate, jaccard, language, licenses, lm, packing, pii, ranked, repeats, search
+from factorlab.llm import chat, decontaminate, jaccard, language, licenses, lm, packing, pii, ranked, repeats, search, trie
 from factorlab.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.family_trie(table(spark, sf_dir, "conversations"))
+
+
 #: The conversation that the contract adds: control strings, escaped and not, inside texts.
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_best_fit_packing": op9,
     "op10_license_scan": op10,
+    "op11_prefix_trie": op11,
     "op12_chat_format": op12,
     "op13_ranked_search": op13,
 }
@@ -171,6 +176,31 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) r
 WHERE rank <= 20""",
+    "op11_prefix_trie": r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+convs AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+head AS (
+  SELECT c, c - c % 100 AS b, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, x: xor(s >> 8, tab[1 + (xor(s, x) & 255)])), 4294967295) % 6 AS h FROM convs, crc),
+own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS t,
+    {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+line AS (
+  SELECT h.c, o.t, o.turn, 0 AS part FROM head h JOIN own o ON o.c = h.b AND o.t <= h.h
+  UNION ALL SELECT h.c, o.t, o.turn, 1 FROM head h JOIN own o ON o.c = h.c AND o.t > h.h),
+whole AS (SELECT convs.c, coalesce(list(turn ORDER BY part, t) FILTER (WHERE turn IS NOT NULL), []) AS l FROM convs LEFT JOIN line USING (c) GROUP BY convs.c),
+pre AS (SELECT c, len(l) AS size, d, l[1:d] AS p, CASE WHEN d > 0 THEN length(l[d].x) ELSE 0 END AS chars FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM whole) w),
+node AS (
+  SELECT d, p, min(c) AS c, count(*) AS n, max(chars) AS chars,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = d), '')) AS ends FROM pre GROUP BY d, p),
+kid AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1, 2),
+fact AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kid USING (d, p)),
+up AS (SELECT kids, (n - 1) * chars AS saved, unnest(range(0, d + 1)) AS a, p FROM fact),
+total AS (SELECT a AS d, p[1:a] AS p, sum((kids = 0)::BIGINT) AS leaves, sum(saved) AS saved FROM up GROUP BY 1, 2)
+SELECT f.c AS conv_id, f.d AS depth, o.c AS parent_conv_id, f.n AS n_convs, CAST(f.kids AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM fact f JOIN total USING (d, p) LEFT JOIN node o ON o.d = f.d - 1 AND o.p = f.p[1:f.d - 1]""",
     "op12_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
