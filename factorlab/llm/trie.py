@@ -150,6 +150,8 @@ def _upward(paths: DataFrame, height: int) -> DataFrame:
 
 def rollup(paths: DataFrame, values: DataFrame, columns: list[str], deepest: int, height: int = HEIGHT) -> DataFrame:
     """(node, depth, columns): sums of `columns` over every node's subtree, itself included."""
+    if height < 2:
+        raise ValueError("a band holds two depths at least")
     up = written(_upward(paths, height), "upward")
     sums = [F.sum(c).alias(c) for c in columns]
     keyed = up.join(values, ["node", "depth"])
