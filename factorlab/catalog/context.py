@@ -215,14 +215,21 @@ class Lab:
         curve = self.ws.materialise(curve, "grid_curves")
         return self.ws.materialise(ladder.stop_take_grid(curve, grid_specs(), CFG), "grid")
 
+    @property
+    def trade_signals(self) -> DataFrame:
+        """What every strategy wants, with the cash its own sizing gave to the name in that month."""
+        return self.holdings.select("strategy", F.col("signal_month").alias("month"), "ticker", F.col("allocated_cash").alias("cash"))
+
+    @property
+    def trade_levels(self) -> DataFrame:
+        rows = [(s.name, s.exits.stop, s.exits.take) for s in all_specs()]
+        return self.spark.createDataFrame(rows, "strategy string, stop double, take double")
+
     @cached_property
     def exits(self) -> DataFrame:
-        """Closed daily trades of two strategies under the selected exits."""
-        sig = self.holdings.filter(F.col("strategy").isin("improved_4", "improved_6")).select(
-            "strategy", F.col("signal_month").alias("month"), "ticker"
-        )
-        walk = trades.rebalance_bars(sig, self.tables.prices)
-        return self.ws.materialise(trades.first_touch_exits(walk, TRADE_STOP, TRADE_TAKE, CFG), "exits")
+        """Daily trades of every strategy under its own exits and sizing."""
+        book = trades.rebalance_bars(self.trade_signals, self.tables.prices)
+        return self.ws.materialise(trades.first_touch_exits(book, None, None, CFG, self.trade_levels), "exits")
 
     def live_state(self) -> DataFrame:
         """State document written from the previous month's targets and read back."""

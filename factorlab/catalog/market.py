@@ -228,9 +228,9 @@ add(
     "missing_tickers",
     "ticker",
     lambda lb: joins.missing_tickers(
-        lb.constituents.select(F.col("Symbol").alias("ticker")), lb.prices.filter(F.col("date") < "1995-01-10")
+        lb.constituents.select(F.col("Symbol").alias("ticker")), lb.prices
     ),
-    "SELECT Symbol AS ticker FROM constituents EXCEPT SELECT ticker FROM prices WHERE date < DATE '1995-01-10'",
+    "SELECT Symbol AS ticker FROM constituents EXCEPT SELECT ticker FROM prices",
 )
 add(
     "conditional_overwrite",

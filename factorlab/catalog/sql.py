@@ -490,46 +490,47 @@ FROM panel p LEFT JOIN (SELECT * FROM curves WHERE strategy = 'improved_5') c US
 
 # ------------------------------------------------------------------- trades
 CTE["trade_signals"] = """
-SELECT DISTINCT strategy, signal_month AS month, ticker FROM holdings WHERE strategy IN ('improved_4', 'improved_6')"""
-CTE["walk_bars"] = """
-SELECT n.strategy, p.ticker, p.date, p.adjOpen AS open, p.adjHigh AS high, p.adjLow AS low, p.adjClose AS close,
-       row_number() OVER w AS i, coalesce(lag(last_day(p.date)) OVER w <> last_day(p.date), TRUE) AS first_bar,
-       t.ticker IS NOT NULL AS in_target
-FROM prices p JOIN (SELECT DISTINCT strategy, ticker FROM trade_signals) n USING (ticker)
-LEFT JOIN trade_signals t ON t.strategy = n.strategy AND t.ticker = p.ticker
-     AND last_day(t.month + INTERVAL 1 DAY) = last_day(p.date)
-WINDOW w AS (PARTITION BY n.strategy, p.ticker ORDER BY p.date)"""
-CTE["walk"] = f"""
-SELECT DISTINCT strategy, ticker, 0::BIGINT AS i, FALSE AS held, NULL::DATE AS entry_date, NULL::DOUBLE AS entry,
-       0::BIGINT AS entry_i, 0::BIGINT AS shares, 0::BIGINT AS buying, 0::BIGINT AS selling, NULL::DATE AS exit_date,
-       NULL::DOUBLE AS exit_price, NULL::VARCHAR AS reason, NULL::BIGINT AS bar_len FROM walk_bars
+SELECT h.strategy, last_day(h.signal_month + INTERVAL 1 DAY) AS month, h.ticker, max(h.allocated_cash) AS cash, max(r.stop_loss) AS stop,
+       max(r.take_profit) AS take
+FROM holdings h JOIN runs r USING (strategy) GROUP BY ALL"""
+CTE["trade_bars"] = """
+SELECT ticker, date, adjOpen AS open, adjHigh AS high, adjLow AS low, adjClose AS close, last_day(date) AS month,
+       row_number() OVER w AS i, coalesce(lag(last_day(date)) OVER w <> last_day(date), TRUE) AS first_bar
+FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)"""
+CTE["trade_heads"] = """
+SELECT n.strategy, h.ticker, h.i, h.close, t.ticker IS NOT NULL AS wanted, t.cash, t.stop, t.take,
+       min(CASE WHEN t.ticker IS NULL THEN h.i END) OVER (
+         PARTITION BY n.strategy, h.ticker ORDER BY h.i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_i
+FROM trade_bars h JOIN (SELECT DISTINCT strategy, ticker FROM trade_signals) n ON n.ticker = h.ticker AND h.first_bar
+LEFT JOIN trade_signals t ON t.strategy = n.strategy AND t.ticker = h.ticker AND t.month = h.month"""
+CTE["trade_entries"] = """
+SELECT h.strategy, h.ticker, h.i AS c, e.date AS entry_date, e.open AS entry, floor(h.cash / h.close)::BIGINT AS shares, h.end_i,
+       e.open * (1 - h.stop) AS low_level, e.open * (1 + h.take) AS high_level,
+       h.end_i + CASE WHEN h.stop IS NULL AND h.take IS NULL THEN 1 ELSE 2 END AS out_i
+FROM trade_heads h JOIN trade_bars e ON e.ticker = h.ticker AND e.i = h.i + 1 WHERE h.wanted AND floor(h.cash / h.close) > 0"""
+CTE["trade_hits"] = """
+SELECT e.strategy, e.ticker, e.c, min(b.i) AS i FROM trade_entries e JOIN trade_bars b ON b.ticker = e.ticker
+  AND b.i > e.c + 1 AND b.i <= coalesce(e.end_i, 1000000000) AND (b.low <= e.low_level OR b.high >= e.high_level)
+GROUP BY ALL"""
+CTE["trade_paths"] = """
+SELECT e.strategy, e.ticker, e.c, e.entry_date, e.entry, e.shares, b.date AS exit_date, b.i AS exit_i,
+       CASE WHEN h.i IS NULL THEN b.open WHEN coalesce(b.low <= e.low_level, FALSE) THEN least(b.open, e.low_level)
+            ELSE greatest(b.open, e.high_level) END AS exit_price,
+       CASE WHEN b.i IS NULL THEN NULL WHEN h.i IS NULL THEN 'rebalance_exit' WHEN coalesce(b.low <= e.low_level, FALSE) THEN 'stop_loss'
+            ELSE 'take_profit' END AS reason,
+       b.i - e.c - 1 AS bar_len
+FROM trade_entries e LEFT JOIN trade_hits h USING (strategy, ticker, c)
+LEFT JOIN trade_bars b ON b.ticker = e.ticker AND b.i = coalesce(h.i, e.out_i)"""
+CTE["trade_next"] = """
+SELECT p.strategy, p.ticker, p.c, min(n.c) AS c_next FROM trade_paths p LEFT JOIN trade_paths n
+  ON n.strategy = p.strategy AND n.ticker = p.ticker AND n.c >= p.exit_i GROUP BY ALL"""
+CTE["walk"] = """
+SELECT strategy, ticker, min(c) AS c FROM trade_paths GROUP BY strategy, ticker
 UNION ALL
-SELECT strategy, ticker, i, still, entry_date, entry, entry_i, shares,
-       CASE WHEN first_bar AND NOT still AND in_target THEN floor({CFG.cash_per_trade} / close)::BIGINT ELSE 0 END,
-       CASE WHEN first_bar AND still AND NOT in_target AND selling = 0 THEN 2 ELSE selling END,
-       CASE WHEN fill_out OR stopped OR taken THEN date END,
-       CASE WHEN fill_out THEN open WHEN stopped THEN least(open, entry * (1 - {TRADE_STOP}))
-            WHEN taken THEN greatest(open, entry * (1 + {TRADE_TAKE})) END,
-       CASE WHEN fill_out THEN 'rebalance_exit' WHEN stopped THEN 'stop_loss' WHEN taken THEN 'take_profit' END,
-       CASE WHEN fill_out OR stopped OR taken THEN i - entry_i END
-FROM (SELECT *, held_now AND NOT stopped AND NOT taken AS still
- FROM (SELECT *, live AND NOT stopped AND coalesce(high >= entry * (1 + {TRADE_TAKE}), FALSE) AS taken
-  FROM (SELECT *, live AND coalesce(low <= entry * (1 - {TRADE_STOP}), FALSE) AS stopped
-   FROM (SELECT b.strategy, b.ticker, b.i, b.date, b.open, b.high, b.low, b.close, b.first_bar, b.in_target,
-        w.held AND w.selling = 1 AS fill_out, (w.held AND w.selling <> 1) OR (NOT w.held AND w.buying > 0) AS held_now,
-        w.held AND w.selling = 0 AS live,
-        CASE WHEN NOT w.held AND w.buying > 0 THEN b.open ELSE w.entry END AS entry,
-        CASE WHEN NOT w.held AND w.buying > 0 THEN b.i ELSE w.entry_i END AS entry_i,
-        CASE WHEN NOT w.held AND w.buying > 0 THEN b.date ELSE w.entry_date END AS entry_date,
-        CASE WHEN NOT w.held AND w.buying > 0 THEN w.buying ELSE w.shares END AS shares,
-        CASE WHEN w.held AND w.selling = 1 THEN 0 ELSE greatest(w.selling - 1, 0) END AS selling
-      FROM walk w JOIN walk_bars b ON b.strategy = w.strategy AND b.ticker = w.ticker AND b.i = w.i + 1))))"""
+SELECT w.strategy, w.ticker, n.c_next FROM walk w JOIN trade_next n USING (strategy, ticker, c) WHERE n.c_next IS NOT NULL"""
 CTE["exits"] = """
 SELECT strategy, ticker, entry_date, entry AS entry_price, shares, exit_date, exit_price, reason, bar_len
-FROM walk WHERE exit_date IS NOT NULL
-UNION ALL
-SELECT strategy, ticker, entry_date, entry, shares, NULL, NULL, NULL, NULL
-FROM (SELECT *, row_number() OVER (PARTITION BY strategy, ticker ORDER BY i DESC) AS back FROM walk) WHERE back = 1 AND held"""
+FROM trade_paths JOIN walk USING (strategy, ticker, c)"""
 CTE["trade_log"] = """
 SELECT strategy, ticker, exit_date AS date, shares * (exit_price - entry_price) AS pnl, bar_len, reason FROM exits
 WHERE exit_date IS NOT NULL"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factorlab.catalog.context import CFG, TRADE_STOP, TRADE_TAKE, Lab, all_specs, grid_specs, ladder_specs
+from factorlab.catalog.context import CFG, Lab, all_specs, grid_specs, ladder_specs
 from factorlab.catalog.registry import add
 from factorlab.catalog.sql import EVAL, normal_p, perf_sql, student_p
 from factorlab.config import STOP_LEVELS, TAKE_LEVELS, specs_frame
@@ -274,16 +274,10 @@ add(
 EXITS = "strategy ticker entry_date entry_price shares:i exit_date exit_price:6 reason bar_len:i"
 
 
-def _signals(lb: Lab):
-    return lb.holdings.filter(F.col("strategy").isin("improved_4", "improved_6")).select(
-        "strategy", F.col("signal_month").alias("month"), "ticker"
-    )
-
-
 add(
     "first_touch_exits",
     EXITS,
-    lambda lb: trades.first_touch_exits(trades.rebalance_bars(_signals(lb), lb.tables.prices), TRADE_STOP, TRADE_TAKE, CFG),
+    lambda lb: trades.first_touch_exits(trades.rebalance_bars(lb.trade_signals, lb.tables.prices), None, None, CFG, lb.trade_levels),
     "SELECT * FROM exits",
 )
 add(
@@ -325,14 +319,14 @@ add(
 
 def _mtm(lb: Lab):
     cal = lb.index_tables[0].select("date")
-    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.tables.prices, cal), cal, ["improved_4", "improved_6"], CFG)
+    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.tables.prices, cal), cal, [s.name for s in all_specs()], CFG)
 
 
 add(
     "equity_return",
-    "date value:2 return:7",
-    lambda lb: joins.return_from_level(_mtm(lb).filter("strategy = 'improved_4'").select("date", "value")),
-    "SELECT date, value, coalesce(value / lag(value) OVER (ORDER BY date) - 1, 0) AS return FROM mtm WHERE strategy = 'improved_4'",
+    "strategy date value:2 return:7",
+    lambda lb: joins.return_from_level(_mtm(lb).select("strategy", "date", "value"), key="strategy"),
+    "SELECT strategy, date, value, coalesce(value / lag(value) OVER (PARTITION BY strategy ORDER BY date) - 1, 0) AS return FROM mtm",
 )
 add(
     "fixed_cash_shares",
@@ -463,20 +457,18 @@ add(
 )
 add(
     "benchmark_align_outer",
-    "month portfolio_return:7 benchmark_return:8 excess:7",
-    lambda lb: joins.benchmark_align_outer(lb.eval_curves.filter("strategy = 'improved_4'"), lb.bench),
-    "SELECT month, coalesce(portfolio_return, 0) AS portfolio_return, coalesce(benchmark_return, 0) AS benchmark_return, "
-    "coalesce(portfolio_return, 0) - coalesce(benchmark_return, 0) AS excess FROM "
-    "(SELECT * FROM eval_curves WHERE strategy = 'improved_4') FULL OUTER JOIN bench USING (month)",
+    "strategy month portfolio_return:7 benchmark_return:8 excess:7",
+    lambda lb: joins.benchmark_align_outer(lb.eval_curves, lb.bench, "strategy"),
+    "SELECT strategy, month, coalesce(portfolio_return, 0) AS portfolio_return, coalesce(benchmark_return, 0) AS benchmark_return, "
+    "coalesce(portfolio_return, 0) - coalesce(benchmark_return, 0) AS excess FROM eval_curves FULL OUTER JOIN "
+    "(SELECT * FROM bench, (SELECT DISTINCT strategy FROM eval_curves)) USING (strategy, month)",
 )
 add(
     "reindex_to_spine",
-    "month portfolio_return:7",
-    lambda lb: joins.reindex_to_spine(
-        lb.months.select("month"), lb.eval_curves.filter("strategy = 'base'"), "portfolio_return"
-    ),
-    "SELECT m.month, coalesce(c.portfolio_return, 0) AS portfolio_return FROM months m "
-    "LEFT JOIN (SELECT * FROM eval_curves WHERE strategy = 'base') c USING (month)",
+    "strategy month portfolio_return:7",
+    lambda lb: joins.reindex_to_spine(lb.months.select("month"), lb.eval_curves, "portfolio_return", key="strategy"),
+    "SELECT strategy, month, coalesce(c.portfolio_return, 0) AS portfolio_return FROM "
+    "(SELECT * FROM (SELECT month FROM months), (SELECT DISTINCT strategy FROM eval_curves)) LEFT JOIN eval_curves c USING (strategy, month)",
 )
 NAMES = [s.name for s in all_specs()]
 _PIVOT = ", ".join(f"avg(portfolio_return) FILTER (strategy = '{s}') AS {s}" for s in NAMES)
@@ -715,7 +707,7 @@ add(
     "engine strategy annualized_sharpe:6 max_drawdown:6 avg_positions:5",
     lambda lb: _vs_baseline(lb),
     "SELECT 'vector' AS engine, strategy, annualized_sharpe, max_drawdown, avg_positions FROM metrics JOIN avg_pos USING (strategy) "
-    "WHERE strategy IN ('improved_4', 'improved_6') UNION ALL SELECT 'daily', strategy, annualized_sharpe, max_drawdown, NULL FROM ("
+    "UNION ALL SELECT 'daily', strategy, annualized_sharpe, max_drawdown, NULL FROM ("
     + perf_sql(
         "(SELECT strategy, date, coalesce(value / lag(value) OVER (PARTITION BY strategy ORDER BY date) - 1, 0) AS r FROM mtm)",
         "strategy", "r", "date", f"date >= {EVAL}",
@@ -727,12 +719,11 @@ add(
 def _vs_baseline(lb: Lab):
     from pyspark.sql import Window
 
-    pair = F.col("strategy").isin("improved_4", "improved_6")
     w = Window.partitionBy("strategy").orderBy("date")
     daily = _mtm(lb).withColumn("r", F.coalesce(F.try_divide("value", F.lag("value").over(w)) - 1, F.lit(0.0)))
     return tables.vs_baseline_summary(
         {
-            "vector": perf.strategy_metrics_table(lb.curves, CFG).filter(pair),
+            "vector": perf.strategy_metrics_table(lb.curves, CFG),
             "daily": perf.eval_metrics(daily, ["strategy"], CFG.evaluation_start, CFG.initial_cash, "r", "date", 252),
         },
         ["annualized_sharpe", "max_drawdown", "avg_positions"],

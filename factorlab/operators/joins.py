@@ -99,17 +99,26 @@ def benchmark_align_inner(curves: DataFrame, bench: DataFrame) -> DataFrame:
     return curves.join(F.broadcast(bench), "month").dropna(subset=["portfolio_return", "benchmark_return"])
 
 
-def benchmark_align_outer(curve: DataFrame, bench: DataFrame) -> DataFrame:
-    """Full outer alignment of one curve with the benchmark; gaps count as zero."""
-    both = curve.select("month", "portfolio_return").join(bench, "month", "full_outer")
+def _for_each(spine: DataFrame, series: DataFrame, key: str) -> DataFrame:
+    """The spine once per key of ``series``; keys are strategies, so their list is bounded by configuration."""
+    names = series.select(F.array_sort(F.collect_set(key))).scalar()
+    return spine.withColumn(key, F.explode(names))
+
+
+def benchmark_align_outer(curve: DataFrame, bench: DataFrame, key: str | None = None) -> DataFrame:
+    """Full outer alignment of a curve, or of every curve under ``key``, with the benchmark; gaps count as zero."""
+    keys = [key] if key else []
+    both = curve.select(*keys, "month", "portfolio_return").join(_for_each(bench, curve, key) if key else bench, [*keys, "month"], "full_outer")
     r, b = F.coalesce("portfolio_return", F.lit(0.0)), F.coalesce("benchmark_return", F.lit(0.0))
-    return both.select("month", r.alias("portfolio_return"), b.alias("benchmark_return"), (r - b).alias("excess"))
+    return both.select(*keys, "month", r.alias("portfolio_return"), b.alias("benchmark_return"), (r - b).alias("excess"))
 
 
-def reindex_to_spine(spine: DataFrame, series: DataFrame, value: str, fill: float = 0.0) -> DataFrame:
-    return spine.join(F.broadcast(series.select("month", value)), "month", "left").withColumn(
-        value, F.coalesce(value, F.lit(fill))
-    )
+def reindex_to_spine(spine: DataFrame, series: DataFrame, value: str, fill: float = 0.0, key: str | None = None) -> DataFrame:
+    """Every month of the spine, under every ``key`` of the series where one is given."""
+    keys = [key] if key else []
+    rows = _for_each(spine, series, key) if key else spine
+    # One row per key and calendar month on the right.
+    return rows.join(series.select(*keys, "month", value), [*keys, "month"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
 def multi_series_align(curves: DataFrame, strategies: list[str], value: str = "portfolio_return") -> DataFrame:
@@ -160,9 +169,10 @@ def nearest_year_join(months: DataFrame, schedule: DataFrame, keys=("scenario",)
     )
 
 
-def return_from_level(level: DataFrame, column: str = "value", order: str = "date") -> DataFrame:
-    """Last row per date, percentage change, first row zero."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)  # one row per trading day
-    daily = last_per_key(level, [order], [F.col(column)]) if column != order else level
+def return_from_level(level: DataFrame, column: str = "value", order: str = "date", key: str | None = None) -> DataFrame:
+    """Last row per date (and key), percentage change, first row zero."""
+    keys = [key] if key else []
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)  # one row per trading day
+    daily = last_per_key(level, [*keys, order], [F.col(column)]) if column != order else level
     chg = ratio(F.col(column), F.lag(column).over(w)) - 1
     return daily.withColumn("return", F.coalesce(finite(chg), F.lit(0.0)))

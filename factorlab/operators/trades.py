@@ -6,10 +6,12 @@ from the following bar; a gap through a level is met at the open. A name that
 leaves the target is sold one bar later, or two if it is protected. After a
 protective exit the name may be bought again in the next month it is wanted.
 
-Every month of a wanted name is a possible entry whose exit follows from joins:
-months in between by their extremes, then the days of at most three months. A
-short fold over a name's possible entries, one per month, keeps those that begin
-when nothing is held. What is still held at the last bar has no exit.
+Exits are first passages. A ticker's months carry a sparse table of range extremes
+(lowest low and highest high over 1, 2, 4, ... months), so the first month that
+meets a level is found by halving steps and only that month's days are looked at.
+The table is built once per ticker and serves every strategy. A scalar fold over a
+name's possible entries then keeps those that begin when nothing is held. What is
+still held at the last bar has no exit.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.config import EngineConfig
-from factorlab.operators.portfolio import fixed_cash_shares
 
 
 def holding_spells(signals: DataFrame) -> DataFrame:
@@ -32,15 +33,45 @@ def holding_spells(signals: DataFrame) -> DataFrame:
     ).drop("_g")
 
 
-def rebalance_bars(signals: DataFrame, prices: DataFrame) -> DataFrame:
-    """Daily bars of every name ever held, flagged with first-of-month and target.
+def range_extremes(low: Column, high: Column) -> Column:
+    """Sparse table over two parallel arrays: array<struct(step, lo, hi)>, widest step first.
 
-    The target of a bar's month is the signal of the calendar month before it.
+    ``lo[i]`` is the least of ``low`` over i .. i + step - 1, ``hi[i]`` the greatest of ``high``.
+    """
+    first = F.struct(F.lit(1).alias("step"), low.alias("lo"), high.alias("hi"))
+
+    def double(levels: Column, _: Column) -> Column:
+        last = F.element_at(levels, -1)
+
+        def ahead(c: str) -> Column:
+            return F.slice(last[c], last["step"] + 1, F.greatest(F.size(last[c]), F.lit(1)))
+
+        wider = F.struct(
+            (last["step"] * 2).alias("step"),
+            F.zip_with(last["lo"], ahead("lo"), lambda x, y: F.least(x, y)).alias("lo"),
+            F.zip_with(last["hi"], ahead("hi"), lambda x, y: F.greatest(x, y)).alias("hi"),
+        )
+        return F.concat(levels, F.array(wider))
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(low), F.lit(2)))).cast("int")
+    return F.reverse(F.aggregate(F.sequence(F.lit(1), rounds), F.array(first), double))
+
+
+def first_passage(levels: Column, start: Column, low_level: Column, high_level: Column) -> Column:
+    """First index from ``start`` at which a level is met; the array's size or more if there is none."""
+
+    def step(at: Column, level: Column) -> Column:
+        met = F.coalesce(F.get(level["lo"], at) <= low_level, F.lit(False)) | F.coalesce(F.get(level["hi"], at) >= high_level, F.lit(False))
+        return F.when(met, at).otherwise(at + level["step"])
+
+    return F.aggregate(levels, start.cast("int"), step)
+
+
+def ticker_book(prices: DataFrame) -> DataFrame:
+    """One row per ticker: its daily bars, its months and their range extremes.
+
+    Bars are unique per (ticker, date), so the calendar bounds a row. One exchange serves every step.
     """
-    names = signals.select("strategy", "ticker").distinct()
-    target = signals.select(
-        "strategy", "ticker", F.last_day(F.add_months("month", 1)).alias("month"), F.lit(True).alias("_in")
-    ).distinct()
     bars = prices.select(
         "ticker",
         "date",
@@ -49,115 +80,152 @@ def rebalance_bars(signals: DataFrame, prices: DataFrame) -> DataFrame:
         F.col("adjHigh").alias("high"),
         F.col("adjLow").alias("low"),
         F.col("adjClose").alias("close"),
+    ).repartition("ticker")
+    months = bars.groupBy("ticker", "month").agg(
+        F.min("low").alias("lo"),
+        F.max("high").alias("hi"),
+        F.count("*").cast("int").alias("n"),
+        F.array_sort(F.collect_list(F.struct("date", "open", "high", "low", "close"))).alias("d"),
     )
-    held = bars.join(names, "ticker").join(target, ["strategy", "ticker", "month"], "left")
-    w = Window.partitionBy("strategy", "ticker").orderBy("date")
-    prev = F.lag("month").over(w)
-    return held.select(
-        "strategy",
+    last = F.sum("n").over(Window.partitionBy("ticker").orderBy("month")).cast("int")
+    months = months.withColumn("last", last).withColumn("first", F.col("last") - F.col("n") + 1)
+    whole = months.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("month", "first", "last", "lo", "hi", "d"))).alias("m"))
+    return whole.select(
         "ticker",
-        "date",
-        "open",
-        "high",
-        "low",
-        "close",
-        "month",
-        F.coalesce(prev != F.col("month"), F.lit(True)).alias("first_bar"),
-        F.coalesce("_in", F.lit(False)).alias("in_target"),
-        F.row_number().over(w).alias("i"),
+        F.transform(
+            F.flatten(F.transform("m", lambda x: x["d"])),
+            lambda x, i: F.struct((i + 1).alias("i"), x["date"].alias("date"), x["open"].alias("open"), x["high"].alias("high"), x["low"].alias("low"), x["close"].alias("close")),
+        ).alias("days"),
+        F.transform("m", lambda x: F.struct(x["month"].alias("month"), x["first"].alias("first"), x["last"].alias("last"))).alias("months"),
+        range_extremes(F.transform("m", lambda x: x["lo"]), F.transform("m", lambda x: x["hi"])).alias("levels"),
     )
 
 
-def entry_candidates(bars: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """One row per month in which a name is wanted: its entry, levels, and the exit if no level is met.
+def rebalance_bars(signals: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row per (strategy, ticker) ever wanted: the ticker's book and the wanted months.
 
-    ``end_i`` is the bar at which the name is first seen to have left the target.
+    The target of a bar's month is the signal of the calendar month before it.
+    ``signals`` may carry ``cash``, what the strategy puts into the name in that month.
     """
-    w = Window.partitionBy("strategy", "ticker").orderBy("i")
-    guarded = F.col("stop").isNotNull() | F.col("take").isNotNull()
-
-    def ahead(column: str) -> Column:
-        return F.when(guarded, F.lead(column, 2).over(w)).otherwise(F.lead(column, 1).over(w))
-
-    heads = bars.withColumns(
-        {
-            "entry_date": F.lead("date", 1).over(w),
-            "entry_price": F.lead("open", 1).over(w),
-            "_out": F.struct("i", "month", ahead("i").alias("at"), ahead("date").alias("date"), ahead("open").alias("price")),
-        }
-    ).filter("first_bar")
-    left = F.min(F.when(~F.col("in_target"), F.col("_out"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    out = heads.withColumn("_end", left).filter("in_target and entry_date is not null")
-    return (
-        out.withColumn("shares", fixed_cash_shares(F.col("close"), cfg.cash_per_trade))
-        .filter("shares > 0")
-        .select(
-            "strategy", "ticker", F.col("i").alias("c"), "month", "entry_date", "entry_price", "shares",
-            (F.col("entry_price") * (1 - F.col("stop"))).alias("low_level"),
-            (F.col("entry_price") * (1 + F.col("take"))).alias("high_level"),
-            F.col("_end.i").alias("end_i"), F.col("_end.month").alias("end_month"),
-            F.col("_end.at").alias("out_i"), F.col("_end.date").alias("out_date"), F.col("_end.price").alias("out_price"),
-        )
-    )
-
-
-def first_touches(candidates: DataFrame, bars: DataFrame) -> DataFrame:
-    """(strategy, ticker, c, hit): the first bar after entry at which a level is met, while the name is wanted."""
-    key = ["strategy", "ticker"]
-    # Months between the first and the last hold no bar outside the position: their extremes tell which is met first.
-    extremes = bars.groupBy(*key, F.col("month").alias("_m")).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
-    met = F.coalesce(F.col("_lo") <= F.col("low_level"), F.lit(False)) | F.coalesce(F.col("_hi") >= F.col("high_level"), F.lit(False))
-    inner = (F.col("_m") > F.col("month")) & (F.col("end_month").isNull() | (F.col("_m") < F.col("end_month")))
-    between = candidates.join(extremes, key).filter(inner & met).groupBy(*key, "c").agg(F.min("_m").alias("between"))
-    days = bars.select(*key, F.col("month").alias("_m"), F.col("i").alias("_i"), F.col("date").alias("_d"), "open", "high", "low")
-    look = candidates.join(between, [*key, "c"], "left").withColumn(
-        "_m", F.explode(F.array_distinct(F.filter(F.array("month", "between", "end_month"), lambda m: m.isNotNull())))
-    )
-    live = (F.col("_i") > F.col("c") + 1) & (F.col("end_i").isNull() | (F.col("_i") <= F.col("end_i")))
-    stopped = F.coalesce(F.col("low") <= F.col("low_level"), F.lit(False))
-    taken = F.coalesce(F.col("high") >= F.col("high_level"), F.lit(False))
-    price = F.when(stopped, F.least("open", "low_level")).otherwise(F.greatest("open", "high_level"))
-    reason = F.when(stopped, "stop_loss").otherwise("take_profit")
-    hits = look.join(days, [*key, "_m"]).filter(live & (stopped | taken))
-    hit = F.min(F.struct(F.col("_i").alias("at"), F.col("_d").alias("date"), price.alias("price"), reason.alias("reason")))
-    return hits.groupBy(*key, "c").agg(hit.alias("hit"))
+    cash = F.col("cash").cast("double") if "cash" in signals.columns else F.lit(None).cast("double")
+    wanted = signals.select("strategy", "ticker", F.last_day(F.add_months("month", 1)).alias("month"), cash.alias("cash"))
+    # At most one row per calendar month of a name.
+    wanted = wanted.groupBy("strategy", "ticker", "month").agg(F.max("cash").alias("cash"))
+    targets = wanted.groupBy("strategy", "ticker").agg(F.array_sort(F.collect_list(F.struct("month", "cash"))).alias("targets"))
+    held = prices.join(signals.select("ticker").distinct(), "ticker", "left_semi")
+    return targets.join(ticker_book(held), "ticker")
 
 
-def first_touch_exits(bars: DataFrame, stop: float | None, take: float | None, cfg: EngineConfig, levels: DataFrame | None = None) -> DataFrame:
+def first_touch_exits(book: DataFrame, stop: float | None, take: float | None, cfg: EngineConfig, levels: DataFrame | None = None) -> DataFrame:
     """Trades with exit reason, price and bars held; a position open at the last bar has NULL in all of these.
 
     ``levels`` (strategy, stop, take) gives each strategy its own; else ``stop`` and ``take`` hold for all.
+    A signal's cash, where given, else the configured amount, is divided by the close that decides the entry.
     """
     if levels is None:
-        bars = bars.withColumn("stop", F.lit(stop).cast("double")).withColumn("take", F.lit(take).cast("double"))
+        book = book.withColumn("stop", F.lit(stop).cast("double")).withColumn("take", F.lit(take).cast("double"))
     else:
-        bars = bars.join(F.broadcast(levels), "strategy")  # one row per strategy
-    candidates = entry_candidates(bars, cfg)
-    key = ["strategy", "ticker", "c"]
-    rows = candidates.join(first_touches(candidates, bars), key, "left")
-    touched = F.col("hit").isNotNull()
-    exit_i = F.when(touched, F.col("hit.at")).otherwise(F.col("out_i"))
-    trade = F.struct(
-        "c", "entry_date", "entry_price", "shares",
-        F.when(touched, F.col("hit.date")).otherwise(F.col("out_date")).alias("exit_date"),
-        F.when(touched, F.col("hit.price")).otherwise(F.col("out_price")).alias("exit_price"),
-        F.when(touched, F.col("hit.reason")).when(F.col("out_i").isNotNull(), F.lit("rebalance_exit")).alias("reason"),
-        (exit_i - F.col("c") - 1).alias("bar_len"),
-        exit_i.alias("exit_i"),
-    )
-    walk = rows.groupBy("strategy", "ticker").agg(F.array_sort(F.collect_list(trade)).alias("_all"))
-    none = F.filter("_all", lambda t: F.lit(False))
-    start = F.struct(F.lit(0).alias("free"), none.alias("kept"))
-
-    def step(s: Column, t: Column) -> Column:
+        book = book.join(levels.select("strategy", "stop", "take"), "strategy")
+    guarded = F.col("stop").isNotNull() | F.col("take").isNotNull()
+    size = F.size("months")
+
+    def put(x: Column, **more: Column) -> Column:
+        for name, value in more.items():
+            x = x.withField(name, value)
+        return x
+
+    def day(i: Column) -> Column:
+        return F.get("days", i - 1)
+
+    # Wanted months as possible entries; k counts months and i bars, k from 0 and i from 1.
+    wanted = F.transform("months", lambda m: F.array_position(F.transform("targets", lambda t: t["month"]), m["month"]).cast("int"))
+    book = book.withColumn("wanted", wanted).withColumn("inside", F.transform("wanted", lambda p: p > 0))
+    heads = F.transform(
+        F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("inside", k)),
+        lambda k: F.struct(
+            k.alias("k"),
+            F.get("months", k)["first"].alias("c"),
+            F.get("months", k)["last"].alias("last"),
+            F.get("targets", F.get("wanted", k) - 1)["cash"].alias("cash"),
+            F.array_position(F.slice("inside", k + 2, size), False).cast("int").alias("gap"),
+        ),
+    )
+    entries = F.transform(
+        heads,
+        lambda x: put(
+            x,
+            shares=cash_shares(F.coalesce(x["cash"], F.lit(cfg.cash_per_trade)), day(x["c"])["close"]),
+            entry_date=day(x["c"] + 1)["date"],
+            entry_price=day(x["c"] + 1)["open"],
+            end=F.when(x["gap"] > 0, x["k"] + x["gap"]),
+            # The month in which the first live bar lies.
+            own=F.when(x["c"] == x["last"], x["k"] + 1).otherwise(x["k"]),
+        ),
+    )
+    entries = F.filter(entries, lambda x: x["entry_date"].isNotNull() & (x["shares"] > 0))
+    bounded = F.transform(
+        entries,
+        lambda x: put(
+            x,
+            low_level=x["entry_price"] * (1 - F.col("stop")),
+            high_level=x["entry_price"] * (1 + F.col("take")),
+            end_i=F.get("months", x["end"])["first"],
+        ),
+    )
+    passed = F.transform(bounded, lambda x: put(x, met=F.least(first_passage(F.col("levels"), x["own"] + 1, x["low_level"], x["high_level"]), F.coalesce(x["end"], size))))
+    found = F.transform(passed, lambda x: put(x, hit=_first_hit(x), out=day(x["end_i"] + F.when(guarded, 2).otherwise(1))))
+    trades = F.transform(found, _trade)
+    walk = book.select("strategy", "ticker", trades.alias("_all"))
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept"))
+
+    def step(s: Column, i: Column) -> Column:
+        t = F.get("_all", i)
         take_it = t["c"] >= s["free"]
-        after = F.coalesce(t["exit_i"], F.lit(2**31 - 1))
         return F.struct(
-            F.when(take_it, after).otherwise(s["free"]).alias("free"),
-            F.when(take_it, F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"),
+            F.when(take_it, F.coalesce(t["exit_i"], F.lit(2**31 - 1))).otherwise(s["free"]).alias("free"),
+            F.when(take_it, F.concat(s["kept"], F.array(i))).otherwise(s["kept"]).alias("kept"),
         )
 
-    return walk.select("strategy", "ticker", F.inline(F.aggregate("_all", start, step, lambda s: s["kept"]))).drop("c", "exit_i")
+    every = F.when(F.size("_all") > 0, F.sequence(F.lit(0), F.size("_all") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = walk.withColumn("_kept", F.aggregate(every, start, step, lambda s: s["kept"]))
+    rows = kept.select("strategy", "ticker", F.inline(F.transform("_kept", lambda i: F.get("_all", i))))
+    return rows.select("strategy", "ticker", "entry_date", "entry_price", "shares", "exit_date", "exit_price", "reason", "bar_len")
+
+
+def cash_shares(cash: Column, price: Column) -> Column:
+    return F.when(price > 0, F.coalesce(F.floor(cash / price), F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+
+def _first_hit(x: Column) -> Column:
+    """The first live day of the entry's own month, else of the month that the search found, that meets a level."""
+
+    def days(month: Column, least: Column) -> Column:
+        m = F.get("months", month)
+        first = F.greatest(m["first"], least)
+        return F.slice("days", first, F.greatest(F.least(m["last"], F.coalesce(x["end_i"], m["last"])) - first + 1, F.lit(0)))
+
+    live = F.concat(*[F.coalesce(days(m, x["c"] + 2), F.slice("days", 1, 0)) for m in (x["own"], x["met"])])
+    met = F.filter(live, lambda d: F.coalesce(d["low"] <= x["low_level"], F.lit(False)) | F.coalesce(d["high"] >= x["high_level"], F.lit(False)))
+    return F.get(met, F.lit(0))
+
+
+def _trade(x: Column) -> Column:
+    hit, out = x["hit"], x["out"]
+    touched = hit.isNotNull()
+    stopped = F.coalesce(hit["low"] <= x["low_level"], F.lit(False))
+    price = F.when(stopped, F.least(hit["open"], x["low_level"])).otherwise(F.greatest(hit["open"], x["high_level"]))
+    exit_i = F.when(touched, hit["i"]).otherwise(out["i"])
+    return F.struct(
+        x["c"].alias("c"),
+        x["entry_date"].alias("entry_date"),
+        x["entry_price"].alias("entry_price"),
+        x["shares"].alias("shares"),
+        F.when(touched, hit["date"]).otherwise(out["date"]).alias("exit_date"),
+        F.when(touched, price).otherwise(out["open"]).alias("exit_price"),
+        F.when(touched, F.when(stopped, "stop_loss").otherwise("take_profit")).when(out.isNotNull(), F.lit("rebalance_exit")).alias("reason"),
+        (exit_i - x["c"] - 1).alias("bar_len"),
+        exit_i.alias("exit_i"),
+    )
 
 
 def trade_log(exits: DataFrame) -> DataFrame:
