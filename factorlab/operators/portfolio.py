@@ -102,19 +102,27 @@ _STEP = (
 )
 
 
+#: Months whose path is copied while it grows; finished stretches are only linked.
+_STRETCH = 64
+
+
 def fold_equity(monthly: DataFrame, keys: list[str], cfg: EngineConfig) -> DataFrame:
     """Walk each run's months in order, carrying equity.
 
     ``monthly`` has one row per (run, month): ``returns`` (realised returns by
     rank), ``top_n``, ``sizing_method``, ``sizing_target_pct``. An array holds
     at most top_n returns and a run at most one row per calendar month.
+
+    The months are walked in stretches: a month is appended to the path of its
+    own stretch alone, so the work is linear in the number of months.
     """
     steps = monthly.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(F.struct("month", "returns", "top_n", "sizing_method", "sizing_target_pct"))
         ).alias("_steps")
     )
-    start = F.struct(F.lit(cfg.initial_cash).alias("equity"), F.array().cast(_STEP).alias("path"))
+    starts = F.sequence(F.lit(1), F.size("_steps"), F.lit(_STRETCH))
+    stretches = steps.select(*keys, F.transform(starts, lambda i: F.slice("_steps", i, _STRETCH)).alias("_stretches"))
 
     def step(acc: Column, m: Column) -> Column:
         equity = acc["equity"]
@@ -138,7 +146,17 @@ def fold_equity(monthly: DataFrame, keys: list[str], cfg: EngineConfig) -> DataF
         path = F.concat(acc["path"], F.array(row).cast(_STEP))
         return F.struct((equity + pnl).alias("equity"), path.alias("path"))
 
-    return steps.select(*keys, F.inline(F.aggregate("_steps", start, step, lambda acc: acc["path"])))
+    def begin(equity: Column) -> Column:
+        return F.struct(equity.alias("equity"), F.array().cast(_STEP).alias("path"))
+
+    def stretch(acc: Column, months: Column) -> Column:
+        # One evaluation of the walk through the stretch, taken apart twice.
+        walked = F.array(F.aggregate(months, begin(acc["equity"]), step))
+        linked = F.transform(walked, lambda w: F.struct(w["equity"].alias("equity"), F.concat(acc["paths"], F.array(w["path"])).alias("paths")))
+        return F.get(linked, F.lit(0))
+
+    start = F.struct(F.lit(cfg.initial_cash).alias("equity"), F.array().cast(f"array<{_STEP}>").alias("paths"))
+    return stretches.select(*keys, F.inline(F.flatten(F.aggregate("_stretches", start, stretch, lambda acc: acc["paths"]))))
 
 
 def run_array(specs: list[StrategySpec], scenarios: list[str]) -> Column:

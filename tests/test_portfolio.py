@@ -281,3 +281,31 @@ def test_cutoff_guard(spark):
     assert scans.assert_no_rows_after(df, dt.date(2001, 3, 1)).count() == 2
     with pytest.raises(Exception, match="cut-off"):
         scans.assert_no_rows_after(df, dt.date(2001, 1, 15)).collect()
+
+
+def test_fold_is_linear_over_many_periods(spark):
+    """5,000 periods equal the loop, and twice the periods take no more than some three times as long."""
+    import time
+
+    rng = np.random.default_rng(3)
+    days = [d.date() for d in pd.date_range("1900-01-01", periods=5_000, freq="W")]
+    rets = [[float(x) for x in rng.normal(0.001, 0.02, 10)] for _ in days]
+    schema = "run string, month date, returns array<double>, top_n int, sizing_method string, sizing_target_pct double"
+
+    def frame(n):
+        return spark.createDataFrame([(s, d, r, 10, s, 0.1) for s in ("fixed_cash", "percent_of_equity") for d, r in zip(days[:n], rets)], schema).cache()
+
+    took = []
+    for n in (2_500, 5_000):
+        df = frame(n)
+        df.count()
+        t = time.perf_counter()
+        got = {(r["run"], r["month"]): r["equity"] for r in portfolio.fold_equity(df, ["run"], CFG).collect()}
+        took.append(time.perf_counter() - t)
+    assert took[1] < 3 * took[0] + 1
+    for s in ("fixed_cash", "percent_of_equity"):
+        equity = 1_000_000.0
+        for d, r in zip(days, rets):
+            n = 10 if s != "fixed_cash" else min(10, max(0, int(equity // 100_000)))
+            equity += (0.1 * equity if s != "fixed_cash" else 100_000.0) * sum(r[:n])
+            assert math.isclose(got[s, d], equity, rel_tol=1e-9)
