@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlab.config import Exits, Sizing, StrategySpec, focused_specs, staged_ladder, stop_take_specs
-from factorlab.operators import bars, joins, trades, xsection
+from factorlab.operators import bars, joins, perf, resample, trades, xsection
 from factorlab.plans import ladder, live, panel
 from factorlab.plans.ladder import SCENARIOS
 from factorlab.sources import fixture
@@ -231,6 +231,14 @@ class Lab:
         book = trades.rebalance_bars(self.trade_signals, self.tables.prices)
         return self.ws.materialise(trades.first_touch_exits(book, None, None, CFG, self.trade_levels), "exits")
 
+    @cached_property
+    def monte_carlo(self) -> DataFrame:
+        """Every random portfolio of every strategy with its metrics and the strategy's own Sharpe."""
+        universe = self.ws.materialise(resample.indexed_universe(self.panel, self.ws), "universe")
+        sims = resample.monte_carlo(universe, self.months, all_specs(), CFG, CFG.mc_sims)
+        own = perf.strategy_metrics_table(self.curves, CFG, p_value=False)
+        return self.ws.materialise(resample.monte_carlo_test(resample.monte_carlo_metrics(sims, CFG), own), "monte_carlo")
+
     def live_state(self) -> DataFrame:
         """State document written from the previous month's targets and read back."""
         from factorlab.sources import sinks

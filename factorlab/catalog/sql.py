@@ -582,7 +582,6 @@ def hash_sql(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::BIGINT"
 
 
-_draw = hash_sql(str(CFG.seed), "sim", "month", "k::BIGINT")
 CTE["universe"] = """
 SELECT month, ticker, next_open, next_high, next_low, next_ret_oc, row_number() OVER (PARTITION BY month ORDER BY ticker) AS idx
 FROM panel WHERE eligible AND next_ret_oc IS NOT NULL"""
@@ -590,12 +589,18 @@ CTE["mc_grid"] = f"""
 SELECT sim::INT AS sim, month, coalesce(n, 0) AS n FROM range({CFG.mc_sims}) r(sim) CROSS JOIN months
 LEFT JOIN (SELECT month, count(*) AS n FROM universe GROUP BY month) USING (month)"""
 _MOST = max(s.top_n for s in _SPECS)
+_keys = ", ".join(f"{hash_sql(str(CFG.seed), 'sim', 'month', str(i))} % 2147483647 AS k{i}" for i in range(4))
+CTE["mc_walk0"] = f"""
+SELECT *, c // b AS l, c % b AS r FROM (
+  SELECT *, unnest(range(a * b)) AS c FROM (SELECT *, ceil(n / a)::BIGINT AS b, {_keys} FROM (
+    SELECT *, ceil(sqrt(n))::BIGINT AS a FROM mc_grid WHERE n > 0)))"""
+for _i, (_side, _other, _size) in enumerate([("l", "r", "a"), ("r", "l", "b")] * 2):
+    _y = f"(({_other} + k{_i}) % 2147483647)"
+    _moved = f"({_side} + ({_y} * {_y} % 2147483647) * {_y} % 2147483647) % {_size}"
+    CTE[f"mc_walk{_i + 1}"] = f"SELECT * REPLACE ({_moved} AS {_side}) FROM mc_walk{_i}"
 CTE["mc_draws"] = f"""
-SELECT sim, month, n, 0 AS k, []::BIGINT[] AS taken FROM mc_grid
-UNION ALL
-SELECT sim, month, n, k + 1, list_append(taken, list_reduce(list_prepend(free, list_sort(taken)),
-       lambda a, t: a + CASE WHEN t <= a THEN 1 ELSE 0 END)) FROM (
-  SELECT sim, month, n, k, taken, {_draw} % (n - k) + 1 AS free FROM mc_draws WHERE k < least({_MOST}, n))"""
+SELECT sim, month, l * b + r + 1 AS idx, row_number() OVER (PARTITION BY sim, month ORDER BY c) AS rank
+FROM mc_walk4 WHERE l * b + r < n QUALIFY rank <= {_MOST}"""
 CTE["mc_runs"] = _spec_values(_SPECS, ["none"])
 CTE["mc_returns"] = f"""
 SELECT r.strategy, sim, month, d.rank, CASE
@@ -603,7 +608,7 @@ SELECT r.strategy, sim, month, d.rank, CASE
       THEN r.take_profit
     WHEN r.stop_loss IS NOT NULL AND NOT coalesce(next_low / next_open - 1 > -r.stop_loss, FALSE) THEN -r.stop_loss
     ELSE next_ret_oc END AS r
-FROM (SELECT sim, month, unnest(taken) AS idx, generate_subscripts(taken, 1) AS rank FROM mc_draws WHERE k = least({_MOST}, n)) d
+FROM mc_draws d
 JOIN universe USING (month, idx) JOIN months USING (month)
 JOIN mc_runs r ON d.rank <= r.top_n AND (NOT r.regime_filter OR coalesce(months.regime_on, TRUE))"""
 CTE["mc_steps"] = """
@@ -621,7 +626,7 @@ FROM (SELECT strategy, sim, annualized_sharpe, final_equity FROM mc_perf)
 JOIN (SELECT strategy, annualized_sharpe AS strategy_sharpe FROM metrics) USING (strategy)"""
 
 
-def block_sql(src: str, value: str, seed: int, sims: int = CFG.mc_sims, block: int = CFG.block_size) -> str:
+def block_sql(src: str, value: str, seed: int, sims: int = CFG.bootstrap_reps, block: int = CFG.block_size) -> str:
     h = hash_sql(str(seed), "strategy", "sim", "blk")
     return f"""
 SELECT d.strategy, d.sim, d.pos, s.r FROM (

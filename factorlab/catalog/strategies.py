@@ -41,18 +41,11 @@ add(
     "SELECT m.month, m.regime_on, count(r.ticker) AS n_picks FROM months m "
     "LEFT JOIN realised r ON r.month = m.month AND r.strategy = 'improved_5' GROUP BY m.month, m.regime_on",
 )
-def _static_specs():
-    """Every strategy whose score needs no information coefficients; the others are in strategy_curves."""
-    return [s for s in all_specs() if s.weighting.method == "static"]
-
-
 add(
     "topn_by_score",
     "variant month ticker rank:i score:6",
-    lambda lb: portfolio.topn_by_score(
-        scoring.scores_by_variant(lb.panel, _static_specs()), ["variant", "month"], 10
-    ),
-    f"SELECT * FROM picks WHERE rank <= 10 AND variant IN {tuple(dict.fromkeys(s.score_variant for s in _static_specs()))}",
+    lambda lb: portfolio.topn_by_score(scoring.scores_by_variant(lb.panel, all_specs(), _rolling_weights(lb)), ["variant", "month"], 10),
+    f"SELECT * FROM picks WHERE rank <= 10 AND variant IN {tuple(dict.fromkeys(s.score_variant for s in all_specs()))}",
 )
 add(
     "spec_ladder",
@@ -72,12 +65,15 @@ add(
 )
 
 
+def _rolling_weights(lb: Lab):
+    rolling = next(s for s in all_specs() if s.weighting.method == "rolling_rank_ic")
+    return {rolling.score_variant: scoring.rolling_ic_weights(lb.months.select("month"), lb.ic_expanding, rolling)}
+
+
 def _spec_coverage(lb: Lab):
     """Every specification beside how much of the panel its score covers."""
     specs = [*all_specs(), *grid_specs()]
-    rolling = next(s for s in specs if s.weighting.method == "rolling_rank_ic")
-    weights = {rolling.score_variant: scoring.rolling_ic_weights(lb.months.select("month"), lb.ic_expanding, rolling)}
-    cover = scoring.scores_by_variant(lb.panel, specs, weights).groupBy("variant").agg(
+    cover = scoring.scores_by_variant(lb.panel, specs, _rolling_weights(lb)).groupBy("variant").agg(
         F.count("*").alias("n_scored"), F.min("month").alias("first_month")
     )
     return specs_frame(lb.spark, specs).join(cover, "variant", "left")
@@ -105,8 +101,8 @@ def _spec_cross(lb: Lab):
 add(
     "vector_backtest",
     CURVE,
-    lambda lb: ladder.run_specs(lb.panel, _static_specs(), CFG, lb.ws)[0],
-    f"SELECT * FROM curves WHERE strategy IN {tuple(s.name for s in _static_specs())}",
+    lambda lb: ladder.run_specs(lb.panel, all_specs(), CFG, lb.ws, ic_tables={"trend_expanding_z": lb.ic_expanding})[0],
+    "SELECT * FROM curves",
 )
 add("strategy_curves", CURVE, lambda lb: lb.curves, "SELECT * FROM curves")
 add(
@@ -732,11 +728,7 @@ def _vs_baseline(lb: Lab):
 
 # ---------------------------------------------------------------- robustness
 def _mc(lb: Lab):
-    universe = lb.ws.materialise(resample.indexed_universe(lb.panel, lb.ws), "universe")
-    curves = resample.monte_carlo(universe, lb.months, all_specs(), CFG, CFG.mc_sims)
-    return resample.monte_carlo_test(
-        resample.monte_carlo_metrics(curves, CFG), perf.strategy_metrics_table(lb.curves, CFG, p_value=False)
-    )
+    return lb.monte_carlo
 
 
 add(
@@ -756,7 +748,7 @@ add(
 
 
 def _boot(lb: Lab):
-    return resample.block_bootstrap(lb.eval_curves, ["strategy"], CFG.mc_sims, CFG.block_size, CFG.seed + 1)
+    return resample.block_bootstrap(lb.eval_curves, ["strategy"], CFG.bootstrap_reps, CFG.block_size, CFG.seed + 1)
 
 
 add(
@@ -788,7 +780,7 @@ add(
 add(
     "excess_bootstrap_ci",
     "strategy ann_excess:6 ci_lo:6 ci_hi:6",
-    lambda lb: resample.excess_bootstrap_ci(_excess(lb), ["strategy"], CFG.mc_sims, CFG.block_size, CFG.seed + 2),
+    lambda lb: resample.excess_bootstrap_ci(_excess(lb), ["strategy"], CFG.bootstrap_reps, CFG.block_size, CFG.seed + 2),
     "SELECT * FROM (SELECT strategy, avg(excess) * 12 AS ann_excess FROM excess GROUP BY strategy) JOIN (SELECT strategy, "
     "quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (SELECT strategy, sim, avg(r) * 12 AS m FROM excess_boot "
     "GROUP BY strategy, sim) GROUP BY strategy) USING (strategy)",

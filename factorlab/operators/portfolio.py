@@ -7,6 +7,8 @@ the months. Runs (specs, cost scenarios, simulations) are the parallel axis.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +17,19 @@ from factorlab.functions.nulls import ratio
 from factorlab.operators.joins import nearest_year_join
 
 
-def stop_take_return(stop: Column, take: Column) -> Column:
+def stop_take_return(stop: Column, take: Column, field: Callable[[str], Column] = F.col) -> Column:
     """Realised return of a monthly bar under optional stop and take levels.
 
     A touched stop wins over a touched take. A missing low or high counts as a
     touched stop (comparison with missing is false) and an untouched take.
+    ``field`` finds the bar's columns, by default in the row.
     """
-    low = ratio("next_low", "next_open") - 1
-    high = ratio("next_high", "next_open") - 1
+    low = ratio(field("next_low"), field("next_open")) - 1
+    high = ratio(field("next_high"), field("next_open")) - 1
     stopped = stop.isNotNull() & ~F.coalesce(low > -F.abs(stop), F.lit(False))
     hit_stop = F.coalesce(low <= -F.abs(stop), F.lit(False))
     taken = F.coalesce(high >= F.abs(take), F.lit(False)) & ~hit_stop
-    return F.when(taken, F.abs(take)).when(stopped, -F.abs(stop)).otherwise(F.col("next_ret_oc"))
+    return F.when(taken, F.abs(take)).when(stopped, -F.abs(stop)).otherwise(field("next_ret_oc"))
 
 
 def conditional_overwrite(value: Column, condition: Column, replacement: Column) -> Column:

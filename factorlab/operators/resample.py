@@ -15,21 +15,49 @@ from factorlab.operators.portfolio import fold_equity, stop_take_return
 from factorlab.sources.workspace import Workspace
 
 
+#: Modulus of the rounds of a keyed permutation: cubes of smaller numbers stay within 64 bits step by step.
+_PRIME = 2**31 - 1
+_ROUNDS = 4
+
+
 def random_subset(n_draws: Column, universe: Column, *identity: Column | int) -> Column:
     """Ordered draws without replacement from 1..universe as an array.
 
-    Draw k picks a position among the universe - k ranks still free and shifts
-    past the ranks already taken, so every ordered subset is equally likely and
-    only the drawn rows are ever produced.
+    A keyed permutation: positions 0, 1, 2, ... go through Feistel rounds on a rectangle
+    of at least ``universe`` cells, and those that land outside are passed over. Each draw
+    costs the same, however many were made before it.
     """
-
-    def draw(taken: Column, k: Column) -> Column:
-        free = hash_int(*identity, k) % (universe - k) + 1
-        pick = F.aggregate(F.array_sort(taken), free, lambda acc, t: acc + F.when(t <= acc, 1).otherwise(0))
-        return F.concat(taken, F.array(pick))
-
-    ks = F.when(n_draws > 0, F.sequence(F.lit(0), (n_draws - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(ks, F.array().cast("array<bigint>"), draw)
+    wanted = F.greatest(F.least(n_draws, universe), F.lit(0)).cast("int")
+
+    def move(side: str, other: str, size: Column, key: Column):
+        def one(x: Column) -> Column:
+            y = (x[other] + key) % _PRIME
+            return x.withField(side, (x[side] + (y * y % _PRIME) * y % _PRIME) % size)
+
+        return one
+
+    def walk(named: Column, last: Column) -> Column:
+        rows, columns = named[_ROUNDS], named[_ROUNDS + 1]
+        at = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda c: F.struct(F.floor(c / columns).alias("l"), (c % columns).alias("r")))
+        for i in range(0, _ROUNDS, 2):
+            at = F.transform(at, move("l", "r", rows, named[i]))
+            at = F.transform(at, move("r", "l", columns, named[i + 1]))
+        cells = F.transform(at, lambda x: x["l"] * columns + x["r"])
+        return F.slice(F.transform(F.filter(cells, lambda c: c < universe), lambda c: c + 1), 1, wanted)
+
+    def drawn(named: Column) -> Column:
+        # The rectangle has fewer than sqrt(universe) + 1 cells too many, so a few positions more nearly always do.
+        whole = named[_ROUNDS] * named[_ROUNDS + 1] - 1
+        some = F.least(whole, (wanted + wanted / 2).cast("long") + 8)
+        near = F.array(walk(named, some))
+        return F.get(F.transform(near, lambda v: F.when(F.size(v) >= wanted, v).otherwise(walk(named, whole))), F.lit(0))
+
+    rows = F.greatest(F.ceil(F.sqrt(universe)), F.lit(1)).cast("long")
+    columns = F.greatest(F.ceil(universe / rows), F.lit(1)).cast("long")
+    # The keys of the rounds and the rectangle, worked out once per subset.
+    named = F.array(*[hash_int(*identity, i) % _PRIME for i in range(_ROUNDS)], rows, columns)
+    draws = F.get(F.transform(F.array(named), drawn), F.lit(0))
+    return F.when(wanted > 0, draws).otherwise(F.array().cast("array<bigint>"))
 
 
 def indexed_universe(panel: DataFrame, ws: Workspace) -> DataFrame:
@@ -59,10 +87,15 @@ def monte_carlo(
     draws = grid.select(
         "sim",
         "month",
-        "_on",
         F.posexplode_outer(random_subset(want, F.col("_n"), cfg.seed, F.col("sim"), F.col("month"))).alias("rank", "idx"),
     )
-    drawn = draws.join(universe.select("month", "idx", "next_open", "next_high", "next_low", "next_ret_oc"), ["month", "idx"], "left")
+    bar = ["next_open", "next_high", "next_low", "next_ret_oc"]
+    drawn = draws.join(universe.select("month", "idx", *bar), ["month", "idx"], "left")
+    # At most the largest top_n rows a group; strategies meet the drawn bars once they are together.
+    together = drawn.groupBy("sim", "month").agg(
+        F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("rank", *bar)))).alias("_bars")
+    )
+    together = together.join(F.broadcast(spine.select("month", "_on")), "month")
     # One literal per strategy, so bounded by configuration.
     each = F.array(*[
         F.struct(
@@ -72,11 +105,10 @@ def monte_carlo(
         )
         for s in specs
     ])
-    rows = drawn.select("*", F.inline(each)).withColumn("_r", stop_take_return(F.col("_stop"), F.col("_take")))
-    held = F.col("idx").isNotNull() & (F.col("rank") < F.col("top_n")) & (F.col("_on") | ~F.col("_gated"))
-    monthly = rows.groupBy("strategy", "sim", "month", "top_n", "sizing_method", "sizing_target_pct").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("rank", F.col("_r").alias("r"))))), lambda s: s["r"]).alias("returns")
-    )
+    rows = together.select("*", F.inline(each))
+    realised = F.transform(F.slice("_bars", 1, F.col("top_n")), lambda b: stop_take_return(F.col("_stop"), F.col("_take"), lambda c: b[c]))
+    returns = F.when(F.col("_on") | ~F.col("_gated"), realised).otherwise(F.array().cast("array<double>"))
+    monthly = rows.select("strategy", "sim", "month", "top_n", "sizing_method", "sizing_target_pct", returns.alias("returns"))
     return fold_equity(monthly, ["strategy", "sim"], cfg)
 
 
@@ -134,15 +166,90 @@ def block_draws(sizes: DataFrame, keys: list[str], n_sims: int, block: int, seed
     ).filter(F.col("pos") < F.col("n"))
 
 
+#: Rows that the resamples of one series are dealt to.
+_DEALT = 64
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Summary of a path followed by another: an associative product, with nulls where nothing has happened yet."""
+    return F.struct(
+        (a["total"] + b["total"]).alias("total"),
+        (a["squares"] + b["squares"]).alias("squares"),
+        (a["growth"] * b["growth"]).alias("growth"),
+        F.greatest(a["high"], a["growth"] * b["high"]).alias("high"),
+        F.least(a["low"], a["growth"] * b["low"]).alias("low"),
+        F.least(a["fall"], b["fall"], a["growth"] * b["low"] / a["high"] - 1).alias("fall"),
+    )
+
+
+def _nothing() -> Column:
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.lit(0.0).alias("total"), F.lit(0.0).alias("squares"), F.lit(1.0).alias("growth"), none.alias("high"), none.alias("low"), none.alias("fall")
+    )
+
+
+def resampled_paths(series: DataFrame, keys: list[str], n_sims: int, block: int, seed: int) -> DataFrame:
+    """(keys, sim, n, mean, squares, growth, fall) of every block resample of an indexed series.
+
+    ``squares`` is the sum of squared deviations from the resample's mean, ``growth`` the product of
+    1 + r and ``fall`` the deepest drawdown. Each possible block is summed up once; a resample joins
+    the summaries of its blocks in order, so it costs blocks, not months. Needs returns above -1.
+    """
+    arrays = series.groupBy(*keys, "n").agg(
+        F.avg("r").alias("_mid"), F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("_r")
+    )
+    arrays = arrays.filter(F.col("n") >= block)
+
+    def one(v: Column) -> Column:
+        d, g = v - F.col("_mid"), 1 + v
+        return F.struct(d.alias("total"), (d * d).alias("squares"), g.alias("growth"), g.alias("high"), g.alias("low"), F.lit(0.0).alias("fall"))
+
+    def summaries(length: Column) -> Column:
+        starts = F.sequence(F.lit(1), (F.col("n") - block + 1).cast("int"))
+        return F.transform(starts, lambda i: F.aggregate(F.slice("_r", i, length), _nothing(), lambda a, v: _joined(a, one(v))))
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    # The last block is cut so that a resample is as long as the series.
+    ready = arrays.select(
+        *keys, "n", "_mid", blocks.alias("_blocks"), summaries(F.lit(block)).alias("_full"),
+        summaries((F.col("n") - (blocks - 1) * block).cast("int")).alias("_cut"),
+    )
+    dealt = ready.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1)))).repartition(*keys, "_deal")
+    sims = F.filter(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: s % _DEALT == F.col("_deal"))
+
+    def resample(sim: Column) -> Column:
+        def drawn(blk: Column) -> Column:
+            first = (hash_int(seed, *[F.col(k) for k in keys], sim, blk) % (F.col("n") - block + 1)).cast("int")
+            return F.get(F.when(blk == F.col("_blocks") - 1, F.col("_cut")).otherwise(F.col("_full")), first)
+
+        # Drawn before they are joined, so that a draw is made once.
+        picked = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), drawn)
+        return F.struct(sim.alias("sim"), F.aggregate(picked, _nothing(), _joined).alias("p"))
+
+    out = dealt.select(*keys, "n", "_mid", F.explode(F.transform(sims, resample)).alias("_s"))
+    p = F.col("_s.p")
+    return out.select(
+        *keys, F.col("_s.sim").alias("sim"), "n", (F.col("_mid") + p["total"] / F.col("n")).alias("mean"),
+        F.greatest(p["squares"] - p["total"] * p["total"] / F.col("n"), F.lit(0.0)).alias("squares"),
+        p["growth"].alias("growth"), p["fall"].alias("fall"),
+    )
+
+
 def block_bootstrap(series: DataFrame, keys: list[str], n_sims: int, block: int, seed: int, value: str = "portfolio_return") -> DataFrame:
-    """Sharpe, cumulative return and drawdown of every block resample."""
+    """Sharpe, cumulative return and drawdown of every block resample.
+
+    A series that loses everything in some month has no growth to join; its resamples are laid out month by month.
+    """
     rows = indexed_series(series, keys, value)
-    sizes = rows.select(*keys, "n").distinct()
-    draws = block_draws(sizes, keys, n_sims, block, seed).drop("n")
-    # Source series: one row per (strategy, calendar month).
-    sample = draws.join(F.broadcast(rows.drop("n")), [*keys, "i"])
-    m = perf.perf_metrics(sample, [*keys, "sim"], "r", "pos", p_value=False)
-    return m.select(*keys, "sim", "annualized_sharpe", "cumulative_return", "max_drawdown")
+    ruined = rows.groupBy(*keys).agg(F.min("r").alias("_least")).filter(F.col("_least") <= -1).select(*keys)
+    paths = resampled_paths(rows.join(ruined, keys, "left_anti"), keys, n_sims, block, seed)
+    ratio_ = ratio(F.col("mean"), F.sqrt(F.col("squares") / (F.col("n") - 1))) * 12**0.5
+    quick = paths.select(*keys, "sim", ratio_.alias("annualized_sharpe"), (F.col("growth") - 1).alias("cumulative_return"), F.col("fall").alias("max_drawdown"))
+    bad = rows.join(ruined, keys, "left_semi")
+    draws = block_draws(bad.select(*keys, "n").distinct(), keys, n_sims, block, seed).drop("n")
+    m = perf.perf_metrics(draws.join(bad.drop("n"), [*keys, "i"]), [*keys, "sim"], "r", "pos", p_value=False)
+    return quick.unionByName(m.select(*keys, "sim", "annualized_sharpe", "cumulative_return", "max_drawdown"))
 
 
 def bootstrap_ci(boot: DataFrame, keys: list[str], value: str = "annualized_sharpe", level: float = 0.95) -> DataFrame:
@@ -154,9 +261,7 @@ def bootstrap_ci(boot: DataFrame, keys: list[str], value: str = "annualized_shar
 def excess_bootstrap_ci(excess: DataFrame, keys: list[str], n_sims: int, block: int, seed: int, min_rows: int = 12) -> DataFrame:
     """Annualised mean excess return with a block-bootstrap 95 % interval."""
     rows = indexed_series(excess, keys, "excess").filter(F.col("n") >= min_rows)
-    sizes = rows.select(*keys, "n").distinct()
-    sample = block_draws(sizes, keys, n_sims, block, seed).drop("n").join(F.broadcast(rows.drop("n")), [*keys, "i"])
-    boot = sample.groupBy(*keys, "sim").agg((F.avg("r") * 12).alias("m"))
+    boot = resampled_paths(rows, keys, n_sims, block, seed).select(*keys, (F.col("mean") * 12).alias("m"))
     point = rows.groupBy(*keys).agg((F.avg("r") * 12).alias("ann_excess"))
     return point.join(bootstrap_ci(boot, keys, "m"), keys)
 
@@ -176,21 +281,32 @@ def excess_matrix(curves: DataFrame, bench: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keep.select("month")), "month", "left_semi")
 
 
-def stationary_bootstrap_indices(length: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
-    """(rep, t, idx): circular blocks of geometric length with mean ``block``.
+def stationary_blocks(length: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """(rep, n, blocks): one row per resample with its circular blocks (t, size, start) in order.
 
-    ``length`` is a one-row table (n). A new block starts where the hashed
-    uniform falls below 1/block; its start is carried forward by a window.
+    ``length`` is a one-row table (n). A new block starts where the hashed uniform falls below
+    1/block, so sizes are geometric with mean ``block``.
     """
     every = length.select("n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("rep")
-    grid = every.select("rep", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
-    restart = (F.col("t") == 0) | (hash_int(seed, "restart", F.col("rep"), F.col("t")) / float(2**48) < 1.0 / block)
-    start = hash_int(seed, "start", F.col("rep"), F.col("t")) % F.col("n")
-    w = Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    carried = F.last(F.when(restart, F.struct(start.alias("s"), F.col("t").alias("t0"))), ignorenulls=True).over(w)
-    return grid.withColumn("_b", carried).select(
-        "rep", "t", ((F.col("_b.s") + F.col("t") - F.col("_b.t0")) % F.col("n")).cast("int").alias("idx")
-    )
+
+    def restart(t: Column) -> Column:
+        return (t == 0) | (hash_int(seed, "restart", F.col("rep"), t) / float(2**48) < 1.0 / block)
+
+    cuts = every.withColumn("_cuts", F.filter(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), restart))
+
+    def piece(t: Column, k: Column) -> Column:
+        size = F.coalesce(F.get("_cuts", k + 1), F.col("n").cast("int")) - t
+        start = (hash_int(seed, "start", F.col("rep"), t) % F.col("n")).cast("int")
+        return F.struct(t.alias("t"), size.alias("size"), start.alias("start"))
+
+    return cuts.select("rep", "n", F.transform("_cuts", piece).alias("blocks"))
+
+
+def stationary_bootstrap_indices(length: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
+    """(rep, t, idx): the source month of every month of every resample."""
+    pieces = stationary_blocks(length, reps, block, seed).select("rep", "n", F.inline("blocks"))
+    months = pieces.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    return months.select("rep", (F.col("t") + F.col("_o")).alias("t"), ((F.col("start") + F.col("_o")) % F.col("n")).cast("int").alias("idx"))
 
 
 def stationary_variance(excess: DataFrame, block: int) -> DataFrame:
@@ -226,18 +342,27 @@ def stationary_variance(excess: DataFrame, block: int) -> DataFrame:
 def bootstrap_means(excess: DataFrame, reps: int, block: int, seed: int) -> DataFrame:
     """Resampled mean per (rep, strategy).
 
-    The matrix is carried as one array per month, so each drawn index fetches a
-    whole row and the resample stays at reps x months rows.
+    The sum over a block is a difference of running sums, so a resample costs its blocks and is one row
+    until the means are ready. The running sums are one array per strategy, as long as the calendar.
     """
-    ordered = excess.groupBy("month").agg(
-        F.array_sort(F.collect_list(F.struct("strategy", "excess"))).alias("_row")
+    upto = Window.partitionBy("strategy").orderBy("month")
+    running = excess.withColumn("_c", F.sum("excess").over(upto)).groupBy("strategy").agg(
+        F.concat(F.array(F.lit(0.0)), F.transform(F.array_sort(F.collect_list(F.struct("month", "_c"))), lambda x: x["_c"])).alias("c")
     )
-    numbered = ordered.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month")) - 1)
-    length = ordered.agg(F.count("*").alias("n"))
-    draws = stationary_bootstrap_indices(length, reps, block, seed)
-    # One row per calendar month on the broadcast side.
-    cells = draws.join(F.broadcast(numbered.select("idx", "_row")), "idx").select("rep", F.inline("_row"))
-    return cells.groupBy("rep", "strategy").agg(F.avg("excess").alias("boot_mean"))
+    matrix = running.agg(F.array_sort(F.collect_list(F.struct("strategy", "c")))).scalar()
+    length = excess.agg(F.count_distinct("month").alias("n"))
+    blocks = stationary_blocks(length, reps, block, seed).withColumn("_m", matrix)
+    n = F.col("n").cast("int")
+
+    def mean(m: Column) -> Column:
+        def add(total: Column, b: Column) -> Column:
+            end = b["start"] + b["size"]
+            upper = F.when(end <= n, F.get(m["c"], end)).otherwise(F.get(m["c"], n) + F.get(m["c"], end - n))
+            return total + upper - F.get(m["c"], b["start"])
+
+        return F.struct(m["strategy"].alias("strategy"), (F.aggregate("blocks", F.lit(0.0), add) / n).alias("boot_mean"))
+
+    return blocks.select("rep", F.inline(F.transform("_m", mean)))
 
 
 # Centre of the null distribution, by how strictly poor models are excluded.

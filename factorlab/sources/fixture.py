@@ -26,8 +26,6 @@ FIXTURE_CONFIG = EngineConfig(
     min_names_fmp=50,
     min_names_multivariate=50,
     trend_min_obs=36,
-    mc_sims=50,
-    bootstrap_reps=200,
 )
 
 

@@ -309,3 +309,46 @@ def test_fold_is_linear_over_many_periods(spark):
             n = 10 if s != "fixed_cash" else min(10, max(0, int(equity // 100_000)))
             equity += (0.1 * equity if s != "fixed_cash" else 100_000.0) * sum(r[:n])
             assert math.isclose(got[s, d], equity, rel_tol=1e-9)
+
+
+def test_joined_block_summaries_equal_the_laid_out_path(spark):
+    """10,000 resamples: joined summaries against every month laid out, and a series that loses everything."""
+    rng = np.random.default_rng(11)
+    rows = [(s, m, float(r)) for s, k in (("a", 46), ("b", 30), ("gone", 20)) for m, r in zip(month_ends(k), rng.normal(0.01, 0.08, k))]
+    rows += [("gone", d, -1.0) for d in month_ends(1, "2020-01-31")]
+    df = spark.createDataFrame(rows, "strategy string, month date, portfolio_return double")
+    sims = {"a": 10_000, "b": 300, "gone": 50}
+    for name, n in sims.items():
+        one = df.filter(F.col("strategy") == name)
+        got = {r["sim"]: r for r in resample.block_bootstrap(one, ["strategy"], n, 6, 9).collect()}
+        assert len(got) == n
+        src = resample.indexed_series(one, ["strategy"], "portfolio_return")
+        draws = resample.block_draws(src.select("strategy", "n").distinct(), ["strategy"], min(n, 200), 6, 9)
+        laid = draws.join(src.drop("n"), ["strategy", "i"]).toPandas().sort_values(["sim", "pos"])
+        for sim, g in laid.groupby("sim"):
+            w = np.cumprod(1 + g["r"].to_numpy())
+            with np.errstate(all="ignore"):
+                fall = np.nanmin(w / np.maximum.accumulate(w) - 1)
+            assert math.isclose(got[sim]["cumulative_return"], w[-1] - 1, abs_tol=1e-9)
+            assert math.isclose(got[sim]["max_drawdown"], fall, abs_tol=1e-9)
+            assert math.isclose(got[sim]["annualized_sharpe"], g["r"].mean() / g["r"].std() * 12**0.5, rel_tol=1e-9)
+
+
+def test_block_sums_equal_the_drawn_months(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s, m, float(r)) for s in "ab" for m, r in zip(month_ends(37), rng.normal(0, 0.05, 37))]
+    ex = spark.createDataFrame(rows, "strategy string, month date, excess double")
+    means = {(r["rep"], r["strategy"]): r["boot_mean"] for r in resample.bootstrap_means(ex, 200, 6, 4).collect()}
+    idx = resample.stationary_bootstrap_indices(ex.agg(F.count_distinct("month").alias("n")), 200, 6, 4).toPandas().sort_values(["rep", "t"])
+    assert len(idx) == 200 * 37
+    by = {s: np.array([r for q, _, r in rows if q == s]) for s in "ab"}
+    for rep, g in idx.groupby("rep"):
+        for s in "ab":
+            assert math.isclose(means[rep, s], by[s][g["idx"].to_numpy()].mean(), abs_tol=1e-12)
+
+
+def test_large_subsets_exhaust_small_universes(spark):
+    df = spark.range(1, 60).select(F.col("id").alias("n"), resample.random_subset(F.lit(50), F.col("id"), 3, F.col("id")).alias("s"))
+    for r in df.collect():
+        k = min(50, r["n"])
+        assert len(set(r["s"])) == len(r["s"]) == k and min(r["s"]) >= 1 and max(r["s"]) <= r["n"]
