@@ -80,6 +80,10 @@ def next_state(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("action") != "exit").select("strategy", "ticker")
 
 
-def rebalance_and_store(orders: DataFrame, path: str, month) -> str:
-    """Write the state that the next month starts from."""
-    return sinks.write_state(next_state(orders), path, month.isoformat())
+def rebalance_and_store(orders: DataFrame, path: str, month, base: int | None = None) -> str:
+    """Write the state that the next month starts from.
+
+    ``base`` is the version the orders were made from: they may come from the very folder that is
+    written, and are refused if it has moved on meanwhile.
+    """
+    return sinks.write_state(next_state(orders), path, month.isoformat(), base)

@@ -352,3 +352,34 @@ def test_large_subsets_exhaust_small_universes(spark):
     for r in df.collect():
         k = min(50, r["n"])
         assert len(set(r["s"])) == len(r["s"]) == k and min(r["s"]) >= 1 and max(r["s"]) <= r["n"]
+
+
+def test_state_versions(spark, ws):
+    """A failed write keeps the old state, a second writer is refused, a folder may be read while it is written."""
+    from factorlab.plans import live
+    from factorlab.sources import sinks
+
+    path = ws.path("state")
+    schema = "strategy string, ticker string"
+
+    def held(version=None):
+        return sorted(r["ticker"] for r in sinks.read_state(spark, path, version).collect())
+
+    sinks.write_state(spark.createDataFrame([("a", "T1"), ("a", "T2")], schema), path, "2001-01-31")
+    assert sinks.state_version(spark, path) == 1
+    broken = spark.createDataFrame([("a", "T3")], schema).withColumn("ticker", F.when(F.rand() < 2, F.raise_error(F.lit("lost"))).otherwise("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_state(broken, path, "2001-02-28")
+    assert held() == ["T1", "T2"] and sinks.state_version(spark, path) == 1
+
+    orders = portfolio.rebalance_diff(sinks.read_state(spark, path), spark.createDataFrame([("a", "T2"), ("a", "T4")], schema))
+    live.rebalance_and_store(orders, path, pd.Timestamp("2001-02-28").date(), base=1)
+    assert held() == ["T2", "T4"] and held(1) == ["T1", "T2"]
+    with pytest.raises(sinks.StateConflict):
+        live.rebalance_and_store(orders, path, pd.Timestamp("2001-02-28").date(), base=1)
+
+    assert sinks._claim(spark, path, 3)  # a writer that never came back
+    with pytest.raises(sinks.StateConflict):
+        sinks.write_state(spark.createDataFrame([("a", "T5")], schema), path, "2001-03-31")
+    sinks.write_state(spark.createDataFrame([("a", "T5")], schema), path, "2001-03-31", take_over=True)
+    assert held() == ["T5"] and sinks.state_version(spark, path) == 4
