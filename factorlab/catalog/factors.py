@@ -64,9 +64,9 @@ add(
     "ticker month trend_expanding_raw:7",
     lambda lb: regress.apply_trend(
         lb.ma_signals.filter(F.col("month") == F.lit(LIVE_MONTH)),
-        regress.expanding_trend_betas(panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG)
-        .filter(F.col("month") == F.lit(LIVE_MONTH))
-        .drop("series_id"),
+        regress.expanding_trend_betas(
+            panel_plan.index_history(*reversed(lb.index_tables), CFG), CFG.dev_cols, CFG, months=[LIVE_MONTH]
+        ).drop("series_id"),
         CFG.dev_cols,
         "trend_expanding_raw",
     ),

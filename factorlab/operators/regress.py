@@ -1,25 +1,61 @@
-"""Regressions. Spark aggregates the data; a fixed-size dense solve runs on the result.
+"""Regressions. Spark aggregates rows to second moments; a sweep over their array solves them.
 
-Cross-sectional fits reduce millions of rows to one row of second moments per
-month. Time-series fits see one row per calendar month of a series.
+Cross-sectional fits reduce millions of rows to one row of moments per month.
+Time-series fits see one row per calendar month of a series; residuals and row
+weights give their covariance. Everything is a column expression.
 """
 
 from __future__ import annotations
 
-import math
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.functions.nulls import finite, gated_avg, ratio
 from factorlab.functions.stats import normal_two_sided_p, student_two_sided_p
 
-# Workers get these solves by value, so they need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: A regressor whose variance given those before it is a smaller share of its own than this adds nothing and gets 0.
+RANK_TOLERANCE = 1e-12
+
+# -------------------------------------------------------------- dense solver
+
+
+def sweep(matrix: Column, n: int, pivots: Column) -> Column:
+    """Sweep a symmetric n x n matrix, an array row by row, on the positions in ``pivots``.
+
+    On centred cross products with unit diagonal this leaves the coefficients beside the swept
+    positions, the residual share on the others' diagonal and minus the inverse within. A pivot
+    below the rank tolerance has its row and column cleared instead.
+    """
+
+    def step(a: Column, p: Column) -> Column:
+        d = F.get(a, p * n + p)
+        full = d > RANK_TOLERANCE
+
+        def cell(v: Column, at: Column) -> Column:
+            i, j = F.floor(at / n).cast("int"), at % n
+            left, right = F.get(a, i * n + p), F.get(a, p * n + j)
+            swept = F.when((i == p) & (j == p), -1 / d).when((i == p) | (j == p), v / d).otherwise(v - left * right / d)
+            return F.when(full, swept).when((i == p) | (j == p), F.lit(0.0)).otherwise(v)
+
+        return F.transform(a, cell)
+
+    return F.aggregate(pivots, matrix, step)
+
+
+def unit_moments(cross: Column, n: int) -> tuple[Column, Column]:
+    """(matrix with unit diagonal, scales) from the upper triangle of centred cross products."""
+    place = {}
+    for i in range(n):
+        for j in range(i, n):
+            place[i, j] = place[j, i] = len(set(place.values()))
+    scales = F.array(*[F.when(F.get(cross, F.lit(place[i, i])) > 0, F.sqrt(F.get(cross, F.lit(place[i, i])))).otherwise(1.0) for i in range(n)])
+    where = F.array(*[F.lit(place[i, j]) for i in range(n) for j in range(n)])
+
+    def unit(s: Column) -> Column:
+        return F.transform(where, lambda w, at: F.get(cross, w) / F.get(s, F.floor(at / n).cast("int")) / F.get(s, at % n))
+
+    return F.get(F.transform(F.array(scales), unit), F.lit(0)), scales
+
 
 # ---------------------------------------------------------------- cross-section
 
@@ -50,33 +86,22 @@ def xs_moments(rows: DataFrame, y: str, xs: list[str], key: str, min_obs: int) -
     return out
 
 
-def _solve_moments(n_vars: int, names: list[str], key: str):
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            upper = np.triu_indices(n_vars + 1)
-            for month, n_obs, means, cross in pdf[[key, "n_obs", "means", "cross"]].itertuples(index=False):
-                s = np.zeros((n_vars + 1, n_vars + 1))
-                s[upper] = cross
-                s = s + np.triu(s, 1).T
-                scale = np.sqrt(np.diag(s)[1:])
-                scale[scale == 0] = 1.0
-                corr = s[1:, 1:] / np.outer(scale, scale)
-                beta = np.linalg.pinv(corr, rcond=1e-13, hermitian=True) @ (s[1:, 0] / scale) / scale
-                explained = float(beta @ s[1:, 0])
-                r2 = explained / s[0, 0] if s[0, 0] > 0 else None
-                intercept = float(means[0] - np.dot(beta, means[1:]))
-                out.append([month, int(n_obs), r2, intercept, *beta])
-            yield pd.DataFrame(out, columns=[key, "n_obs", "r_squared", "intercept", *names])
-
-    return solve
-
-
 def xs_multivariate_betas(rows: DataFrame, y: str, xs: list[str], min_obs: int, key: str = "month") -> DataFrame:
     """OLS of y on 1 + xs per month: one coefficient row per month."""
     moments = xs_moments(rows, y, xs, key, min_obs)
-    schema = f"{key} date, n_obs long, r_squared double, intercept double, " + ", ".join(f"{c} double" for c in xs)
-    return moments.mapInPandas(_solve_moments(len(xs), xs, key), schema)
+    n = len(xs) + 1
+    matrix, scales = unit_moments(F.col("cross"), n)
+    swept = moments.withColumn("_s", scales).withColumn("_a", matrix)
+    swept = swept.withColumn("_a", sweep(F.col("_a"), n, F.array(*[F.lit(i) for i in range(1, n)])))
+
+    def beta(j: int) -> Column:
+        return F.get("_a", F.lit(j * n)) * F.get("_s", F.lit(0)) / F.get("_s", F.lit(j))
+
+    out = swept.select(key, "n_obs", "means", (1 - F.get("_a", F.lit(0))).alias("_r2"), F.get("cross", F.lit(0)).alias("_syy"), *[beta(j + 1).alias(c) for j, c in enumerate(xs)])
+    intercept = F.get("means", F.lit(0))
+    for j, c in enumerate(xs):
+        intercept = intercept - F.col(c) * F.get("means", F.lit(j + 1))
+    return out.select(key, F.col("n_obs").cast("long").alias("n_obs"), F.when(F.col("_syy") > 0, F.col("_r2")).alias("r_squared"), intercept.alias("intercept"), *xs)
 
 
 def smooth_betas(betas: DataFrame, xs: list[str], window: int) -> DataFrame:
@@ -108,38 +133,103 @@ def hzz_predict(ratios: DataFrame, smoothed: DataFrame, xs: list[str], out: str
 # ------------------------------------------------------------------ time series
 
 
-def _ols_hac(y: np.ndarray, x: np.ndarray, lags: int):
-    """OLS with a Bartlett-weighted covariance; normal p-values."""
-    design = np.column_stack([np.ones(len(y)), x]) if x.size else np.ones((len(y), 1))
-    inv = np.linalg.pinv(design.T @ design, hermitian=True)
-    beta = np.linalg.pinv(design) @ y
-    resid = y - design @ beta
-    score = design * resid[:, None]
-    meat = score.T @ score
-    for lag in range(1, lags + 1):
-        g = score[lag:].T @ score[:-lag]
-        meat += (1 - lag / (lags + 1)) * (g + g.T)
-    se = np.sqrt(np.clip(np.diag(inv @ meat @ inv), 0, None))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.abs(beta / se) / math.sqrt(2)
-    p = np.array([math.erfc(v) if np.isfinite(v) else np.nan for v in z])
-    centred = y - y.mean()
-    total = float(centred @ centred)
-    r2 = 1 - float(resid @ resid) / total if total > 0 and x.size else 0.0
-    return beta, p, r2
+def _fit(moments: DataFrame, xs: list[str], pivots: Column) -> DataFrame:
+    """Every row of moments with the coefficients ``_c`` (intercept first), ``_inv`` and ``_r2`` of the fit on ``pivots``.
 
+    Regressors out of the fit have neither a coefficient nor a weight in anyone else's.
+    """
+    n = len(xs) + 1
+    swept = moments.withColumn("_pivots", pivots).withColumn("_a", sweep(F.col("_unit"), n, F.col("_pivots")))
 
-def _select_and_refit(y, x, alpha: float, lags: int):
-    _, p_full, _ = _ols_hac(y, x, lags)
-    chosen = [j for j in range(x.shape[1]) if p_full[j + 1] <= alpha]
-    beta, p, r2 = _ols_hac(y, x[:, chosen], lags)
-    coef, p_refit = np.zeros(x.shape[1]), np.full(x.shape[1], np.nan)
-    coef[chosen], p_refit[chosen] = beta[1:], p[1:]
-    return float(beta[0]), coef, p_full, float(p[0]), p_refit, chosen, r2
+    def within(at: Column) -> Column:
+        return F.array_contains("_pivots", F.floor(at / n).cast("int")) & F.array_contains("_pivots", (at % n).cast("int"))
+
+    slopes = F.transform(
+        F.sequence(F.lit(1), F.lit(n - 1)),
+        lambda j: F.when(F.array_contains("_pivots", j), F.get("_a", j * n) * F.get("_s", F.lit(0)) / F.get("_s", j)).otherwise(0.0),
+    )
+    out = swept.withColumn("_b", slopes)
+    from_means = F.aggregate(F.zip_with("_b", F.slice("_m", 2, n - 1), lambda b, m: b * m), F.lit(0.0), lambda acc, v: acc + v)
+    return out.withColumns(
+        {
+            "_c": F.concat(F.array(F.get("_m", F.lit(0)) - from_means), F.col("_b")),
+            "_inv": F.transform("_a", lambda v, at: F.when(within(at), -v).otherwise(0.0)),
+            "_r2": F.when(F.size("_pivots") > 0, 1 - F.get("_a", F.lit(0))).otherwise(0.0),
+        }
+    ).drop("_a", "_b")
+
+
+def _with_hac_p(rows: DataFrame, fit: DataFrame, keys: list[str], order: str, y: str, xs: list[str], lags: int) -> DataFrame:
+    """The rows of ``fit`` with ``_p``: normal p-values of its coefficients under a Bartlett-weighted covariance.
+
+    A coefficient is a weighted sum of y; its variance is that of the weighted residuals with their lagged products.
+    The rows of the fit travel along, so that what follows needs no join back to them.
+    """
+    n = len(xs) + 1
+    carried = [c for c in fit.columns if c not in keys]
+    z = F.array(*[(F.col(x) - F.get("_m", F.lit(j + 1))) / F.get("_s", F.lit(j + 1)) for j, x in enumerate(xs)])
+    fitted = F.get("_c", F.lit(0))
+    for j, x in enumerate(xs):
+        fitted = fitted + F.get("_c", F.lit(j + 1)) * F.col(x)
+    joined = rows.join(fit, keys).select(*keys, order, F.struct(*carried).alias("_fit"), "_m", "_s", "_inv", "n_obs", z.alias("_z"), (F.col(y) - fitted).alias("_u"))
+
+    def weight(j: Column) -> Column:
+        products = F.zip_with(F.slice("_inv", j * n + 2, n - 1), "_z", lambda a, v: a * v)
+        return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) / F.get("_s", j)
+
+    joined = joined.withColumn("_w", F.transform(F.sequence(F.lit(1), F.lit(n - 1)), weight))
+    first = 1.0 / F.col("n_obs") - F.aggregate(F.zip_with("_w", F.slice("_m", 2, n - 1), lambda w, m: w * m), F.lit(0.0), lambda acc, v: acc + v)
+    scores = joined.select(*keys, order, "_fit", F.transform(F.concat(F.array(first), F.col("_w")), lambda w: w * F.col("_u")).alias("_e"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    lagged = scores.select(*keys, "_fit", "_e", *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+
+    def spread(j: int) -> Column:
+        e = F.get("_e", F.lit(j))
+        out = e * e
+        for k in range(1, lags + 1):
+            out = out + 2 * (1 - k / (lags + 1)) * e * F.coalesce(F.get(f"_l{k}", F.lit(j)), F.lit(0.0))
+        return F.sum(out)
+
+    summed = lagged.groupBy(*keys).agg(F.first("_fit").alias("_fit"), F.array(*[spread(j) for j in range(n)]).alias("_var")).select(*keys, "_fit.*", "_var")
+    score = F.zip_with("_c", "_var", lambda c, v: F.try_divide(c, F.sqrt(F.greatest(v, F.lit(0.0)))))
+    return summed.withColumn("_p", F.transform(score, normal_two_sided_p)).drop("_var")
+
+
+def selected_trend_fits(rows: DataFrame, keys: list[str], order: str, y: str, xs: list[str], cfg) -> DataFrame:
+    """One row per key: fit on all regressors, keep those with a small p-value, fit again on these.
+
+    (keys, n_obs, r2, b0, slopes, p_full, p_refit, chosen); slopes of regressors left out are 0, ``chosen`` counts
+    regressors from 1. Keys with fewer than ``trend_min_obs`` rows have none. The rows are read once for the
+    means, the cross products and either fit; each step feeds the next alone.
+    """
+    n = len(xs) + 1
+    cols = [y, *xs]
+    means = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.array(*[F.avg(c) for c in cols]).alias("_m")).filter(F.col("n_obs") >= cfg.trend_min_obs)
+    centred = rows.join(means, keys)
+    off = [F.col(c) - F.get("_m", F.lit(i)) for i, c in enumerate(cols)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    moments = centred.groupBy(*keys).agg(
+        F.first("n_obs").alias("n_obs"), F.first("_m").alias("_m"), F.array(*[F.sum(off[i] * off[j]) for i, j in pairs]).alias("cross")
+    )
+    matrix, scales = unit_moments(F.col("cross"), n)
+    moments = moments.select(*keys, "n_obs", "_m", scales.alias("_s"), matrix.alias("_unit"))
+    full = _fit(moments, xs, F.sequence(F.lit(1), F.lit(n - 1)))
+    judged = _with_hac_p(rows, full, keys, order, y, xs, cfg.hac_lags).withColumnRenamed("_p", "p_full")
+    small = F.filter(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: F.coalesce(F.get("p_full", j) <= cfg.trend_alpha, F.lit(False)))
+    again = judged.select(*keys, "n_obs", "_m", "_s", "_unit", "p_full", small.alias("chosen"))
+    refit = _with_hac_p(rows, _fit(again, xs, F.col("chosen")), keys, order, y, xs, cfg.hac_lags)
+    return refit.select(
+        *keys, "n_obs", F.col("_r2").alias("r2"), F.get("_c", F.lit(0)).alias("b0"), F.slice("_c", 2, n - 1).alias("slopes"),
+        "p_full", F.col("_p").alias("p_refit"), "chosen",
+    )
 
 
-def _none(v):
-    return None if v is None or not np.isfinite(v) else float(v)
+def _whole(history: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    return history.select(*keep, *[finite(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
+
+
+def _names(xs: list[str]) -> Column:
+    return F.transform("chosen", lambda j: F.get(F.array(*[F.lit(x) for x in xs]), j - 1))
 
 
 def index_trend_full(history: DataFrame, xs: list[str], cfg, series: str = "series_id") -> DataFrame:
@@ -147,64 +237,38 @@ def index_trend_full(history: DataFrame, xs: list[str], cfg, series: str = "seri
 
     One long row per term. A series shorter than ``trend_min_obs`` yields no rows.
     """
-    alpha, lags, need = cfg.trend_alpha, cfg.hac_lags, cfg.trend_min_obs
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [
-            series, "term", "coefficient", "full_model_p_value", "refit_p_value", "selected", "n_obs",
-            "r_squared_refit", "selected_variables",
-        ]
-        data = pdf.sort_values("month")[[series, "next_ret", *xs]].replace([np.inf, -np.inf], np.nan).dropna()
-        if len(data) < need:
-            return pd.DataFrame(columns=cols)
-        y, x = data["next_ret"].to_numpy(float), data[xs].to_numpy(float)
-        b0, coef, p_full, p0, p_refit, chosen, r2 = _select_and_refit(y, x, alpha, lags)
-        names = [xs[j] for j in chosen]
-        tail = [len(data), r2, names]
-        sid = data[series].iloc[0]
-        rows = [[sid, "const", b0, _none(p_full[0]), _none(p0), True, *tail]]
-        for j, c in enumerate(xs):
-            rows.append([sid, c, coef[j], _none(p_full[j + 1]), _none(p_refit[j]), j in chosen, *tail])
-        return pd.DataFrame(rows, columns=cols)
-
-    schema = (
-        f"{series} string, term string, coefficient double, full_model_p_value double, refit_p_value double, "
-        "selected boolean, n_obs long, r_squared_refit double, selected_variables array<string>"
+    rows = _whole(history, ["next_ret", *xs], [series, "month"])
+    fits = selected_trend_fits(rows, [series], "month", "next_ret", xs, cfg)
+    used = [F.array_contains("chosen", j + 1) for j in range(len(xs))]
+
+    def term(name: str, value: Column, j: int, chosen: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("term"), value.alias("coefficient"), F.get("p_full", F.lit(j)).alias("full_model_p_value"),
+            F.when(chosen, F.get("p_refit", F.lit(j))).alias("refit_p_value"), chosen.alias("selected"),
+        )
+
+    terms = F.array(
+        term("const", F.col("b0"), 0, F.lit(True)), *[term(x, F.get("slopes", F.lit(j)), j + 1, used[j]) for j, x in enumerate(xs)]
     )
-    return history.groupBy(series).applyInPandas(fit, schema)
+    tail = [F.col("n_obs").cast("long").alias("n_obs"), F.col("r2").alias("r_squared_refit"), _names(xs).alias("selected_variables")]
+    return fits.select(series, F.inline(terms), *tail)
 
 
-def expanding_trend_betas(history: DataFrame, xs: list[str], cfg, series: str = "series_id") -> DataFrame:
-    """The same regression for every signal month on the rows strictly before it.
+def expanding_trend_betas(history: DataFrame, xs: list[str], cfg, series: str = "series_id", months: list | None = None) -> DataFrame:
+    """The same regression for every signal month, or the given ones, on the rows strictly before it.
 
-    Each month's row carries its own training rows, which the calendar bounds, and
-    months are dealt over the cluster: no series is fitted in one task.
+    Signal months are keys of one job, so no series is fitted in one task.
     """
-    alpha, lags, need = cfg.trend_alpha, cfg.hac_lags, cfg.trend_min_obs
-    columns = ["next_ret", *xs]
-    whole = F.lit(True)
-    for c in columns:
-        whole = whole & finite(c).isNotNull()
-    before = Window.partitionBy(series).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    train = F.collect_list(F.when(whole, F.array(*[F.col(c).cast("double") for c in columns]))).over(before)
-    jobs = history.select(series, "month", train.alias("train")).filter(F.size("train") >= need)
-
-    def fit(batches):
-        for pdf in batches:
-            rows = []
-            for sid, month, past in pdf[[series, "month", "train"]].itertuples(index=False):
-                data = np.array([np.asarray(r, dtype=float) for r in past])
-                b0, coef, _, _, _, chosen, r2 = _select_and_refit(data[:, 0], data[:, 1:], alpha, lags)
-                rows.append([sid, month, len(data), r2, [xs[j] for j in chosen], b0, *coef])
-            yield pd.DataFrame(
-                rows, columns=[series, "month", "n_obs", "r_squared_refit", "selected_variables", "intercept", *xs]
-            )
-
-    schema = (
-        f"{series} string, month date, n_obs long, r_squared_refit double, selected_variables array<string>, "
-        "intercept double, " + ", ".join(f"{c} double" for c in xs)
-    )
-    return jobs.repartition(series, "month").mapInPandas(fit, schema)
+    signal = history.select(series, F.col("month").alias("_at")).distinct()
+    if months is not None:
+        signal = signal.filter(F.col("_at").isin(months))
+    rows = _whole(history, ["next_ret", *xs], [series, "month"])
+    past = signal.join(rows, series).filter(F.col("month") < F.col("_at"))
+    fits = selected_trend_fits(past, [series, "_at"], "month", "next_ret", xs, cfg)
+    return fits.select(
+        series, F.col("_at").alias("month"), F.col("n_obs").cast("long").alias("n_obs"), F.col("r2").alias("r_squared_refit"),
+        _names(xs).alias("selected_variables"), F.col("b0").alias("intercept"), *[F.get("slopes", F.lit(j)).alias(x) for j, x in enumerate(xs)],
+    )
 
 
 def coefficients_wide(terms: DataFrame, xs: list[str]) -> DataFrame:
