@@ -48,8 +48,12 @@ def unit_moments(cross: Column, n: int) -> tuple[Column, Column]:
     for i in range(n):
         for j in range(i, n):
             place[i, j] = place[j, i] = len(set(place.values()))
-    scales = F.array(*[F.when(F.get(cross, F.lit(place[i, i])) > 0, F.sqrt(F.get(cross, F.lit(place[i, i])))).otherwise(1.0) for i in range(n)])
-    where = F.array(*[F.lit(place[i, j]) for i in range(n) for j in range(n)])
+    # Literal lists and long sums are given as SQL text: one call instead of thousands.
+    scales = F.transform(
+        F.expr(f"array({', '.join(str(place[i, i]) for i in range(n))})"),
+        lambda at: F.when(F.get(cross, at) > 0, F.sqrt(F.get(cross, at))).otherwise(1.0),
+    )
+    where = F.expr(f"array({', '.join(str(place[i, j]) for i in range(n) for j in range(n))})")
 
     def unit(s: Column) -> Column:
         return F.transform(where, lambda w, at: F.get(cross, w) / F.get(s, F.floor(at / n).cast("int")) / F.get(s, at % n))
@@ -167,10 +171,8 @@ def _with_hac_p(rows: DataFrame, fit: DataFrame, keys: list[str], order: str, y:
     """
     n = len(xs) + 1
     carried = [c for c in fit.columns if c not in keys]
-    z = F.array(*[(F.col(x) - F.get("_m", F.lit(j + 1))) / F.get("_s", F.lit(j + 1)) for j, x in enumerate(xs)])
-    fitted = F.get("_c", F.lit(0))
-    for j, x in enumerate(xs):
-        fitted = fitted + F.get("_c", F.lit(j + 1)) * F.col(x)
+    z = F.expr(f"array({', '.join(f'(`{x}` - _m[{j + 1}]) / _s[{j + 1}]' for j, x in enumerate(xs))})")
+    fitted = F.expr(f"_c[0] + {' + '.join(f'_c[{j + 1}] * `{x}`' for j, x in enumerate(xs))}")
     joined = rows.join(fit, keys).select(*keys, order, F.struct(*carried).alias("_fit"), "_m", "_s", "_inv", "n_obs", z.alias("_z"), (F.col(y) - fitted).alias("_u"))
 
     def weight(j: Column) -> Column:
@@ -183,14 +185,11 @@ def _with_hac_p(rows: DataFrame, fit: DataFrame, keys: list[str], order: str, y:
     w = Window.partitionBy(*keys).orderBy(order)
     lagged = scores.select(*keys, "_fit", "_e", *[F.lag("_e", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
 
-    def spread(j: int) -> Column:
-        e = F.get("_e", F.lit(j))
-        out = e * e
-        for k in range(1, lags + 1):
-            out = out + 2 * (1 - k / (lags + 1)) * e * F.coalesce(F.get(f"_l{k}", F.lit(j)), F.lit(0.0))
-        return F.sum(out)
+    def spread(j: int) -> str:
+        across = "".join(f" + {2 * (1 - k / (lags + 1))}D * _e[{j}] * coalesce(_l{k}[{j}], 0D)" for k in range(1, lags + 1))
+        return f"sum(_e[{j}] * _e[{j}]{across})"
 
-    summed = lagged.groupBy(*keys).agg(F.first("_fit").alias("_fit"), F.array(*[spread(j) for j in range(n)]).alias("_var")).select(*keys, "_fit.*", "_var")
+    summed = lagged.groupBy(*keys).agg(F.first("_fit").alias("_fit"), F.expr(f"array({', '.join(map(spread, range(n)))})").alias("_var")).select(*keys, "_fit.*", "_var")
     score = F.zip_with("_c", "_var", lambda c, v: F.try_divide(c, F.sqrt(F.greatest(v, F.lit(0.0)))))
     return summed.withColumn("_p", F.transform(score, normal_two_sided_p)).drop("_var")
 
@@ -204,13 +203,11 @@ def selected_trend_fits(rows: DataFrame, keys: list[str], order: str, y: str, xs
     """
     n = len(xs) + 1
     cols = [y, *xs]
-    means = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.array(*[F.avg(c) for c in cols]).alias("_m")).filter(F.col("n_obs") >= cfg.trend_min_obs)
+    average = F.expr(f"array({', '.join(f'avg(`{c}`)' for c in cols)})")
+    means = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), average.alias("_m")).filter(F.col("n_obs") >= cfg.trend_min_obs)
     centred = rows.join(means, keys)
-    off = [F.col(c) - F.get("_m", F.lit(i)) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    moments = centred.groupBy(*keys).agg(
-        F.first("n_obs").alias("n_obs"), F.first("_m").alias("_m"), F.array(*[F.sum(off[i] * off[j]) for i, j in pairs]).alias("cross")
-    )
+    products = [f"sum((`{a}` - _m[{i}]) * (`{b}` - _m[{j}]))" for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    moments = centred.groupBy(*keys).agg(F.first("n_obs").alias("n_obs"), F.first("_m").alias("_m"), F.expr(f"array({', '.join(products)})").alias("cross"))
     matrix, scales = unit_moments(F.col("cross"), n)
     moments = moments.select(*keys, "n_obs", "_m", scales.alias("_s"), matrix.alias("_unit"))
     full = _fit(moments, xs, F.sequence(F.lit(1), F.lit(n - 1)))
