@@ -237,7 +237,8 @@ class Lab:
         universe = self.ws.materialise(resample.indexed_universe(self.panel, self.ws), "universe")
         sims = resample.monte_carlo(universe, self.months, all_specs(), CFG, CFG.mc_sims)
         own = perf.strategy_metrics_table(self.curves, CFG, p_value=False)
-        return self.ws.materialise(resample.monte_carlo_test(resample.monte_carlo_metrics(sims, CFG), own), "monte_carlo")
+        metrics = self.ws.materialise(resample.monte_carlo_metrics(sims, CFG), "monte_carlo_metrics")
+        return self.ws.materialise(resample.monte_carlo_test(metrics, own), "monte_carlo")
 
     def live_state(self) -> DataFrame:
         """State document written from the previous month's targets and read back."""

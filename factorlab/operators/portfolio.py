@@ -132,22 +132,29 @@ def fold_equity(monthly: DataFrame, keys: list[str], cfg: EngineConfig) -> DataF
         pct = m["sizing_method"] == "percent_of_equity"
         affordable = F.greatest(F.floor(equity / cfg.cash_per_trade), F.lit(0)).cast("int")
         limit = F.when(pct, m["top_n"]).otherwise(affordable)
-        n = F.least(m["top_n"], limit, F.size(m["returns"]))
         size = F.when(pct, m["sizing_target_pct"] * equity).otherwise(F.lit(cfg.cash_per_trade))
-        total = F.aggregate(F.slice(m["returns"], 1, n), F.lit(0.0), lambda a, r: a + r)
-        pnl = F.when(n > 0, size * total).otherwise(F.lit(0.0))
-        ret = F.when(n > 0, F.when(equity > 0, pnl / equity)).otherwise(F.lit(0.0))
-        row = F.struct(
-            m["month"].alias("month"),
-            ret.alias("portfolio_return"),
-            pnl.alias("pnl"),
-            (equity + pnl).alias("equity"),
-            equity.alias("prev_equity"),
-            n.alias("n_positions"),
-            size.alias("per_position_dollars"),
-        )
-        path = F.concat(acc["path"], F.array(row).cast(_STEP))
-        return F.struct((equity + pnl).alias("equity"), path.alias("path"))
+
+        def earn(b: Column) -> Column:
+            total = F.aggregate(F.slice(m["returns"], 1, b["n"]), F.lit(0.0), lambda a, r: a + r)
+            return b.withField("pnl", F.when(b["n"] > 0, b["size"] * total).otherwise(F.lit(0.0)))
+
+        def book(b: Column) -> Column:
+            ret = F.when(b["n"] > 0, F.when(equity > 0, b["pnl"] / equity)).otherwise(F.lit(0.0))
+            row = F.struct(
+                m["month"].alias("month"),
+                ret.alias("portfolio_return"),
+                b["pnl"].alias("pnl"),
+                (equity + b["pnl"]).alias("equity"),
+                equity.alias("prev_equity"),
+                b["n"].alias("n_positions"),
+                b["size"].alias("per_position_dollars"),
+            )
+            path = F.concat(acc["path"], F.array(row).cast(_STEP))
+            return F.struct((equity + b["pnl"]).alias("equity"), path.alias("path"))
+
+        # Positions, then profit, then the row: each is worked out once.
+        begun = F.array(F.struct(F.least(m["top_n"], limit, F.size(m["returns"])).alias("n"), size.alias("size")))
+        return F.get(F.transform(F.transform(begun, earn), book), F.lit(0))
 
     def begin(equity: Column) -> Column:
         return F.struct(equity.alias("equity"), F.array().cast(_STEP).alias("path"))
