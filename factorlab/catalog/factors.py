@@ -9,7 +9,7 @@ from factorlab.catalog.registry import add
 from factorlab.catalog.sql import Z, perf_sql
 from factorlab.config import FACTORS
 from factorlab.functions.stats import significance_stars, student_two_sided_p
-from factorlab.operators import perf, regress, scoring, tables, xsection
+from factorlab.operators import bars, perf, regress, scoring, tables, xsection
 from factorlab.plans import ladder, live
 from factorlab.plans import panel as panel_plan
 from factorlab.sources import sinks
@@ -319,17 +319,20 @@ add(
 add(
     "median_diagnostics",
     "n_beta_months:i median_cross_section_size:3 median_r_squared:6 n_smoothed_months_usable:i first_usable_month",
-    lambda lb: tables.median_diagnostics(
-        xsection.xs_univariate_fmp(lb.factor_long)
-        .filter("factor = 'trend'")
-        .select("month", "n_obs", F.col("regression_r2").alias("r_squared")),
-        regress.smooth_betas(lb.smoothed_betas.withColumn("n_obs", F.month("month")), CFG.ratio_cols, 12),
-    ),
-    "SELECT b.*, s.* FROM (SELECT count(*) AS n_beta_months, median(n_obs) AS median_cross_section_size, "
-    "median(regression_r2) AS median_r_squared FROM fmp_regression WHERE factor = 'trend') b, "
-    "(SELECT count(*) FILTER (k > 12) AS n_smoothed_months_usable, min(month) FILTER (k > 12) AS first_usable_month FROM "
-    "(SELECT month, row_number() OVER (ORDER BY month) AS k FROM index_months)) s",
+    lambda lb: _trend_fit_diagnostics(lb),
+    "SELECT b.*, s.* FROM (SELECT count(*) AS n_beta_months, median(n) AS median_cross_section_size, "
+    "median(r2) AS median_r_squared FROM hz_b) b, (SELECT count(b0) AS n_smoothed_months_usable, "
+    "min(month) FILTER (b0 IS NOT NULL) AS first_usable_month FROM hzz_smooth) s",
 )
+
+
+def _trend_fit_diagnostics(lb: Lab):
+    """Size and fit of the monthly cross-sectional trend regressions, and from when on their smoothed betas can be used."""
+    betas = panel_plan.hzz_betas(lb.panel, bars.ma_ratio(lb.signals, CFG.ma_windows), CFG, lb.ws)
+    betas = lb.ws.materialise(betas, "trend_betas")
+    return tables.median_diagnostics(betas, regress.smooth_betas(betas, CFG.ratio_cols, CFG.beta_smoothing))
+
+
 add(
     "live_eligibility",
     "ticker month eligible",

@@ -59,7 +59,8 @@ def normalise_index_columns(df: DataFrame, rename: dict[str, str] | None = None)
 
 
 def scan_index(spark, path: str, cutoff: date, fmt: str = "parquet") -> DataFrame:
-    return cutoff_filter(normalise_index_columns(read_table(spark, path, schemas.INDEX_DAILY, fmt)), cutoff)
+    """Index bars up to the cut-off; the job fails should any later row get through."""
+    return assert_no_rows_after(cutoff_filter(normalise_index_columns(read_table(spark, path, schemas.INDEX_DAILY, fmt)), cutoff), cutoff)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
