@@ -216,3 +216,50 @@ def test_rebalance_keeps_strategies_apart(spark):
     wanted = spark.createDataFrame([("a", "Y"), ("b", "X")], "strategy string, ticker string")
     got = {(r.strategy, r.ticker): r.action for r in portfolio.rebalance_diff(held, wanted).collect()}
     assert got == {("a", "X"): "exit", ("a", "Y"): "hold", ("b", "Y"): "exit", ("b", "X"): "enter"}
+
+
+def test_trend_fits_match_numpy_for_all_windows(spark):
+    """Eleven regressors, two series at once, p-values within 1e-8; a repeated regressor gets no coefficient."""
+    import math
+    from dataclasses import replace
+
+    rng = np.random.default_rng(21)
+    cfg = replace(CFG, trend_min_obs=40, ma_windows=(3, 5, 10, 20, 50, 100, 200, 400, 600, 800, 1000))
+    xs, n = cfg.dev_cols, 90
+    months = [d.date() for d in pd.date_range("1990-01-31", periods=n, freq="ME")]
+    frames = []
+    for sid in ("a", "b"):
+        x = rng.normal(size=(n, 11)) @ np.diag(np.linspace(0.01, 2, 11)) + 1
+        y = 0.5 + x[:, 2] * 0.3 - x[:, 9] * 0.4 + rng.normal(0, 0.2, n)
+        frames.append(pd.DataFrame(x, columns=xs).assign(next_ret=y, series_id=sid, month=months))
+    both = pd.concat(frames)
+    got = regress.index_trend_full(spark.createDataFrame(both).repartition(7), xs, cfg).toPandas().set_index(["series_id", "term"])
+
+    def fit(y, x):
+        d = np.column_stack([np.ones(n), x])
+        inv = np.linalg.inv(d.T @ d)
+        beta = inv @ d.T @ y
+        s = d * (y - d @ beta)[:, None]
+        meat = s.T @ s
+        for k in range(1, cfg.hac_lags + 1):
+            g = s[k:].T @ s[:-k]
+            meat += (1 - k / (cfg.hac_lags + 1)) * (g + g.T)
+        se = np.sqrt(np.diag(inv @ meat @ inv))
+        return beta, [math.erfc(abs(b / e) / math.sqrt(2)) for b, e in zip(beta, se)]
+
+    for sid, f in zip(("a", "b"), frames):
+        y, x = f["next_ret"].to_numpy(), f[xs].to_numpy()
+        _, p = fit(y, x)
+        chosen = [j for j in range(11) if p[j + 1] <= cfg.trend_alpha]
+        beta, q = fit(y, x[:, chosen])
+        assert abs(got.loc[(sid, "const"), "full_model_p_value"] - p[0]) < 1e-8
+        assert abs(got.loc[(sid, "const"), "coefficient"] - beta[0]) < 1e-9
+        for j, c in enumerate(xs):
+            r = got.loc[(sid, c)]
+            assert abs(r["full_model_p_value"] - p[j + 1]) < 1e-8 and r["selected"] == (j in chosen)
+            want = beta[1 + chosen.index(j)] if j in chosen else 0.0
+            assert abs(r["coefficient"] - want) < 1e-9
+            assert pd.isna(r["refit_p_value"]) if j not in chosen else abs(r["refit_p_value"] - q[1 + chosen.index(j)]) < 1e-8
+    twin = both.assign(**{xs[5]: both[xs[2]]})
+    again = regress.index_trend_full(spark.createDataFrame(twin), xs, cfg).toPandas().set_index(["series_id", "term"])
+    assert again.loc[("a", xs[5]), "coefficient"] == 0.0 and pd.isna(again.loc[("a", xs[5]), "full_model_p_value"])
