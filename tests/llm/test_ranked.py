@@ -46,7 +46,7 @@ def corpus(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_pairs": 40}, {"shard_postings": 50}, {"k": 1}, {"k": 40, "shard_postings": 300}])
+@pytest.mark.parametrize("limits", [{}, {"block_pairs": 150}, {"shard_postings": 50}, {"k": 1}, {"k": 40, "shard_postings": 300}])
 def test_against_loop(spark, documents, limits):
     docs, items = corpus(len(limits))
     table = spark.createDataFrame([(*r, "n", 1) for r in items], "item_id long, text string, n string, rank int").repartition(2)
