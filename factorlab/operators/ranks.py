@@ -2,9 +2,8 @@
 
 * ranks: one range partitioning over (group, order) splits hot groups and hot
   values alike; positions come from partition offsets, so no task sees a group.
-* quantiles: a histogram of value buckets locates the few buckets that hold the
-  requested order statistics, a second one inside those narrows them again, and
-  only what is left is counted value by value.
+* quantiles: a mergeable sketch brackets the requested order statistics, one exact
+  count inside the brackets finds them; two passes over the rows, no row is moved.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from factorlab.functions.nulls import ratio
 from factorlab.sources.workspace import Workspace
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-_BUCKETS_PER_E = 128
-_SUB_BUCKETS = 1024
+_ACCURACY = 10_000
+_MARGINS = (4e-4, 4e-3, 4e-2, 1.0)  # shares of a group on either side of a quantile
+_MARGIN_ROWS = 4
 _SALTS = 16
 
 
@@ -74,57 +74,62 @@ def quintile_bucket(rank: Column, n: Column, buckets: int = 5) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.ceil(ratio(buckets * (rank - 1), n - 1)), F.lit(1))).cast("int")
 
 
-def _bucket(value: str) -> Column:
-    """Order-preserving integer bucket of a double, on a signed logarithmic scale."""
-    v = F.col(value)
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * _BUCKETS_PER_E)).cast("int")
+def sketched_brackets(df: DataFrame, keys: list[str], columns: dict[str, str], probs: list[float]) -> DataFrame:
+    """Values that surely enclose the order statistics of each group: (keys, _f, n, _lo array, _hi array).
 
+    ``columns`` maps labels to columns; every label becomes rows of its own. One mergeable sketch per group and
+    label is off by at most n / _ACCURACY ranks, so a margin of that and a few rows encloses what is asked for.
+    """
+    edges = [f for p in probs for m in _MARGINS for f in (max(0.0, p - m), min(1.0, p + m))]
+    made = [F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, _ACCURACY).alias("e")).alias(f"_s_{f}") for f, c in columns.items()]
+    wide = df.groupBy(*keys).agg(*made)
+    long = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f"_s_{f}").alias("s")) for f in columns])).alias("x"))
+    n, e = F.col("x.s.n"), F.col("x.s.e")
+    fits = [(m - 1 / _ACCURACY) * n >= _MARGIN_ROWS for m in _MARGINS[:-1]]
+    # The narrowest margin whose surplus over the sketch's error is worth a few rows; the last is the whole group.
+    step = F.coalesce(*[F.when(ok, F.lit(i)) for i, ok in enumerate(fits)], F.lit(len(fits)))
+
+    def side(offset: int) -> Column:
+        return F.array(*[F.get(e, 2 * (step + len(_MARGINS) * i) + offset) for i in range(len(probs))])
+
+    return long.filter(n > 0).select(*keys, F.col("x._f").alias("_f"), n.alias("n"), side(0).alias("_lo"), side(1).alias("_hi"))
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group: (keys, n, q array). Nulls are ignored.
 
-    Values that are packed into one bucket of the first histogram are told apart by
-    the second, which is linear between the smallest and largest of the bucket.
+def quantile_cells(df: DataFrame, keys: list[str], columns: dict[str, str], probs: list[float]) -> DataFrame:
+    """Each (keys, _f) group cut at its brackets: (keys, _f, n, _region, _v, _c, _m, _s, q).
+
+    Inside a bracket every distinct value is a cell (``_v``), the stretches between are one cell each (``_v`` NULL);
+    ``_c``, ``_m`` and ``_s`` are a cell's count, mean and population variance, ``q`` the exact interpolated quantiles.
+    Map-side combine leaves a stretch or a repeated value one row per task, so a hot group travels as its brackets.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn("_b", _bucket(value))
-
-    def target(p: float, step: int) -> Column:
-        return F.least(F.floor(F.lit(p) * (F.col("n") - 1)) + step, F.col("n") - 1)
-
-    def inside(low: Column, high: Column) -> Column:
-        hit = F.lit(False)
-        for p in probs:
-            for step in (0, 1):
-                hit = hit | ((target(p, step) >= low) & (target(p, step) < high))
-        return hit
-
-    def upto(by: list[str], order: str):
-        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-    hist = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    hist = hist.withColumn("_hi", F.sum("_c").over(upto(keys, "_b"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    hist = hist.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
-    # At most 2 buckets per probability and calendar-bounded group key, here and below.
-    needed = hist.filter(inside(F.col("_lo"), F.col("_hi"))).select(*keys, "_b", "_lo", "_min", "_max", "n")
-    share = ratio((F.col(value) - F.col("_min")) * _SUB_BUCKETS, F.col("_max") - F.col("_min"))
-    sub = F.least(F.coalesce(F.floor(share), F.lit(0)), F.lit(_SUB_BUCKETS - 1))
-    near = rows.join(F.broadcast(needed), [*keys, "_b"]).withColumn("_s", sub)
-    fine = near.groupBy(*keys, "_b", "_lo", "n", "_s").agg(F.count("*").alias("_c"))
-    fine = fine.withColumn("_hi", F.col("_lo") + F.sum("_c").over(upto([*keys, "_b"], "_s")))
-    fine = fine.withColumn("_lo", F.col("_hi") - F.col("_c")).filter(inside(F.col("_lo"), F.col("_hi")))
-    near = near.select(*keys, "_b", "_s", value).join(F.broadcast(fine.select(*keys, "_b", "_s", "_lo", "n")), [*keys, "_b", "_s"])
-    values = near.groupBy(*keys, "_b", "_s", "_lo", "n", value).agg(F.count("*").alias("_c"))
-    values = values.withColumn("_end", F.col("_lo") + F.sum("_c").over(upto([*keys, "_b", "_s"], value)))
-    values = values.withColumn("_begin", F.col("_end") - F.col("_c"))
-    picks = []
-    for i, p in enumerate(probs):
-        for step in (0, 1):
-            hit = (target(p, step) >= F.col("_begin")) & (target(p, step) < F.col("_end"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_v{i}_{step}"))
-    got = values.groupBy(*keys, "n").agg(*picks)
+    found = sketched_brackets(df, keys, columns, probs)
+    pairs = F.array(*[F.struct(F.lit(f).alias("_f"), F.col(c).alias("_v")) for f, c in columns.items()])
+    rows = df.select(*keys, F.inline(pairs)).filter(F.col("_v").isNotNull())
+    v, region, kept = F.col("_v"), F.lit(0), F.lit(False)
+    for i in range(len(probs)):
+        low, high = F.col("_lo")[i], F.col("_hi")[i]
+        region = region + (v >= low).cast("int") + (v > high).cast("int")
+        kept = kept | ((v >= low) & (v <= high))
+    # Brackets are keyed by calendar and label.
+    placed = rows.join(F.broadcast(found), [*keys, "_f"]).withColumn("_region", region).withColumn("_x", v)
+    cells = placed.withColumn("_v", F.when(kept, v)).groupBy(*keys, "_f", "n", "_region", "_v")
+    cells = cells.agg(F.count("*").alias("_c"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_s"))
+    group = Window.partitionBy(*keys, "_f")
+    upto = group.orderBy("_region", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_end", F.sum("_c").over(upto))
+
+    def statistic(p: float, step: int) -> Column:
+        at = F.least(F.floor(F.lit(p) * (F.col("n") - 1)) + step, F.col("n") - 1)
+        return F.max(F.when((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c")), F.col("_v"))).over(group)
+
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
     interpolated = []
-    for i, p in enumerate(probs):
+    for p in probs:
         frac = F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
-        low, high = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
-        interpolated.append((1 - frac) * low + frac * high)
-    return got.select(*keys, "n", F.array(*interpolated).alias("q"))
+        interpolated.append(F.coalesce((1 - frac) * statistic(p, 0) + frac * statistic(p, 1), missed))
+    return cells.withColumn("q", F.array(*interpolated)).drop("_end")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: (keys, n, q array). Nulls are ignored."""
+    return quantile_cells(df, keys, {"q": value}, probs).groupBy(*keys, "n").agg(F.first("q").alias("q"))

@@ -22,11 +22,28 @@ def unpivot(df: DataFrame, ids: list[str], columns: dict[str, str], name: str, v
     return df.select(*ids, F.inline(pairs))
 
 
-def _winsor_bounds(clean: DataFrame, targets: list[str], key: str, min_names: int) -> DataFrame:
-    """Clip bounds per month, one array column per target; NULL below ``min_names`` values."""
-    long = unpivot(clean, [key], {t: f"_x_{t}" for t in targets}, "_f", "_v")
-    q = ranks.quantiles(long, [key, "_f"], "_v", list(WINSOR)).filter(F.col("n") >= min_names)
-    return q.groupBy(key).agg(*[F.max(F.when(F.col("_f") == t, F.col("q"))).alias(f"_q_{t}") for t in targets])
+def _winsor_moments(clean: DataFrame, targets: list[str], key: str, min_names: int) -> DataFrame:
+    """Clip bounds, mean and deviation of the clipped values per month, one struct column per target.
+
+    Only the brackets around the bounds are counted value by value; what lies between enters by its moments, so the
+    clipped rows need no pass of their own. NULL below ``min_names`` values.
+    """
+    cells = ranks.quantile_cells(clean, [key], {t: f"_x_{t}" for t in targets}, list(WINSOR)).filter(F.col("n") >= min_names)
+    group = Window.partitionBy(key, "_f")
+    inner = F.col("_v").isNull() & (F.col("_region") == len(WINSOR))
+    at = F.least(F.greatest(F.coalesce("_v", "_m"), F.col("q")[0]), F.col("q")[1])
+    # Deviations from one of the clipped values: equal values give a deviation of exactly zero.
+    cells = cells.withColumn("_at", at).withColumn("_ref", F.max("_at").over(group))
+    cells = cells.withColumn("_mean", F.col("_ref") + F.sum(F.col("_c") * (F.col("_at") - F.col("_ref"))).over(group) / F.col("n"))
+    spread = F.when(inner, F.col("_s")).otherwise(0.0) + F.pow(F.col("_at") - F.col("_mean"), 2)
+    found = cells.groupBy(key, "_f").agg(
+        F.first(F.col("q")[0]).alias("lo"),
+        F.first(F.col("q")[1]).alias("hi"),
+        F.first("_mean").alias("m"),
+        F.sqrt(F.sum(F.col("_c") * spread) / F.sum("_c")).alias("d"),
+    )
+    packed = F.struct("lo", "hi", "m", "d")
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("_f") == t, packed)).alias(f"_q_{t}") for t in targets])
 
 
 def winsor_zscore(panel: DataFrame, columns: dict[str, str], min_names: int, key: str = "month") -> DataFrame:
@@ -36,23 +53,14 @@ def winsor_zscore(panel: DataFrame, columns: dict[str, str], min_names: int, key
     """
     clean = panel.withColumns({f"_x_{t}": finite(s) for s, t in columns.items()})
     targets = list(columns.values())
-    bounds = _winsor_bounds(clean, targets, key, min_names)
-    clipped = clean.join(F.broadcast(bounds), key, "left").withColumns(
-        {
-            f"_x_{t}": F.when(
-                F.col(f"_x_{t}").isNotNull() & F.col(f"_q_{t}").isNotNull(),
-                F.least(F.greatest(F.col(f"_x_{t}"), F.col(f"_q_{t}")[0]), F.col(f"_q_{t}")[1]),
-            )
-            for t in targets
-        }
-    )
-    moments = clipped.groupBy(key).agg(
-        *[F.avg(f"_x_{t}").alias(f"_m_{t}") for t in targets],
-        *[F.stddev_pop(f"_x_{t}").alias(f"_d_{t}") for t in targets],
-    )
-    scored = clipped.join(F.broadcast(moments), key, "left").withColumns(
-        {t: ratio(F.col(f"_x_{t}") - F.col(f"_m_{t}"), F.col(f"_d_{t}")) for t in targets}
-    )
+    scores = {}
+    for t in targets:
+        x, s = F.col(f"_x_{t}"), F.col(f"_q_{t}")
+        # least and greatest pass over NULL, so a missing value has to be asked for.
+        clipped = F.when(x.isNotNull(), F.least(F.greatest(x, s["lo"]), s["hi"]))
+        scores[t] = ratio(clipped - s["m"], s["d"])
+    # Month-keyed, hence bounded by the calendar.
+    scored = clean.join(F.broadcast(_winsor_moments(clean, targets, key, min_names)), key, "left").withColumns(scores)
     return scored.select(*[c for c in panel.columns if c not in targets], *targets)
 
 

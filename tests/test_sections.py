@@ -57,6 +57,37 @@ def test_quantiles_match_pandas(spark):
         assert np.allclose(got[month], g["v"].quantile(probs))
 
 
+def test_quantiles_of_every_size(spark):
+    """Groups from one row to many times the sketch's size, with a value that repeats, signed zeros and all nulls."""
+    rng = np.random.default_rng(4)
+    sizes = {1: 1, 2: 2, 3: 7, 4: 90, 5: 1200, 6: 40_000}
+    pdf = pd.concat([pd.DataFrame({"month": m, "v": np.round(rng.standard_t(2, n), 3)}) for m, n in sizes.items()])
+    pdf.loc[rng.random(len(pdf)) < 0.3, "v"] = -0.0
+    df = spark.createDataFrame(pdf).repartition(12).union(spark.range(9).selectExpr("7L", "CAST(NULL AS DOUBLE)"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = {r["month"]: r for r in ranks.quantiles(df, ["month"], "v", probs).collect()}
+    assert set(got) == set(sizes)
+    for month, g in pdf.groupby("month"):
+        assert got[month]["n"] == len(g)
+        assert np.allclose(got[month]["q"], g["v"].quantile(probs), rtol=1e-12)
+    # A group of this size leaves the last aggregate only its brackets and the stretches between.
+    cells = ranks.quantile_cells(df.filter("month = 6"), ["month"], {"q": "v"}, [0.01, 0.99])
+    assert cells.count() < 200 and cells.agg(F.sum("_c")).first()[0] == sizes[6]
+
+
+def test_zscore_of_hot_and_flat_months(spark):
+    """A month with most rows and a month of one value that no binary fraction holds."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"month": 1, "ticker": np.arange(30_000), "v": np.exp(rng.normal(size=30_000) * 4), "w": rng.integers(0, 3, 30_000) / 10})
+    flat = pd.DataFrame({"month": 2, "ticker": np.arange(31), "v": 0.1, "w": np.arange(31.0)})
+    df = spark.createDataFrame(pd.concat([pdf, flat])).repartition(6)
+    out = xsection.winsor_zscore(df, {"v": "vz", "w": "wz"}, 25).orderBy("month", "ticker").toPandas()
+    assert out[out["month"] == 2]["vz"].isna().all() and out[out["month"] == 2]["wz"].notna().all()
+    for name in "vw":
+        x = pdf[name].clip(pdf[name].quantile(0.01), pdf[name].quantile(0.99))
+        assert np.allclose(out[out["month"] == 1][f"{name}z"], (x - x.mean()) / x.std(ddof=0), rtol=1e-9)
+
+
 def test_quintile_of_a_single_name(spark):
     assert spark.range(1).select(ranks.quintile_bucket(F.lit(1), F.lit(1)).alias("q")).first()["q"] == 1
 
