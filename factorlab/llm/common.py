@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, lengthened until it is none of the columns in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession, factor: int = 2) -> int:
     """Number of chunks or buckets: a multiple of the session's shuffle partitions, which size the job."""
     return max(16, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -203,7 +203,10 @@ def crc_class(modulus: int) -> Column:
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """Learn from documents outside the held-out class and judge all: doc_id, held_out, lang_pred, score."""
-    samples = labelled_sample(docs, crc_class(4) != 2)
-    held = crc_class(4) == 2
+    """Learn from documents outside the held-out class and judge all: doc_id, held_out, lang_pred, score.
+
+    A null doc_id is not held out.
+    """
+    held = F.coalesce(crc_class(4) == 2, F.lit(False))
+    samples = labelled_sample(docs, ~held)
     return identify(docs, samples).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorlab.llm.common import unused
+
 MARK, STOP, OTHER = "\x01", "\x02", "\x03"
 CONTEXT_CHARS = 40
 THRESHOLD = 0.6
@@ -163,9 +165,10 @@ def redacted(text: Column, kind: Kind, threshold: float = THRESHOLD) -> Column:
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Documents with personal data masked, kind after kind, and n_chars brought up to date; null text stays null."""
-    df = docs.withColumn("_t", F.when(F.col("text").isNotNull(), clean_text()))
+    t = unused("_t", docs.columns)
+    df = docs.withColumn(t, F.when(F.col("text").isNotNull(), clean_text()))
     for kind in kinds:
-        df = df.withColumn("_t", redacted(F.col("_t"), kind))
-    changed = F.col("_t") != clean_text()
-    new = {"text": F.col("_t"), "n_chars": F.length("_t").cast("long")}
+        df = df.withColumn(t, redacted(F.col(t), kind))
+    changed = F.col(t) != clean_text()
+    new = {"text": F.col(t), "n_chars": F.length(t).cast("long")}
     return df.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

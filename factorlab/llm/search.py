@@ -1,6 +1,6 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-Vectors are integers with a fixed number of components. Shards of vectors meet blocks of
+Vectors are integers; a shorter one counts as filled up with zeros. Shards of vectors meet blocks of
 queries in cells, each a small dense product.
 
 1. Every cell scores by the leading components only, takes each query's local best by
@@ -12,14 +12,17 @@ queries in cells, each a small dense product.
 
 No cell sends more than k rows a query, however many entries tie.
 
-A vector that is null, or that holds a null or non-finite component, takes no part, and
-neither does one whose length differs from the most common length (the smallest of the most common).
+A vector that is null or empty, or that holds a null or non-finite component, takes no part. Products
+are exact: floats while every sum stays under 2**53, then 64-bit integers, then integers of any size.
+Components and scores beyond 64 bits are taken as the end of that range. A row without vec_id takes no part;
+rows that share a vec_id are never each other's candidates, and as queries they are ranked together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,29 +35,39 @@ SCALE = 64
 LEAD = 24
 SHARD = 8_192
 BLOCK = 2_048
+END = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of finite vectors of the common length."""
+    """(vec_id, v array<long>): floor(scale * x) of finite vectors."""
     e = F.col("embedding")
-    fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15))), F.lit(False))
+    fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     v = vectors.filter(e.isNotNull() & F.col("vec_id").isNotNull() & fine & (F.size(e) > 0))
-    v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
-    size = v.groupBy(F.size("v").alias("_d")).agg(F.count("*").alias("_n"))
-    common = size.agg(F.max_by("_d", F.struct("_n", -F.col("_d"))).alias("_d"))
-    return v.join(F.broadcast(common), F.size("v") == F.col("_d")).drop("_d")
+    return v.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(flat), -1).astype(np.int64) if len(flat) else np.empty((0, 1), dtype=np.int64)
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy().astype(np.int64)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of `width` components: shorter vectors filled up with zeros, longer ones cut."""
+    lengths, values = _lengths(column), pc.list_flatten(column).to_numpy().astype(np.int64)
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width), dtype=np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row[at < width], at[at < width]] = values[at < width]
+    return out
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both sides in the type whose products are exact: floats while every sum stays under 2**53, else integers."""
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64), x.astype(np.float64)) if bound < 1 << 53 else (q, x)
+    """Both sides in the smallest type whose products are exact."""
+    most = [max(int(m.max(initial=0)), -int(m.min(initial=0))) for m in (q, x)]
+    bound = most[0] * most[1] * q.shape[1]
+    kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+    return q.astype(kind), x.astype(kind)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -88,15 +101,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, lead: int = LEAD, shard_
 
     def scored(left: pa.Table, right: pa.Table, first: bool) -> pa.Table:
         order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
-        ids, x = right["vec_id"].to_numpy()[order], _matrix(right["v"])[order]
-        qs, q = left["query_id"].to_numpy(), _matrix(left["q"])
+        ids, qs = right["vec_id"].to_numpy()[order], left["query_id"].to_numpy()
         cut = None if first else left["cut"].to_numpy(zero_copy_only=False)
         got = ([], [], [])
         if len(qs) and len(ids):
-            q, x = _exact(q, x)
+            # Components that only one side has meet zeros.
+            width = int(min(_lengths(left["q"]).max(), _lengths(right["v"]).max()))
+            q, x = _exact(_matrix(left["q"], width), _matrix(right["v"], width)[order])
             rest_x = np.sqrt((x[:, lead:].astype(np.float64) ** 2).sum(axis=1))
             for at in range(0, len(qs), 256):
-                part = q[at : at + 256, :lead] @ x[:, :lead].T
+                part = (q[at : at + 256, :lead] @ x[:, :lead].T).astype(np.float64)
                 for i, row in enumerate(part, start=at):
                     own = ids != qs[i]
                     if first:
@@ -104,10 +118,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, lead: int = LEAD, shard_
                         near = np.sort(near[_best(row[near], ids[near], k)])
                     else:
                         rest = np.sqrt((q[i, lead:].astype(np.float64) ** 2).sum())
-                        # One more than the bound, against rounding of the roots.
-                        reach = row + np.ceil(rest * rest_x * (1 + 1e-9)) + 1
-                        near = np.flatnonzero(own if np.isnan(cut[i]) else own & (reach >= cut[i]))
-                    score = (x[near] @ q[i]).astype(np.int64)
+                        # More than the bound, against rounding of roots and of large sums.
+                        reach = row + rest * rest_x * (1 + 1e-9) + 1 + np.abs(row) * 1e-12
+                        low = cut[i] - abs(cut[i]) * 1e-12
+                        near = np.flatnonzero(own if np.isnan(cut[i]) else own & (np.maximum(reach, -END) >= low))
+                    score = np.clip(x[near] @ q[i], -END, END).astype(np.int64)
                     keep = _best(score, ids[near], k)
                     got[0].append(np.full(len(keep), qs[i]))
                     got[1].append(ids[near][keep])

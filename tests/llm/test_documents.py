@@ -269,3 +269,37 @@ def test_language_model_sums_to_one_in_small_and_hot_contexts():
         assert at.sum() == len(used) + 2
         assert abs(p[at].sum() - 1) < 1e-5, (c, p[at].sum())
     assert (p > 0).all() and (p <= 1).all()
+
+
+def test_search_of_large_and_uneven_vectors(spark):
+    """Components far beyond exact floats, vectors of several lengths, repeated ids."""
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=int(rng.integers(1, 9))).tolist()) for i in range(120)]
+    vectors += [(200 + i, (rng.normal(size=6) * 1e14).round().tolist()) for i in range(60)] + [(300, [2e15] * 6), (301, [-2e15, 1.0]), (302, [])]
+    vectors += [(400, [1e300, -1e300]), (401, [1e300]), (33, [0.25] * 3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    end = (1 << 63) - 1
+    ok = [(i, [max(-end - 1, min(end, math.floor(64 * x))) for x in e]) for i, e in vectors if e]
+    want = []
+    for q, a in ok:
+        if q % 20 == 0:
+            best = sorted((-max(-end, min(end, sum(x * y for x, y in zip(a, b, strict=False)))), c) for c, b in ok if c != q)[:9]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    got = search.top_k(search.quantised(df), F.col("vec_id") % 20 == 0, 9, lead=3, shard_rows=40, block_rows=4)
+    assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_redaction_beside_a_clashing_column(documents):
+    from pyspark.sql import functions as F
+
+    df = documents(PERSONAL).withColumn("_T", F.lit("kept"))
+    masked = pii.redact(df)
+    assert masked.columns == df.columns and {r["_T"] for r in masked.collect()} == {"kept"}
+
+
+def test_language_without_doc_id(spark):
+    rows = [(i, "the cat sat on the mat and the dog", "en") for i in range(8)] + [(None, "the cat and the dog", "en")]
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False] and all(r.lang_pred == "en" for r in got)
