@@ -232,10 +232,14 @@ def ma_deviation(bars: DataFrame, windows, price: str, key: str | None = "ticker
 
 
 def ma_deviation_latest(bars: DataFrame, windows, price: str) -> DataFrame:
-    """The same signals for the last month of every ticker only."""
-    signals = ma_deviation(bars, windows, price)
-    newest = Window.partitionBy("ticker").orderBy(F.desc("month"))
-    return signals.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+    """The same signals for the last month of every ticker only.
+
+    The longest window is all the history that they need: the rank limit drops older bars before the exchange.
+    """
+    newest = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    recent = bars.select("ticker", "date", price).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= max(windows))
+    out = with_deviations(recent, windows, price)
+    return out.filter("_r = 1").select("ticker", "month", *[f"ma_dev_{n}" for n in windows])
 
 
 def ma_ratio(signals: DataFrame, windows) -> DataFrame:

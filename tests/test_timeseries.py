@@ -50,6 +50,26 @@ def test_moving_averages_match_pandas(spark):
         assert np.allclose(got[f"ma_dev_{w}"].astype(float), want[f"ma_dev_{w}"], equal_nan=True)
 
 
+def test_latest_moving_averages_match_the_full_history(spark):
+    """Short, long and gappy histories: the rank limit may drop no bar that a window needs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for ticker, n in (("A", 90), ("B", 5), ("C", 4), ("D", 1), ("E", 60)):
+        days = pd.bdate_range("2001-01-01", periods=n)
+        price = [None if ticker == "E" and rng.random() < 0.2 else float(p) for p in 50 + rng.normal(size=n).cumsum()]
+        rows += [(ticker, d.date(), p) for d, p in zip(days, price, strict=True)]
+    rows += [("F", dt.date(2001, 1, d), None if d == 9 else 10.0) for d in range(1, 10)]
+    df = spark.createDataFrame(rows, "ticker string, date date, p double").repartition(5)
+    latest = bars.ma_deviation_latest(df, (3, 5), "p")
+    whole = bars.ma_deviation(df, (3, 5), "p").toPandas().sort_values("month").groupby("ticker").tail(1)
+    got = latest.toPandas().sort_values("ticker").reset_index(drop=True)
+    want = whole.sort_values("ticker").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+    # Limited by rank on the map side, then one exchange.
+    plan = bars.ma_deviation_latest(df, (3, 5), "p")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_lag_counts_rows_not_months(spark):
     rows = [("A", m, float(i + 1)) for i, m in enumerate(month_ends(16)) if i != 5]
     df = spark.createDataFrame(rows, "ticker string, month date, close double")
