@@ -14,8 +14,9 @@ never exceeds the symmetric difference, so no linked pair is lost) and what is l
 
 1. every node of a key group with the group's smallest node;
 2. nodes that those pairs leave in other components than the smallest's, with all of their group, in blocks of
-   bounded size, by short sketches first;
-3. the same again on verified components, should a pair of the first step have failed.
+   bounded size, by short sketches: a block sends on a spanning forest of its components, never all pairs;
+3. the same again on verified components without the pairs that failed, with four times as many pairs for each branch
+   of the forest in every round, until no untested pair joins two components.
 
 Links are exact: sets hold 64-bit hashes of whole shingles. Pairs inside a component are never compared, so a group
 of thousands of near copies costs as many pairs as it has members, and those of its outliers.
@@ -187,35 +188,59 @@ def linked(a: int, b: int, inter: int, num: int, den: int) -> bool:
     return den * inter >= num * (a + b - inter)
 
 
-def group_pairs(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of different components in the cells of key groups that short sketches don't rule out."""
-    cell, side = table["cell"].to_numpy(), table["side"].to_numpy()
-    order = np.lexsort((side, cell))
-    cell, side = cell[order], side[order]
-    node, comp, n = (table[c].to_numpy()[order] for c in ("node", "comp", "n"))
+def group_pairs(table: pa.Table, num: int, den: int, width: int) -> pa.Table:
+    """Pairs that join the components in the cells of key groups: of those that neither sketches nor an earlier test rule out
+    as many as a spanning forest has, `width` for each of its branches.
+    """
+    cell, side, node = (table[c].to_numpy() for c in ("cell", "side", "node"))
+    order = np.lexsort((node, side, cell))
+    cell, side, node = cell[order], side[order], node[order]
+    comp, n = (table[c].to_numpy()[order] for c in ("comp", "n"))
     short = np.frombuffer(b"".join(table["short"].to_pylist()), dtype=np.uint64).reshape(-1, SHORT_BITS // 64)[order]
-    wide = table["wide"].take(pa.array(order)).to_pylist()
+    wide, tested = (table[c].take(pa.array(order)).to_pylist() for c in ("wide", "tested"))
     edge = np.concatenate((np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]))
     found: set[tuple[int, int]] = set()
-    refused: set[tuple[int, int]] = set()
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        # Components that an earlier cell of this task has joined count as one.
+        label = np.fromiter(map(root, comp[lo:hi].tolist()), dtype=np.int64, count=hi - lo)
         # Side 0 is apart from the smallest node's component and in both blocks, 1 in the first only, 2 in the second.
-        left, right = np.arange(lo, lo + int((side[lo:hi] < 2).sum())), lo + np.flatnonzero(side[lo:hi] != 1)
+        left, right = np.arange(int((side[lo:hi] < 2).sum())), np.flatnonzero(side[lo:hi] != 1)
         step = max(1, (1 << 18) // max(1, len(right)))
         for at in range(0, len(left), step):
             part = left[at : at + step]
-            a, b = n[part][:, None], n[right][None, :]
-            far = np.bitwise_count(short[part][:, None, :] ^ short[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            ok = (far * (den + num) <= (den - num) * (a + b)) & (comp[part][:, None] != comp[right][None, :])
+            a, b = n[lo + part][:, None], n[lo + right][None, :]
+            far = np.bitwise_count(short[lo + part][:, None, :] ^ short[lo + right][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (far * (den + num) <= (den - num) * (a + b)) & (label[part][:, None] != label[right][None, :])
             ok &= (den * a >= num * b) & (den * b >= num * a)
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                p, q = int(part[i]), int(right[j])
-                x, y = int(node[p]), int(node[q])
-                pair = (min(x, y), max(x, y))
-                if pair in found or pair in refused:
-                    continue
-                plain = not wide[p] or not wide[q] or may_link(int(n[p]), int(n[q]), wide[p], wide[q], num, den)
-                (found if plain else refused).add(pair)
+            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                p, near = int(part[i]), right[ok[i]]
+                if tested[lo + p]:
+                    near = near[~np.isin(node[lo + near], tested[lo + p])]
+                branch, taken = label[near], 0
+                while len(near):
+                    q, other = int(near[0]), int(branch[0])
+                    near, branch = near[1:], branch[1:]
+                    if other == label[p] and not taken:
+                        continue
+                    x, y = lo + p, lo + q
+                    if wide[x] and wide[y] and not may_link(int(n[x]), int(n[y]), wide[x], wide[y], num, den):
+                        continue
+                    found.add((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+                    taken += 1
+                    small, large = sorted((int(label[p]), int(label[q])))
+                    if small != large:
+                        up[large] = small
+                        label[label == large] = small
+                    if taken == width:
+                        keep = (branch != other) & (label[near] != label[p])
+                        near, branch, taken = near[keep], branch[keep], 0
     return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
@@ -319,15 +344,25 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         return written(pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long"), name)
 
-    def others(labels: DataFrame) -> DataFrame:
-        """Pairs in key groups of three or more whose nodes `labels` has in different components."""
+    # Groups of the same members, as near copies make them by the dozen, are one.
+    crowd = member.filter("m > 2")
+    alike = crowd.groupBy("g").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("_y"), F.count("*").alias("_m"))
+    crowd = written(crowd.join(alike.groupBy("_x", "_y", "_m").agg(F.min("g").alias("g")).select("g"), "g", "left_semi"), "crowd")
+
+    def others(labels: DataFrame, tested: DataFrame | None = None, width: int = 1) -> DataFrame:
+        """Untested pairs that join components of `labels` in key groups of three or more, `width` for each branch of a spanning forest."""
         lone = F.coalesce("comp", "node")
         comp = labels.select(F.col("node").alias("lead"), F.col("comp").alias("_lead"))
-        rows = member.filter("m > 2").join(labels, "node", "left").join(comp, "lead", "left")
+        rows = crowd.join(labels, "node", "left").join(comp, "lead", "left")
         rows = rows.select("g", "node", "m", lone.alias("comp"), (lone != F.coalesce("_lead", "lead")).alias("apart"))
         split = rows.groupBy("g").agg(F.max("apart").alias("_s")).filter("_s").select("g")
-        short = known.select("node", "n", "sketch")
-        rows = rows.join(split, "g", "left_semi").join(short, "node")
+        body = known.select("node", "n", "sketch")
+        if tested is None:
+            body = body.withColumn("tested", F.lit(None).cast("array<long>"))
+        else:
+            both = tested.select(F.col("a").alias("node"), "b").union(tested.select(F.col("b").alias("node"), F.col("a").alias("b")))
+            body = body.join(both.groupBy("node").agg(F.collect_set("b").alias("tested")), "node", "left")
+        rows = rows.join(split, "g", "left_semi").join(body, "node")
         blocks = F.ceil(F.col("m") / BLOCK_NODES).cast("int")
         place = F.pmod(F.xxhash64("node"), blocks).cast("int")
         every = F.sequence(F.lit(0), blocks - 1)
@@ -342,22 +377,29 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 whole = batch.column("sketch").to_pylist()
                 short = [fold(s, SHORT_BITS).to_bytes(SHORT_BITS // 8, "little") for s in whole]
                 wide = [fold(s, 4 * len(s)).to_bytes(len(s) // 2, "little") if n > LONG else b"" for s, n in zip(whole, batch.column("n").to_pylist(), strict=True)]
-                cols = [*(batch.column(c) for c in ("cell", "side", "node", "comp", "n")), pa.array(short, pa.binary()), pa.array(wide, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["cell", "side", "node", "comp", "n", "short", "wide"])
+                cols = [*(batch.column(c) for c in ("cell", "side", "node", "comp", "n")), pa.array(short, pa.binary()), pa.array(wide, pa.binary()), batch.column("tested")]
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "side", "node", "comp", "n", "short", "wide", "tested"])
 
-        cells = cells.select("cell", "side", "node", "comp", "n", "sketch").mapInArrow(shorten, "cell long, side int, node long, comp long, n long, short binary, wide binary")
+        schema = "cell long, side int, node long, comp long, n long, short binary, wide binary, tested array<long>"
+        cells = cells.select("cell", "side", "node", "comp", "n", "sketch", "tested").mapInArrow(shorten, schema)
         dealt = cells.withColumn("at", F.pmod("cell", F.lit(8 * buckets)).cast("int")).groupBy("at")
-        return sifted(dealt.applyInArrow(lambda t: group_pairs(t, num, den), "a long, b long").distinct())
+        return dealt.applyInArrow(lambda t: group_pairs(t, num, den, width), "a long, b long").distinct()
 
     stars = written(sifted(member.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()), "stars")
     more = written(others(components(stars, "near")), "more")
-    tested = stars.union(more)
-    links = verified(tested, "links")
-    # Where a pair taken for a link was none, its components may have hidden others.
-    if stars.join(links, ["a", "b"], "left_anti").limit(1).count():
-        rest = written(others(components(links, "first")).join(tested, ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            links = links.union(verified(rest, "late"))
+    links = verified(stars.union(sifted(more)), "links")
+    refused = written(stars.union(more).distinct().join(links, ["a", "b"], "left_anti"), "refused")
+    # Where a pair taken for a link was none, its components may have hidden others: untested pairs of what is linked so far
+    # are asked for until there are none, four times as many each time.
+    width = 1
+    while refused.limit(1).count():
+        more = written(others(components(links, "first"), refused, width), "rest")
+        if not more.limit(1).count():
+            break
+        late = verified(sifted(more), "late")
+        links = links.union(late)
+        refused = refused.union(written(more.join(late, ["a", "b"], "left_anti"), "refused"))
+        width *= 4
     final = components(links, "last")
 
     # Copies are one node; the smallest doc_id of a component over all documents of its nodes.

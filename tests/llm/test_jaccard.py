@@ -93,3 +93,22 @@ def test_sets_of_over_a_million_shingles_keep_their_own_pieces():
         alone = [pieces(s, shift=shift)[0] for s in (large, copy, small)]
         assert pieces(small, large, small, copy, small, shift=shift) == [alone[i] for i in (2, 0, 2, 1, 2)]
         assert alone[0] & alone[1] and not alone[0] & alone[2]
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_cells_send_on_a_forest(width):
+    """Copies of three texts in one cell: as many pairs as a forest has, that join what can be joined, without tested ones."""
+    rng = np.random.default_rng(5)
+    stock = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(3)]
+    sets = [np.append(stock[i % 3][: 200 - i % 5], rng.integers(0, 1 << 63, i % 5).astype(np.uint64)) for i in range(240)]
+    short = jaccard.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    tested = [[j for j in range(240) if j != i and i == 7] or None for i in range(240)]
+    rows = {"cell": [1] * 240, "side": [0] * 240, "node": list(range(240)), "comp": list(range(240)), "n": [200] * 240, "short": [jaccard.fold(s, 512).to_bytes(64, "little") for s in short], "wide": [b""] * 240, "tested": tested}
+    got = jaccard.group_pairs(jaccard.pa.table(rows), 85, 100, width).to_pydict()
+    pairs = list(zip(got["a"], got["b"], strict=True))
+    assert len(pairs) <= width * 239 and all(a % 3 == b % 3 and a < b for a, b in pairs)
+    label = list(range(240))
+    for a, b in pairs:
+        label = [label[a] if x == label[b] else x for x in label]
+    # 7 has been held against all by itself, but others may still ask for it.
+    assert len({label[i] for i in range(240)}) == 3
