@@ -15,7 +15,7 @@ never exceeds the symmetric difference, so no linked pair is lost) and what is l
 1. every node of a key group with the group's smallest node;
 2. nodes that those pairs leave in other components than the smallest's, with all of their group, in blocks of
    bounded size, by short sketches: a block sends on a spanning forest of its components, never all pairs;
-3. the same again on verified components without the pairs that failed, with four times as many pairs for each branch
+3. the same again on verified components without the pairs that failed, with `WIDEN` times as many pairs for each branch
    of the forest in every round, until no untested pair joins two components.
 
 Links are exact: sets hold 64-bit hashes of whole shingles. Pairs inside a component are never compared, so a group
@@ -43,6 +43,8 @@ SHORT_BITS = 512
 #: Sets above this size, which short sketches can't tell apart, carry as many bits as shingles.
 LONG = SHORT_BITS
 BLOCK_NODES = 1024
+#: How many times more pairs for a branch of the forest every further round asks for.
+WIDEN = 16
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -390,8 +392,8 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     links = verified(stars.union(sifted(more)), "links")
     refused = written(stars.union(more).distinct().join(links, ["a", "b"], "left_anti"), "refused")
     # Where a pair taken for a link was none, its components may have hidden others: untested pairs of what is linked so far
-    # are asked for until there are none, four times as many each time.
-    width = 1
+    # are asked for until there are none, `WIDEN` times as many each time.
+    width = WIDEN
     while refused.limit(1).count():
         more = written(others(components(links, "first"), refused, width), "rest")
         if not more.limit(1).count():
@@ -399,7 +401,7 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         late = verified(sifted(more), "late")
         links = links.union(late)
         refused = refused.union(written(more.join(late, ["a", "b"], "left_anti"), "refused"))
-        width *= 4
+        width *= WIDEN
     final = components(links, "last")
 
     # Copies are one node; the smallest doc_id of a component over all documents of its nodes.
