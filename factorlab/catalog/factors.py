@@ -38,13 +38,13 @@ add(
     "factor_panel",
     f"ticker month close next_ret_cc roe pe_clean momentum_12m trend_raw:9 sector index_close:6 regime_on eligible {ZCOLS} "
     "composite_score:6",
-    lambda lb: panel_plan.factor_panel(lb.tables, CFG, lb.ws, lb.trend_coefs, lb.expanding_coefs),
+    lambda lb: panel_plan.factor_panel(lb.market, CFG, lb.ws, lb.trend_coefs, lb.expanding_coefs),
     "SELECT * FROM panel",
 )
 add(
     "factor_panel_fitted",
     f"ticker month trend_raw:8 trend_expanding_raw:7 eligible {ZCOLS} composite_score:6",
-    lambda lb: panel_plan.factor_panel(lb.tables, CFG, lb.ws),
+    lambda lb: panel_plan.factor_panel(lb.market, CFG, lb.ws),
     "SELECT * FROM panel_fit",
 )
 add(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factorlab.functions.nulls import _c, finite, gated_avg, masked_last, ratio
 
 OHLC = ("open", "high", "low", "close")
+VALUATION = {"marketCap": "market_cap", "peRatio": "pe_ratio", "pbRatio": "pb_ratio", "trailingPEG1Y": "trailing_peg_1y"}
 
 
 def month_of(column: str = "date") -> Column:
@@ -59,22 +60,28 @@ def _bar_aggregates() -> list[Column]:
     ]
 
 
+def _last_valuation(fields: dict[str, str]) -> list[Column]:
+    return [masked_last(src, "date").alias(dst) for src, dst in fields.items()]
+
+
 def monthly_bars(prices: DataFrame) -> DataFrame:
     """Adjusted monthly OHLCV per ticker; first and last skip nulls."""
     return prices.withColumn("month", month_of()).groupBy("ticker", "month").agg(*_bar_aggregates())
 
 
-def monthly_bars_with_signals(prices: DataFrame, windows) -> DataFrame:
-    """Monthly bars and month-end moving-average deviations in one pass.
+def monthly_bars_with_signals(prices: DataFrame, windows, metrics: bool = False) -> DataFrame:
+    """Monthly bars and month-end moving-average deviations in one pass, with the month's
+    valuation fields where the bars carry them (``metrics``).
 
     The daily bars are scanned and shuffled by ticker once: that layout serves
     the signal windows, the monthly aggregate and the monthly lags that follow.
     """
-    need = ["ticker", "date", "adjOpen", "adjHigh", "adjLow", "adjClose", "close", "adjVolume"]
+    fields = VALUATION if metrics else {}
+    need = ["ticker", "date", "adjOpen", "adjHigh", "adjLow", "adjClose", "close", "adjVolume", *fields]
     daily = with_deviations(prices.select(*need), windows, "adjClose")
     # Only the month-end row contributes a signal, so max picks that row's value.
     devs = [F.max(F.when(F.col("month_end"), F.col(f"ma_dev_{n}"))).alias(f"ma_dev_{n}") for n in windows]
-    return daily.groupBy("ticker", "month").agg(*_bar_aggregates(), *devs)
+    return daily.groupBy("ticker", "month").agg(*_bar_aggregates(), *devs, *_last_valuation(fields))
 
 
 def _by_month(key: str = "ticker"):
@@ -166,17 +173,7 @@ def index_months(index: DataFrame, cfg) -> DataFrame:
 
 def monthly_metrics(daily: DataFrame) -> DataFrame:
     """Last non-null valuation fields per (ticker, month)."""
-    fields = {
-        "marketCap": "market_cap",
-        "peRatio": "pe_ratio",
-        "pbRatio": "pb_ratio",
-        "trailingPEG1Y": "trailing_peg_1y",
-    }
-    return (
-        daily.withColumn("month", month_of())
-        .groupBy("ticker", "month")
-        .agg(*[masked_last(src, "date").alias(dst) for src, dst in fields.items()])
-    )
+    return daily.withColumn("month", month_of()).groupBy("ticker", "month").agg(*_last_valuation(VALUATION))
 
 
 def live_month_close(prices: DataFrame, price: str = "adjClose") -> DataFrame:

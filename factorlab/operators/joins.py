@@ -53,8 +53,14 @@ def asof_attach(left: DataFrame, right: DataFrame, key: str, left_on: str, right
 
 
 def asof_fundamental(monthly: DataFrame, statements: DataFrame, code: str = "roe") -> DataFrame:
-    """Latest statement value known at each month; ``monthly`` has one row per (ticker, month)."""
-    return asof_attach(monthly, statement_values(statements, code, code), "ticker", "month", "date", code)
+    """Latest statement value known at each month; ``monthly`` has one row per (ticker, month).
+
+    A ticker's statements are one row, bounded by the calendar, so only they move: the months keep their ticker layout.
+    """
+    known = statement_values(statements, code, "_v").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "_v"))).alias("_known"))
+    past = F.filter("_known", lambda s: s["date"] <= F.col("month"))
+    joined = monthly.join(known, "ticker", "left")
+    return joined.select(*monthly.columns, F.get(past, F.size(past) - 1)["_v"].alias(code))
 
 
 def panel_assembly(monthly: DataFrame, *tables: DataFrame) -> DataFrame:

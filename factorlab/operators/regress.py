@@ -134,6 +134,15 @@ def hzz_predict(ratios: DataFrame, smoothed: DataFrame, xs: list[str], out: str
     return joined.select("ticker", "month", finite(value).alias(out))
 
 
+def with_hzz(monthly: DataFrame, smoothed: DataFrame, windows, out: str = "trend_hzz_raw") -> DataFrame:
+    """The same prediction beside the deviations of a monthly table, whose ratios are deviation plus one."""
+    xs = [f"ma_ratio_{n}" for n in windows]
+    betas = smoothed.select("month", F.struct("intercept", *xs).alias("_b"))
+    value = linear_prediction(F.col("_b.intercept"), [(F.col(f"_b.ma_ratio_{n}"), F.col(f"ma_dev_{n}") + 1.0) for n in windows])
+    # Month-keyed, hence bounded by the calendar.
+    return monthly.join(F.broadcast(betas), "month", "left").select(*monthly.columns, finite(value).alias(out))
+
+
 # ------------------------------------------------------------------ time series
 
 

@@ -46,10 +46,13 @@ def _winsor_moments(clean: DataFrame, targets: list[str], key: str, min_names: i
     return found.groupBy(key).agg(*[F.max(F.when(F.col("_f") == t, packed)).alias(f"_q_{t}") for t in targets])
 
 
-def winsor_zscore(panel: DataFrame, columns: dict[str, str], min_names: int, key: str = "month") -> DataFrame:
+def winsor_zscore(
+    panel: DataFrame, columns: dict[str, str], min_names: int, key: str = "month", ws: Workspace | None = None
+) -> DataFrame:
     """Add z-scores ``{source: target}`` per month, clipped at the 1 % and 99 % quantiles.
 
-    NULL when a month has fewer than ``min_names`` values or no dispersion.
+    NULL when a month has fewer than ``min_names`` values or no dispersion. With a workspace the bounds and moments
+    are written once: the scores are then a projection of the panel, which needs no copy of its own.
     """
     clean = panel.withColumns({f"_x_{t}": finite(s) for s, t in columns.items()})
     targets = list(columns.values())
@@ -59,8 +62,11 @@ def winsor_zscore(panel: DataFrame, columns: dict[str, str], min_names: int, key
         # least and greatest pass over NULL, so a missing value has to be asked for.
         clipped = F.when(x.isNotNull(), F.least(F.greatest(x, s["lo"]), s["hi"]))
         scores[t] = ratio(clipped - s["m"], s["d"])
+    moments = _winsor_moments(clean, targets, key, min_names)
+    if ws is not None:
+        moments = ws.materialise(moments, "winsor_moments")
     # Month-keyed, hence bounded by the calendar.
-    scored = clean.join(F.broadcast(_winsor_moments(clean, targets, key, min_names)), key, "left").withColumns(scores)
+    scored = clean.join(F.broadcast(moments), key, "left").withColumns(scores)
     return scored.select(*[c for c in panel.columns if c not in targets], *targets)
 
 

@@ -19,14 +19,17 @@ Z_COLUMNS = {
     "trend_factor": "trend_z",
     "trend_expanding_factor": "trend_expanding_z",
 }
+HZZ_COLUMNS = {"trend_hzz_factor": "trend_hzz_z"}
 REQUIRED_Z = ["roe_z", "pe_z", "momentum_z", "trend_z"]
 LIVE_Z = ["roe_z", "pe_z", "momentum_z", "trend_expanding_z"]
 
 
 @dataclass
 class Inputs:
+    """Market tables; ``daily_metrics`` is None where the daily bars carry the metrics themselves."""
+
     prices: DataFrame
-    daily_metrics: DataFrame
+    daily_metrics: DataFrame | None
     statements: DataFrame
     constituents: DataFrame
     index_daily: DataFrame
@@ -54,10 +57,16 @@ def index_history(index_months: DataFrame, index_daily: DataFrame, cfg: EngineCo
 
 
 def raw_panel(
-    inputs: Inputs, cfg: EngineConfig, trend_coefs: DataFrame | None = None, expanding_coefs: DataFrame | None = None
+    inputs: Inputs,
+    cfg: EngineConfig,
+    trend_coefs: DataFrame | None = None,
+    expanding_coefs: DataFrame | None = None,
+    smoothed: DataFrame | None = None,
 ) -> DataFrame:
-    """Monthly panel before z-scores. Coefficient tables override the fitted trend."""
-    monthly = bars.stock_features(bars.monthly_bars_with_signals(inputs.prices, cfg.ma_windows), cfg)
+    """Monthly panel before z-scores. Coefficient tables override the fitted trend; given smoothed betas
+    also add the cross-sectional trend, whose ratios are the same month's deviations plus one."""
+    own_metrics = inputs.daily_metrics is None
+    monthly = bars.stock_features(bars.monthly_bars_with_signals(inputs.prices, cfg.ma_windows, own_metrics), cfg)
     idx = bars.index_months(inputs.index_daily, cfg)
     if trend_coefs is None or expanding_coefs is None:
         history = index_history(idx, inputs.index_daily, cfg)
@@ -68,9 +77,13 @@ def raw_panel(
     monthly = regress.with_trends(
         monthly, {"trend_raw": trend_coefs, "trend_expanding_raw": expanding_coefs}, cfg.dev_cols
     )
-    # As-of and sector steps keep the ticker layout; the metrics join then moves to (ticker, month).
+    if smoothed is not None:
+        monthly = regress.with_hzz(monthly, smoothed, cfg.ma_windows)
+        monthly = monthly.withColumn("trend_hzz_factor", F.col("trend_hzz_raw"))
+    # As-of and sector steps keep the ticker layout; joining metrics of their own moves to (ticker, month).
     panel = joins.sector_enrich(joins.asof_fundamental(monthly, inputs.statements), inputs.constituents)
-    panel = joins.panel_assembly(panel, bars.monthly_metrics(inputs.daily_metrics))
+    if not own_metrics:
+        panel = joins.panel_assembly(panel, bars.monthly_metrics(inputs.daily_metrics))
     panel = joins.index_enrich(panel, idx)
     panel = tradeable_eligibility(positive_pe_clean(panel))
     return panel.withColumns(
@@ -84,16 +97,18 @@ def raw_panel(
     )
 
 
-def score_panel(raw: DataFrame, cfg: EngineConfig, columns: dict[str, str] = Z_COLUMNS) -> DataFrame:
-    scored = xsection.winsor_zscore(raw, columns, cfg.min_names_zscore)
+def score_panel(raw: DataFrame, cfg: EngineConfig, columns: dict[str, str] = Z_COLUMNS, ws: Workspace | None = None) -> DataFrame:
+    scored = xsection.winsor_zscore(raw, columns, cfg.min_names_zscore, ws=ws)
     return scoring.composite_min3(scored, REQUIRED_Z)
 
 
-def factor_panel(inputs: Inputs, cfg: EngineConfig, ws: Workspace, trend_coefs=None, expanding_coefs=None) -> DataFrame:
+def factor_panel(
+    inputs: Inputs, cfg: EngineConfig, ws: Workspace, trend_coefs=None, expanding_coefs=None, smoothed: DataFrame | None = None
+) -> DataFrame:
     """Raw panel written once to the shared folder (its z-scores need several passes),
-    then scored."""
-    raw = ws.materialise(raw_panel(inputs, cfg, trend_coefs, expanding_coefs), "raw_panel")
-    return score_panel(raw, cfg)
+    then scored. Given smoothed betas bring the cross-sectional trend into the same passes."""
+    raw = ws.materialise(raw_panel(inputs, cfg, trend_coefs, expanding_coefs, smoothed), "raw_panel")
+    return score_panel(raw, cfg, Z_COLUMNS | (HZZ_COLUMNS if smoothed is not None else {}), ws)
 
 
 def inject_hzz(
@@ -111,7 +126,7 @@ def inject_hzz(
     keep = [c for c in panel.columns if c not in ("trend_hzz_raw", "trend_hzz_factor", "trend_hzz_z")]
     out = panel.select(*keep).join(predicted, ["ticker", "month"], "left")
     out = ws.materialise(out.withColumn("trend_hzz_factor", F.col("trend_hzz_raw")), "panel_hzz")
-    return xsection.winsor_zscore(out, {"trend_hzz_factor": "trend_hzz_z"}, cfg.min_names_zscore)
+    return xsection.winsor_zscore(out, HZZ_COLUMNS, cfg.min_names_zscore)
 
 
 def hzz_betas(monthly: DataFrame, ratios: DataFrame, cfg: EngineConfig, ws: Workspace) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlab.config import EngineConfig
@@ -77,14 +77,54 @@ def daily_metrics(spark: SparkSession, sf_dir: str, cutoff: date | None = None)
     day = t.groupBy("ticker", "date").agg(
         F.sum("ext").alias("e"), F.sum("ext_tax").alias("x"), F.sum("qty").alias("q")
     )
-    return day.select(
-        "ticker",
-        "date",
-        F.round("e", 2).alias("marketCap"),
-        F.round(ratio("e", "x"), 6).alias("peRatio"),
-        F.round(ratio("e", "q"), 10).alias("pbRatio"),
-        F.lit(None).cast("double").alias("trailingPEG1Y"),
+    return day.select("ticker", "date", *[c.alias(n) for n, c in _metrics("e", "x", "q").items()])
+
+
+def market(spark: SparkSession, sf_dir: str, cutoff: date | None = None) -> DataFrame:
+    """Daily bars beside their daily metrics, laid out by ticker.
+
+    The ticks move once, as they are: a bar of one tick is wider than the tick. Everything by ticker that follows
+    (bars, windows, months, as-of) keeps this layout. A ticker's ticks are folded into its bars as they stream in,
+    so what a task holds is bounded by tickers and calendar.
+    """
+    raw = _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
+        F.to_date("l_shipdate").alias("date"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
+        F.col("l_extendedprice").alias("ext"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        F.col("l_quantity").alias("qty"),
+    )
+    if cutoff is not None:
+        raw = raw.filter(F.col("date") <= F.lit(cutoff))
+    px = 100 + F.col("ext") / 2500
+    t = raw.repartition("ticker").withColumns(
+        {"px": px, "apx": px * (1 - F.col("discount")), "ext_tax": F.col("ext") * F.col("tax")}
+    )
+    day = t.groupBy("ticker", "date").agg(
+        F.min_by("px", "ord").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "ord").alias("close"),
+        F.sum("qty").alias("volume"),
+        F.min_by("apx", "ord").alias("adjOpen"),
+        F.max("apx").alias("adjHigh"),
+        F.min("apx").alias("adjLow"),
+        F.max_by("apx", "ord").alias("adjClose"),
+        F.sum("ext").alias("_e"),
+        F.sum("ext_tax").alias("_x"),
     )
+    return day.withColumn("adjVolume", F.col("volume")).withColumns(_metrics("_e", "_x", "volume")).drop("_e", "_x")
+
+
+def _metrics(value: str, taxed: str, quantity: str) -> dict[str, Column]:
+    return {
+        "marketCap": F.round(value, 2),
+        "peRatio": F.round(ratio(value, taxed), 6),
+        "pbRatio": F.round(ratio(value, quantity), 10),
+        "trailingPEG1Y": F.lit(None).cast("double"),
+    }
 
 
 def statements(spark: SparkSession, sf_dir: str, cutoff: date | None = None) -> DataFrame:

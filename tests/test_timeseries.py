@@ -283,3 +283,24 @@ def test_trend_fits_match_numpy_for_all_windows(spark):
     twin = both.assign(**{xs[5]: both[xs[2]]})
     again = regress.index_trend_full(spark.createDataFrame(twin), xs, cfg).toPandas().set_index(["series_id", "term"])
     assert again.loc[("a", xs[5]), "coefficient"] == 0.0 and pd.isna(again.loc[("a", xs[5]), "full_model_p_value"])
+
+
+def test_panel_moves_ticks_once(spark, ws):
+    """Bars that carry their metrics give the panel of separate tables, and no row of the panel is moved."""
+    from dataclasses import replace
+
+    from factorlab.catalog.context import CFG, lab
+    from factorlab.plans import panel
+
+    sf = "/root/testdata/sf0.001"
+    lb = lab(spark, sf)
+    whole = panel.raw_panel(lb.market, CFG, lb.trend_coefs, lb.expanding_coefs, lb.smoothed_betas)
+    moved = [x for x in whole._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(ticker" in x]
+    # Ticks by ticker; statement sums, statements by date, statements by ticker; names, unless they are broadcast.
+    assert len(moved) <= 5 and not any("month" in x for x in moved)
+    apart = replace(lb.market, prices=lb.prices, daily_metrics=lb.daily_metrics)
+    split = panel.raw_panel(apart, CFG, lb.trend_coefs, lb.expanding_coefs)
+    split = split.join(regress.hzz_predict(bars.ma_ratio(lb.ma_signals, CFG.ma_windows), lb.smoothed_betas, CFG.ratio_cols), ["ticker", "month"], "left")
+    got, want = (df.select(*sorted(split.columns)).orderBy("ticker", "month").toPandas() for df in (whole, split))
+    assert len(got) and whole.filter("trend_hzz_raw is not null and roe is not null and pe_ratio is not null").count()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
