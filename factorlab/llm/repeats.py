@@ -34,7 +34,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,11 +168,17 @@ def _member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
 
 
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("content", BINARY), ("rows", BINARY), ("docs", BINARY), ("places", BINARY)])
+#: At most so many contents travel as one row, which spreads what a row costs and bounds its size.
+PACK = 16
+#: Segments of a chunk for one group of ranges are packed into rows: per content its range, size and number of places, in the
+#: order of the ranges; per place the document and the first unit in the chunk.
+SEGMENTS = pa.schema([("group", pa.int32()), ("chunk", pa.int32()), *((c, BINARY) for c in ("parts", "sizes", "counts", "contents", "docs", "places"))])
 
 
-def candidate_segments(left: pa.Table, right: pa.Table, words: bool, length: int, k: int, route: Callable[[np.ndarray, list[bytes]], np.ndarray]) -> pa.Table:
-    """Distinct contents around shared anchors with their places, each sent to the bucket that `route` names."""
+def candidate_segments(
+    left: pa.Table, right: pa.Table, words: bool, length: int, k: int, route: Callable[[np.ndarray, list[bytes]], np.ndarray], together: int
+) -> pa.Table:
+    """Distinct contents around shared anchors with their places, each sent to the range that `route` names; `together` ranges are a group."""
     if not left.num_rows or not right.num_rows:
         return SEGMENTS.empty_table()
     chunk = Chunk(left, words)
@@ -190,37 +195,50 @@ def candidate_segments(left: pa.Table, right: pa.Table, words: bool, length: int
     if not seen:
         return SEGMENTS.empty_table()
     heads = [] if words else [chunk.raw[e[1] : e[1] + k] for e in seen.values()]
-    bucket = route(np.array([e[0] for e in seen.values()], dtype=np.uint64), heads)
+    part = route(np.array([e[0] for e in seen.values()], dtype=np.uint64), heads)
     name = left["chunk"][0].as_py()
-    rows, docs, places = [], [], []
-    for _, _, at in seen.values():
-        a = np.array(at, dtype=np.int64)
-        row = chunk.rows[a]
-        rows.append(row.tobytes())
-        docs.append(chunk.docs[row].tobytes())
-        places.append((a - chunk.first[row]).tobytes())
-    n = len(seen)
-    cols = (bucket, np.full(n, name, dtype=np.int32), list(seen), rows, docs, places)
-    return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, SEGMENTS, strict=True)], schema=SEGMENTS)
-
-
-SPANS = pa.schema([("chunk", pa.int32()), ("rows", BINARY), ("starts", BINARY), ("ends", BINARY)])
-
-
-def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of packed arrays, and how many each row holds."""
-    data = column.to_pylist()
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(data), dtype=kind), np.fromiter((len(b) // width for b in data), dtype=np.int64, count=len(data))
-
-
-def _range_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> list[tuple]:
-    """(chunk, row, start, end) arrays of the repeated spans of one range."""
+    entries = list(seen.items())
+    order = np.argsort(part, kind="stable")
+    part = part[order].astype(np.int32)
+    group = part // together
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)])).tolist()
+    rows = []
+    for lo, hi in ((at, min(at + PACK, b)) for a, b in zip(edge[:-1], edge[1:], strict=True) for at in range(a, b, PACK)):
+        own = [entries[i] for i in order[lo:hi].tolist()]
+        counts = np.fromiter((len(e[2]) for _, e in own), dtype=np.int32, count=len(own))
+        places = np.fromiter((a for _, e in own for a in e[2]), dtype=np.int64, count=int(counts.sum()))
+        sizes = np.fromiter((len(c) for c, _ in own), dtype=np.int32, count=len(own))
+        arrays = (part[lo:hi], sizes, counts), (chunk.docs[chunk.rows[places]], places)
+        rows.append((int(group[lo]), name, *(x.tobytes() for x in arrays[0]), b"".join(c for c, _ in own), *(x.tobytes() for x in arrays[1])))
+    return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), SEGMENTS, strict=True)], schema=SEGMENTS)
+
+
+def packed_ranges(table: pa.Table):
+    """Per range of a group: (contents, number of places of each, chunk of each place, documents, places)."""
+    parts, sizes, counts = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.int32) for c in ("parts", "sizes", "counts"))
+    docs, places = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=np.int64) for c in ("docs", "places"))
+    blob = b"".join(table["contents"].to_pylist())
+    per_row = np.fromiter((len(b) // 4 for b in table["parts"].to_pylist()), dtype=np.int64, count=table.num_rows)
+    chunk = np.repeat(np.repeat(table["chunk"].to_numpy(), per_row), counts)
+    end = np.cumsum(sizes, dtype=np.int64)
+    begin, of_place = end - sizes, np.repeat(parts, counts)
+    for part in np.unique(parts).tolist():
+        own, at = np.flatnonzero(parts == part), of_place == part
+        contents = [blob[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist(), strict=True)]
+        yield contents, counts[own], chunk[at], docs[at], places[at]
+
+
+SPANS = pa.schema([("chunk", pa.int32()), ("starts", BINARY), ("ends", BINARY)])
+
+
+def _range_spans(
+    held: list[bytes], counts: np.ndarray, chunk: np.ndarray, docs: np.ndarray, places: np.ndarray,
+    words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray],
+) -> list[tuple]:
+    """(chunk, start, end) arrays of the repeated spans of one range."""
     seen: dict[bytes, int] = {}
-    number = np.fromiter((seen.setdefault(c, len(seen)) for c in table["content"].to_pylist()), dtype=np.int64, count=table.num_rows)
-    docs, size = _flat(table["docs"], np.int64)
-    rows, places = _flat(table["rows"], np.int32)[0], _flat(table["places"], np.int64)[0]
-    which, chunk = np.repeat(number, size), np.repeat(table["chunk"].to_numpy(), size)
+    number = np.fromiter((seen.setdefault(c, len(seen)) for c in held), dtype=np.int64, count=len(held))
+    which = np.repeat(number, counts)
     first = np.full(len(seen), LAST, dtype=np.int64)
     np.minimum.at(first, which, docs)
     contents = list(seen)
@@ -235,28 +253,28 @@ def _range_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[l
     which = rank[which]
     # All windows repeated: the whole segment goes. Some: its runs.
     whole = np.flatnonzero(docs > most[which])
-    got = [(chunk[whole], rows[whole], places[whole], places[whole] + windows[which[whole]] + length - 1)]
+    got = [(chunk[whole], places[whole], places[whole] + windows[which[whole]] + length - 1)]
     for i in np.flatnonzero((docs > least[which]) & (docs <= most[which])).tolist():
         s, e = runs(low[begin[which[i]] : begin[which[i]] + windows[which[i]]] < docs[i])
-        got.append((np.full(len(s), chunk[i]), np.full(len(s), rows[i]), places[i] + s, places[i] + e + length - 1))
+        got.append((np.full(len(s), chunk[i]), places[i] + s, places[i] + e + length - 1))
     return got
 
 
 def repeated_spans(table: pa.Table, words: bool, length: int, matcher: Callable[[list[bytes], np.ndarray, int], np.ndarray]) -> pa.Table:
-    """Per chunk the spans (row, start, end) whose windows an earlier document holds.
+    """Per chunk the spans (start, end) whose windows an earlier document holds.
 
     `matcher(contents, first_docs, length)` gives for all windows of all contents in turn the smallest doc_id.
     """
     # Ranges of a group one after another: equal windows are in one range, and only one is expanded at a time.
     got = []
-    for part in np.unique(table["bucket"].to_numpy()).tolist():
-        got += _range_spans(table.filter(pc.equal(table["bucket"], part)), words, length, matcher)
-    to, row, start, end = (np.concatenate(x) for x in zip(*got, strict=True))
+    for held in packed_ranges(table):
+        got += _range_spans(*held, words, length, matcher)
+    to, start, end = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.argsort(to, kind="stable")
-    to, row, start, end = to[order], row[order].astype(np.int32), start[order].astype(np.int64), end[order].astype(np.int64)
+    to, start, end = to[order], start[order].astype(np.int64), end[order].astype(np.int64)
     edge = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)])).tolist() if len(to) else [0]
-    out = [(int(to[a]), row[a:b].tobytes(), start[a:b].tobytes(), end[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    cols = zip(*out, strict=True) if out else ([], [], [], [])
+    out = [(int(to[a]), start[a:b].tobytes(), end[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    cols = zip(*out, strict=True) if out else ([], [], [])
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, SPANS, strict=True)], schema=SPANS)
 
 
@@ -269,10 +287,10 @@ def remainder(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
     chunk = Chunk(left, words)
     gone = np.zeros(len(chunk.units), dtype=bool)
     if right.num_rows:
-        rows, starts, ends = (np.concatenate([np.frombuffer(b, dtype=t) for b in right[c].to_pylist()]) for c, t in (("rows", np.int32), ("starts", np.int64), ("ends", np.int64)))
+        starts, ends = (np.concatenate([np.frombuffer(b, dtype=np.int64) for b in right[c].to_pylist()]) for c in ("starts", "ends"))
         step = np.zeros(len(chunk.units) + 1, dtype=np.int32)
-        np.add.at(step, chunk.first[rows] + starts, 1)
-        np.add.at(step, chunk.first[rows] + ends, -1)
+        np.add.at(step, starts, 1)
+        np.add.at(step, ends, -1)
         gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         del step
     n = np.diff(chunk.first)
@@ -307,11 +325,12 @@ def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) ->
 
     held = texts().groupBy("chunk").applyInArrow(lambda t: anchors(t, words, length, k, buckets), "at int, chunk int, keys binary")
     shared = held.groupBy("at").applyInArrow(shared_keys, "at int, chunk int, keys binary").select(F.col("chunk").alias("to"), "keys")
+    together = 1 if words else RANGES // 2
     found = texts().groupBy("chunk").cogroup(shared.groupBy("to")).applyInArrow(
-        lambda a, b: candidate_segments(a, b, words, length, k, route), "bucket int, chunk int, content binary, rows binary, docs binary, places binary"
+        lambda a, b: candidate_segments(a, b, words, length, k, route, together),
+        "group int, chunk int, parts binary, sizes binary, counts binary, contents binary, docs binary, places binary",
     )
-    held_together = 1 if words else RANGES // 2
-    spans = found.groupBy((F.col("bucket") / held_together).cast("int")).applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, rows binary, starts binary, ends binary").withColumnRenamed("chunk", "to")
+    spans = found.groupBy("group").applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, starts binary, ends binary").withColumnRenamed("chunk", "to")
     left = texts().groupBy("chunk").cogroup(spans.groupBy("to")).applyInArrow(lambda a, b: remainder(a, b, words), "doc long, n_units long, n_removed long, n_spans long, kept binary")
     return left.select(F.nullif(F.col("doc"), F.lit(LAST)).alias("doc_id"), "n_units", "n_removed", "n_spans", "kept")
 

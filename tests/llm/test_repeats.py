@@ -74,3 +74,29 @@ def test_matchers_agree_with_counting(texts):
     assert repeats.window_owners(contents, docs, 4).tolist() == sum(want, [])
     by_byte = [min(d for o, d in zip(contents, docs.tolist(), strict=True) if c[i : i + 7] in o) for c in contents for i in range(len(c) - 6)]
     assert repeats.sorted_owners(contents, docs, 7).tolist() == by_byte
+
+
+def test_segments_travel_packed_by_chunk_and_group():
+    """What is moved for a segment is its content, and per place a document and a position: 16 bytes."""
+    import pyarrow as pa
+
+    base = prose(400, 3)
+    texts = [base, edited(base, 40, 4), edited(base, 60, 5)]
+    left = pa.table({"chunk": pa.array([0] * 3, pa.int32()), "doc": pa.array([5, 6, 7], pa.int64()), "text": texts})
+    keys = repeats.anchors(left, False, 50, 16, 1)
+    right = repeats.shared_keys(keys)
+    heads = lambda keys, heads: np.array([h[0] % 8 for h in heads])
+    got = repeats.candidate_segments(left, right, False, 50, 16, heads, 4)
+    assert set(got["group"].to_pylist()) <= {0, 1}
+    n = sum(len(held) for held, *_ in repeats.packed_ranges(got))
+    assert n > 3 * repeats.PACK and got.num_rows <= n // repeats.PACK + 2
+    for row in range(got.num_rows):
+        found = list(repeats.packed_ranges(got.slice(row, 1)))
+        contents = [c for held, *_ in found for c in held]
+        assert 0 < len(set(contents)) == len(contents) <= repeats.PACK
+        places = sum(int(counts.sum()) for _, counts, *_ in found)
+        assert got["docs"][row].as_py().__len__() + got["places"][row].as_py().__len__() == 16 * places
+        raw = b"".join(t.encode() for t in texts)
+        for held, counts, _, docs, at in found:
+            for c, d, a in zip(np.repeat(np.array(held, dtype=object), counts), docs, at, strict=True):
+                assert raw[a : a + len(c)] == c and d == 5 + np.searchsorted(np.cumsum([len(t.encode()) for t in texts]), a, side="right")
