@@ -430,7 +430,8 @@ add(
 
 
 def _panel_slice(lb: Lab):
-    return lb.panel.filter("eligible")
+    # Ranking writes and moves what it is given.
+    return lb.panel.filter("eligible").select("month", "ticker", "roe_z")
 
 
 add(

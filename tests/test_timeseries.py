@@ -304,3 +304,10 @@ def test_panel_moves_ticks_once(spark, ws):
     got, want = (df.select(*sorted(split.columns)).orderBy("ticker", "month").toPandas() for df in (whole, split))
     assert len(got) and whole.filter("trend_hzz_raw is not null and roe is not null and pe_ratio is not null").count()
     pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_rank_queries_move_their_own_columns_only(spark):
+    from factorlab.catalog import market
+    from factorlab.catalog.context import lab
+
+    assert market._panel_slice(lab(spark, "/root/testdata/sf0.001")).columns == ["month", "ticker", "roe_z"]
