@@ -2,12 +2,15 @@
 
 A set's sketch is a row of bits; every shingle flips the bit that its hash names. The Hamming distance of
 two sketches is at most the size of the symmetric difference, and a Jaccard similarity of at least t bounds
-that difference by D = (1 - t) / t * the smaller size. Cut into more than D pieces, the sketches of a linked
-pair agree in at least one piece: pieces are the join keys. Sizes fall into bands a factor 1 / t wide, so linked
-sets are in the same band or neighbours; each set sends its pieces for its own band and the next.
+that difference by D = (1 - t) / t * the smaller size. Cut into K > D pieces, the sketches of a linked
+pair agree in at least K - D pieces: pieces are the join keys. Sizes fall into bands a factor 1 / t wide, so linked
+sets are in the same band or neighbours; each set sends pieces for its own band and the next.
 
-A piece that no shingle touches says nothing, so `spare` further pieces are cut; should a set have more empty
-pieces than that, its empty pieces become keys among such sets. No link is lost.
+A third more than D + 1 pieces are cut, and a set sends D + 1 of them, in an order that is the same for all sets: pieces that
+many shingles touch come first. If P of a set's pieces are touched, P - D of these or more agree with those of any linked set, so
+its first D + 1 and the other's first D + 1 have one in common. What stays behind are the pieces that one or two
+shingles touch, which a common line or phrase alone makes equal in many documents. A set with fewer than D + 1 touched pieces
+sends them all, and its empty pieces as keys among such sets. No link is lost.
 
 Documents with equal sets are one node, the set's hash. Candidates are then filtered by whole sketches (their distance
 never exceeds the symmetric difference, so no linked pair is lost) and what is left is verified on the sets:
@@ -87,20 +90,19 @@ def band_of(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def band_pieces(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces and spare pieces of a band: more than the largest symmetric difference of linked sets of which the larger is in it."""
+    """Pieces of a band, and how many a set sends: one more than the largest symmetric difference of linked sets of which the larger is in it."""
     largest = np.floor((den / num) ** (band + 1.0) + 1e-6)
     # |A xor B| = |union| - |intersection| <= (1 - t) |union|, |union| <= smaller / t, smaller <= larger.
     difference = np.floor((den - num) * largest / num + 1e-6).astype(np.int64)
-    spare = np.where(difference > 0, 1 + difference // 24, 0)
-    return difference + 1 + spare, spare
+    return difference + 1 + (difference + 3) // 3, difference + 1
 
 
 def piece_keys(keys: np.ndarray, edge: np.ndarray, shift: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(join key, set number) for every piece of every set's sketch in its own band plus `shift`."""
+    """(join key, set number) for the pieces that every set's sketch sends in its own band plus `shift`."""
     size = np.diff(edge)
     owner = np.repeat(np.arange(len(size)), size)
     band = band_of(size, num, den) + shift
-    pieces, spare = band_pieces(band, num, den)
+    pieces, sent = band_pieces(band, num, den)
     bits = (pieces * PIECE_BITS).astype(np.uint64)
     place = mix(keys ^ mix(band.astype(np.uint64))[owner]) % bits[owner]
     # Places of large sets take more than 40 bits, so owners are kept beside them.
@@ -115,14 +117,18 @@ def piece_keys(keys: np.ndarray, edge: np.ndarray, shift: int, num: int, den: in
     sums = np.add.reduceat(mix(place), starts) if len(starts) else np.empty(0, dtype=np.uint64)
     who, piece = who[starts], cell[starts] & U64(0xFFFFFFFF)
     key = mix(sums ^ mix(piece * U64(0xC2B2AE3D27D4EB4F) + band.astype(np.uint64)[who]))
-    # Sets with more empty pieces than were spared meet in their empty pieces as well.
-    empty = np.where(size > 0, pieces - np.bincount(who, minlength=len(size)), 0)
+    # The order of pieces: by the places in them, most first, then by key. Both are the piece's own, so all sets agree on it.
+    order = np.lexsort((key, -np.diff(np.append(starts, len(cell))), who))
+    touched = np.bincount(who, minlength=len(size))
+    before = np.concatenate(([0], np.cumsum(touched)[:-1])) if len(size) else np.empty(0, dtype=np.int64)
+    first = order[np.arange(len(order)) - before[who[order]] < sent[who[order]]]
+    # Sets with fewer touched pieces than are sent meet in their empty pieces as well.
     more_key, more_who = [], []
-    for i in np.flatnonzero(empty > spare).tolist():
+    for i in np.flatnonzero((size > 0) & (touched < sent)).tolist():
         none = np.setdiff1d(np.arange(pieces[i]), piece[who == i].astype(np.int64)).astype(np.uint64)
         more_key.append(mix(mix(none + U64(1) + (U64(int(band[i])) << U64(32))) ^ U64(0x0E3F)))
         more_who.append(np.full(len(none), i))
-    return np.concatenate([key, *more_key]), np.concatenate([who, *more_who])
+    return np.concatenate([key[first], *more_key]), np.concatenate([who[first], *more_who])
 
 
 # ---- connected components ----
@@ -199,7 +205,10 @@ def group_pairs(table: pa.Table, num: int, den: int, width: int) -> pa.Table:
     cell, side, node = cell[order], side[order], node[order]
     comp, n = (table[c].to_numpy()[order] for c in ("comp", "n"))
     short = np.frombuffer(b"".join(table["short"].to_pylist()), dtype=np.uint64).reshape(-1, SHORT_BITS // 64)[order]
-    wide, tested = (table[c].take(pa.array(order)).to_pylist() for c in ("wide", "tested"))
+    wide = table["wide"].take(pa.array(order)).to_pylist()
+    # Lists of tested nodes stay one flat array: as Python numbers they would take several times the room.
+    lists = table["tested"].cast(pa.list_(pa.int64())).combine_chunks()
+    held, bound = lists.values.to_numpy(), lists.offsets.to_numpy()
     edge = np.concatenate((np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]))
     found: set[tuple[int, int]] = set()
     up: dict[int, int] = {}
@@ -223,8 +232,9 @@ def group_pairs(table: pa.Table, num: int, den: int, width: int) -> pa.Table:
             ok &= (den * a >= num * b) & (den * b >= num * a)
             for i in np.flatnonzero(ok.any(axis=1)).tolist():
                 p, near = int(part[i]), right[ok[i]]
-                if tested[lo + p]:
-                    near = near[~np.isin(node[lo + near], tested[lo + p])]
+                tested = held[bound[order[lo + p]] : bound[order[lo + p] + 1]]
+                if len(tested):
+                    near = near[~np.isin(node[lo + near], tested)]
                 branch, taken = label[near], 0
                 while len(near):
                     q, other = int(near[0]), int(branch[0])

@@ -112,3 +112,14 @@ def test_cells_send_on_a_forest(width):
         label = [label[a] if x == label[b] else x for x in label]
     # 7 has been held against all by itself, but others may still ask for it.
     assert len({label[i] for i in range(240)}) == 3
+
+
+def test_a_common_phrase_makes_no_key_groups():
+    """Sets that have only a phrase in common share next to no keys: pieces that the phrase alone touches are not sent."""
+    rng = np.random.default_rng(3)
+    phrase = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    sets = [np.append(phrase, rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2000)]
+    edge = np.cumsum([0, *map(len, sets)])
+    keys = np.concatenate([jaccard.piece_keys(np.concatenate(sets), edge, shift, 85, 100)[0] for shift in (0, 1)])
+    held = np.unique(keys, return_counts=True)[1]
+    assert (held * (held - 1) // 2).sum() <= 50
