@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -43,11 +44,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: While a table is written: its shuffle files go when the job ends, for the table stands in for them, and rows reach
+#: Python in batches of a few megabytes, however long their texts are.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def writing(spark: SparkSession):
+    """Settings of a job whose result is kept as a table; the session's own come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpus/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with writing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
