@@ -332,7 +332,8 @@ def join(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Links among pairs, on the sets of one document of each node."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = known.join(nodes, "node", "left_semi").select("doc_id", F.col("node").alias("rep"))
+        # Written first, so that Spark knows how few they are: for a handful the texts stay where they are.
+        wanted = written(known.join(nodes, "node", "left_semi").select("doc_id", F.col("node").alias("rep")), f"{name}-wanted")
 
         def members(batches):
             for keys, edge, doc in shingled(batches):
