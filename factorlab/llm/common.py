@@ -65,15 +65,27 @@ def writing(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpus/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with writing(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a table's folder, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discarded(df: DataFrame) -> None:
+    """Remove a table that `written` has given."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, folder)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """`name`, lengthened until it is none of the columns in any case."""
     taken = {c.lower() for c in columns}

@@ -1,10 +1,17 @@
 """What a written table leaves behind."""
 
 import time
+import zlib
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from samples import edited, prose
+from test_documents import swept
 
-from factorlab.llm.common import WRITING, written
+from factorlab.llm import language, lm
+from factorlab.llm.common import WRITING, shared_folder, written
 
 
 def shuffle_files(spark):
@@ -36,3 +43,20 @@ def test_written_frees_its_shuffle_files_and_keeps_settings(spark):
         time.sleep(0.2)
     assert not shuffle_files(spark) - before
     assert sorted(r["count"] for r in kept.collect()) == sorted([7143] * 6 + [7142])
+
+
+def test_language_model_keeps_the_averaged_states_alone_and_agrees_with_a_replay(spark, documents):
+    rows = [(i, edited(prose(200, i % 5), 9, i)) for i in range(40)] + [(50, None), (51, "unseen words only")]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "corpus" / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    got = {r.doc_id: r.score for r in lm.score(documents(rows), language.crc_class(7) == 2, sweeps=1).collect()}
+    left = [p.name for p in set(folder.glob("*")) - before]
+    assert sum(x.startswith("parents-") for x in left) == lm.KEEP
+    assert not any(x.startswith("corpus_owned") for x in left)
+
+    tok = lm.Tokens(pa.table({"doc": [d for d, _ in rows], "held": [d in held for d, _ in rows], "text": [t or "" for _, t in rows]}))
+    states, _ = swept(tok, 1 + lm.KEEP)
+    p = lm.predictions(tok, tok.pair_count, tok.count, states, lm.KEEP)
+    want = np.bincount(tok.row, weights=np.log10(p)[tok.pair])
+    assert held and np.allclose([got[d] for d in tok.docs.tolist()], want, rtol=1e-9)
