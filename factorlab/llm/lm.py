@@ -159,7 +159,8 @@ def _send(chunk: int, keys: np.ndarray, buckets: int, a: np.ndarray, a_kind: str
 
 def _received(right: pa.Table, column: str, kind: str, tag: str | None = None) -> np.ndarray:
     """A chunk's replies in the order of its keys: buckets are ranges, so their number orders them. Rows below 0 are its own."""
-    rows = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if at >= 0 and (tag is None or right["tag"][i].as_py() == tag))
+    tags = right["tag"].to_pylist() if tag else None
+    rows = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if at >= 0 and (tags is None or tags[i] == tag))
     return np.concatenate([unpack(right[column][i].as_py(), kind) for _, i in rows])
 
 
@@ -226,35 +227,31 @@ def seat_parent(table: pa.Table, words: int, all_tables: float, sweep: int) -> p
     return _table(rows)
 
 
-def _lists(lists: list[np.ndarray], keys: np.ndarray, chunk: int, buckets: int) -> list[tuple]:
-    """Rows for the buckets with several numbers for each of the sorted keys."""
-    cut = _cuts(keys, buckets).tolist()
-    return [
-        (i, chunk, pack_keys(keys[lo:hi]), b"".join(pack(x[lo:hi], "<i8") for x in lists), b"")
-        for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo
-    ]
-
-
 def _parted(data: bytes, n: int) -> np.ndarray:
     """n lists of numbers, one a row."""
     size = len(data) // n
     return np.stack([unpack(data[i * size : (i + 1) * size], "<i8") for i in range(n)])
 
 
+def ask_buckets(chunk: int, asked: np.ndarray, told: np.ndarray, tables: list[np.ndarray], buckets: int) -> pa.Table:
+    """One row a bucket: the sorted keys of which the chunk asks the tables, those of which it tells them, and these."""
+    ask, tell = _cuts(asked, buckets).tolist(), _cuts(told, buckets).tolist()
+    return _table([
+        (i, chunk, pack_keys(asked[lo:hi]), b"".join(pack(x[at:to], "<i8") for x in tables), pack_keys(told[at:to]))
+        for i, (lo, hi, at, to) in enumerate(zip(ask[:-1], ask[1:], tell[:-1], tell[1:], strict=True)) if hi > lo or to > at
+    ])
+
+
 def tell_tables(table: pa.Table) -> pa.Table:
-    """The tables of a bucket's pairs, as their owners sent them, to the chunks that ask for them by key alone."""
-    told, asked = [], []
-    for i, data in enumerate(table["a"].to_pylist()):
-        (told if data else asked).append(i)
-    if not asked:
-        return _table([])
-    keys = np.concatenate([unpack_keys(table["keys"][i].as_py()) for i in told])
-    tables = np.concatenate([_parted(table["a"][i].as_py(), KEEP) for i in told], axis=1)
-    order = np.argsort(keys)
-    rows = []
-    for i in asked:
-        place = order[np.searchsorted(keys, unpack_keys(table["keys"][i].as_py()), sorter=order)]
-        rows.append((table["at"][i].as_py(), table["chunk"][i].as_py(), b"", b"".join(pack(x, "<i8") for x in tables[:, place]), b""))
+    """The tables of a bucket's pairs, as their owners told them, to the chunks that ask for them."""
+    chunk, wanted, tables, told = (table[c].to_pylist() for c in ("chunk", "keys", "a", "b"))
+    keys = np.concatenate([unpack_keys(x) for x in told])
+    tables = np.concatenate([_parted(x, KEEP) for x in tables], axis=1)
+    order, at, rows = np.argsort(keys), table["at"][0].as_py(), []
+    for c, x in zip(chunk, wanted, strict=True):
+        if x:
+            place = order[np.searchsorted(keys, unpack_keys(x), sorter=order)]
+            rows.append((at, c, b"", b"".join(pack(t, "<i8") for t in tables[:, place]), b""))
     return _table(rows)
 
 
@@ -448,9 +445,11 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
     def pairs_of_chunks():
         return spark.table(owned).groupBy("chunk")
 
-    def own_tables(right: pa.Table, chunk: int, tag: str | None = None) -> np.ndarray:
-        """Tables of the chunk's own pairs in a state."""
-        return next(unpack(right["a"][i].as_py(), "<i8") for i, at in enumerate(right["at"].to_pylist()) if at == -1 - chunk and (tag is None or right["tag"][i].as_py() == tag))
+    def own_tables(right: pa.Table, chunk: int, totals: np.ndarray, tag: str | None = None) -> np.ndarray:
+        """Tables of the chunk's own pairs in a state, which has those of more than one customer."""
+        out = np.ones(len(totals), dtype=np.int64)
+        out[totals > 1] = next(unpack(right["a"][i].as_py(), "<i8") for i, at in enumerate(right["at"].to_pylist()) if at == -1 - chunk and (tag is None or right["tag"][i].as_py() == tag))
+        return out
 
     def sweep_pairs(left: pa.Table, right: pa.Table | None, sweep: int, customers: float, tables: float) -> pa.Table:
         cell = {c: left[c][0].as_py() for c in ("chunk", "words", "counts", "context", "word", "totals")}
@@ -459,11 +458,14 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
         state, t = State.first(words, counts, n, v), totals
         if right is not None:
             state = State(parent_probability(_received(right, "a", "<f4"), customers, tables, v), _received(right, "b", "<i8"))
-            t = own_tables(right, cell["chunk"])
-        t = state.reseat(pair_keys(words[context], words[word]), totals, t, context, word, sweep)
+            t = own_tables(right, cell["chunk"], totals)
+        # A single customer has a table of its own in every state.
+        some, t = totals > 1, t.copy()
+        there, of = context[some], word[some]
+        t[some] = state.reseat(pair_keys(words[there], words[of]), totals[some], t[some], there, of, sweep)
         sums = [np.bincount(place, weights=t, minlength=len(words)) for place in (word, context)]
         sent = _send(cell["chunk"], words, buckets, sums[0], "<i8", sums[1], "<i8")
-        return pa.concat_tables([sent, _table([(-1 - cell["chunk"], cell["chunk"], b"", pack(t, "<i8"), b"")])])
+        return pa.concat_tables([sent, _table([(-1 - cell["chunk"], cell["chunk"], b"", pack(t[some], "<i8"), b"")])])
 
     def one_sweep(sweep: int, replies: DataFrame | None, customers: float, tables: float) -> DataFrame:
         if replies is None:
@@ -501,8 +503,9 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
         context, word = (unpack(cell[c], "<i4")[some] for c in ("context", "word"))
         keys = pair_keys(words[context], words[word])
         order = np.argsort(keys)
-        tables = [own_tables(right, cell["chunk"], tag)[some][order] for tag in tags]
-        return _table(_lists(tables, keys[order], cell["chunk"], buckets) + _lists([], unpack(cell["asked"], "<u8"), cell["chunk"], buckets))
+        totals = unpack(cell["totals"], "<i8")
+        tables = [own_tables(right, cell["chunk"], totals, tag)[some][order] for tag in tags]
+        return ask_buckets(cell["chunk"], unpack(cell["asked"], "<u8"), keys[order], tables, buckets)
 
     told = pairs_of_chunks().cogroup(tagged(**{k: r.filter("at < 0") for k, r in last.items()})).applyInArrow(ask_tables, BLOCK)
     known |= last | {"told": written(told.groupBy("at").applyInArrow(tell_tables, BLOCK), "told", CODEC)}
@@ -514,10 +517,10 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         tok, chunk = Tokens.stored(left), left["chunk"][0].as_py()
         words, totals, flags = _received(right, "a", "<i8", "words"), _received(right, "a", "<i8", "pairs"), _received(right, "b", "u1", "pairs")
-        states, tables = [], np.zeros((KEEP, len(totals)), dtype=np.int64)
+        mine, states, tables = owned_places(tok, flags), [], np.zeros((KEEP, len(totals)), dtype=np.int64)
         for i, (customers, seats) in enumerate(sizes[-KEEP:]):
             states.append(State(parent_probability(_received(right, "a", "<f4", f"state{i}"), customers, seats, v), _received(right, "b", "<i8", f"state{i}")))
-            tables[i, owned_places(tok, flags)] = own_tables(right, chunk, f"state{i}")
+            tables[i, mine] = own_tables(right, chunk, totals[mine], f"state{i}")
         answers = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if right["tag"][i].as_py() == "told")
         if answers:
             tables[:, (flags & 1 == 0) & (totals > 0)] = np.concatenate([_parted(right["a"][i].as_py(), KEEP) for _, i in answers], axis=1)

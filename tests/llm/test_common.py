@@ -60,3 +60,18 @@ def test_language_model_keeps_the_averaged_states_alone_and_agrees_with_a_replay
     p = lm.predictions(tok, tok.pair_count, tok.count, states, lm.KEEP)
     want = np.bincount(tok.row, weights=np.log10(p)[tok.pair])
     assert held and np.allclose([got[d] for d in tok.docs.tolist()], want, rtol=1e-9)
+
+
+def test_owners_tell_tables_in_one_row_a_chunk_and_bucket():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64) & ~np.uint64(255))
+    tables = [rng.integers(1, 9, len(keys)) for _ in range(lm.KEEP)]
+    owner, buckets = np.arange(len(keys)) % 3, 4
+    sent = pa.concat_tables([lm.ask_buckets(c, keys[owner == (c + 1) % 3], keys[owner == c], [t[owner == c] for t in tables], buckets) for c in range(3)])
+    assert sent.num_rows <= 3 * buckets
+    got = {c: [] for c in range(3)}
+    for at in range(buckets):
+        for row in lm.tell_tables(sent.filter(pa.array([x == at for x in sent["at"].to_pylist()]))).to_pylist():
+            got[row["chunk"]].append(lm._parted(row["a"], lm.KEEP))
+    for c, parts in got.items():
+        assert (np.concatenate(parts, axis=1) == np.stack(tables)[:, owner == (c + 1) % 3]).all()
