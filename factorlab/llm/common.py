@@ -14,6 +14,7 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -99,6 +100,16 @@ def parts(spark: SparkSession, factor: int = 2) -> int:
     return max(16, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def pieces(size: int, each: int) -> int:
+    """Number of chunks or buckets of about `each` bytes: what a task holds depends neither on the input's size nor on the session."""
+    return max(16, -(-size // each))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U64(31))

@@ -12,7 +12,8 @@ input. Two operators share the frame below and differ in how they match:
 Matching every document against every shard, or moving every suffix, would grow with the
 square of the corpus or be fifty times its size. So windows are first routed by content:
 each window names its anchor, the k-gram in it with the smallest hash. Equal windows have
-equal anchors, so a window can only repeat inside its anchor's group.
+equal anchors, so a window can only repeat inside its anchor's group. Among bytes a common gram is an anchor only
+where a window has none that is rarer (:func:`gram_levels`), so that no group grows with the corpus.
 
 1. `chunk -> bucket`: hashes of the anchors of a chunk, each once, with a mark if two of its documents hold it.
 2. `bucket -> chunk`: those that two documents hold.
@@ -22,7 +23,8 @@ equal anchors, so a window can only repeat inside its anchor's group.
    a collision of hashes can cost time but not change a result.
 5. `chunk`: what is left.
 
-Chunks are hash classes of doc_id whose texts a task holds (a multiple of the shuffle partitions).
+Chunks are hash classes of doc_id whose texts a task holds (of words a multiple of the shuffle partitions, of bytes as many
+as the bytes of all texts ask for, whatever the session's partitions).
 
 Null text counts as empty, an empty text keeps nothing and loses nothing. A null doc_id ranks
 after all others. Rows with equal doc_id are one rank: neither removes the other's text. Further columns are ignored.
@@ -37,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.llm.common import BYTE_BASE, U64, WORD_BASE, as_bytes, by_value, gram_hashes, hash_words, joined, mix, pack_keys, parts, runs, text_groups, unpack_keys
+from factorlab.llm.common import (
+    BYTE_BASE, U64, WORD_BASE, as_bytes, by_value, gram_hashes, hash_words, joined, mix, pack_keys, parts, pieces, runs, text_groups, text_size, unpack_keys,
+)
 
 by_value(__name__)
 
@@ -47,8 +51,11 @@ INDEX = U64((1 << 20) - 1)
 #: Anchors are known by 55 bits of hash; the bit below marks those that two documents of a chunk hold.
 HASH, MARK = U64(0xFFFFFFFFFFFFFE00), U64(0x100)
 BINARY = pa.binary()
-#: Suffix ranges per shuffle partition; half as many stand in one group, whose rows a chunk gets together.
-RANGES = 8
+#: Bytes of text for a chunk, for a bucket of anchors and for a suffix range; so many ranges are a group, whose rows a chunk gets together.
+CHUNK, BUCKET, RANGE, TOGETHER = 4 << 20, 16 << 20, 2 << 20, 4
+#: Grams fall into 2**CLASS_BITS classes of hash. Those that occur COMMON times or more, and four times the mean of all classes, are of
+#: level 1, STEEPER times as often of level 2, and so on; their number is taken from documents of about SAMPLE bytes in COUNTERS groups.
+CLASS_BITS, COMMON, STEEPER, SAMPLE, COUNTERS = 20, 1 << 12, 8, 1 << 25, 8
 
 
 class Chunk:
@@ -97,15 +104,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: span - width], x[width - span :]) if span < width else x
 
 
-def segments(chunk: Chunk, length: int, k: int):
+def gram_class(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - CLASS_BITS)).astype(np.int64)
+
+
+def segments(chunk: Chunk, length: int, k: int, levels: np.ndarray | None = None):
     """Arrays (first window, number of windows, anchor hash, anchor place) of all runs of windows with one anchor."""
     units, rows = chunk.units, chunk.rows
     for at in range(0, max(0, len(units) - length + 1), SLICE):
         part, row = units[at : at + SLICE + length - 1], rows[at : at + SLICE + length - 1]
         m = len(part) - length + 1
         h = gram_hashes(part, k, WORD_BASE if chunk.words else BYTE_BASE)
-        # The smallest hash, leftmost among equals: a function of the window's content.
-        own = (sliding_min((h & ~INDEX) | np.arange(len(h), dtype=np.uint64), length - k + 1) & INDEX).astype(np.int64)
+        # The smallest hash of the lowest level, leftmost among equals: a function of the window's content.
+        rank = h if levels is None else (h >> U64(2)) | (levels[gram_class(h)].astype(np.uint64) << U64(62))
+        own = (sliding_min((rank & ~INDEX) | np.arange(len(h), dtype=np.uint64), length - k + 1) & INDEX).astype(np.int64)
         inside = row[:m] == row[length - 1 :]
         cut = np.flatnonzero((own[1:] != own[:-1]) | (inside[1:] != inside[:-1]) | (row[1:m] != row[: m - 1])) + 1
         lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [m]))
@@ -130,9 +142,9 @@ def _blocks(sorted_keys: np.ndarray, buckets: int):
 KEYS = pa.schema([("at", pa.int32()), ("chunk", pa.int32()), ("keys", BINARY)])
 
 
-def anchors(table: pa.Table, words: bool, length: int, k: int, buckets: int) -> pa.Table:
+def anchors(table: pa.Table, words: bool, length: int, k: int, buckets: int, levels: np.ndarray | None = None) -> pa.Table:
     chunk = Chunk(table, words)
-    found = [(key, chunk.docs[chunk.rows[first]]) for first, _, key, _ in segments(chunk, length, k)]
+    found = [(key, chunk.docs[chunk.rows[first]]) for first, _, key, _ in segments(chunk, length, k, levels)]
     if not found:
         return KEYS.empty_table()
     key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -176,15 +188,16 @@ SEGMENTS = pa.schema([("group", pa.int32()), ("chunk", pa.int32()), *((c, BINARY
 
 
 def candidate_segments(
-    left: pa.Table, right: pa.Table, words: bool, length: int, k: int, route: Callable[[np.ndarray, list[bytes]], np.ndarray], together: int
-) -> pa.Table:
+    left: pa.Table, right: pa.Table, words: bool, length: int, k: int, route: Callable[[np.ndarray, list[bytes]], np.ndarray], together: int,
+    levels: np.ndarray | None = None,
+) -> pa.Table:
     """Distinct contents around shared anchors with their places, each sent to the range that `route` names; `together` ranges are a group."""
     if not left.num_rows or not right.num_rows:
         return SEGMENTS.empty_table()
     chunk = Chunk(left, words)
     shared = np.sort(np.concatenate([unpack_keys(b) for b in right["keys"].to_pylist()]))
     seen: dict[bytes, list] = {}
-    for first, count, key, place in segments(chunk, length, k):
+    for first, count, key, place in segments(chunk, length, k, levels):
         hit = _member(key & HASH, shared)
         for a, n, h, p in zip(first[hit].tolist(), count[hit].tolist(), key[hit].tolist(), place[hit].tolist(), strict=True):
             content = chunk.content(a, a + n + length - 1)
@@ -312,10 +325,7 @@ def remainder(left: pa.Table, right: pa.Table, words: bool) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, KEPT, strict=True)], schema=KEPT)
 
 
-def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) -> DataFrame:
-    # A word is about six bytes: chunks of bytes are smaller, so that both hold about as many units.
-    buckets, chunks = parts(docs.sparkSession, 1), parts(docs.sparkSession, 2 if words else 4)
-
+def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher, chunks: int, buckets: int, together: int = 1, levels: np.ndarray | None = None) -> DataFrame:
     def texts() -> DataFrame:
         return docs.select(
             F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
@@ -323,11 +333,10 @@ def _frame(docs: DataFrame, words: bool, length: int, k: int, route, matcher) ->
             F.coalesce(F.col("text"), F.lit("")).alias("text"),
         )
 
-    held = texts().groupBy("chunk").applyInArrow(lambda t: anchors(t, words, length, k, buckets), "at int, chunk int, keys binary")
+    held = texts().groupBy("chunk").applyInArrow(lambda t: anchors(t, words, length, k, buckets, levels), "at int, chunk int, keys binary")
     shared = held.groupBy("at").applyInArrow(shared_keys, "at int, chunk int, keys binary").select(F.col("chunk").alias("to"), "keys")
-    together = 1 if words else RANGES // 2
     found = texts().groupBy("chunk").cogroup(shared.groupBy("to")).applyInArrow(
-        lambda a, b: candidate_segments(a, b, words, length, k, route, together),
+        lambda a, b: candidate_segments(a, b, words, length, k, route, together, levels),
         "group int, chunk int, parts binary, sizes binary, counts binary, contents binary, docs binary, places binary",
     )
     spans = found.groupBy("group").applyInArrow(lambda t: repeated_spans(t, words, length, matcher), "chunk int, starts binary, ends binary").withColumnRenamed("chunk", "to")
@@ -418,7 +427,7 @@ def window_owners(contents: list[bytes], first_docs: np.ndarray, length: int) ->
 def suffix_automata(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): words of windows that an earlier document holds are removed."""
     buckets = parts(docs.sparkSession)
-    return _frame(docs, True, length, min(k, length), lambda keys, heads: bucket_of(keys, buckets), window_owners)
+    return _frame(docs, True, length, min(k, length), lambda keys, heads: bucket_of(keys, buckets), window_owners, buckets, parts(docs.sparkSession, 1))
 
 
 # ---- range-partitioned suffixes ----
@@ -479,22 +488,53 @@ def sorted_owners(contents: list[bytes], first_docs: np.ndarray, length: int) ->
     return low
 
 
-def splitters(docs: DataFrame, head: int, buckets: int, sample: int = 20_000) -> list[bytes]:
-    """Range boundaries from the leading bytes of at most `sample` suffixes; they steer the load, never the result."""
-    body = docs.filter(F.length("text") >= head).select("doc_id", "text")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.length("text") - head + 1).cast("int") + 1
-    heads = body.select(F.xxhash64("doc_id").alias("_h"), F.substring(F.col("text"), place, F.lit(head)).alias("s"))
-    rows = heads.orderBy("_h", "s").limit(sample).select("s").collect()
-    heads = sorted(r.s.encode()[:head] for r in rows)
+def splitters(docs: DataFrame, head: int, buckets: int, size: int) -> list[bytes]:
+    """Range boundaries from the leading bytes of suffixes at equal steps of text; they steer the load, never the result.
+
+    Bytes are counted, not characters: suffixes that begin inside a character have boundaries of their own.
+    """
+    step = max(1, size // max(20_000, 16 * buckets))
+    body = docs.select(F.col("text").cast("binary").alias("s"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) + 1).cast("int").alias("at"))
+    last = F.octet_length("s") - head + 1
+    spots = body.filter(F.col("at") <= last).select("s", F.explode(F.sequence(F.col("at"), last, F.lit(step))).alias("at"))
+    heads = sorted(bytes(r.s) for r in spots.select(F.expr(f"substring(s, at, {head})").alias("s")).collect())
     return sorted({heads[i * len(heads) // buckets] for i in range(1, buckets)}) if heads else []
 
 
-def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 16) -> DataFrame:
+def gram_levels(docs: DataFrame, k: int, size: int, common: int = COMMON) -> np.ndarray | None:
+    """Level of each class of k-grams of bytes, from 0 to 3 by the number of times that they occur; None if all are 0.
+
+    The numbers come from a sample of documents. Levels order the grams of a window, which steers the load, never the result:
+    a gram that is found all over the corpus is an anchor only where a window has no other.
+    """
+    if size <= common:
+        return None
+    share = min(1.0, SAMPLE / size)
+    limit = max(common, 4 * size >> CLASS_BITS) * share
+
+    def count(table: pa.Table) -> pa.Table:
+        seen, texts = np.zeros(1 << CLASS_BITS, dtype=np.int64), as_bytes(table["text"])
+        for lo, hi in text_groups(texts):
+            seen += np.bincount(gram_class(gram_hashes(joined(texts[lo:hi])[0], k, BYTE_BASE)), minlength=1 << CLASS_BITS)
+        there = np.flatnonzero(seen >= max(1.0, limit / COUNTERS / 2))  # less in every group is less in all
+        return pa.table([pa.array(there, pa.int32()), pa.array(seen[there], pa.int64())], names=["gram", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTERS)).alias("part"), F.col("text"))
+    found = sample.groupBy("part").applyInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).collect()
+    if not found:
+        return None
+    levels = np.zeros(1 << CLASS_BITS, dtype=np.uint8)
+    levels[[r.gram for r in found]] = [1 + (r.n >= STEEPER * limit) + (r.n >= STEEPER * STEEPER * limit) for r in found]
+    return levels
+
+
+def suffix_ranges(docs: DataFrame, length: int = 50, k: int = 16, common: int = COMMON) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept): bytes of windows that an earlier document holds are removed."""
     k = min(k, length)
-    bounds = np.array(splitters(docs, k, parts(docs.sparkSession, RANGES)) or [b""], dtype=f"S{k}")
+    size = text_size(docs)
+    bounds = np.array(splitters(docs, k, pieces(size, RANGE), size) or [b""], dtype=f"S{k}")
 
     def route(keys: np.ndarray, heads: list[bytes]) -> np.ndarray:
         return np.searchsorted(bounds, np.array(heads, dtype=f"S{k}"), side="right").astype(np.int32)
 
-    return _frame(docs, False, length, k, route, sorted_owners)
+    return _frame(docs, False, length, k, route, sorted_owners, pieces(size, CHUNK), pieces(size, BUCKET), TOGETHER, gram_levels(docs, k, size, common))

@@ -100,3 +100,49 @@ def test_segments_travel_packed_by_chunk_and_group():
         for held, counts, _, docs, at in found:
             for c, d, a in zip(np.repeat(np.array(held, dtype=object), counts), docs, at, strict=True):
                 assert raw[a : a + len(c)] == c and d == 5 + np.searchsorted(np.cumsum([len(t.encode()) for t in texts]), a, side="right")
+
+
+def test_ranges_part_suffixes_that_begin_inside_a_character(documents):
+    """Half of these suffixes begin with the second byte of a letter: they must not all lie beyond the last boundary of one."""
+    rows = [(i, "".join(np.random.default_rng(i).choice(list("éñóßäöüç"), 400))) for i in range(40)]
+    bounds = repeats.splitters(documents(rows), 16, 64, sum(len(t.encode()) for _, t in rows))
+    inside = [b for b in bounds if 0x80 <= b[0] < 0xC0]
+    assert len(bounds) > 50 and 0.4 < len(inside) / len(bounds) < 0.6
+
+
+def test_levels_do_not_change_the_result(documents):
+    """A window's anchor is one of its rarer grams; what is removed stays the same."""
+    rows = cases()
+    df = documents(rows)
+    levels = repeats.gram_levels(df, 9, 10**6, common=40)
+    assert levels is not None and set(levels.tolist()) >= {0, 1}
+    got = repeats.suffix_ranges(df, 50, 9, common=40)
+    assert collected(got, "doc_id", "n_units", "n_removed", "n_spans", "kept") == [(a, b, c, d, bytearray(e)) for a, b, c, d, e in brute(rows, 50, False)]
+
+
+def test_common_grams_are_anchors_only_where_a_window_has_no_other():
+    """A phrase in every second sentence, with other surroundings each time, does not gather their segments."""
+    import pyarrow as pa
+
+    def smallest(phrase):
+        return repeats.gram_hashes(np.frombuffer(phrase.encode(), dtype=np.uint8), 16, repeats.BYTE_BASE).min()
+
+    phrase, n = min((prose(8, seed)[:20] for seed in range(1000, 1200)), key=smallest), 400
+    text = " ".join(f"{prose(6, i)} {phrase}" for i in range(n))
+    chunk = repeats.Chunk(pa.table({"chunk": pa.array([0], pa.int32()), "doc": pa.array([1], pa.int64()), "text": [text]}), False)
+
+    def most(levels):
+        return np.unique(np.concatenate([key for _, _, key, _ in repeats.segments(chunk, 50, 16, levels)]), return_counts=True)[1].max()
+
+    h = repeats.gram_hashes(chunk.units, 16, repeats.BYTE_BASE)
+    seen = np.bincount(repeats.gram_class(h), minlength=1 << repeats.CLASS_BITS)
+    assert most(None) >= n // 4 and most((seen > 20).astype(np.uint8)) <= 25
+
+
+def test_chunks_follow_the_bytes_of_texts(documents, spark):
+    """What a task holds depends neither on the session's partitions nor on the input's size."""
+    from factorlab.llm.common import pieces, text_size
+
+    assert text_size(documents([(1, "é" * 10), (2, None), (3, "ab")])) == 22
+    assert text_size(documents([(1, "x")]).filter("doc_id < 0")) == 0
+    assert pieces(10 << 30, repeats.CHUNK) == 2560 and pieces(0, repeats.CHUNK) == 16
