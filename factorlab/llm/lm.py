@@ -13,7 +13,7 @@ seating, so that they sum to one over the words and the unknown one. Random numb
 the (context, word), the customer and the sweep, so every task that meets a pair draws the same tables
 and a repeated task repeats its draws.
 
-What Spark moves: chunks of documents meet hash buckets of words, and of pairs, once for counts, and of words once a sweep.
+What Spark moves: chunks of documents (as many as the bytes of all texts ask for) meet hash buckets of words, and of pairs, once for counts, and of words once a sweep.
 Each chunk sends a key once with its count and gets the corpus's count back in the same order. A word that
 holds a third of all tokens is one entry a chunk. The tokens are written once as a table bucketed by chunk, read
 four times; sweeps read only the distinct pairs, each in the one chunk that owns it, from a table bucketed likewise.
@@ -27,16 +27,19 @@ and all train. With nothing to train on, every token has probability 1. Further
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlab.llm.common import U64, by_value, discarded, hash_words, joined, lower_ascii, mix, pack_keys, parts, removed, shared_folder, text_groups, unpack_keys, writing, written
+from factorlab.llm.common import U64, by_value, discarded, hash_words, joined, lower_ascii, mix, pack_keys, pieces, removed, shared_folder, text_groups, text_size, unpack_keys, writing, written
 
 by_value(__name__)
 
+#: Bytes of text for a chunk and for a bucket of keys, whatever the session's partitions.
+CHUNK, BUCKET = 8 << 20, 8 << 20
 #: Discount and strength of the contexts and of their parent.
 CONTEXT = (0.8, 1.0)
 PARENT = (0.7, 10.0)
@@ -62,8 +65,8 @@ def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(key)
     ranked = key[order]
     fresh = np.concatenate((np.ones(min(1, len(key)), dtype=bool), ranked[1:] != ranked[:-1]))
-    inverse = np.empty(len(key), dtype=np.int64)
-    inverse[order] = np.cumsum(fresh) - 1
+    inverse = np.empty(len(key), dtype=np.int32)
+    inverse[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
     return ranked[fresh], order[fresh], inverse
 
 
@@ -81,11 +84,12 @@ class Tokens:
             raw, ends = joined(body[lo:hi])
             starts, _, h = hash_words(lower_ascii(raw))
             hashes.append(h)
-            rows.append(lo + np.searchsorted(ends, starts, side="right"))
+            rows.append((lo + np.searchsorted(ends, starts, side="right")).astype(np.int32))
         words, row = np.concatenate(hashes), np.concatenate(rows)
         stops = np.searchsorted(row, np.arange(len(body)), side="right")
-        self.row = np.insert(row, stops, np.arange(len(body)))
-        self.words, inverse = np.unique(np.append(np.insert(words, stops, END), START), return_inverse=True)
+        self.row = np.insert(row, stops, np.arange(len(body), dtype=np.int32))
+        del body, texts, hashes, rows
+        self.words, _, inverse = grouped(np.append(np.insert(words, stops, END), START))
         self.word = inverse[:-1]
         self._count(pairs)
 
@@ -94,9 +98,10 @@ class Tokens:
         self.count = np.bincount(self.word[self.train], minlength=len(self.words))
         if pairs:
             start = np.concatenate(([True], self.row[1:] != self.row[:-1]))
-            context = np.where(start, np.searchsorted(self.words, START), np.concatenate(([0], self.word[:-1])))
-            key = pair_keys(self.words[context], self.words[self.word])
-            self.pairs, first, self.pair = grouped(key)
+            context = np.empty(len(self.word), dtype=np.int32)
+            context[1:] = self.word[:-1]
+            context[start] = np.searchsorted(self.words, START)
+            self.pairs, first, self.pair = grouped(pair_keys(self.words[context], self.words[self.word]))
             self.pair_context, self.pair_word = context[first], self.word[first]
             self.pair_count = np.bincount(self.pair[self.train], minlength=len(self.pairs))
 
@@ -111,8 +116,8 @@ class Tokens:
         """From the chunk's row of TOKENS."""
         self, cell = cls.__new__(cls), {c: table[c][0].as_py() for c in ("docs", "held", "sizes", "words", "word")}
         self.docs, self.held, self.words = unpack(cell["docs"], "<i8"), unpack(cell["held"], "u1").astype(bool), unpack(cell["words"], "<u8")
-        self.row = np.repeat(np.arange(len(self.docs)), unpack(cell["sizes"], "<i4"))
-        self.word = unpack(cell["word"], "<i4").astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.docs), dtype=np.int32), unpack(cell["sizes"], "<i4"))
+        self.word = unpack(cell["word"], "<i4")
         self._count(pairs)
         return self
 
@@ -227,10 +232,15 @@ def seat_parent(table: pa.Table, words: int, all_tables: float, sweep: int) -> p
     return _table(rows)
 
 
+def _part(data: bytes, n: int, i: int) -> np.ndarray:
+    """The i-th of n lists of numbers."""
+    size = len(data) // n
+    return unpack(data[i * size : (i + 1) * size], "<i8")
+
+
 def _parted(data: bytes, n: int) -> np.ndarray:
     """n lists of numbers, one a row."""
-    size = len(data) // n
-    return np.stack([unpack(data[i * size : (i + 1) * size], "<i8") for i in range(n)])
+    return np.stack([_part(data, n, i) for i in range(n)])
 
 
 def ask_buckets(chunk: int, asked: np.ndarray, told: np.ndarray, tables: list[np.ndarray], buckets: int) -> pa.Table:
@@ -317,12 +327,12 @@ class State:
         return (totals - discount * tables + (strength + discount * self.context[context]) * self.parent[word]) / (strength + size)
 
 
-def averaged(tok: Tokens, totals: np.ndarray, word_count: np.ndarray, states: list[State], tables: np.ndarray) -> np.ndarray:
-    """Probability of every pair of the chunk, averaged over the states, given its tables in each of them."""
+def averaged(tok: Tokens, totals: np.ndarray, word_count: np.ndarray, seated: Iterable[tuple[State, np.ndarray]]) -> np.ndarray:
+    """Probability of every pair of the chunk, averaged over KEEP states, given its tables in each of them."""
     size = context_count(tok.words, word_count)[tok.pair_context]
     out = np.zeros(len(totals))
-    for state, t in zip(states, tables, strict=True):
-        out += state.predictive(totals, t, size, tok.pair_context, tok.pair_word) / len(states)
+    for state, t in seated:
+        out += state.predictive(totals, t, size, tok.pair_context, tok.pair_word) / KEEP
     return out
 
 
@@ -395,7 +405,8 @@ def _scalars(replies: DataFrame, kind: str) -> tuple[float, float]:
 def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); scores are log10 probabilities of texts."""
     spark = docs.sparkSession
-    chunks = buckets = parts(spark)
+    size = text_size(docs)
+    chunks, buckets = pieces(size, CHUNK), pieces(size, BUCKET)
     name = chunked(docs, held_out, chunks)
 
     def texts():
@@ -517,14 +528,20 @@ def score(docs: DataFrame, held_out: Column, sweeps: int = SWEEPS) -> DataFrame:
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         tok, chunk = Tokens.stored(left), left["chunk"][0].as_py()
         words, totals, flags = _received(right, "a", "<i8", "words"), _received(right, "a", "<i8", "pairs"), _received(right, "b", "u1", "pairs")
-        mine, states, tables = owned_places(tok, flags), [], np.zeros((KEEP, len(totals)), dtype=np.int64)
-        for i, (customers, seats) in enumerate(sizes[-KEEP:]):
-            states.append(State(parent_probability(_received(right, "a", "<f4", f"state{i}"), customers, seats, v), _received(right, "b", "<i8", f"state{i}")))
-            tables[i, mine] = own_tables(right, chunk, totals[mine], f"state{i}")
-        answers = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if right["tag"][i].as_py() == "told")
-        if answers:
-            tables[:, (flags & 1 == 0) & (totals > 0)] = np.concatenate([_parted(right["a"][i].as_py(), KEEP) for _, i in answers], axis=1)
-        p = averaged(tok, totals, words, states, tables)
+        mine, others = owned_places(tok, flags), (flags & 1 == 0) & (totals > 0)
+        tags = right["tag"].to_pylist()
+        answers = sorted((at, i) for i, at in enumerate(right["at"].to_pylist()) if tags[i] == "told")
+
+        def seated():
+            """The states and the chunk's tables in them, one after another."""
+            for i, (customers, seats) in enumerate(sizes[-KEEP:]):
+                tables = np.zeros(len(totals), dtype=np.int64)
+                tables[mine] = own_tables(right, chunk, totals[mine], f"state{i}")
+                if answers:
+                    tables[others] = np.concatenate([_part(right["a"][k].as_py(), KEEP, i) for _, k in answers])
+                yield State(parent_probability(_received(right, "a", "<f4", f"state{i}"), customers, seats, v), _received(right, "b", "<i8", f"state{i}")), tables
+
+        p = averaged(tok, totals, words, seated())
         docs_here = len(tok.docs)
         base = np.log10((words + 1) / (n + v + 1))
         cols = (

@@ -6,8 +6,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
-from samples import edited, prose
+from samples import collected, edited, prose
 from test_documents import swept
 
 from factorlab.llm import language, lm
@@ -75,3 +76,28 @@ def test_owners_tell_tables_in_one_row_a_chunk_and_bucket():
             got[row["chunk"]].append(lm._parted(row["a"], lm.KEEP))
     for c, parts in got.items():
         assert (np.concatenate(parts, axis=1) == np.stack(tables)[:, owner == (c + 1) % 3]).all()
+
+
+@pytest.mark.parametrize("partitions", ["2", "300"])
+def test_what_a_task_of_the_language_model_holds_follows_the_bytes_of_texts(spark, documents, monkeypatch, partitions):
+    """Not the session's partitions, which need not grow with the input; scores are the same in any number of chunks."""
+    rows = [(i, prose(60, i)) for i in range(60)]
+    df, size = documents(rows), sum(len(t.encode()) for _, t in rows)
+    want = collected(lm.score(df, F.col("doc_id") % 7 == 2, sweeps=2), "doc_id", "score")
+    seen = []
+
+    def chunked(docs, held_out, chunks, real=lm.chunked):
+        seen.append(chunks)
+        return real(docs, held_out, chunks)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(lm, "chunked", chunked)
+    monkeypatch.setattr(lm, "CHUNK", 1000)
+    monkeypatch.setattr(lm, "BUCKET", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = collected(lm.score(df, F.col("doc_id") % 7 == 2, sweeps=2), "doc_id", "score")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [-(-size // 1000)] and 16 < seen[0] < 32
+    assert got == want
