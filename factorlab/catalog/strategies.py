@@ -273,7 +273,7 @@ EXITS = "strategy ticker entry_date entry_price shares:i exit_date exit_price:6
 add(
     "first_touch_exits",
     EXITS,
-    lambda lb: trades.first_touch_exits(trades.rebalance_bars(lb.trade_signals, lb.tables.prices), None, None, CFG, lb.trade_levels),
+    lambda lb: trades.first_touch_exits(trades.rebalance_bars(lb.trade_signals, lb.held_prices), None, None, CFG, lb.trade_levels),
     "SELECT * FROM exits",
 )
 add(
@@ -302,7 +302,7 @@ add(
 add(
     "daily_positions",
     "strategy date ticker entry_date shares:i price market_value",
-    lambda lb: trades.daily_positions(lb.exits, lb.tables.prices, lb.index_tables[0]),
+    lambda lb: trades.daily_positions(lb.exits, lb.held_prices, lb.index_tables[0]),
     "SELECT * FROM positions",
 )
 add(
@@ -315,7 +315,7 @@ add(
 
 def _mtm(lb: Lab):
     cal = lb.index_tables[0].select("date")
-    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.tables.prices, cal), cal, [s.name for s in all_specs()], CFG)
+    return trades.mark_to_market(lb.exits, trades.daily_positions(lb.exits, lb.held_prices, cal), cal, [s.name for s in all_specs()], CFG)
 
 
 add(

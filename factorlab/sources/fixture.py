@@ -50,10 +50,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, sf_dir: str, cutoff: date | None = None) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, cutoff: date | None = None, held: DataFrame | None = None) -> DataFrame:
     """Daily bars. One partial/final hash aggregate: a hot ticker shrinks to at most
-    one row per trading day on the map side, before anything is shuffled."""
+    one row per trading day on the map side, before anything is shuffled.
+
+    ``held`` restricts them to its tickers, whose number strategies and months bound: no other tick leaves its scan.
+    """
     t = ticks(spark, sf_dir)
+    if held is not None:
+        t = t.join(F.broadcast(held.select("ticker").distinct()), "ticker", "left_semi")
     if cutoff is not None:
         t = t.filter(F.col("date") <= F.lit(cutoff))
     return t.groupBy("ticker", "date").agg(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -383,3 +384,19 @@ def test_state_versions(spark, ws):
         sinks.write_state(spark.createDataFrame([("a", "T5")], schema), path, "2001-03-31")
     sinks.write_state(spark.createDataFrame([("a", "T5")], schema), path, "2001-03-31", take_over=True)
     assert held() == ["T5"] and sinks.state_version(spark, path) == 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables absent")
+def test_trades_read_the_bars_of_wanted_names_alone(spark):
+    """No bar of another ticker is written or moved for trades, and the trades are those of the whole table."""
+    from factorlab.catalog.context import Lab, all_specs
+
+    lab = Lab(spark, "/root/testdata/sf0.001")
+    names = [r["ticker"] for r in lab.prices.select("ticker").distinct().orderBy("ticker").limit(3).collect()]
+    rows = [(all_specs()[i % 2].name, m, t, 50_000.0) for i, t in enumerate(names) for m in month_ends(24, "1998-01-31")]
+    lab.__dict__["holdings"] = spark.createDataFrame(rows, "strategy string, signal_month date, ticker string, allocated_cash double")
+    got = sorted(lab.exits.collect(), key=repr)
+    assert got and "tables" not in lab.__dict__
+    assert {r["ticker"] for r in lab.held_prices.select("ticker").collect()} == set(names)
+    book = trades.rebalance_bars(lab.trade_signals, lab.prices)
+    assert got == sorted(trades.first_touch_exits(book, None, None, lab.cfg, lab.trade_levels).collect(), key=repr)
