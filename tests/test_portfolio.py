@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -400,3 +401,24 @@ def test_trades_read_the_bars_of_wanted_names_alone(spark):
     assert {r["ticker"] for r in lab.held_prices.select("ticker").collect()} == set(names)
     book = trades.rebalance_bars(lab.trade_signals, lab.prices)
     assert got == sorted(trades.first_touch_exits(book, None, None, lab.cfg, lab.trade_levels).collect(), key=repr)
+
+
+def test_a_written_table_frees_its_shuffle_files(spark, ws):
+    from factorlab.sources.workspace import CLEANUP
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        found = set()
+        while files.hasNext():
+            name = files.next().getName()
+            if name.startswith("shuffle_"):
+                found.add(name)
+        return found
+
+    before, setting = held(), spark.conf.get(CLEANUP, None)
+    out = ws.materialise(spark.range(50_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(CLEANUP, None) == setting
+    assert sorted(r["count"] for r in out.collect()) == [7142] + [7143] * 6
